@@ -9,14 +9,19 @@ from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
 from .shared import table
+from .sharding import shard_documents
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+    return {"op1_minhash_near_dedup": op1_minhash_near_dedup, "op2_karmarkar_karp_sharding": op2_karmarkar_karp_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

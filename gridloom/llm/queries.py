@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from .bpe import bpe_decode, bpe_encode
+from .licenses import license_scan
 from .minhash import near_duplicates
+from .neighbours import nearest_neighbours
+from .packing import crc32_of_ids, pack_documents
+from .pii import pseudonymise
 from .quality import quality_rules
+from .repair import encode_to_files
 from .sharding import shard_documents
 from .shared import table
+from .toxicity import toxicity
 
 #: The vocabulary file of the queries; it stands at the same path on every machine.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,11 +47,42 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crc32_of_ids(pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, window=2048, end_id=1))
+
+
+def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = encode_to_files(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
+    return crc32_of_ids(read.withColumn("n_tokens", F.size("ids").cast("long")))
+
+
+def op10_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = [
     op1_minhash_near_dedup,
     op2_karmarkar_karp_sharding,
     op3_divergence_quality,
+    op4_boosted_toxicity,
     op5_bpe_round_trip,
+    op6_learned_partitions,
+    op7_feistel_pseudonyms,
+    op8_bm25_packing,
+    op9_repair_files,
+    op10_license_bigrams,
 ]
 
 

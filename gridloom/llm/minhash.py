@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(alone, F.lit(-1)).otherwise(F.least("own", "other")).alias("i"), F.when(alone, F.lit(-1)).otherwise(F.greatest("own", "other")).alias("j"),
     )
     wanted = units.select("id", "n", "fa", "fb").distinct()
-    sets = shingled(own.join(wanted.select("id").distinct(), "id", "left_semi"), width).join(wanted, ["id", "n", "fa", "fb"], "left_semi")
+    sets = shingled(own.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi"), width).join(wanted, ["id", "n", "fa", "fb"], "left_semi")
     sets = sets.dropDuplicates(["id", "n", "fa", "fb"]).join(units, ["id", "n", "fa", "fb"])
     forest = sets.select("u", "i", "j", "cluster", "id", "shingles").groupBy("u", "i", "j").applyInArrow(_confirm(percent), "a long, b long")
     found = components(forest)

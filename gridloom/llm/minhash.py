@@ -223,3 +223,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.coalesce("root", "rep").alias("component_id"),
         F.coalesce(F.col("id") == F.coalesce("root", "rep"), F.lit(True)).alias("kept"),
     )
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that ``near_duplicates`` keeps, with all their columns: one document of each group."""
+    gone = near_duplicates(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col(id_col).alias("_gone"))
+    return docs.join(gone.distinct().hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, stored, strings
+from .shared import aside, chunks, kinds_of, stored, strings
 from .words import PART, Words, runs, span_hashes
 
 #: A common word holds this share of its language's words at least; so there are 500 at most.
@@ -198,23 +198,12 @@ def _distances(words: Words, classes: np.ndarray, reference: tuple) -> tuple[np.
     return by_class, by_word
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
-    """One row per document: (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    class_distance, word_distance, kept).
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-    A document is kept unless base_failed (fewer than min_words words, or over max_repeat_percent of them in repeated
-    windows of three) or it diverges: its class distance is over MAX_CLASS_DISTANCE or its word distance over
-    MAX_WORD_DISTANCE, and no other language's words are as near as OTHER_WORD_DISTANCE (so a wrong label rejects
-    nothing). A document whose language has no reference, or is null, is held against that of all languages together.
-    The distances returned are those to the nearest reference by their sum. A histogram below its guard has a null
-    distance, which passes.
 
-    Null and empty texts have zero counts and fail the base rules. Null ids and repeated rows are rows like any other.
-    Only the three columns named are read. An empty table gives an empty one.
-    """
-    found = references(docs, text_col, lang_col)
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def _judged(own: DataFrame, found: dict, lang: str, keep_text: bool, min_words: int, max_repeat_percent: int) -> DataFrame:
+    """own (id, text, ..) and the counts, distances and verdicts; without text unless it is to be kept."""
+    carried = [f for f in own.schema if keep_text or f.name not in ("text", lang)]
 
     def work(batches):
         for part in chunks(batches, "text"):
@@ -225,19 +214,46 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             near = [np.full(len(texts), np.nan), np.full(len(texts), np.nan)]
             least = np.full(len(texts), np.inf)
             fits = np.zeros(len(texts), bool)
-            label = np.array([lang if lang in found else ALL for lang in part["lang"].to_pylist()], object)
-            for lang, reference in found.items():
-                own_lang = label == lang
-                use = own_lang if lang == ALL else np.ones(len(texts), bool)
+            label = np.array([x if x in found else ALL for x in part[lang].to_pylist()], object)
+            for name, reference in found.items():
+                own_lang = label == name
+                use = own_lang if name == ALL else np.ones(len(texts), bool)
                 c, w = _distances(words, classes, reference)
                 fits |= use & ~(c > MAX_CLASS_DISTANCE) & np.where(own_lang, ~(w > MAX_WORD_DISTANCE), w <= OTHER_WORD_DISTANCE)
                 both = np.where(use, np.nan_to_num(c) + np.nan_to_num(w), np.inf)
                 near = [np.where(both < least, new, old) for new, old in zip((c, w), near, strict=True)]
                 least = np.minimum(least, both)
             kept = ~failed & (fits | (not found))
-            columns = [part["id"], *(pa.array(base[k].astype(np.int64)) for k in names), pa.array(failed), *(pa.array(x, from_pandas=True) for x in near), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(columns, names=[id_col, *names, "base_failed", "class_distance", "word_distance", "kept"])
+            columns = [*(part[f.name] for f in carried), *(pa.array(base[k].astype(np.int64)) for k in _COUNTS), pa.array(failed), *(pa.array(x, from_pandas=True) for x in near), pa.array(kept)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in carried), *_COUNTS, "base_failed", "class_distance", "word_distance", "kept"])
 
-    kind = own.schema["id"].dataType.simpleString()
-    fields = ", ".join(f"{k} long" for k in names)
-    return own.mapInArrow(work, f"`{id_col}` {kind}, {fields}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    counts = ", ".join(f"{k} long" for k in _COUNTS)
+    return own.mapInArrow(work, f"{kinds_of(carried)}, {counts}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+
+
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """One row per document: (id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    class_distance, word_distance, kept).
+
+    A document is kept unless base_failed (fewer than min_words words, or over max_repeat_percent of them in repeated
+    windows of three) or it diverges: its class distance is over MAX_CLASS_DISTANCE or its word distance over
+    MAX_WORD_DISTANCE, and no other language's words are as near as OTHER_WORD_DISTANCE (so a wrong label rejects
+    nothing). A document whose language has no reference, or is null, is held against that of all languages together.
+    The distances returned are those to the nearest reference by their sum. A histogram below its guard has a null
+    distance, which passes.
+
+    Null and empty texts have zero counts and fail the base rules. Null ids and repeated rows are rows like any other.
+    Only the three columns named are read. An empty table gives an empty one.
+    """
+    found = references(docs, text_col, lang_col)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    judged = _judged(own, found, "lang", False, min_words, max_repeat_percent)
+    return judged.select(F.col("id").alias(id_col), *_COUNTS, "base_failed", "class_distance", "word_distance", "kept")
+
+
+def without_low_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+    """The rows of docs that ``quality_rules`` keeps, with all their columns."""
+    found = references(docs, text_col, lang_col)
+    own, restored = aside(docs, id_col, text_col)
+    lang = f"x{[c for c in docs.columns if c not in (id_col, text_col)].index(lang_col)}"
+    return _judged(own, found, lang, True, min_words, max_repeat_percent).where("kept").select(*restored)

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python task, in UTF-8 bytes; arrays derived from it are 20 to 40 times as large.
 CHUNK_BYTES = 2_000_000
@@ -56,3 +57,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
                 start, held = i, 0
             held += size or 0
         yield batch.slice(start)
+
+
+def aside(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list]:
+    """docs as (id, text, x0, x1, ..), names that cannot clash, and the columns that restore it."""
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    short = {id_col: "id", text_col: "text"} | {c: f"x{i}" for i, c in enumerate(others)}
+    renamed = docs.select(*(F.col(f"`{c}`").cast("string" if c == text_col else docs.schema[c].dataType).alias(n) for c, n in short.items()))
+    return renamed, [F.col(short[c]).alias(c) for c in docs.columns]
+
+
+def kinds_of(fields) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)

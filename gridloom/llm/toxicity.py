@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Lookup
-from .shared import chunks, stored, strings
+from .shared import aside, chunks, kinds_of, stored, strings
 from .words import runs, span_hashes
 
 #: Labelled rows that the classifier is fitted on, about.
 MAX_LABELLED = 20_000
 #: Lexicon keys: whole words, and beginnings of this many letters of longer words.
-STEM = 5
+STEM = 4
 #: A key of the lexicon stands in this many toxic documents at least, and its log odds ratio is this at least.
 MIN_TOXIC, MIN_ODDS, STRONG = 2, 1.0, 3.0
 #: Words apart that still count as near a second-person word.
@@ -173,11 +173,11 @@ def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return rows["key"].to_numpy(np.int64), np.concatenate((table, np.zeros((1, 4))))
 
 
-def _featured(texts: DataFrame, keys: np.ndarray, odds: np.ndarray) -> DataFrame:
+def _featured(texts: DataFrame, keys: np.ndarray, odds: np.ndarray, keep_text: bool = False) -> DataFrame:
     """texts (.., text, column) -> the other columns and features; column says which of the four odds to use."""
     lexicon = Lookup(keys, np.arange(len(keys)))
     shared = texts.sparkSession.sparkContext.broadcast((lexicon, odds))
-    others = [f for f in texts.schema if f.name not in ("text", "column")]
+    others = [f for f in texts.schema if f.name != "column" and (keep_text or f.name != "text")]
 
     def work(batches):
         lexicon, odds = shared.value
@@ -186,31 +186,19 @@ def _featured(texts: DataFrame, keys: np.ndarray, odds: np.ndarray) -> DataFrame
             at = np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in others), pa.ListArray.from_arrays(at, found.ravel())], names=[*(f.name for f in others), "features"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in others)
-    return texts.mapInArrow(work, f"{kinds}, features array<double>")
+    return texts.mapInArrow(work, f"{kinds_of(others)}, features array<double>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """One row per document: (id_col, held_out, score, predicted).
-
-    ``score`` is a calibrated probability of label 1, from the text alone; ``predicted`` is 1 from 0.5 up. Isotonic
-    regression gives ranges of the raw score one value, so a hundredth of the score is the raw one, which keeps its
-    order. Without 2 labels of each class to learn from every score is the share of label 1 (0 without labels);
-    with fewer than 5 of each to calibrate on, the raw score stands.
-
-    Null and empty texts are scored as texts without words. A null id counts as held out. Labels that are null or
-    neither 0 nor 1 are ignored, and so are labels of unknown ids. Repeated rows are scored alike. Other columns are
-    not read. An empty table gives an empty one.
-    """
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).alias("toxic"))
-    sample = stored(_labelled(own, known, max_labelled), "labelled")
+def _scored(own: DataFrame, labels: DataFrame, max_labelled: int, keep_text: bool) -> DataFrame:
+    """own (id, text, ..) and held_out, score, predicted; without text unless it is to be kept."""
+    sample = stored(_labelled(own.select("id", "text"), labels, max_labelled), "labelled")
     seen = {(r["late"], r["toxic"]): r["count"] for r in sample.groupBy((F.col("part") == 4).alias("late"), "toxic").count().collect()}
     held_out = (F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5 == 0).alias("held_out")
-    result = [F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted")]
+    carried = [c for c in own.columns if keep_text or c != "text"]
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     if min(seen.get((False, t), 0) for t in (0, 1)) < 2:
         toxic, every = sum(n for (_, t), n in seen.items() if t), sum(seen.values())
-        return own.select("id", held_out, F.lit(toxic / every if every else 0.0).alias("score")).select(*result)
+        return own.select(*carried, held_out, F.lit(toxic / every if every else 0.0).alias("score")).withColumn("predicted", predicted)
 
     keys, odds = _lexicon(sample)
     column = F.when(F.col("part") < 4, F.col("part")).otherwise(0).alias("column")
@@ -219,14 +207,37 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     trees = GBTClassifier(featuresCol="vector", labelCol="label", maxDepth=3, maxIter=24, stepSize=0.3, minInstancesPerNode=2, seed=7)
     model = trees.fit(fitted.where("part < 4").select("vector", "label"))
 
-    def scored(df: DataFrame) -> DataFrame:
+    def raw(df: DataFrame) -> DataFrame:
         return model.transform(df).withColumn("raw", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")
 
-    ready = _featured(own.select("id", "text", F.lit(0).alias("column")), keys, odds).withColumn("vector", array_to_vector("features"))
-    ready = scored(ready).select("id", held_out, "raw")
+    ready = _featured(own.withColumn("column", F.lit(0)), keys, odds, keep_text).withColumn("vector", array_to_vector("features"))
+    ready = raw(ready).select(*carried, held_out, "raw")
     if min(seen.get((True, t), 0) for t in (0, 1)) < 5:
-        return ready.withColumn("score", F.col("raw")).select(*result)
-    calibrate = scored(fitted.where("part = 4").select("vector", "label"))
-    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="fit").fit(calibrate)
+        return ready.withColumnRenamed("raw", "score").withColumn("predicted", predicted)
+    curve = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="fit").fit(raw(fitted.where("part = 4").select("vector", "label")))
     final = curve.transform(ready).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("fit") * 0.99 + F.col("raw") * 0.01)))
-    return final.select(*result)
+    return final.select(*carried, "held_out", "score", predicted)
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """One row per document: (id_col, held_out, score, predicted).
+
+    ``score`` is a calibrated probability of label 1, from the text alone; ``predicted`` is 1 from 0.5 up. Isotonic
+    regression gives ranges of the raw score one value, so a hundredth of the score is the raw one, which keeps its
+    order. Without 2 labels of each class to learn from every score is the share of label 1 (0 without labels);
+    with fewer than 5 of each to calibrate on, the raw score stands.
+
+    Null and empty texts are scored as texts without words. A null id counts as held out. Labels that are null or
+    neither 0 nor 1 are ignored, and so are labels of unknown ids. Repeated rows are scored alike. Other columns are
+    not read. An empty table gives an empty one.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    known = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).alias("toxic"))
+    return _scored(own, known, max_labelled, False).select(F.col("id").alias(id_col), "held_out", "score", "predicted")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", toxic_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of docs that ``toxicity`` does not predict to be toxic, with all their columns."""
+    own, restored = aside(docs, id_col, text_col)
+    known = labels.select(F.col(id_col).alias("id"), F.col(toxic_col).alias("toxic"))
+    return _scored(own, known, max_labelled, True).where("predicted = 0").select(*restored)

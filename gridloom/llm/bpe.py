@@ -332,6 +332,23 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return own.mapInArrow(work, f"`{id_col}` {kind}, ids array<int>")
 
 
+#: Ids decoded at once.
+_DECODE_IDS = 400_000
+
+
+def _by_length(batches, ids_col: str):
+    """The same rows in pieces of about _DECODE_IDS ids; a longer list is a piece of its own."""
+    for batch in batches:
+        start, held = 0, 0
+        for i, n in enumerate(pc.fill_null(pc.list_value_length(batch[ids_col]), 0).to_pylist()):
+            if held and held + n > _DECODE_IDS:
+                yield batch.slice(start, i - start)
+                start, held = i, 0
+            held += n
+        if batch.num_rows:
+            yield batch.slice(start)
+
+
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """encoded and ``decoded``: the tokens' strings with a space between them, as the file names no decoder.
 
@@ -340,11 +357,12 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
 
     def work(batches):
         names = loaded(path).names
-        for batch in batches:
+        for batch in _by_length(batches, ids_col):
             column = batch[ids_col]
-            flat = pc.fill_null(column.flatten(), len(names))
-            flat = pc.if_else(pc.and_(pc.less(flat, len(names)), pc.greater_equal(flat, 0)), flat, None)
-            words = pc.fill_null(names.take(flat), "")
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            known = (flat >= 0) & (flat < len(names))
+            words = names.take(pa.array(np.where(known, flat, 0).astype(np.int32)))
+            words = words if known.all() else pc.if_else(known, words, "")
             offsets = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)))).astype(np.int32)
             joined = pc.binary_join(pa.ListArray.from_arrays(offsets, words), " ")
             yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(column.is_valid(), joined, None)], names=[*batch.schema.names, "decoded"])

@@ -189,7 +189,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     light = stored(sketched(own, width, percent), "sketches")
-    classes = light.where("n > 0 AND id IS NOT NULL").groupBy("n", "fa", "fb").agg(F.min("id").alias("rep"))
+    # Written first: the join below then has a shuffle of its own on both sides, of which a hot class can be split.
+    classes = stored(light.where("n > 0 AND id IS NOT NULL").groupBy("n", "fa", "fb").agg(F.min("id").alias("rep")), "classes")
     member = stored(
         light.drop("bands").join(classes, ["n", "fa", "fb"], "left").select("id", "n", "fa", "fb", F.coalesce("rep", "id").alias("rep")), "members"
     )

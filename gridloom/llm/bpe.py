@@ -22,6 +22,8 @@ from .shared import chunks, strings
 from .words import runs, span_hashes
 
 _NEVER = np.int64(1 << 40)
+#: Words that a process keeps encoded, about: some 10 MB.
+REMEMBERED = 250_000
 #: White space of Unicode, by code point.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _NUMBER, _OTHER, _SPECIAL = range(5)
@@ -104,6 +106,9 @@ class Bpe:
         self.made = made
         self._spines(left, right, made, len(names))
         self._trie(vocab)
+        # The hash of all ones stands for no word, so that the table is never empty.
+        self.known, self.known_begin, self.known_count = np.full(1, 2**64 - 1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.kept = self.pool = np.array(list(self.specials.values()), np.int64)
 
     def _spines(self, left: np.ndarray, right: np.ndarray, made: np.ndarray, n: int) -> None:
         """What stands at a token's right (left) edge as it is built up, and the rank of the merge that absorbs it."""
@@ -223,6 +228,32 @@ class Bpe:
             rest = rest[~crossed & (np.minimum(dies_a, dies_b) < _NEVER)]
         return good
 
+    def remembered(self, keys: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each word's tokens begin in self.pool, their number); keys are the words' hashes.
+
+        Words that a process meets first, up to REMEMBERED, stay encoded for its later texts; the others are encoded
+        again with each piece of text. The result is the same either way.
+        """
+        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        old = self.known[at] == keys
+        begin, count = self.known_begin[at], self.known_count[at]
+        fresh = np.flatnonzero(~old)
+        if len(fresh):
+            symbols, length = self._symbols(text, starts[fresh], ends[fresh])
+            tokens, number = self.encode_words(symbols, length)
+            begin[fresh], count[fresh] = len(self.kept) + np.cumsum(number) - number, number
+            self.pool = np.concatenate((self.kept, tokens))
+            if len(self.known) < REMEMBERED:
+                self.kept = self.pool
+                known = np.concatenate((self.known, keys[fresh]))
+                order = np.argsort(known, kind="stable")
+                self.known = known[order]
+                self.known_begin = np.concatenate((self.known_begin, begin[fresh]))[order]
+                self.known_count = np.concatenate((self.known_count, count[fresh]))[order]
+        else:
+            self.pool = self.kept
+        return begin, count
+
     def encode_words(self, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words as base symbols -> (tokens, number of each word)."""
         tokens, count = self._longest(symbols, length)
@@ -287,19 +318,14 @@ class Bpe:
         doc = np.searchsorted(first, starts, "right") - 1
         if not len(starts):
             return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        _, where, back = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
+        keys, where, back = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
         special = kind[starts[where]] == _SPECIAL
-        plain_at = np.where(special, 0, 1).nonzero()[0]
         count, begin = np.ones(len(where), np.int64), np.zeros(len(where), np.int64)
-        pool = np.array(list(self.specials.values()), np.int64)
         begin[special] = points[starts[where[special]]].astype(np.int64) - 0xD800
-        if len(plain_at):
-            symbols, length = self._symbols(whole, starts[where[plain_at]], ends[where[plain_at]])
-            tokens, number = self.encode_words(symbols, length)
-            count[plain_at], begin[plain_at] = number, len(pool) + np.cumsum(number) - number
-            pool = np.concatenate((pool, tokens))
+        at = where[~special]
+        begin[~special], count[~special] = self.remembered(keys[~special], whole, starts[at], ends[at])
         number = count[back]
-        ids = pool[spread(begin[back], number)]
+        ids = self.pool[spread(begin[back], number)]
         return ids, np.bincount(doc, weights=number, minlength=len(texts)).astype(np.int64)
 
 

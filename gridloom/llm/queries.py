@@ -13,7 +13,7 @@ from .bpe import bpe_decode, bpe_encode
 from .licenses import license_scan
 from .minhash import near_duplicates
 from .neighbours import nearest_neighbours
-from .packing import crc32_of_ids, pack_documents
+from .packing import pack_documents
 from .pii import pseudonymise
 from .quality import quality_rules
 from .repair import encode_to_files
@@ -60,12 +60,13 @@ def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crc32_of_ids(pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, window=2048, end_id=1))
+    pieces = pack_documents(table(spark, sf_dir, "documents"), TOKENIZER, window=2048, end_id=1)
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
 def op9_repair_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = encode_to_files(table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
-    return crc32_of_ids(read.withColumn("n_tokens", F.size("ids").cast("long")))
+    return read.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op10_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from .bpe import Lookup, loaded, spread
 from .packing import _with_end
-from .shared import chunks, shared_folder, strings
+from .shared import chunks, packed, shared_folder, strings
 from .words import runs
 
 FIRST_RULE = 1 << 16
@@ -128,7 +128,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str
 
 
 def read_ids(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, start, ids) of every document of the files: start counts the ids of all documents before it."""
+    """(id_col, start, ids) of every document of the files: start counts the ids of all documents before it; ids are
+    little-endian unsigned 32-bit integers in a binary column."""
     blocks = spark.read.schema(_FIELDS).parquet(at)
     shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each shard
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_before"))
@@ -141,10 +142,9 @@ def read_ids(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFrame:
                 lengths = row["lengths"].values.to_numpy()
                 ids = expand(np.frombuffer(row["symbols"].as_py(), "<u4").astype(np.int64), rules)
                 start = row["shard_before"].as_py() + row["ids_before"].as_py() + np.cumsum(lengths) - lengths
-                offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start), pa.ListArray.from_arrays(offsets, ids.astype(np.int32))], names=[id_col, "start", "ids"])
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start), packed(ids, lengths)], names=[id_col, "start", "ids"])
 
-    return blocks.join(F.broadcast(before), "shard").mapInArrow(work, f"`{id_col}` long, start long, ids array<int>")
+    return blocks.join(F.broadcast(before), "shard").mapInArrow(work, f"`{id_col}` long, start long, ids binary")
 
 
 def encode_to_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

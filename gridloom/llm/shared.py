@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -69,3 +70,9 @@ def aside(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list]
 
 def kinds_of(fields) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+
+
+def packed(ids: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """A binary column: each row's ids as little-endian unsigned 32-bit integers."""
+    offsets = np.concatenate(([0], np.cumsum(lengths) * 4)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(ids.astype("<u4"))])

@@ -89,9 +89,13 @@ def interpolate_causal(df: DataFrame, columns: list[str], group: list[str], time
 
 
 def fill_with_medians(df: DataFrame, columns: list[str], levels: list[list[str]]) -> DataFrame:
-    """Nulls take the exact median of their group, from the finest level to the coarsest ([] is the whole table)."""
+    """Nulls take the exact median of their group, from the finest level to the coarsest ([] is the whole table).
+
+    All medians are those of the column before any filling.
+    """
+    source = df
     for level in levels:
-        medians = df.groupBy(*level).agg(*(F.median(c).alias(f"_{c}") for c in columns))
+        medians = source.groupBy(*level).agg(*(F.median(c).alias(f"_{c}") for c in columns))
         df = df.join(medians, level, "left") if level else df.crossJoin(F.broadcast(medians))  # one row
         df = df.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
     return df

@@ -122,7 +122,7 @@ PARTS: dict[str, str] = {
         coalesce(rainfall_lag1 > 0.1, false)::INT * is_peak AS rain_x_peak FROM history""",
     "predictions": """SELECT road_id, road_name, timestamp, latitude, longitude, hour, is_peak, rain_flag, y_volume, y_speed, y_travel_time, y_congestion, y_congestion_code, y_accident,
         traffic_volume_rollmean4 AS pred_y_volume, signal_timing / 3 AS pred_y_travel_time, greatest(congestion_lag1_ord, 0) AS pred_congestion_code,
-        round(1 / (1 + exp(-(coalesce(avg_speed_lag1, 40.0) / 40 - 1.5))), 6) AS pred_accident_prob FROM features WHERE y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL""",
+        round(1 / (1 + exp(-(coalesce(avg_speed_lag1, 40.0) / 40 - 1.5))), 6) AS pred_accident_prob, traffic_volume_lag1 FROM features WHERE y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL""",
     "decoded": "SELECT *, list_extract(['Free-flow', 'Moderate', 'Heavy', 'Severe'], (pred_congestion_code + 1)::INT) AS pred_congestion FROM predictions",
     "bounds": """SELECT a + to_seconds(floor(s * 0.7)) AS train_end, a + to_seconds(floor(s * 0.85)) AS val_end FROM (
         SELECT min(timestamp) AS a, epoch(max(timestamp)) - epoch(min(timestamp)) AS s FROM predictions)""",
@@ -138,6 +138,7 @@ PARTS: dict[str, str] = {
 def sql(body: str, rounded: str = "", digits: int = 6) -> str:
     """``body`` over the shared tables; the columns named in ``rounded`` are rounded."""
     names = rounded.split()
+    body = f"SELECT * FROM ({body})" if body.startswith("WITH") else body
     if names:
         body = f"SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in names)}) FROM ({body})"
     return "WITH " + ",\n".join(f"{name} AS ({part})" for name, part in PARTS.items()) + "\n" + body

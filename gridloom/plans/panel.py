@@ -12,7 +12,7 @@ from ..functions.columns import condition_of, flag, logistic, ordinal
 from ..operators import clean, enrich, features, models
 from ..operators import validate as v
 from ..sources import feed
-from ..sources.tables import typed_calendar
+from ..sources.tables import staged, typed_calendar
 
 
 def cleaned(valid: DataFrame, config: Config = DEFAULT, causal: bool = False) -> DataFrame:
@@ -103,14 +103,14 @@ class Tables:
 
     @cached_property
     def predictions(self) -> DataFrame:
-        """Scored rows: the rolling mean as forecast, the last class, and a risk from the last speed."""
+        """Scored rows: the rolling mean as forecast, the last class, and a risk from the last speed; a stage table."""
         scored = self.features.where("y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL")
-        return scored.select(
+        return staged(scored.select(
             "road_id", "road_name", "timestamp", "latitude", "longitude", "hour", "is_peak", "rain_flag", "y_volume", "y_speed", "y_travel_time", "y_congestion", "y_congestion_code", "y_accident",
             F.col("traffic_volume_rollmean4").alias("pred_y_volume"), (F.col("signal_timing") / 3).alias("pred_y_travel_time"),
             F.greatest("congestion_lag1_ord", F.lit(0)).alias("pred_congestion_code"),
-            F.round(logistic(F.coalesce("avg_speed_lag1", F.lit(40.0)) / 40 - 1.5), 6).alias("pred_accident_prob"),
-        )
+            F.round(logistic(F.coalesce("avg_speed_lag1", F.lit(40.0)) / 40 - 1.5), 6).alias("pred_accident_prob"), "traffic_volume_lag1",
+        ))
 
     @cached_property
     def decoded(self) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -32,20 +30,14 @@ def r(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumns({f.name: F.round(f.name, digits) for f in df.schema if isinstance(f.dataType, T.DoubleType)})
 
 
-def scratch(t: Tables) -> str:
-    """A new folder in the shared storage of the session."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def _csv(t: Tables, df: DataFrame, scan) -> DataFrame:
-    path = scratch(t)
+    path = s.scratch(t.spark)
     df.write.option("header", True).csv(path)
     return scan(t.spark, path)
 
 
 def _round_trip(t: Tables, df: DataFrame) -> DataFrame:
-    path = scratch(t)
+    path = s.scratch(t.spark)
     s.write_table(df, path)
     return s.read_table(t.spark, path)
 
@@ -76,7 +68,7 @@ add("u1_quarantine_union", lambda t: s.quarantine(("traffic", v.split_valid(t.ta
 
 def _counters(t: Tables) -> DataFrame:
     found = s.counters(("ingest", v.intake_summary(t.tagged).drop("first", "last")), ("clean", clean.grid_completeness(t.deduped)))
-    path = scratch(t)
+    path = s.scratch(t.spark)
     s.write_counters(found, path)
     return t.spark.read.schema("stage string, metric string, value double").json(path)
 
@@ -87,7 +79,7 @@ add("s7_run_counters", lambda t: r(_counters(t)), """SELECT 'ingest' AS stage, u
 
 
 def _export(t: Tables) -> DataFrame:
-    path = scratch(t)
+    path = s.scratch(t.spark)
     s.export_csv(reports.export_summary(t.decoded, "2024-01-05", "2024-01-20").orderBy("road_id"), path)
     return t.spark.read.schema("road_id string, mean_volume double, mean_forecast double, mae double, severe_share double, risk double").option("header", True).csv(path)
 
@@ -317,16 +309,13 @@ add("f25_verdict", lambda t: metrics.coverage(t.intervals, "y_volume", "volume_p
 
 def _tidy(t: Tables) -> DataFrame:
     """(target, model, metric, value): persistence, the rolling mean and the training mean as volume models."""
-    rows = t.split.join(t.features.select("road_id", "timestamp", "traffic_volume_lag1"), ["road_id", "timestamp"]).withColumn("traffic_volume_lag1", F.coalesce("traffic_volume_lag1", "pred_y_volume"))
-    train = rows.where("split = 'train'").agg(F.avg("y_volume").alias("mean"))
-    test = rows.where("split = 'test'").crossJoin(F.broadcast(train))
-    out = []
-    for name, p in (("persistence", "traffic_volume_lag1"), ("rolling", "pred_y_volume"), ("mean", "mean")):
-        out.append(metrics.regression(test, "y_volume", p).select(F.lit("volume").alias("target"), F.lit(name).alias("model"), F.expr(s.stacked(["rmse", "mae", "r2"]))))
-    return out[0].unionAll(out[1]).unionAll(out[2])
+    train = t.split.where("split = 'train'").agg(F.avg("y_volume").alias("mean"))
+    test = t.split.where("split = 'test'").crossJoin(F.broadcast(train))  # one row
+    rows = test.select("y_volume", F.expr("stack(3, 'persistence', coalesce(traffic_volume_lag1, pred_y_volume), 'rolling', pred_y_volume, 'mean', mean) AS (model, p)"))
+    return metrics.regression(rows, "y_volume", "p", ["model"]).select(F.lit("volume").alias("target"), "model", F.expr(s.stacked(["rmse", "mae", "r2"])))
 
 
-_TIDY = "WITH x AS (SELECT s.*, coalesce(f.traffic_volume_lag1, s.pred_y_volume) AS l1, (SELECT avg(y_volume) FROM split WHERE split = 'train') AS mean FROM split s JOIN features f USING (road_id, timestamp) WHERE split = 'test') " + " UNION ALL ".join(
+_TIDY = "WITH x AS (SELECT *, coalesce(traffic_volume_lag1, pred_y_volume) AS l1, (SELECT avg(y_volume) FROM split WHERE split = 'train') AS mean FROM split WHERE split = 'test') " + " UNION ALL ".join(
     f"SELECT 'volume' AS target, '{m}' AS model, unnest(['rmse', 'mae', 'r2']) AS metric, unnest([rmse, mae, r2]) AS value FROM (SELECT {_REG.format(p=p, y='y_volume')} FROM x)" for m, p in (("persistence", "l1"), ("rolling", "pred_y_volume"), ("mean", "mean")))
 add("f26_relative_gain", lambda t: r(_tidy(t).where("metric = 'rmse'").groupBy("target").agg((100 * (1 - F.max(F.when(F.col("model") == "rolling", F.col("value"))) / F.max(F.when(F.col("model") == "mean", F.col("value"))))).alias("gain_pct"))),
     f"SELECT target, 100 * (1 - max(value) FILTER (model = 'rolling') / max(value) FILTER (model = 'mean')) AS gain_pct FROM ({_TIDY}) WHERE metric = 'rmse' GROUP BY 1", "gain_pct")
@@ -460,7 +449,7 @@ add("m18_sequence_stats", lambda t: r(models.sequence_stats(t.split, ["y_volume"
 
 
 def _saved(t: Tables) -> DataFrame:
-    rows, path = _design(t).persist(), scratch(t)
+    rows, path = _design(t).persist(), s.scratch(t.spark)
     models.save(models.fitted(rows.where("split = 'train'"), _X, "y_volume", LinearRegression(solver="normal"), True), path)
     return r(metrics.regression(models.predicted(models.load(path), rows.where("split = 'test'"), "p"), "y_volume", "p"), 3)
 

@@ -1 +1 @@
-
+"""Scans, sinks, and the panel derived from event tables."""

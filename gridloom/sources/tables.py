@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +71,19 @@ def stacked(columns: list[str], name: str = "metric", value: str = "value") -> s
     return f"stack({len(columns)}, " + ", ".join(f"'{c}', cast(`{c}` AS double)" for c in columns) + f") AS ({name}, {value})"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the session's shared storage (``spark.checkpoint.dir``), or one of our own where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written as a stage table and read back, so that what stands on it does not compute it again."""
+    path = scratch(df.sparkSession)
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_counters(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -77,4 +93,4 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-__all__ = ["blank_to_null", "counters", "export_csv", "quarantine", "read_table", "scan_calendar", "scan_csv", "scan_traffic", "scan_weather", "stacked", "typed_calendar", "write_counters", "write_table"]
+__all__ = ["blank_to_null", "counters", "export_csv", "quarantine", "read_table", "scratch", "staged", "scan_calendar", "scan_csv", "scan_traffic", "scan_weather", "stacked", "typed_calendar", "write_counters", "write_table"]

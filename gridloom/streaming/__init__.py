@@ -1 +1 @@
-
+"""Empty: all inputs are whole tables; no operator of the panel needs a stream, watermark or state."""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python task, in UTF-8 bytes; arrays derived from it are 20 to 40 times as large.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:

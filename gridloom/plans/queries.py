@@ -491,8 +491,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return found | {"flagship": flagship}
 
 
+_FLAGSHIP = f"""WITH i AS (SELECT * FROM ({_LINE.format(rule='g.i - g.bi <= 2', **_TRAFFIC_GAPS)})),
+    x AS (SELECT *, lag(traffic_volume, 1) OVER (PARTITION BY road_id ORDER BY timestamp) AS l1, CASE WHEN count(traffic_volume) OVER w >= 2 THEN avg(traffic_volume) OVER w END AS r4
+    FROM i WINDOW w AS (PARTITION BY road_id ORDER BY timestamp ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
+    SELECT CASE WHEN isodow(timestamp) >= 6 THEN 'weekend' ELSE 'weekday' END AS kind, (hour(timestamp) * 2 + minute(timestamp) // 30)::INT AS tod,
+    avg(traffic_volume) AS mean, avg(l1) AS mean_lag1, avg(r4) AS mean_roll4 FROM x GROUP BY ALL"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: text for name, (_, text) in REGISTRY.items() if text}
+    found = {name: text for name, (_, text) in REGISTRY.items() if text}
+    return found | {"flagship": sql(_FLAGSHIP, "mean mean_lag1 mean_roll4")}
 
 
 __all__ = ["CLASSES", "REGISTRY", "flagship", "oracle_sql", "queries"]

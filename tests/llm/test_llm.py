@@ -379,8 +379,8 @@ def test_pseudonyms_keep_format_links_and_difference(spark):
         for secret in (cards[k], "2024-02-29", "10.0.0.255", "555-3824", "123-45-6789", "a.b@mail5"):
             assert secret not in got[k].text
         date = re.search(r"date (\d{4})-(\d\d)-(\d\d), (\d\d)/(\d\d)/(\d{4})", got[k].text).groups()
-        assert date[:3] == date[:2:-1] and got[k].text.split("card")[1][25:] == got[0].text.split("card")[1][25:] or k
-        assert got[k].n_private == 8
+        assert date[:3] == date[:2:-1] and got[k].text.split(" and ")[1] == got[0].text.split(" and ")[1]
+        assert got[k].n_private == 9
 
 
 def test_date_pseudonyms_are_a_permutation(spark):
@@ -435,4 +435,7 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs):
             assert after.dtypes == docs.dtypes
             now = after
     assert [n for n, _ in seen] == ["toxicity", "quality", "near_dedup", "pii", "packing"]
-    assert seen[0][1] > 0.8 * docs.count() and seen[2][1] == seen[3][1] and corpus_pipeline.run(spark, SF).count() == seen[4][1]
+    assert seen[0][1] > 0.8 * docs.count() and seen[2][1] == seen[3][1]
+    # How documents are cut depends on the partitions; their tokens do not.
+    tokens = [df.groupBy("doc_id").agg({"length": "sum"}).collect() for df in (after, corpus_pipeline.run(spark, SF))]
+    assert sorted(tokens[0]) == sorted(tokens[1])

@@ -357,21 +357,25 @@ add("e18_model_comparison", lambda t: r(_tidy(t).where("model IN ('persistence',
 _X = ["traffic_volume_lag1", "avg_speed_lag1", "traffic_volume_rollmean4", "traffic_volume_rollmean8", "hour_sin", "hour_cos", "is_peak", "capacity_30min"]
 
 
+_ROLES = ["road_id", "road_name", "timestamp", "y_volume", "y_speed", "y_congestion_code", "y_accident", "rain_flag"]
+
+
 def _design(t: Tables) -> DataFrame:
-    """Feature rows with targets and split, without nulls, in a shuffle by key (so that seeded models repeat)."""
+    """Feature rows with targets and split, without nulls, as a stage table dealt by key (so that seeded models repeat)."""
     df = t.features.where("y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL AND y_speed IS NOT NULL")
-    filled = features.fill_medians(df, _X)
-    return features.with_split(filled).repartition("road_id", "timestamp").sortWithinPartitions("road_id", "timestamp").withColumn("y_accident", F.col("y_accident").cast("double"))
+    filled = features.fill_medians(s.staged(df.select(*_ROLES, *_X)), _X)
+    dealt = features.with_split(filled).repartition("road_id", "timestamp").sortWithinPartitions("road_id", "timestamp")
+    return s.staged(dealt.withColumn("y_accident", F.col("y_accident").cast("double")))
 
 
 def _regressed(t: Tables, estimator, scale: bool = False) -> DataFrame:
-    rows = _design(t).persist()
+    rows = _design(t)
     model = models.fitted(rows.where("split = 'train'"), _X, "y_volume", estimator, scale)
     return r(metrics.regression(models.predicted(model, rows.where("split = 'test'"), "p"), "y_volume", "p"), 3)
 
 
 def _classified(t: Tables, label: str, estimator, classes: int, scale: bool = False) -> DataFrame:
-    rows = _design(t).where(f"{label} >= 0").persist()
+    rows = _design(t).where(f"{label} >= 0")
     train = models.with_weights(rows.where("split = 'train'"), label)
     model = models.fitted(train, _X, label, estimator, scale, classes)
     scored = models.predicted(model, rows.where("split = 'test'"), "p").select(F.col(label).cast("int").alias("y"), F.col("p").cast("int").alias("p"))
@@ -379,7 +383,7 @@ def _classified(t: Tables, label: str, estimator, classes: int, scale: bool = Fa
 
 
 def _risk(t: Tables) -> tuple[DataFrame, object]:
-    rows = _design(t).persist()
+    rows = _design(t)
     model = models.fitted(models.with_weights(rows.where("split = 'train'"), "y_accident"), _X, "y_accident", models.CLASSIFIERS["logistic"](), True)
     return models.risk(model, rows.where("split <> 'train'"), "risk"), model
 
@@ -389,7 +393,12 @@ add("m1_scaler", lambda t: r(models.scaled(t.split.select("road_id", "timestamp"
 add("m2_baselines", lambda t: r(models.baselines(t.split, "y_volume", "y_congestion_code").select("road_id", "timestamp", "mean_forecast", "majority")), """SELECT road_id, timestamp, (SELECT avg(y_volume) FROM split WHERE split = 'train') AS mean_forecast,
     (SELECT y_congestion_code FROM split WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS majority FROM split WHERE split <> 'train'""", "mean_forecast")
 add("m3_linear_regression", lambda t: _regressed(t, LinearRegression(solver="normal"), True))
-add("m4_coefficients", lambda t: r(models.coefficients(models.fitted(_design(t).where("split = 'train'"), _X, "y_volume", LinearRegression(solver="normal"), True), _X, _design(t)), 3))
+def _coefficients(t: Tables) -> DataFrame:
+    rows = _design(t)
+    return r(models.coefficients(models.fitted(rows.where("split = 'train'"), _X, "y_volume", LinearRegression(solver="normal"), True), _X, rows), 3)
+
+
+add("m4_coefficients", _coefficients)
 add("m5_logistic_binary", lambda t: _classified(t, "y_accident", LogisticRegression(weightCol="weight", maxIter=30), 2, True))
 add("m5_logistic_multinomial", lambda t: _classified(t, "y_congestion_code", LogisticRegression(weightCol="weight", maxIter=30), 4, True))
 add("m6_tree_regressor", lambda t: _regressed(t, DecisionTreeRegressor(maxDepth=8, minInstancesPerNode=20, seed=42)))
@@ -413,11 +422,11 @@ def _platt(t: Tables) -> DataFrame:
 
 
 add("m11_platt", _platt)
-add("m12_forward_validation", lambda t: r(models.forward_validation(features.forward_folds(_design(t).where("split = 'train'")).persist(), _X, "y_volume", {"shallow": DecisionTreeRegressor(maxDepth=3, seed=42), "deep": DecisionTreeRegressor(maxDepth=7, seed=42)}), 3))
+add("m12_forward_validation", lambda t: r(models.forward_validation(s.staged(features.forward_folds(_design(t).where("split = 'train'"))), _X, "y_volume", {"shallow": DecisionTreeRegressor(maxDepth=3, seed=42), "deep": DecisionTreeRegressor(maxDepth=7, seed=42)}), 3))
 
 
 def _score_all(t: Tables) -> DataFrame:
-    rows = _design(t).persist()
+    rows = _design(t)
     train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
     keep = ["road_id", "road_name", "timestamp", "y_volume", "y_speed", "y_congestion_code", "y_accident"]
     for target in ("y_volume", "y_speed"):
@@ -449,7 +458,7 @@ add("m18_sequence_stats", lambda t: r(models.sequence_stats(t.split, ["y_volume"
 
 
 def _saved(t: Tables) -> DataFrame:
-    rows, path = _design(t).persist(), s.scratch(t.spark)
+    rows, path = _design(t), s.scratch(t.spark)
     models.save(models.fitted(rows.where("split = 'train'"), _X, "y_volume", LinearRegression(solver="normal"), True), path)
     return r(metrics.regression(models.predicted(models.load(path), rows.where("split = 'test'"), "p"), "y_volume", "p"), 3)
 
@@ -458,7 +467,7 @@ add("m19_save_and_load", _saved)
 
 
 def _ceiling(t: Tables) -> DataFrame:
-    rows = _design(t).persist()
+    rows = _design(t)
     out = None
     for name, columns in (("honest", _X), ("contemporaneous", [*_X, "y_speed", "y_volume"])):
         model = models.fitted(models.with_weights(rows.where("split = 'train'"), "y_accident"), columns, "y_accident", LogisticRegression(weightCol="weight", maxIter=20), True)

@@ -17,22 +17,23 @@ from ..sources.tables import staged, typed_calendar
 
 def cleaned(valid: DataFrame, config: Config = DEFAULT, causal: bool = False) -> DataFrame:
     """Valid readings -> the complete grid without copies, outliers and gaps."""
-    grid = enrich.with_slots(clean.on_grid(clean.dedup_most_complete(valid, ["road_id", "timestamp"]), minutes=config.window_minutes))
+    deduped = staged(clean.dedup_most_complete(valid, ["road_id", "timestamp"]))  # each stage table is read several times below
+    grid = enrich.with_slots(clean.on_grid(deduped, minutes=config.window_minutes))
     gated = clean.null_outliers(grid, CHANNELS, config.z_threshold)
     if causal:
         filled = clean.interpolate_causal(gated, CHANNELS, ["road_id"])
     else:
         filled = clean.interpolate(gated, CHANNELS, ["road_id"], limit=config.max_interpolate_gap)
-    filled = clean.fill_with_medians(filled, CHANNELS, [["road_id", "dow", "tod"], ["road_id"], []])
-    filled = clean.fill_with_medians(filled, ["signal_timing"], [["road_id", "tod"], ["road_id"]])
+    filled = clean.fill_with_medians(staged(filled), CHANNELS, [["road_id", "dow", "tod"], ["road_id"], []])
+    filled = clean.fill_with_medians(staged(filled), ["signal_timing"], [["road_id", "tod"], ["road_id"]])
     return filled.fillna(0.0, ["accident_count"])
 
 
 def merged(panel: DataFrame, weather: DataFrame, calendar: DataFrame) -> DataFrame:
     """The clean panel with weather, calendar, classes, the vehicle mix and travel times; leaking columns are gone."""
     joined = enrich.with_calendar(enrich.with_weather(panel, enrich.half_hourly(enrich.clean_weather(weather.drop("date", "time")))), calendar)
-    out = enrich.vehicle_mix(enrich.with_congestion(joined))
-    return clean.fill_travel_time(out.drop("vehicle_count", "date", "time"))
+    out = staged(enrich.vehicle_mix(staged(enrich.with_congestion(joined))).drop("vehicle_count", "date", "time"))
+    return staged(clean.fill_travel_time(out))
 
 
 class Tables:
@@ -132,7 +133,7 @@ class Tables:
 
     @cached_property
     def dataset(self) -> DataFrame:
-        return features.entity_code(features.dataset(self.full))
+        return features.entity_code(staged(features.dataset(self.full)))
 
 
 __all__ = ["Tables", "cleaned", "flag", "merged", "ordinal"]

@@ -150,8 +150,9 @@ def nearest_neighbours(table: DataFrame, k: int = 10, every: int = 100, id_col:
     sample it is fitted on has SAMPLE_PER_PART vectors for each part.
 
     Vectors that are null, zero, empty or hold a null or non-finite component take no part, nor does a null id or a
-    vector of another length than the commonest. Rows with the query's own id are not candidates. With k candidates or
-    fewer all are returned as far as their parts are probed. Other columns are not read; an empty table gives an empty one.
+    vector of another length than the commonest. Rows with the query's own id are not candidates. A query probes so many
+    parts that they hold more than k vectors, all parts if need be, so with k candidates or fewer all are returned. Other
+    columns are not read; an empty table gives an empty one.
     """
     spark = table.sparkSession
     vector = F.col(vector_col).cast("array<double>")
@@ -166,22 +167,32 @@ def nearest_neighbours(table: DataFrame, k: int = 10, every: int = 100, id_col:
     good, n = good.where(F.size("v") == sizes["size"]), sizes["count"]
     parts = 1 << min(int(math.log2(MAX_PARTS)), max(3, round(math.log2(math.sqrt(n) / 2))))
     share = min(1.0, SAMPLE_PER_PART * parts / n)
-    sample = good.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).orderBy("id").toPandas()
+    sample = good.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40)))).orderBy("id").toPandas()
     router, probes = fit(sample["id"].to_numpy(), np.stack(sample["v"].to_numpy()), parts, k)
     shared = spark.sparkContext.broadcast(router)
 
-    def routed(take: int):
+    def routed(least: int, held: np.ndarray | None = None):
+        """Gives each vector its likeliest parts: ``least`` of them, and more until they hold over k vectors by ``held``."""
+
         def work(batches):
             for batch in batches:
                 if batch.num_rows:
-                    order = shared.value.order(np.stack(batch["v"].to_numpy(zero_copy_only=False)))[:, :take]
-                    at = np.arange(len(order) + 1, dtype=np.int32) * take
-                    yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.ListArray.from_arrays(at, order.ravel().astype(np.int32))], names=["id", "v", "parts"])
+                    order = shared.value.order(np.stack(batch["v"].to_numpy(zero_copy_only=False)))
+                    take = np.full(len(order), least)
+                    if held is not None:
+                        enough = np.cumsum(held[order], axis=1) > k
+                        take = np.maximum(take, np.where(enough[:, -1], enough.argmax(axis=1) + 1, parts))
+                    chosen = order[np.arange(parts)[None, :] < take[:, None]].astype(np.int32)
+                    at = np.concatenate(([0], np.cumsum(take))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch["id"], batch["v"], pa.ListArray.from_arrays(at, chosen)], names=["id", "v", "parts"])
 
         return work
 
     kept = stored(good.mapInArrow(routed(1), "id long, v array<double>, parts array<int>").select("id", "v", F.col("parts")[0].alias("part")), "index")
-    asked = good.where(F.col("id") % every == 0).mapInArrow(routed(probes), "id long, v array<double>, parts array<int>")
+    held = np.zeros(parts, np.int64)
+    for r in kept.groupBy("part").count().collect():  # MAX_PARTS rows at most
+        held[r["part"]] = r["count"]
+    asked = good.where(F.col("id") % every == 0).mapInArrow(routed(probes, held), "id long, v array<double>, parts array<int>")
     asked = stored(asked.select("id", "v", F.explode("parts").alias("part")), "asked")
 
     def blocks(df: DataFrame, size: int, name: str) -> DataFrame:

@@ -14,6 +14,7 @@ bound the sample's labels are broadcast. Scoring reads every whole text.
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 
@@ -138,7 +139,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFram
     known = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("part", (F.crc32(F.col("id").cast("string")) % 5).cast("int")).where("part <> 0")
     share = min(1.0, max_labelled / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40))))
     return docs.join(F.broadcast(chosen), "id").select("id", "text", "toxic", "part")
 
 

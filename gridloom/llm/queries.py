@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
+from . import quality
 from .bpe import bpe_decode, bpe_encode
 from .licenses import TEMPLATES, bigrams, license_scan, normalised
 from .minhash import near_duplicates
@@ -34,7 +35,8 @@ def op2_karmarkar_karp_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_divergence_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(table(spark, sf_dir, "documents"))
+    judged = quality_rules(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +108,57 @@ def _op1_sql() -> str:
     FROM (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY 1) d LEFT JOIN sizes s ON s.doc_id = d.doc_id"""
 
 
+def _op3_sql() -> str:
+    gap, symbols = r"[\x20\x09-\x0D]", quality._SYMBOLS.decode()
+    kinds = {"lower": r"\p{Ll}\p{Lo}\p{Lm}\p{Mn}\p{Mc}", "upper": r"\p{Lu}\p{Lt}", "digit": r"\p{Nd}\p{Nl}\p{No}", "space": r"\p{Zs}\p{Zl}\p{Zp}\x09-\x0D"}
+    count = {k: f"length(regexp_replace(t, '[^{c}]', '', 'g'))" for k, c in kinds.items()}
+    count["point"] = f"length(regexp_replace(regexp_replace(t, '[{symbols}]', '', 'g'), '[^\\p{{P}}]', '', 'g'))"
+    count["symbol"] = f"length(regexp_replace(t, '[^\\p{{S}}{symbols}]', '', 'g'))"
+    count["other"] = f"length(t) - {' - '.join(f'({c})' for c in count.values())}"
+    assert tuple(count) == quality.CLASSES
+
+    def term(p: str, q: str) -> str:
+        return f"CASE WHEN {p} > 0 THEN {p} * log2(2 * {p} / ({p} + {q})) ELSE 0 END + CASE WHEN {q} > 0 THEN {q} * log2(2 * {q} / ({p} + {q})) ELSE 0 END"
+
+    def distance(parts: str) -> str:
+        return f"sqrt(least(1, greatest(0, ({parts}) / 2)))"
+
+    class_terms = " + ".join(term(f"(d.c[{k}] / d.points)", f"(e.c[{k}] / list_sum(e.c))") for k in range(1, len(count) + 1))
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, t, length(t)::DOUBLE AS points,
+            list_filter(string_split_regex(t, '{gap}+'), lambda x: x <> '') AS w, [{', '.join(f'({c})::DOUBLE' for c in count.values())}] AS c
+        FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
+    u AS MATERIALIZED (SELECT r, lang, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+    three AS (SELECT r, k, x || ' ' || lead(x) OVER o || ' ' || lead(x, 2) OVER o AS g FROM u WINDOW o AS (PARTITION BY r ORDER BY k)),
+    twice AS (SELECT r, k FROM three WHERE g IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+    repeats AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([k, k + 1, k + 2]) AS p FROM twice) GROUP BY 1),
+    lines AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+    base AS MATERIALIZED (SELECT d.*, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+            length(regexp_replace(t, '[^{symbols}]', '', 'g')) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(repeats.n, 0) AS n_repeat_words,
+            len(w) < 50 OR 100 * coalesce(repeats.n, 0) > 50 * len(w) AS base_failed
+        FROM d LEFT JOIN lines ON lines.r = d.r LEFT JOIN repeats ON repeats.r = d.r),
+    totals AS (SELECT name, sum(n_words) AS size FROM (SELECT lang AS name, n_words FROM base) GROUP BY 1),
+    every AS (SELECT sum(n_words) AS size FROM base),
+    classes AS (SELECT lang, {', '.join(f'sum(c[{k}]) AS c{k}' for k in range(1, len(count) + 1))} FROM base GROUP BY 1),
+    refs AS MATERIALIZED (
+        SELECT t.name, t.size, [{', '.join(f'c{k}' for k in range(1, len(count) + 1))}] AS c FROM totals t JOIN classes ON lang = t.name, every WHERE t.name <> '' AND t.size >= every.size * {quality.LANGUAGE_SHARE}::DOUBLE AND every.size > 0
+        UNION ALL SELECT '', (SELECT size FROM every), [{', '.join(f'sum(c{k})' for k in range(1, len(count) + 1))}] FROM classes HAVING (SELECT size FROM every) > 0),
+    counted AS (SELECT lang AS name, x, count(*) AS n FROM u GROUP BY ALL),
+    keys AS MATERIALIZED (SELECT name, x, n / size::DOUBLE AS q FROM (SELECT * FROM counted WHERE name <> '' UNION ALL SELECT '', x, sum(n) FROM counted GROUP BY x) JOIN refs USING (name)
+        WHERE n >= size * {quality.COMMON_SHARE}::DOUBLE),
+    known AS (SELECT name, sum(q) AS q, count(*) AS n FROM keys GROUP BY 1),
+    held AS (SELECT r, x, count(*) AS n FROM u GROUP BY ALL),
+    met AS (SELECT r, name, sum(h.n) AS n, sum(k.q) AS q, sum({term('(h.n / b.n_words::DOUBLE)', 'k.q')}) AS js FROM held h JOIN base b USING (r) JOIN keys k ON k.x = h.x GROUP BY ALL),
+    pairs AS (SELECT d.r, d.n_words, d.points, e.name, d.lang = e.name OR e.name = '' AS own, coalesce(met.js, 0) + known.q - coalesce(met.q, 0) AS js,
+            1 - coalesce(met.n, 0) / d.n_words::DOUBLE AS p, 1 - known.q AS q, {distance(class_terms)} AS c
+        FROM base d JOIN refs e ON e.name <> '' OR d.lang NOT IN (SELECT name FROM refs WHERE name <> '') LEFT JOIN known ON known.name = e.name LEFT JOIN met ON met.r = d.r AND met.name = e.name),
+    near AS (SELECT r, name, own, CASE WHEN points >= {quality.MIN_CHARS} THEN c END AS c, CASE WHEN n_words >= {quality.MIN_WORDS} THEN {distance(f"js + {term('p', 'q')}")} END AS w FROM pairs),
+    best AS (SELECT r, arg_min(coalesce(c, -1), coalesce(c, 0) + coalesce(w, 0)) AS c, arg_min(coalesce(w, -1), coalesce(c, 0) + coalesce(w, 0)) AS w,
+            bool_or(coalesce(c, 0) <= {quality.MAX_CLASS_DISTANCE} AND CASE WHEN own THEN coalesce(w, 0) <= {quality.MAX_WORD_DISTANCE} ELSE coalesce(w, 1) <= {quality.OTHER_WORD_DISTANCE} END) AS fits FROM near GROUP BY 1)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN best.c >= 0 THEN best.c END, 6) AS class_distance,
+        round(CASE WHEN best.w >= 0 THEN best.w END, 6) AS word_distance, NOT base_failed AND coalesce(fits, true) AS kept
+    FROM base LEFT JOIN best ON best.r = base.r"""
+
+
 def _op10_sql() -> str:
     rows = sorted({(name, tuple(sorted(bigrams(normalised(text))))) for name, text in TEMPLATES})
     listed = ", ".join(f"('{name}', [{', '.join(repr(p) for p in pairs)}])" for name, pairs in rows)
@@ -121,4 +174,4 @@ def _op10_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express; the others are held against brute force or held-out labels in the tests."""
-    return {"op1_minhash_near_dedup": _op1_sql(), "op10_license_bigrams": _op10_sql()}
+    return {"op1_minhash_near_dedup": _op1_sql(), "op3_divergence_quality": _op3_sql(), "op10_license_bigrams": _op10_sql()}

@@ -24,6 +24,7 @@ from gridloom.llm.quality import quality_rules, without_low_quality
 from gridloom.llm.repair import compress, decode_slice, encode_to_files, expand
 from gridloom.llm.sharding import karmarkar_karp, shard_documents
 from gridloom.llm.toxicity import toxicity, without_toxic
+from tests.compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, score double, key string, row int"
@@ -200,6 +201,10 @@ def test_quality_base_counts_and_verdicts(spark):
     assert all(good) and sum(junk) <= 0.1 * len(junk)
 
 
+def test_quality_matches_its_sql(spark):
+    assert difference(spark, connection(SF), Q.op3_divergence_quality, Q.oracle_sql()["op3_divergence_quality"], SF) is None
+
+
 def test_quality_odd_rows(odd, none):
     got = quality_rules(odd).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in got) == sorted((i or 0, len(words(t))) for i, t in ODD)
@@ -352,6 +357,15 @@ def test_neighbours_odd_rows(spark):
     assert nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 11, 12, 24, 60])
+def test_neighbours_are_k_or_all_in_small_tables(spark, n):
+    vectors = np.random.default_rng(n).normal(size=(n, 4))
+    vectors[n // 2 :] = vectors[0]  # half of the rows are alike
+    table = spark.createDataFrame([(100 * i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    found = collections.Counter(r.query_id for r in nearest_neighbours(table, k=10).collect())
+    assert found == {100 * i: min(10, n - 1) for i in range(n) if n > 1}
+
+
 def test_balanced_parts_are_balanced():
     vectors = np.random.default_rng(0).normal(size=(257, 5))
     graph = np.argsort(((vectors[:, None] - vectors[None]) ** 2).sum(-1), axis=1)[:, 1:6]

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import chunks, strings
+from .shared import chunks, mapped, strings
 from .words import runs, span_hashes
 
 _NEVER = np.int64(1 << 40)
@@ -355,7 +355,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([part["id"], pa.ListArray.from_arrays(at, ids.astype(np.int32))], names=[id_col, "ids"])
 
     kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(work, f"`{id_col}` {kind}, ids array<int>")
+    return mapped(own, work, f"`{id_col}` {kind}, ids array<int>")
 
 
 #: Ids decoded at once.
@@ -394,4 +394,4 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pc.if_else(column.is_valid(), joined, None)], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != "decoded")
-    return encoded.drop("decoded").mapInArrow(work, f"{fields}, decoded string")
+    return mapped(encoded.drop("decoded"), work, f"{fields}, decoded string")

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import chunks, stored, strings
+from .shared import chunks, mapped, stored, strings
 from .words import Words, mix
 
 #: Shingles that one task compares at once: the memory of step 4 is some 60 bytes for each.
@@ -104,7 +104,7 @@ def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 names=["id", "n", "fa", "fb", "bands"],
             )
 
-    return docs.mapInArrow(work, "id long, n long, fa long, fb long, bands array<long>")
+    return mapped(docs, work, "id long, n long, fa long, fb long, bands array<long>")
 
 
 def shingled(docs: DataFrame, width: int) -> DataFrame:
@@ -120,7 +120,7 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
                 names=["id", "n", "fa", "fb", "shingles"],
             )
 
-    return docs.mapInArrow(work, "id long, n long, fa long, fb long, shingles array<long>")
+    return mapped(docs, work, "id long, n long, fa long, fb long, shingles array<long>")
 
 
 def spanning_links(sizes: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:

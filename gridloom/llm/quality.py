@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import aside, chunks, kinds_of, stored, strings
+from .shared import aside, chunks, kinds_of, mapped, stored, strings
 from .words import PART, Words, runs, span_hashes
 
 #: A common word holds this share of its language's words at least; so there are 500 at most.
@@ -123,7 +123,7 @@ def _pick(texts: DataFrame) -> DataFrame:
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names=["lang", "kind", "key", "n"])
 
-    return texts.mapInArrow(work, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    return mapped(texts, work, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
 
 
 def _count(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
@@ -142,7 +142,7 @@ def _count(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
                 names=["lang", "key", "n"],
             )
 
-    return texts.mapInArrow(work, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    return mapped(texts, work, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,7 +228,7 @@ def _judged(own: DataFrame, found: dict, lang: str, keep_text: bool, min_words:
             yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in carried), *_COUNTS, "base_failed", "class_distance", "word_distance", "kept"])
 
     counts = ", ".join(f"{k} long" for k in _COUNTS)
-    return own.mapInArrow(work, f"{kinds_of(carried)}, {counts}, base_failed boolean, class_distance double, word_distance double, kept boolean")
+    return mapped(own, work, f"{kinds_of(carried)}, {counts}, base_failed boolean, class_distance double, word_distance double, kept boolean")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a Python task, in UTF-8 bytes; arrays derived from it are 20 to 40 times as large.
 CHUNK_BYTES = 1_000_000
+#: Bytes of an Arrow batch between the JVM and Python, which both hold; Spark's own bound is 64 MB.
+BATCH_BYTES = 8_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -60,6 +62,15 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         yield batch.slice(start)
 
 
+def mapped(df: DataFrame, work: Callable, schema: str) -> DataFrame:
+    """df.mapInArrow(work, schema), in batches of BATCH_BYTES unless the session sets a bound itself; results do not
+    depend on it. The setting is the session's, as Spark has none for a single DataFrame."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in conf.getAll:
+        conf.set(name, str(BATCH_BYTES))
+    return df.mapInArrow(work, schema)
+
+
 def aside(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list]:
     """docs as (id, text, x0, x1, ..), names that cannot clash, and the columns that restore it."""
     others = [c for c in docs.columns if c not in (id_col, text_col)]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Lookup
-from .shared import aside, chunks, kinds_of, stored, strings
+from .shared import aside, chunks, kinds_of, mapped, stored, strings
 from .words import runs, span_hashes
 
 #: Labelled rows that the classifier is fitted on, about.
@@ -156,7 +156,7 @@ def _lexicon(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     parts = (1, 2, 3)
     sample = sample.where("part < 4")
     sizes = {(r["part"], r["toxic"]): r["count"] for r in sample.groupBy("part", "toxic").count().collect()}
-    counted = sample.select("text", "toxic", "part").mapInArrow(work, "key long, toxic int, part int")
+    counted = mapped(sample.select("text", "toxic", "part"), work, "key long, toxic int, part int")
     counts = [F.count_if((F.col("part") == p) & (F.col("toxic") == t)).alias(f"n{p}{t}") for p in parts for t in (0, 1)]
     counted = counted.groupBy("key").agg(*counts)
     toxic, clean = (sum(sizes.get((p, t), 0) for p in parts) for t in (1, 0))
@@ -187,7 +187,7 @@ def _featured(texts: DataFrame, keys: np.ndarray, odds: np.ndarray, keep_text: b
             at = np.arange(len(found) + 1, dtype=np.int32) * len(FEATURES)
             yield pa.RecordBatch.from_arrays([*(batch[f.name] for f in others), pa.ListArray.from_arrays(at, found.ravel())], names=[*(f.name for f in others), "features"])
 
-    return texts.mapInArrow(work, f"{kinds_of(others)}, features array<double>")
+    return mapped(texts, work, f"{kinds_of(others)}, features array<double>")
 
 
 def _scored(own: DataFrame, labels: DataFrame, max_labelled: int, keep_text: bool) -> DataFrame:

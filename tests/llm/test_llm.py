@@ -3,7 +3,9 @@
 import collections
 import hashlib
 import itertools
+import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -435,6 +437,50 @@ def test_license_scan_matches_brute_force(spark, docs, odd, none):
     assert license_scan(odd).count() == len(ODD) and license_scan(none).count() == 0
 
 
+def test_license_texts_and_headers_across_lines(spark):
+    """Whole texts and headers as published, wrapped at other widths and on one line, within other text."""
+    from gridloom.llm.licenses import TEXTS
+
+    around = "Some words that are about nothing at all stand here before it, and\nothers come after it. " * 3
+    rows, want = [], {}
+    for name, text in TEXTS:
+        flat = " ".join(text.split())
+        for cut in (text, "\n".join(textwrap.wrap(flat, 47)), f"{around}{flat} {around}", f"{around}\n// " + "\n// ".join(textwrap.wrap(flat, 60)) + f"\n{around}"):
+            want[len(rows)] = name
+            rows.append((len(rows), cut))
+    found = {r.doc_id: r for r in license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(k, want[k], found[k].licenses) for k in want if found[k].licenses != [want[k]]] == []
+    assert all(r.n_notices == 1 and r.best_dice >= 0.8 for r in found.values())
+
+
+def test_license_windows_match_brute_force(spark):
+    """Every window by its sets of bigrams, for texts with repeats and near copies."""
+    pick = random.Random(4)
+    texts = [("A", "one two three one two four five six one two three seven"), ("B", "eight nine ten two three one eleven")]
+    rows = []
+    for k in range(60):
+        words = pick.choices("one two three four five six".split(), k=pick.randrange(30))
+        own = pick.choice(texts)[1].split()
+        own[pick.randrange(len(own))] = pick.choice(own)
+        at = pick.randrange(len(words) + 1)
+        rows.append((k, " ".join(words[:at] + own + words[at:])))
+    want = {}
+    for k, text in rows:
+        words, best = text.split(), 0
+        for _, t in texts:
+            size, b = len(t.split()), bigrams(t.split())
+            for i in range(max(0, len(words) - size) + 1):
+                a = bigrams(words[i : i + size])
+                best = max(best, 2 * len(a & b) / (len(a) + len(b)))
+        want[k] = round(best, 9) if best >= 0.8 - 1e-9 else None
+    found = license_scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=[("Z", "zeta eta theta iota kappa")], texts=texts)
+    # The best coefficient of all is that of the chosen window, unless one with more common bigrams overlaps it.
+    got = {r.doc_id: r.best_dice for r in found.collect()}
+    assert {k for k in got if got[k] is None} == {k for k in want if want[k] is None}
+    assert all(got[k] <= want[k] + 1e-9 for k in got if got[k] is not None)
+    assert sum(abs(got[k] - want[k]) < 1e-9 for k in got if got[k] is not None) > 0.9 * sum(x is not None for x in want.values())
+
+
 # ---- the pipeline
 
 

@@ -22,8 +22,6 @@ from .words import Words
 TERMS = 1 << 16
 #: A block's texts in bytes, about: documents that can meet in a window.
 BLOCK_BYTES = 2_000_000
-#: Terms of a seed that are looked up, those of largest weight first.
-SEED_TERMS = 48
 K1, B = 1.2, 0.75
 
 
@@ -70,10 +68,7 @@ class Index:
         self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=TERMS))))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        mine = slice(self.first[seed], self.first[seed + 1])
-        term, weight = self.term[mine], self.weight[mine]
-        if len(term) > SEED_TERMS:
-            term = term[np.argsort(-weight, kind="stable")[:SEED_TERMS]]
+        term = self.term[self.first[seed] : self.first[seed + 1]]
         at = spread(self.start[term], self.start[term + 1] - self.start[term])
         score = np.bincount(self.holders[at], weights=self.held[at], minlength=len(unused)) * unused
         found = np.flatnonzero(score)

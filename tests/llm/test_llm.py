@@ -20,12 +20,13 @@ from gridloom.llm.components import components
 from gridloom.llm.licenses import TEMPLATES, bigrams, license_scan, normalised
 from gridloom.llm.minhash import near_duplicates, spanning_links, without_duplicates
 from gridloom.llm.neighbours import balanced_parts, nearest_neighbours
-from gridloom.llm.packing import pack_documents
+from gridloom.llm.packing import TERMS, Index, pack_documents
 from gridloom.llm.pii import pseudonymise
 from gridloom.llm.quality import quality_rules, without_low_quality
 from gridloom.llm.repair import compress, decode_slice, encode_to_files, expand
 from gridloom.llm.sharding import karmarkar_karp, shard_documents
 from gridloom.llm.toxicity import toxicity, without_toxic
+from gridloom.llm.words import Words
 from tests.compare import connection, difference
 
 SF = "/root/testdata/sf0.001"
@@ -300,6 +301,17 @@ def test_packing_prefers_neighbours_and_empty_table(spark, none):
     assert sum(len(v) > 1 for v in mixed.values()) <= 3 and pack_documents(none, Q.TOKENIZER).count() == 0
 
 
+def test_packing_scores_every_term_of_a_seed():
+    """Neighbours that share only the lighter terms of a seed of many, against scores summed term by term."""
+    light = [f"light{k}" for k in range(10)]
+    texts = [" ".join([f"heavy{k} heavy{k}" for k in range(80)] + light), " ".join(light), "light3 other", "nothing in common"]
+    owned = Words(texts, lower=True)
+    index = Index(owned, np.ones(TERMS, np.int64), 1000, 50.0)
+    held = [dict(zip(index.term[index.doc == d].tolist(), index.weight[index.doc == d].tolist(), strict=True)) for d in range(4)]
+    score = {d: sum(held[d].get(t, 0) for t in held[0]) for d in (1, 2, 3)}
+    assert index.neighbours(0, np.array([False, True, True, True])) == sorted((d for d in score if score[d]), key=lambda d: -score[d]) == [1, 2]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=60), min_size=1, max_size=8), st.data())
 def test_repair_round_trip_and_random_access(docs, data):

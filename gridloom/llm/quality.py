@@ -148,7 +148,8 @@ def _count(texts: DataFrame, wanted: np.ndarray) -> DataFrame:
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each language: its common words' hashes (sorted), their counts and the rest's, its character classes' counts.
 
-    The key "" is for all languages together; a null language is part of that only. What reaches the driver is at
+    The key "" is for all languages together; a null language is part of that only. Where no word is
+    common, the character classes are a reference all the same. What reaches the driver is at
     most 1 / LANGUAGE_SHARE languages with 2 / COMMON_SHARE words each.
     """
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -169,14 +170,13 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     shared = words.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= every * COMMON_SHARE / 2).select("key")
     own = words.where(in_large).join(F.broadcast(totals.where(in_large)), "lang").where(F.col("n") >= F.col("words") * COMMON_SHARE / 2).select("key")
     wanted = np.unique(np.array([r["key"] for r in shared.unionAll(own).distinct().collect()], np.int64).view(np.uint64))
-    if not len(wanted):
-        return {}
-    exact = stored(_count(texts, wanted), "counted")
-    of_all = exact.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= every * COMMON_SHARE).select(F.lit(ALL).alias("lang"), "key", "n")
-    of_each = exact.where(in_large).join(F.broadcast(totals.where(in_large)), "lang").where(F.col("n") >= F.col("words") * COMMON_SHARE).select("lang", "key", "n")
     found: dict[str, dict[int, int]] = {}
-    for r in of_all.unionAll(of_each).collect():
-        found.setdefault(r["lang"], {})[r["key"]] = r["n"]
+    if len(wanted):
+        exact = stored(_count(texts, wanted), "counted")
+        of_all = exact.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= every * COMMON_SHARE).select(F.lit(ALL).alias("lang"), "key", "n")
+        of_each = exact.where(in_large).join(F.broadcast(totals.where(in_large)), "lang").where(F.col("n") >= F.col("words") * COMMON_SHARE).select("lang", "key", "n")
+        for r in of_all.unionAll(of_each).collect():
+            found.setdefault(r["lang"], {})[r["key"]] = r["n"]
     out = {}
     for lang, size in {**large, ALL: every}.items():
         keys = np.array(sorted(np.array(list(found.get(lang, {})), np.int64).view(np.uint64).tolist()), np.uint64)
@@ -193,7 +193,7 @@ def _distances(words: Words, classes: np.ndarray, reference: tuple) -> tuple[np.
     column = np.where(keys[place] == words.hashes, place, len(keys)) if len(keys) else np.zeros(len(words.hashes), np.int64)
     n, width = len(words.counts), len(keys) + 1
     shares = np.bincount(words.doc * width + column, minlength=n * width).reshape(n, width)
-    by_word = np.where(words.counts < MIN_WORDS, np.nan, js_distance(shares, counts[None]) if len(keys) else np.nan)
+    by_word = np.where(words.counts < MIN_WORDS, np.nan, js_distance(shares, counts[None]))
     by_class = np.where(classes.sum(axis=1) < MIN_CHARS, np.nan, js_distance(classes, class_sum[None]))
     return by_class, by_word
 

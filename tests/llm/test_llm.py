@@ -8,6 +8,7 @@ import re
 import textwrap
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -208,6 +209,18 @@ def test_quality_matches_its_sql(spark):
     assert difference(spark, connection(SF), Q.op3_divergence_quality, Q.oracle_sql()["op3_divergence_quality"], SF) is None
 
 
+def test_quality_tests_classes_without_common_words(spark, tmp_path):
+    """No word holds a share of the words; a text of digits among letters diverges by its classes, as in the SQL."""
+    letters = ["".join(chr(97 + (k // 26**i) % 26) for i in range(4)) for k in range(2000)]
+    rows = [(d, " ".join(letters[60 * d : 60 * d + 60]), "en") for d in range(30)] + [(30, " ".join(str(10**6 + k) for k in range(60)), "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert difference(spark, con, Q.op3_divergence_quality, Q.oracle_sql()["op3_divergence_quality"], str(tmp_path)) is None
+    kept = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [d for d, k in kept.items() if not k] == [30]
+
+
 def test_quality_odd_rows(odd, none):
     got = quality_rules(odd).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in got) == sorted((i or 0, len(words(t))) for i, t in ODD)

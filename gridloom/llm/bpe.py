@@ -3,13 +3,18 @@
 A piece of text is split into words, and each distinct word is encoded once. Greedy longest matches propose its tokens.
 The proposal is the BPE result exactly if no merge could have crossed a boundary between two neighbours, which is
 tested for all distinct neighbour pairs at once; only the words that fail go through the merges themselves.
-All steps are numpy operations over the words of the piece.
+These steps are numpy operations over the distinct words of the piece.
+
+Texts are split by a table of the code points that need no normalisation but lower case, and whose class the tokenizers
+library confirms when the table is made. A text with any other code point is normalised and split by the library's
+own normaliser and expression, whose Unicode tables are of other versions than Python's.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
-import sys
+import re
 import unicodedata
 
 import numpy as np
@@ -17,28 +22,46 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .shared import chunks, mapped, strings
-from .words import runs, span_hashes
+from .words import halves, hashes, runs, utf8_offsets
 
 _NEVER = np.int64(1 << 40)
-#: Words that a process keeps encoded, about: some 10 MB.
-REMEMBERED = 250_000
+#: Characters of the words that a process keeps encoded, about: some 400,000 words.
+REMEMBERED = 3_000_000
+#: Words of more bytes than this go through the merges at once, by a heap.
+LONG_WORD = 1000
 #: White space of Unicode, by code point.
 _SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_SPACE, _LETTER, _NUMBER, _OTHER, _SPECIAL = range(5)
-_CLASSES: list[np.ndarray] = []
+_SPACE, _LETTER, _NUMBER, _OTHER, _SPECIAL, _STRANGE = range(6)
+#: Conjoining Hangul letters, which normalisation may join.
+_JAMO = [*range(0x1100, 0x1200), *range(0xA960, 0xA980), *range(0xD7B0, 0xD800)]
+#: Code points from here on are all strange.
+_TABLE_END = 0x20000
+
+
+def _confirmed(found: list[int], holds) -> list[int]:
+    """The code points of ``found`` for which ``holds`` is true, given that it holds for a string if for all its parts."""
+    if not found or holds("".join(map(chr, found))):
+        return found
+    if len(found) == 1:
+        return []
+    half = len(found) // 2
+    return _confirmed(found[:half], holds) + _confirmed(found[half:], holds)
+
 
+class _Rows(dict):
+    """word -> row; a word that is new gets the next row and is noted in ``fresh``."""
 
-def _classes() -> np.ndarray:
-    """The class of every code point; lone surrogates, which no text holds, stand for the special tokens."""
-    if not _CLASSES:
-        kinds = {"L": _LETTER, "N": _NUMBER}
-        found = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
-        found[_SPACES] = _SPACE
-        found[0xD800:0xE000] = _SPECIAL
-        _CLASSES.append(found)
-    return _CLASSES[0]
+    def __init__(self, words):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = row = len(self)
+        return row
 
 
 class Lookup:
@@ -104,11 +127,46 @@ class Bpe:
         made = np.array([vocab[a + b] for a, b in pairs], np.int64)
         self.merge = Lookup(left << 20 | right, np.arange(len(pairs)))
         self.made = made
+        self.ranks = dict(zip(zip(left.tolist(), right.tolist(), strict=True), range(len(pairs)), strict=True))
         self._spines(left, right, made, len(names))
         self._trie(vocab)
-        # The hash of all ones stands for no word, so that the table is never empty.
-        self.known, self.known_begin, self.known_count = np.full(1, 2**64 - 1, np.uint64), np.zeros(1, np.int64), np.zeros(1, np.int64)
-        self.kept = self.pool = np.array(list(self.specials.values()), np.int64)
+        self._splitter(whole)
+        # Lone surrogates, which no text holds, stand for the special tokens.
+        self.rows = _Rows([chr(0xD800 + k) for k in range(len(self.specials))])
+        self.pool = np.array(list(self.specials.values()), np.int64)
+        self.begin, self.count, self.held = np.arange(len(self.pool)), np.ones(len(self.pool), np.int64), 0
+        # Of the short words: hash (in order), first and second half, length, row; and those of the present piece.
+        self.known = [np.array([x], k) for x, k in ((2**64 - 1, np.uint64), (0, np.uint64), (0, np.uint64), (-1, np.int64), (0, np.int64))]
+        self.met: list[list[np.ndarray]] = []
+
+    def _splitter(self, whole: dict) -> None:
+        """The library's normaliser and splitting expression, and the table of the code points that do without."""
+        small = {**whole, "added_tokens": [], "model": {**whole["model"], "vocab": {}, "merges": []}}
+        small["pre_tokenizer"] = next(x for x in whole["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        library = Tokenizer.from_str(json.dumps(small))
+        self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        kinds = {"L": _LETTER, "N": _NUMBER, "P": _OTHER, "S": _OTHER, "C": _OTHER}
+        some = [c for c in range(_TABLE_END) if c not in _SPACES and unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+        jamo = set(_JAMO)
+        some = [c for c in some if c < 0x80 or c not in jamo and not unicodedata.combining(chr(c)) and unicodedata.normalize("NFC", chr(c)) == chr(c) and len(chr(c).lower()) == 1]
+        lower = self.normalise("|".join(chr(c) for c in some if c != 0x7C)).split("|")
+        alike = {c for c, low in zip((c for c in some if c != 0x7C), lower, strict=True) if low == chr(c).lower()} | {0x7C}
+        by_kind: dict[int, list[int]] = {_LETTER: [], _NUMBER: [], _OTHER: []}
+        for c in some:
+            kind = kinds.get(unicodedata.category(chr(c).lower())[0])
+            if c in alike and kind:
+                by_kind[kind].append(c)
+        by_kind[_OTHER].remove(0x27)  # may begin a word of its own
+        self.kind = np.full(0x110000, _STRANGE, np.uint8)
+        tests = {
+            _LETTER: lambda s: len(self.split(f"a{s.lower()}a")) == 1, _OTHER: lambda s: len(self.split(f"!{s.lower()}!")) == 1,
+            _NUMBER: lambda s: len(self.split("!".join(s.lower()))) == 2 * len(s) - 1 and len(self.split(s.lower())) == len(s),
+        }
+        for kind, test in tests.items():
+            self.kind[_confirmed(by_kind[kind], test)] = kind
+        self.kind[[c for c in _SPACES if self.split(f"a{self.normalise(chr(c))}a") == [("a", (0, 1)), ("a", (2, 3))]]] = _SPACE
+        self.kind[0x27] = _OTHER
+        self.kind[0xD800:0xE000] = _SPECIAL
 
     def _spines(self, left: np.ndarray, right: np.ndarray, made: np.ndarray, n: int) -> None:
         """What stands at a token's right (left) edge as it is built up, and the rank of the merge that absorbs it."""
@@ -228,34 +286,101 @@ class Bpe:
             rest = rest[~crossed & (np.minimum(dies_a, dies_b) < _NEVER)]
         return good
 
-    def remembered(self, keys: np.ndarray, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(where each word's tokens begin in self.pool, their number); keys are the words' hashes.
+    def remember(self, words: list[str]) -> np.ndarray:
+        """The row of each word in self.begin and self.count, which say where in self.pool its tokens are.
 
-        Words that a process meets first, up to REMEMBERED, stay encoded for its later texts; the others are encoded
-        again with each piece of text. The result is the same either way.
+        Words that a process meets first stay encoded for its later texts, up to REMEMBERED; others are encoded again
+        with each piece of text (``forget``). The result is the same either way.
+        """
+        known = len(self.rows.fresh)
+        rows = np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+        fresh = self.rows.fresh[known:]
+        if fresh:
+            tokens, number = self.encode_words(*self._symbols(fresh))
+            self.begin = np.concatenate((self.begin, len(self.pool) + np.cumsum(number) - number))
+            self.count = np.concatenate((self.count, number))
+            self.pool = np.concatenate((self.pool, tokens))
+        return rows
+
+    def spans(self, text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """``remember`` for text[start:end], each distinct word once; points are the text's code points.
+
+        Words of up to 16 bytes are grouped, and found among those met before, by their hash, and then compared whole;
+        longer ones, and those that differ from another of the same hash, are looked up one by one.
         """
-        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        old = self.known[at] == keys
-        begin, count = self.known_begin[at], self.known_count[at]
-        fresh = np.flatnonzero(~old)
+        raw, at = text.encode("utf-8", "surrogatepass"), utf8_offsets(points)
+        low, high = at[starts], at[ends]
+        short = high - low <= 16
+        own = [*halves(raw, low, high), high - low]
+        keys = np.where(short, hashes(raw, low, np.where(short, high, low), (own[0], own[1])), 0)
+        _, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        known, *parts, row = self.known
+        place = np.minimum(np.searchsorted(known, keys[where]), len(known) - 1)
+        met = known[place] == keys[where]
+        new = np.flatnonzero(~met & short[where])
+        rows = row[place]
+        fresh = where[new]
+        rows[new] = self.remember([text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
         if len(fresh):
-            symbols, length = self._symbols(text, starts[fresh], ends[fresh])
-            tokens, number = self.encode_words(symbols, length)
-            begin[fresh], count[fresh] = len(self.kept) + np.cumsum(number) - number, number
-            self.pool = np.concatenate((self.kept, tokens))
-            if len(self.known) < REMEMBERED:
-                self.kept = self.pool
-                known = np.concatenate((self.known, keys[fresh]))
-                order = np.argsort(known, kind="stable")
-                self.known = known[order]
-                self.known_begin = np.concatenate((self.known_begin, begin[fresh]))[order]
-                self.known_count = np.concatenate((self.known_count, count[fresh]))[order]
-        else:
-            self.pool = self.kept
-        return begin, count
+            self.met.append([keys[fresh], *(x[fresh] for x in own), rows[new]])
+        like = [np.where(met, x[place], y[where])[back] for x, y in zip(parts, own, strict=True)]
+        out = rows[back]
+        apart = np.flatnonzero(~short | (own[0] != like[0]) | (own[1] != like[1]) | (own[2] != like[2]))
+        if len(apart):
+            out[apart] = self.remember([text[a:b] for a, b in zip(starts[apart].tolist(), ends[apart].tolist(), strict=True)])
+        return out
+
+    def forget(self) -> None:
+        """Ends a piece of text: its new words stay if there is room."""
+        fresh = self.rows.fresh
+        size = sum(map(len, fresh))
+        if self.held + size <= REMEMBERED:
+            self.held += size
+            if self.met:
+                self.known = [np.concatenate(x) for x in zip(self.known, *self.met, strict=True)]
+                order = np.argsort(self.known[0], kind="stable")
+                self.known = [x[order] for x in self.known]
+        elif fresh:
+            for word in fresh:
+                del self.rows[word]
+            n = len(self.rows)
+            self.pool = self.pool[: self.begin[n]].copy()
+            self.begin, self.count = self.begin[:n].copy(), self.count[:n].copy()
+        self.rows.fresh, self.met = [], []
+
+    def _merged(self, symbols: list[int]) -> list[int]:
+        """The merges of one long word: the pair of lowest rank first, of equal ones the leftmost."""
+        ranks, after, before = self.ranks, list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+        heap = [(ranks[p], i, p) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)) if p in ranks]
+        heapq.heapify(heap)
+        n = len(symbols)
+        while heap:
+            rank, i, (a, b) = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j >= n or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = int(self.made[rank]), -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                pair = (symbols[x], symbols[y]) if x >= 0 and y < n else None
+                if pair in ranks:
+                    heapq.heappush(heap, (ranks[pair], x, pair))
+        return [s for s in symbols if s >= 0]
 
     def encode_words(self, symbols: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct words as base symbols -> (tokens, number of each word)."""
+        long = np.flatnonzero(length > LONG_WORD)
+        if len(long):
+            first, short = np.cumsum(length) - length, np.flatnonzero(length <= LONG_WORD)
+            tokens, count = self.encode_words(symbols[spread(first[short], length[short])], length[short]) if len(short) else (symbols[:0], length[:0])
+            pool = [tokens, *(np.array(self._merged(symbols[first[i] : first[i] + length[i]].tolist()), np.int64) for i in long)]
+            number = np.zeros(len(length), np.int64)
+            number[short], number[long] = count, [len(x) for x in pool[1:]]
+            start = np.zeros(len(length), np.int64)
+            start[short], start[long] = np.cumsum(count) - count, len(tokens) + np.cumsum(number[long]) - number[long]
+            return np.concatenate(pool)[spread(start, number)], number
         tokens, count = self._longest(symbols, length)
         word = np.repeat(np.arange(len(count)), count)
         at = np.flatnonzero(word[1:] == word[:-1])
@@ -270,33 +395,50 @@ class Bpe:
         start[bad], count[bad] = len(tokens) + np.cumsum(number) - number, number
         return pool[spread(start, count)], count
 
-    def _symbols(self, text: str, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The base symbols of text[start:end] for each span: a symbol for each byte, the last one marked."""
-        raw = " ".join([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]).encode()
-        raw = np.frombuffer(raw, np.uint8)
-        gap = np.flatnonzero(raw == 0x20)
-        length = np.diff(np.concatenate(([-1], gap, [len(raw)]))) - 1
-        keep = np.ones(len(raw), bool)
-        keep[gap] = False
-        raw = raw[keep]
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The base symbols of the words: a symbol for each byte, the last one marked; and their number."""
+        raw = [w.encode() for w in words]
+        length = np.fromiter(map(len, raw), np.int64, len(raw))
+        raw = np.frombuffer(b"".join(raw), np.uint8)
         symbols = self.inner[raw]
         last = np.cumsum(length) - 1
         symbols[last] = self.final[raw[last]]
         return symbols, length
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, one after the other; number of each text)."""
+    def _strange_words(self, text: str) -> list[str]:
+        """The words of a text by the library's normaliser and expression."""
+        words: list[str] = []
+        for part in re.split("([\ud800-\udfff])", text):
+            if part and 0xD800 <= ord(part[0]) < 0xE000:
+                words.append(part)
+            elif part:
+                words += [word for word, _ in self.split(self.normalise(part))]
+        return words
+
+    def rows_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(rows of the words of all texts in order, the text of each); a special token is a word, a lone surrogate."""
         plain = []
         for text in texts:
             if "<|" in text:
                 for k, special in enumerate(self.specials):
                     text = text.replace(special, chr(0xD800 + k))
-            text = text if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ")
-            plain.append(text.lower())
+            plain.append(text)
+        first = np.concatenate(([0], np.cumsum(np.array([len(x) + 1 for x in plain], np.int64))))[:-1]
         whole = "\n".join(plain)
         points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-        kind = _classes()[points]
-        first = np.concatenate(([0], np.cumsum(np.array([len(x) + 1 for x in plain], np.int64))))[:-1]
+        strange = np.flatnonzero(self.kind[points] == _STRANGE)
+        if len(strange):
+            odd = np.unique(np.searchsorted(first, strange, "right") - 1).tolist()
+            aside = set(odd)
+            rows, doc = self.rows_of(["" if i in aside else x for i, x in enumerate(texts)])
+            own = [self._strange_words(plain[i]) for i in odd]
+            rows = np.concatenate((rows, self.remember([w for x in own for w in x])))
+            doc = np.concatenate((doc, np.repeat(odd, [len(x) for x in own])))
+            order = np.argsort(doc, kind="stable")
+            return rows[order], doc[order]
+        whole = whole.replace("Σ", "σ").lower()  # of these code points each becomes one
+        points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.kind[points]
         letter, letter_end = runs(kind == _LETTER)
         other, other_end = runs(kind == _OTHER)
         # 's, 't, 'm, 'd, 're, 've and 'll are words where the apostrophe begins a match.
@@ -315,17 +457,14 @@ class Bpe:
         ends = np.concatenate((letter_end[left], other_end, single + 1))
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
-        doc = np.searchsorted(first, starts, "right") - 1
-        if not len(starts):
-            return np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
-        keys, where, back = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-        special = kind[starts[where]] == _SPECIAL
-        count, begin = np.ones(len(where), np.int64), np.zeros(len(where), np.int64)
-        begin[special] = points[starts[where[special]]].astype(np.int64) - 0xD800
-        at = where[~special]
-        begin[~special], count[~special] = self.remembered(keys[~special], whole, starts[at], ends[at])
-        number = count[back]
-        ids = self.pool[spread(begin[back], number)]
+        return self.spans(whole, points, starts, ends), np.searchsorted(first, starts, "right") - 1
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, one after the other; number of each text)."""
+        rows, doc = self.rows_of(texts)
+        number = self.count[rows]
+        ids = self.pool[spread(self.begin[rows], number)]
+        self.forget()
         return ids, np.bincount(doc, weights=number, minlength=len(texts)).astype(np.int64)
 
 
@@ -343,7 +482,9 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """(id_col, ids): the token ids of each whole text, no special tokens added; a null or empty text has none.
 
     ``path`` names a tokenizers file on every machine: BPE with an end-of-word suffix, byte-level words, lower case.
-    Special tokens that stand in a text are found as such. Other columns of docs are not read.
+    Special tokens that stand in a text are found as such. Long texts are encoded whole, long words by a heap of their
+    pairs. Null ids and repeated rows are rows like any other; of equal merges the leftmost comes first. Other columns of
+    docs are not read. An empty table gives an empty one.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -378,7 +519,9 @@ def _by_length(batches, ids_col: str):
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """encoded and ``decoded``: the tokens' strings with a space between them, as the file names no decoder.
 
-    Null ids give null; ids outside the vocabulary give an empty string in their place.
+    A null list gives null, an empty one an empty text; ids outside the vocabulary give an empty string in their place. Lists
+    of any length are decoded whole. Other columns stay, but one named decoded is replaced. Repeated rows are decoded
+    alike, and an empty table gives an empty one.
     """
 
     def work(batches):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bpe import Lookup
 from .shared import aside, chunks, kinds_of, mapped, stored, strings
-from .words import runs, span_hashes
+from .words import hashes, mix, runs, utf8_offsets
 
 #: Labelled rows that the classifier is fitted on, about.
 MAX_LABELLED = 20_000
@@ -63,13 +63,17 @@ class Tokens:
         plain = [t.lower() if len(t.lower()) == len(t) else "".join(c.lower()[0] for c in t) for t in texts]
         self.first = np.concatenate(([0], np.cumsum([len(t) + 1 for t in plain])))[:-1].astype(np.int64)
         self.raw = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.points = np.frombuffer("\n".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+        whole = "\n".join(plain)
+        self.points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.kind = _kinds()[self.points]
         self.start, self.end = runs(self.kind == _LETTER)
         self.doc = np.searchsorted(self.first, self.start, "right") - 1
-        self.word = span_hashes(self.points, self.start, self.end)
+        at = utf8_offsets(self.points)
+        self.word = hashes(whole.encode("utf-8", "surrogatepass"), at[self.start], at[self.end])
         longer = self.end - self.start > STEM
-        self.stem = np.where(longer, span_hashes(self.points, self.start, np.where(longer, self.start + STEM, self.end)) ^ np.uint64(0x5BD1E995), np.uint64(0))
+        self.stem = np.zeros(len(self.start), np.uint64)
+        for k in range(STEM):
+            self.stem[longer] = mix(self.stem[longer] * np.uint64(0xD6E8FEB86659FD93) + self.points[self.start[longer] + k])
 
     def keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (text, key) pairs of words and stems."""

@@ -1,25 +1,19 @@
 """Vectorised word positions and 64-bit word hashes over a piece of a text column (numpy, used inside tasks).
 
-Hashes are polynomials modulo 2**64, taken from prefix sums, so their cost is a few passes over the characters. They
-depend on the word alone, hence agree between tasks, machines and runs.
+Words of up to 16 bytes are taken as two 64-bit numbers, which say all that is in them; these are mixed by eight rounds of
+addition, rotation and exclusive or. Longer words are hashed by SipHash-2-4. Unlike words share a hash by chance only, once in
+2**64. Hashes depend on the word alone, hence agree between tasks, machines and runs.
 """
 
 from __future__ import annotations
 
 import numpy as np
+from pandas.util import hash_array
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    if len(_POWERS["up"]) < n:
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[key] = np.multiply.accumulate(steps)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+#: The key of the hashes of long words, 16 letters.
+_KEY = "words of gridloo"
+_ROUND_KEYS = [np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64) for k in range(8)]
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,14 +26,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of symbols[start:end] for each span."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+def halves(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and second 8 bytes of raw[start:end] for each span, as numbers; zeros stand beyond its end."""
+    at = np.ndarray((len(raw) + 8,), "<u8", raw + bytes(16), strides=(1,))
+    length = ends - starts
+    first = at[starts] & _MASKS[np.minimum(length, 8)]
+    second = at[np.minimum(starts + 8, len(raw))] & _MASKS[np.clip(length - 8, 0, 8)]
+    return first, second
+
+
+def hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray, parts: tuple | None = None) -> np.ndarray:
+    """The hash of raw[start:end] for each span; ``parts`` are their halves where known."""
+    x, y = parts or halves(raw, starts, ends)
+    out = x + np.uint64(0xD6E8FEB86659FD93) * (ends - starts).astype(np.uint64)
+    for key in _ROUND_KEYS:
+        x = ((x >> np.uint64(8) | x << np.uint64(56)) + y) ^ key
+        y = (y << np.uint64(3) | y >> np.uint64(61)) ^ x
+    out += mix(x ^ mix(y))
+    long = np.flatnonzero(ends - starts > 16)
+    if len(long):
+        words = np.empty(len(long), object)
+        words[:] = [raw[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[long] = hash_array(words, hash_key=_KEY, categorize=False)
+    return out
+
+
+def utf8_offsets(points: np.ndarray) -> np.ndarray:
+    """Where each code point, and the end, stands in the UTF-8 form of the points."""
+    size = (points >= 0x80).astype(np.int8) + np.int8(1)
+    size += points >= 0x800
+    size += points >= 0x10000
+    out = np.zeros(len(points) + 1, np.int64)
+    np.cumsum(size, out=out[1:])
+    return out
 
 
 def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,11 +79,12 @@ class Words:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.sizes = np.array([len(x) for x in raw], np.int64)
         whole = b"\n".join(raw)
-        self.bytes = np.frombuffer(whole.lower() if lower else whole, np.uint8)
+        whole = whole.lower() if lower else whole
+        self.bytes = np.frombuffer(whole, np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum(self.sizes + 1)))[: len(raw)] if raw else np.zeros(0, np.int64)
         self.starts, self.ends = runs(~PART[self.bytes])
         self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
-        self.hashes = span_hashes(self.bytes, self.starts, self.ends)
+        self.hashes = hashes(whole, self.starts, self.ends)
         self.counts = np.bincount(self.doc, minlength=len(raw)) if raw else np.zeros(0, np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))  # of each text, in words
 

@@ -2,11 +2,12 @@
 
 Numbers and dates that pass their format's own check are permuted within that format by a keyed Feistel network, so
 equal values get equal pseudonyms in every document, different ones stay different, and the result passes the same
-check. Digits keep their places among the separators.
+check. Digits keep their places among the separators. No quantified group of the patterns gives back what it matched, or it
+repeats a bounded number of times, so a long run of text needs no deep stack.
 
     card      13 to 19 digits with a right Luhn digit: the digits before it are permuted and a right one follows
     date      yyyy-mm-dd, dd/mm/yyyy or dd.mm.yyyy from 1900-01-01 to 2100-01-02, as a number of days
-    address   IPv4 with octets to 255, as two 16-bit halves
+    address   IPv4 with octets to 255, as two 16-bit halves; zeros before an octet are not kept
     social    ddd-dd-dddd: the nine digits
     phone     + and up to 15 digits, or (ddd) ddd-dddd: the last ten digits, or all of fewer
     mail      not a number: the whole address becomes a keyed name at example.invalid
@@ -14,6 +15,8 @@ check. Digits keep their places among the separators.
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +25,7 @@ _DATE_DAYS = (150, 487)  # their product is the number of days from 1900-01-01 t
 
 #: What is looked for, in this order at each place of the text.
 PATTERNS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
     "date": r"(?<![\w/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\w/-]|\.\d)",
     "social": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -105,18 +108,36 @@ def pseudonym(match: str, key: str) -> str:
     )
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = "gridloom") -> DataFrame:
+#: The setting of the session that holds the key where the caller gives none.
+KEY_SETTING = "spark.gridloom.pii.key"
+
+
+def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None) -> DataFrame:
     """docs with text_col rewritten and a column ``n_private``: how many values were replaced.
 
+    Whoever has ``key`` can undo the pseudonyms. It is the caller's or the session's (KEY_SETTING); without either it is
+    drawn at random for this call and kept nowhere but in the plan, so pseudonyms link documents of one result only.
+    An empty key is an error.
+
     All other columns stay, whatever their names (one named n_private is replaced). A null text stays null with
-    n_private 0; an empty one stays empty. Repeated rows are rewritten alike. Texts without a digit or @ are not searched.
+    n_private 0; an empty one stays empty. Texts are searched whole, however long they or single values in them are; of
+    patterns that fit at one place the first of PATTERNS counts. Repeated rows are rewritten alike. Texts without a
+    digit or @ are not searched. An empty table gives an empty one.
     """
-    text = f"cast(`{text_col}` AS string)"
+    if key is None:
+        key = docs.sparkSession.conf.get(KEY_SETTING, None)
+    if key is None:
+        key = secrets.token_hex(16)
+    if not key:
+        raise ValueError("the key of the pseudonyms is empty")
+    text, hidden = f"cast(`{text_col}` AS string)", "_found"
+    while hidden in docs.columns:
+        hidden += "_"
     pattern = _literal("|".join(f"(?:{p})" for p in PATTERNS.values()))
     found = F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN transform(regexp_extract_all({text}, {pattern}, 0), m -> named_struct('was', m, 'now', {pseudonym('m', key)})) END")
     parts = F.expr(
-        f"CASE WHEN size(`_found`) > 0 THEN array_join(transform(split({text}, {pattern}, -1), (x, i) -> concat(x, coalesce(get(`_found`, i).now, ''))), '') ELSE {text} END"
+        f"CASE WHEN size(`{hidden}`) > 0 THEN array_join(transform(split({text}, {pattern}, -1), (x, i) -> concat(x, coalesce(get(`{hidden}`, i).now, ''))), '') ELSE {text} END"
     )
-    n = F.expr("cast(coalesce(size(filter(`_found`, x -> x.was <> x.now)), 0) AS int)")
-    out = docs.withColumn("_found", found)
-    return out.withColumns({text_col: parts, "n_private": n}).drop("_found")
+    n = F.expr(f"cast(coalesce(size(filter(`{hidden}`, x -> x.was <> x.now)), 0) AS int)")
+    out = docs.withColumn(hidden, found)
+    return out.withColumns({text_col: parts, "n_private": n}).drop(hidden)

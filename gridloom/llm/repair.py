@@ -1,13 +1,14 @@
 """Token ids in binary files, compressed by Re-Pair grammars (Larsson and Moffat, 2000), with random access.
 
-A file set is a Parquet table with one row per block of documents; documents stand in ascending order of their id over
-all shards. A block holds
+A file set is a Parquet table with one row per shard, a run of documents of bounded size with a grammar of its own;
+documents stand in ascending order of their id over all shards. A shard holds
 
-    rules      pairs of symbols as little-endian unsigned 32-bit integers; rule k is symbol FIRST_RULE + k
+    first_rule one more than the largest id of the vocabulary
+    rules      pairs of symbols as little-endian unsigned 32-bit integers; rule k is symbol first_rule + k
     expansion  how many ids each rule stands for, likewise
-    symbols    the block's documents in these symbols, likewise
+    symbols    the shard's documents in these symbols, likewise
     cuts       where each document's symbols begin, and the end
-    ids_before ids of all documents of the shard before the block
+    ids_before ids of all documents of the partition before the shard
 
 A symbol never spans two documents, so one document is decoded from its own symbols and the rules alone; expansion
 lengths give the place of any id without decoding what stands before it.
@@ -15,8 +16,6 @@ lengths give the place of any id without decoding what stands before it.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -24,131 +23,185 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import Lookup, loaded, spread
+from .bpe import loaded
 from .packing import _with_end
-from .shared import chunks, packed, shared_folder, strings
-from .words import runs
-
-FIRST_RULE = 1 << 16
-#: Rounds of replacement, pairs replaced in a round, and the least count that pays for a rule.
-ROUNDS, PAIRS, LEAST = 4, 4096, 6
-#: A block's texts in bytes, about.
-BLOCK_BYTES = 2_000_000
-
-
-def compress(ids: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, cuts, rules (n, 2), expansion): in each round the most frequent pairs become rules, left to right.
-
-    Equal counts are taken by the pair's symbols. ``cuts`` are the bounds of the documents in ids, and in symbols.
+from .shared import chunks, mapped, new_folder, packed, strings
+
+#: A rule takes three integers (its pair and its expansion) and saves one at each place; so it pays from this count up.
+LEAST = 4
+#: A shard's texts in bytes, about.
+SHARD_BYTES = 4_000_000
+
+
+def _uncounted(live: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Indices of the places (in order) that do not count: in a run of one symbol, where pairs overlap, every other one."""
+    twin = np.flatnonzero(left == right)
+    follows = np.zeros(len(twin), bool)
+    follows[1:] = (live[twin[1:]] == live[twin[:-1]] + 1) & (left[twin[1:]] == left[twin[:-1]])
+    start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(twin))))
+    return twin[(np.arange(len(twin)) - start) % 2 == 1]
+
+
+def _by_pair(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(indices in the order of their pairs, pairs as left << 32 | right in that order)."""
+    n_bits, s_bits = len(left).bit_length(), symbols.bit_length()
+    if n_bits + 2 * s_bits > 63:
+        pair = left << 32 | right
+        order = np.argsort(pair, kind="stable")
+        return order, pair[order]
+    whole = np.sort((left << s_bits | right) << n_bits | np.arange(len(left)))  # sorted values are cheaper than an order
+    order = whole & ((1 << n_bits) - 1)
+    whole >>= n_bits
+    return order, whole >> s_bits << 32 | whole & ((1 << s_bits) - 1)
+
+
+def compress(ids: np.ndarray, cuts: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, cuts, rules (n, 2), expansion): frequent pairs become rules until none stands LEAST times.
+
+    In a round every pair is replaced where it is more frequent than the pairs that overlap it (equal counts: the
+    larger pair of symbols), if that is LEAST times. The most frequent pair of all is so replaced everywhere, and a round
+    does at once what the pairs one by one would do in places apart. A pair that is too rare can only become rarer,
+    so its places are not looked at again. ``cuts`` are the bounds of the documents in ids, and in symbols.
     """
-    symbols = ids.astype(np.int64)
+    symbols, cuts = ids.astype(np.int32), cuts.astype(np.int64)
     end = np.zeros(len(symbols), bool)  # the last symbol of a document pairs with nothing
     end[cuts[1:][cuts[1:] > cuts[:-1]] - 1] = True
-    owner_cuts, rules = cuts.astype(np.int64), np.zeros((0, 2), np.int64)
-    size = np.ones(FIRST_RULE, np.int64)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        pair = symbols[:-1] << 24 | symbols[1:]
-        ordered = np.sort(pair[~end[:-1]])
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(ordered)))
-        often = np.flatnonzero(count >= LEAST)
-        if not len(often):
+    rules, size, count = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], first_rule
+    lengths = np.ones(first_rule, np.int64)
+    live = np.flatnonzero(~end)
+    while len(live):
+        left, right = symbols[live].astype(np.int64), symbols[live + 1].astype(np.int64)
+        out = _uncounted(live, left, right)
+        order, pair = _by_pair(left, right, count)
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        places = np.diff(np.append(first, len(pair)))
+        often = places
+        if len(out):
+            counts = np.ones(len(live), bool)
+            counts[out] = False
+            often = np.add.reduceat(counts[order], first, dtype=np.int64)
+        group = np.flatnonzero(often >= LEAST)
+        if not len(group):
             break
-        often = np.sort(often[np.argsort(-count[often], kind="stable")[:PAIRS]])
-        chosen = ordered[first[often]]
-        rule = Lookup(chosen, np.arange(len(chosen)))(pair)
-        rule[end[:-1]] = -1
-        start, stop = runs(rule >= 0)  # where places overlap, every other one from the left
-        at = spread(start, stop - start)
-        at = at[(at - np.repeat(start, stop - start)) % 2 == 0]
-        symbols[at] = FIRST_RULE + len(rules) + rule[at]
+        # 1, 2, .. from the rarest frequent pair on, at every place that counts; 0 elsewhere, and at one more place at either end.
+        by_rank = group[np.argsort(often[group], kind="stable")]
+        rank = np.zeros(len(first), np.int32)
+        rank[by_rank] = np.arange(1, len(group) + 1)
+        weight = np.zeros(len(symbols) + 2, np.int32)
+        weight[live[order] + 1] = np.repeat(rank, places)
+        weight[live[out] + 1] = 0
+        own = weight[1:-1]
+        at = np.flatnonzero((own > weight[:-2]) & (own > weight[2:]))
+        pays = np.bincount(own[at], minlength=len(group) + 1) >= LEAST
+        at = at[pays[own[at]]]
+        chosen = np.flatnonzero(pays)
+        pairs = pair[first[by_rank[chosen - 1]]]
+        fresh = np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1)
+        rules.append(fresh)
+        size.append(lengths[fresh[:, 0]] + lengths[fresh[:, 1]])
+        lengths = np.concatenate((lengths, size[-1]))
+        touched = own > 0
+        touched[live[out]] = True
+        symbols[at] = (count + np.cumsum(pays) - 1)[own[at]]
+        count += len(fresh)
         end[at] = end[at + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        owner_cuts = np.concatenate(([0], np.cumsum(keep)))[owner_cuts]
-        symbols, end = symbols[keep], end[keep]
-        fresh = np.stack((chosen >> 24, chosen & ((1 << 24) - 1)), axis=1)
-        size = np.concatenate((size, size[fresh[:, 0]] + size[fresh[:, 1]]))
-        rules = np.concatenate((rules, fresh))
-    return symbols, owner_cuts, rules, size[FIRST_RULE:]
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
+        stays = np.ones(len(symbols), bool)
+        stays[at + 1] = False
+        before = at[at > 0] - 1
+        before -= ~stays[before]  # the symbol before a pair may be the second of another
+        touched[at] = touched[before] = True
+        cuts = np.concatenate(([0], np.cumsum(stays)))[cuts]
+        symbols, end, touched = symbols[stays], end[stays], touched[stays]
+        live = np.flatnonzero(touched & ~end)
+    return symbols.astype(np.int64), cuts, np.concatenate(rules), np.concatenate(size)
+
+
+def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
     """The ids that symbols stand for: all rules of a level at once, until none is left."""
     while True:
-        is_rule = symbols >= FIRST_RULE
+        is_rule = symbols >= first_rule
         if not is_rule.any():
             return symbols
         width = 1 + is_rule.astype(np.int64)
         place = np.cumsum(width) - width
         out = np.empty(int(width.sum()), np.int64)
         out[place[~is_rule]] = symbols[~is_rule]
-        pair = rules[symbols[is_rule] - FIRST_RULE]
+        pair = rules[symbols[is_rule] - first_rule]
         out[place[is_rule]], out[place[is_rule] + 1] = pair[:, 0], pair[:, 1]
         symbols = out
 
 
-def decode_slice(symbols: np.ndarray, rules: np.ndarray, expansion: np.ndarray, start: int, length: int) -> np.ndarray:
+def decode_slice(symbols: np.ndarray, rules: np.ndarray, expansion: np.ndarray, first_rule: int, start: int, length: int) -> np.ndarray:
     """ids[start:start + length] of a document, expanding only the symbols that hold them."""
-    size = np.concatenate((np.ones(FIRST_RULE, np.int64), expansion))[symbols]
+    size = np.concatenate((np.ones(first_rule, np.int64), expansion))[symbols]
     ends = np.cumsum(size)
     low, high = np.searchsorted(ends, start, "right"), np.searchsorted(ends, start + length, "left") + 1
     before = int(ends[low - 1]) if low else 0
-    return expand(symbols[low:high], rules)[start - before : start - before + length]
+    return expand(symbols[low:high], rules, first_rule)[start - before : start - before + length]
 
 
-_FIELDS = "shard int, block int, ids_before long, n_ids long, doc_ids array<long>, lengths array<long>, cuts array<int>, rules binary, expansion binary, symbols binary"
+#: Ids expanded at once, about.
+_READ_IDS = 500_000
+_FIELDS = "part int, shard int, first_rule int, ids_before long, n_ids long, doc_ids array<long>, lengths array<long>, cuts array<int>, rules binary, expansion binary, symbols binary"
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encodes each text with the file ``path``, appends ``end_id``, and writes the ids under ``out`` in order of the ids.
 
-    The table is range-partitioned by the id, so that shard after shard is in order. A null id comes first; of equal
-    ids the texts decide. A null or empty text is ``end_id`` alone. Other columns are not read.
+    The table is range-partitioned by the id and a hash of the text, so that part after part is in order and no id, null
+    among them, has to fit into one. A null id comes first; of equal ids the texts' hashes, then the texts decide. A null
+    or empty text is ``end_id`` alone; long ones are encoded whole, and a text larger than a shard is one of its own.
+    Repeated rows are written each. Other columns are not read. An empty table gives files without rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = own.repartitionByRange("id").sortWithinPartitions("id", F.coalesce("text", F.lit("")))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    ordered = own.withColumn("h", F.xxhash64("text")).repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").select("id", "text")
 
     def work(batches):
-        model, shard, before = loaded(path), TaskContext.get().partitionId(), 0
-        for block, part in enumerate(chunks(batches, "text", BLOCK_BYTES)):
-            ids, lengths = _with_end(model, strings(part["text"]), end_id)
-            symbols, cuts, rules, expansion = compress(ids, np.concatenate(([0], np.cumsum(lengths))))
+        model, part, before = loaded(path), TaskContext.get().partitionId(), 0
+        first_rule = max(len(model.names), end_id + 1)
+        for shard, rows in enumerate(chunks(batches, "text", SHARD_BYTES)):
+            found = [_with_end(model, strings(piece["text"]), end_id) for piece in chunks([rows], "text")]
+            ids, lengths = (np.concatenate(x) for x in zip(*found, strict=True))
+            symbols, cuts, rules, expansion = compress(ids, np.concatenate(([0], np.cumsum(lengths))), first_rule)
             row = {
-                "shard": shard, "block": block, "ids_before": before, "n_ids": len(ids), "doc_ids": part["id"], "lengths": lengths, "cuts": cuts.astype(np.int32),
+                "part": part, "shard": shard, "first_rule": first_rule, "ids_before": before, "n_ids": len(ids), "doc_ids": rows["id"], "lengths": lengths, "cuts": cuts.astype(np.int32),
                 "rules": rules.astype("<u4").tobytes(), "expansion": expansion.astype("<u4").tobytes(), "symbols": symbols.astype("<u4").tobytes(),
             }
-            kinds = {"shard": pa.int32(), "block": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "cuts": pa.list_(pa.int32())}
+            kinds = {"part": pa.int32(), "shard": pa.int32(), "first_rule": pa.int32(), "doc_ids": pa.list_(pa.int64()), "lengths": pa.list_(pa.int64()), "cuts": pa.list_(pa.int32())}
             yield pa.RecordBatch.from_arrays([pa.array([v], kinds.get(k)) for k, v in row.items()], names=list(row))
             before += len(ids)
 
-    ordered.mapInArrow(work, _FIELDS).write.option("compression", "zstd").parquet(out)
+    mapped(ordered, work, _FIELDS).write.option("compression", "zstd").parquet(out)
 
 
 def read_ids(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, ids) of every document of the files: start counts the ids of all documents before it; ids are
-    little-endian unsigned 32-bit integers in a binary column."""
-    blocks = spark.read.schema(_FIELDS).parquet(at)
-    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))  # a row for each shard
-    before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_before"))
+    little-endian unsigned 32-bit integers in a binary column. Null and repeated ids come back as they were written;
+    files without rows give an empty table."""
+    shards = spark.read.schema(_FIELDS).parquet(at)
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row for each partition that was written
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_before"))
 
     def work(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = {name: batch[name][k] for name in batch.schema.names}
                 rules = np.frombuffer(row["rules"].as_py(), "<u4").astype(np.int64).reshape(-1, 2)
-                lengths = row["lengths"].values.to_numpy()
-                ids = expand(np.frombuffer(row["symbols"].as_py(), "<u4").astype(np.int64), rules)
-                start = row["shard_before"].as_py() + row["ids_before"].as_py() + np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(start), packed(ids, lengths)], names=[id_col, "start", "ids"])
+                lengths, cuts = row["lengths"].values.to_numpy(), row["cuts"].values.to_numpy()
+                symbols = np.frombuffer(row["symbols"].as_py(), "<u4")
+                start = row["part_before"].as_py() + row["ids_before"].as_py() + np.cumsum(lengths) - lengths
+                doc_ids, low = row["doc_ids"].values, 0
+                while low < len(lengths):  # some documents at a time
+                    high = max(low + 1, int(np.searchsorted(np.cumsum(lengths[low:]), _READ_IDS, "right")) + low)
+                    ids = expand(symbols[cuts[low] : cuts[high]].astype(np.int64), rules, row["first_rule"].as_py())
+                    yield pa.RecordBatch.from_arrays([doc_ids.slice(low, high - low), pa.array(start[low:high]), packed(ids, lengths[low:high])], names=[id_col, "start", "ids"])
+                    low = high
 
-    return blocks.join(F.broadcast(before), "shard").mapInArrow(work, f"`{id_col}` long, start long, ids binary")
+    return mapped(shards.join(F.broadcast(before), "part"), work, f"`{id_col}` long, start long, ids binary")
 
 
 def encode_to_files(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the documents' ids into the shared folder and reads them back: (id_col, start, ids)."""
-    out = f"{shared_folder(docs.sparkSession)}/ids-{uuid.uuid4().hex}"
+    """Writes the documents' ids into the shared folder and reads them back: (id_col, start, ids); see ``write_ids``."""
+    out = new_folder(docs.sparkSession, "ids")
     write_ids(docs, path, out, end_id, id_col, text_col)
     return read_ids(docs.sparkSession, out, id_col)

@@ -1,71 +1,189 @@
 """Packing of documents into token windows by lexical retrieval: neighbours of a seed document fill its window.
 
-The documents of a task are indexed in blocks (the shards of the index). A block's inverted index holds BM25 weights;
-the seed of a window asks it for the most similar documents that are not used yet, and these fill the window in order
-of their score. A document that does not fit is cut, and its rest seeds the next window, so that only the last window
-of a partition can be short. Document frequencies and the mean length come from one earlier pass over all documents;
-terms are words hashed into TERMS buckets, so these statistics have a fixed size.
+1. A router, fitted on a bounded sample, is a tree of lexical halves: a node sends a document to one side by the product
+   of its hashed tf-idf vector with the direction in which the node's sample spreads most. Leaves are numbered so that
+   like ones are beside each other.
+2. One pass over all texts counts document frequencies and gives each document its leaf and its product at the last node.
+   Documents are range-partitioned and sorted by these, and last by their row, so that a leaf of any size, or copies of
+   one text, are spread evenly over tasks and each run of documents is lexically close.
+3. A task indexes runs of bounded size (the shards of the index). A shard's inverted index holds BM25 weights; the
+   seed of a window asks it for the most similar documents that are not used yet, and these fill the window in order of
+   their score. A document that does not fit is cut, and its rest seeds the next window, so that only the last window
+   of a partition can be short.
+
+Terms are words, told apart by 40 bits of their hash or more; their document frequencies are counted over all documents in
+2**18 buckets of hashes, so that these statistics have a fixed size.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import loaded, spread
-from .shared import chunks, packed, strings
+from .shared import chunks, mapped, packed, stored, strings
 from .words import Words
 
-TERMS = 1 << 16
-#: A block's texts in bytes, about: documents that can meet in a window.
+#: Buckets of document frequencies, and of the router's vectors.
+TERMS, ROUTE_TERMS = 1 << 18, 1 << 12
+#: Documents that the router is fitted on, about; its depth, and the fewest documents of a node that is halved.
+SAMPLE, DEPTH, LEAST_NODE = 3000, 8, 24
+#: A shard's texts in bytes, about: documents that can meet in a window.
 BLOCK_BYTES = 2_000_000
 K1, B = 1.2, 0.75
 
 
-def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) with the term's frequency."""
-    key, tf = np.unique(words.doc.astype(np.int64) << 16 | (words.hashes >> np.uint64(48)).astype(np.int64), return_counts=True)
-    return key >> 16, key & (TERMS - 1), tf
+def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (text, term) with the term's frequency and its bucket; texts and terms in order."""
+    bits = np.uint64(len(words.counts).bit_length())
+    key, tf = np.unique(words.doc.astype(np.uint64) << (np.uint64(64) - bits) | words.hashes >> bits, return_counts=True)
+    term = key & ((np.uint64(1) << (np.uint64(64) - bits)) - np.uint64(1))
+    return (key >> (np.uint64(64) - bits)).astype(np.int64), term, tf, (term >> (np.uint64(46) - bits)).astype(np.int64)
+
+
+class Router:
+    """The tree of lexical halves, from sample documents given as sorted (document, bucket of ROUTE_TERMS, tf) arrays."""
+
+    def __init__(self, doc: np.ndarray, bucket: np.ndarray, tf: np.ndarray, n: int):
+        held = np.bincount(np.unique(doc * ROUTE_TERMS + bucket) % ROUTE_TERMS, minlength=ROUTE_TERMS)
+        self.idf = np.log1p((n - held + 0.5) / (held + 0.5)).astype(np.float32)
+        whole = np.zeros((n, ROUTE_TERMS), np.float32)
+        np.add.at(whole, (doc, bucket), self._weights(doc, bucket, tf, n))
+        self.direction, self.edge, self.child, self.leaves = [], [], [], 0
+        self._halve(whole, np.arange(n), 0)
+        self.direction = np.array(self.direction, np.float32).reshape(-1, ROUTE_TERMS)
+        self.edge, self.child = np.array(self.edge, np.float32), np.array(self.child, np.int64).reshape(-1, 2)
+
+    def _weights(self, doc: np.ndarray, bucket: np.ndarray, tf: np.ndarray, n: int) -> np.ndarray:
+        """tf-idf weights, of length 1 in each document."""
+        w = (1 + np.log(tf)).astype(np.float32) * self.idf[bucket]
+        return w / np.maximum(np.sqrt(np.bincount(doc, weights=w * w, minlength=n)), 1e-9)[doc].astype(np.float32)
+
+    def _halve(self, whole: np.ndarray, rows: np.ndarray, depth: int) -> int:
+        """The node of these sample documents: its number, or -1 - leaf. Leaves are numbered from left to right."""
+        product = None
+        if depth < DEPTH and len(rows) >= LEAST_NODE:
+            own = whole[rows]
+            own -= own.mean(axis=0)
+            direction = own[np.argmax((own * own).sum(axis=1))]
+            for _ in range(8):  # power iteration
+                direction = own.T @ (own @ direction)
+                direction /= max(float(np.sqrt((direction * direction).sum())), 1e-12)
+            product = whole[rows] @ direction
+            ordered = np.sort(product)
+            sums, left = np.cumsum(ordered), np.arange(1, len(rows))
+            between = sums[:-1] ** 2 / left + (sums[-1] - sums[:-1]) ** 2 / (len(rows) - left)  # largest where the halves are apart most
+            between[: len(rows) // 10] = between[len(rows) - 1 - len(rows) // 10 :] = -np.inf
+            between[ordered[1:] <= ordered[:-1]] = -np.inf
+            cut = int(between.argmax())
+            if not np.isfinite(between[cut]):
+                product = None
+        if product is None:
+            self.leaves += 1
+            return -self.leaves
+        node = len(self.edge)
+        self.direction.append(direction)
+        self.edge.append((ordered[cut] + ordered[cut + 1]) / 2)
+        self.child.append([0, 0])
+        edge = self.edge[node]
+        self.child[node] = [self._halve(whole, rows[product <= edge], depth + 1), self._halve(whole, rows[product > edge], depth + 1)]
+        return node
+
+    def __call__(self, doc: np.ndarray, bucket: np.ndarray, tf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, product at the last node) of n documents."""
+        leaf, last = np.zeros(n, np.int32), np.zeros(n, np.float32)
+        if not len(self.edge):
+            return leaf, last
+        weight, node = self._weights(doc, bucket, tf, n), np.zeros(n, np.int64)
+        going = np.ones(n, bool)
+        for _ in range(DEPTH):
+            product = np.bincount(doc, weights=weight * self.direction[node[doc], bucket], minlength=n)
+            last[going] = product[going]
+            side = self.child[node, (product > self.edge[node]).astype(np.int64)]
+            done = going & (side < 0)
+            leaf[done] = -1 - side[done]
+            going &= ~done
+            node = np.where(going, side, 0)
+            if not going.any():
+                break
+        return leaf, last
 
 
-def statistics(texts: DataFrame) -> tuple[np.ndarray, int, float]:
-    """(document frequency of each term, documents, mean length in words) over all texts."""
+def fit_router(texts: DataFrame) -> Router:
+    """A router for a table with a column text. What reaches the driver are some SAMPLE vectors of ROUTE_TERMS numbers at
+    most each, however long the texts are."""
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    wanted = F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40)))
+
+    def work(batches):
+        for part in chunks(batches, "text"):
+            doc, _, tf, bucket = _terms(Words(strings(part["text"]), lower=True))
+            key, where = np.unique(doc * ROUTE_TERMS + bucket // (TERMS // ROUTE_TERMS), return_inverse=True)
+            tf = np.bincount(where, weights=tf, minlength=len(key)).astype(np.int32)
+            at = np.searchsorted(key // ROUTE_TERMS, np.arange(part.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(at), pa.array(x)) for x in ((key % ROUTE_TERMS).astype(np.int32), tf)]
+            yield pa.RecordBatch.from_arrays(lists, names=["bucket", "tf"])
+
+    rows = mapped(texts.where(wanted), work, "bucket array<int>, tf array<int>").toArrow()
+    held = [rows[c].combine_chunks() for c in ("bucket", "tf")]
+    doc = np.repeat(np.arange(len(rows)), pc.list_value_length(held[0]).to_numpy(zero_copy_only=False)) if len(rows) else np.zeros(0, np.int64)
+    bucket, tf = (x.flatten().to_numpy() if len(rows) else np.zeros(0, np.int32) for x in held)
+    return Router(doc, bucket, tf, len(rows))
+
+
+def _routed(own: DataFrame, kind: str) -> tuple[DataFrame, np.ndarray, int, float]:
+    """(own (id, text) with leaf, last and row, as a stage table; document frequencies, documents, mean length in words)."""
+    spark = own.sparkSession
+    router = spark.sparkContext.broadcast(fit_router(own))
 
     def work(batches):
         df, n, length = np.zeros(TERMS, np.int64), 0, 0
+        first = TaskContext.get().partitionId() << 40
         for part in chunks(batches, "text"):
             words = Words(strings(part["text"]), lower=True)
-            df += np.bincount(_terms(words)[1], minlength=TERMS)
+            doc, _, tf, bucket = _terms(words)
+            df += np.bincount(bucket, minlength=TERMS)
+            leaf, last = router.value(doc, bucket // (TERMS // ROUTE_TERMS), tf, part.num_rows)
+            none = pa.nulls(part.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([part["id"], part["text"], pa.array(leaf), pa.array(last), pa.array(first + n + np.arange(part.num_rows)), none, none], names=names)
             n, length = n + part.num_rows, length + len(words.hashes)
-        some = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, length]))], names=["term", "n"])
+        if n:
+            some = np.flatnonzero(df)
+            none = [pa.nulls(len(some) + 2, t) for t in (id_type, pa.string(), pa.int32(), pa.float32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(np.append(some, [-1, -2])), pa.array(np.append(df[some], [n, length]))], names=names)
 
-    found = texts.mapInArrow(work, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # TERMS + 2 rows at most
+    names, id_type = ["id", "text", "leaf", "last", "row", "term", "n"], to_arrow_type(own.schema["id"].dataType)
+    stage = stored(mapped(own, work, f"id {kind}, text string, leaf int, last float, row long, term long, n long"), "routed")
+    found = stage.where("term IS NOT NULL").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # TERMS + 2 rows at most
+    term, n = (found[c].to_numpy() for c in ("term", "n"))
     df = np.zeros(TERMS, np.int64)
-    sums = {-1: 0, -2: 0}
-    for r in found:
-        if r["term"] >= 0:
-            df[r["term"]] = r["n"]
-        else:
-            sums[r["term"]] = r["n"]
-    return df, sums[-1], sums[-2] / max(1, sums[-1])
+    df[term[term >= 0]] = n[term >= 0]
+    docs, length = (int(n[term == k].sum()) for k in (-1, -2))
+    return stage.where("term IS NULL").drop("term", "n"), df, docs, length / max(1, docs)
 
 
 class Index:
-    """BM25 over one block; ``neighbours`` gives the documents that are still unused, best first."""
+    """BM25 over one shard; ``neighbours`` gives the documents that are still unused, best first."""
 
     def __init__(self, words: Words, df: np.ndarray, n: int, mean: float):
-        self.doc, term, tf = _terms(words)
-        idf = np.log1p((n - df[term] + 0.5) / (df[term] + 0.5))
+        self.doc, term, tf, bucket = _terms(words)
+        idf = np.log1p((n - df[bucket] + 0.5) / (df[bucket] + 0.5))
         self.weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words.counts[self.doc] / max(mean, 1e-9)))
         self.first = np.searchsorted(self.doc, np.arange(len(words.counts) + 1))
         order = np.argsort(term, kind="stable")
         self.holders, self.held = self.doc[order], self.weight[order]
-        self.term = term
-        self.start = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=TERMS))))
+        new = np.ones(len(order), bool)
+        new[1:] = term[order[1:]] != term[order[:-1]]
+        self.term = np.empty(len(order), np.int64)
+        self.term[order] = np.cumsum(new) - 1
+        self.start = np.append(np.flatnonzero(new), len(order))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
         term = self.term[self.first[seed] : self.first[seed + 1]]
@@ -116,12 +234,15 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
     exactly one piece, and a sequence holds ``window`` ids but for the last of a partition. ``sequence_id`` is unique;
     offsets within it run on without gaps from 0.
 
-    A null or empty text is ``end_id`` alone. Null and repeated ids are documents like any other. Other columns are
-    not read. An empty table gives an empty one. The split of the input into partitions decides which documents can
-    meet, so rows stay the same in a repeated task.
+    A null or empty text is ``end_id`` alone. Long texts are scored and cut whole; a text larger than a shard is one of its
+    own. Null and repeated ids are documents like any other. Of equal BM25 scores the document that comes first in the
+    order of the table packed counts (leaf, last product, row). Other columns are not read. An empty table gives an empty
+    one. The order is that of a table that is written once, so a repeated task gives the same rows.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    df, n, mean = statistics(own.select("text"))
+    kind = own.schema["id"].dataType.simpleString()
+    routed, df, n, mean = _routed(own, kind)
+    ordered = routed.repartitionByRange("leaf", "last", "row").sortWithinPartitions("leaf", "last", "row").select("id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(df)
 
     def work(batches):
@@ -143,8 +264,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
             columns = [part["id"].take(pa.array(at)), pa.array(start), pa.array(size), ids, pa.array(lengths[at]), pa.array(sequences), pa.array(offset)]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
-    kind = own.schema["id"].dataType.simpleString()
-    return own.mapInArrow(work, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return mapped(ordered, work, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def _with_end(model, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:

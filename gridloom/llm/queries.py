@@ -124,7 +124,7 @@ def _op3_sql() -> str:
         return f"sqrt(least(1, greatest(0, ({parts}) / 2)))"
 
     class_terms = " + ".join(term(f"(d.c[{k}] / d.points)", f"(e.c[{k}] / list_sum(e.c))") for k in range(1, len(count) + 1))
-    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, t, length(t)::DOUBLE AS points,
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract(lower(coalesce(lang, '')), '{quality.LANGUAGE}', 1) AS lang, t, length(t)::DOUBLE AS points,
             list_filter(string_split_regex(t, '{gap}+'), lambda x: x <> '') AS w, [{', '.join(f'({c})::DOUBLE' for c in count.values())}] AS c
         FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
     u AS MATERIALIZED (SELECT r, lang, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
@@ -137,22 +137,20 @@ def _op3_sql() -> str:
             len(w) < 50 OR 100 * coalesce(repeats.n, 0) > 50 * len(w) AS base_failed
         FROM d LEFT JOIN lines ON lines.r = d.r LEFT JOIN repeats ON repeats.r = d.r),
     totals AS (SELECT name, sum(n_words) AS size FROM (SELECT lang AS name, n_words FROM base) GROUP BY 1),
-    every AS (SELECT sum(n_words) AS size FROM base),
     classes AS (SELECT lang, {', '.join(f'sum(c[{k}]) AS c{k}' for k in range(1, len(count) + 1))} FROM base GROUP BY 1),
     refs AS MATERIALIZED (
-        SELECT t.name, t.size, [{', '.join(f'c{k}' for k in range(1, len(count) + 1))}] AS c FROM totals t JOIN classes ON lang = t.name, every WHERE t.name <> '' AND t.size >= every.size * {quality.LANGUAGE_SHARE}::DOUBLE AND every.size > 0
-        UNION ALL SELECT '', (SELECT size FROM every), [{', '.join(f'sum(c{k})' for k in range(1, len(count) + 1))}] FROM classes HAVING (SELECT size FROM every) > 0),
+        SELECT t.name, t.size, [{', '.join(f'c{k}' for k in range(1, len(count) + 1))}] AS c FROM totals t JOIN classes ON lang = t.name WHERE t.name <> '' AND t.size >= {quality.LANGUAGE_WORDS}
+        UNION ALL SELECT '', 0, [{', '.join(f'sum(c{k})' for k in range(1, len(count) + 1))}] FROM classes HAVING {' + '.join(f'sum(c{k})' for k in range(1, len(count) + 1))} > 0),
     counted AS (SELECT lang AS name, x, count(*) AS n FROM u GROUP BY ALL),
-    keys AS MATERIALIZED (SELECT name, x, n / size::DOUBLE AS q FROM (SELECT * FROM counted WHERE name <> '' UNION ALL SELECT '', x, sum(n) FROM counted GROUP BY x) JOIN refs USING (name)
-        WHERE n >= size * {quality.COMMON_SHARE}::DOUBLE),
+    keys AS MATERIALIZED (SELECT name, x, n / size::DOUBLE AS q FROM counted JOIN refs USING (name) WHERE name <> '' AND n >= size * {quality.COMMON_SHARE}::DOUBLE),
     known AS (SELECT name, sum(q) AS q, count(*) AS n FROM keys GROUP BY 1),
     held AS (SELECT r, x, count(*) AS n FROM u GROUP BY ALL),
     met AS (SELECT r, name, sum(h.n) AS n, sum(k.q) AS q, sum({term('(h.n / b.n_words::DOUBLE)', 'k.q')}) AS js FROM held h JOIN base b USING (r) JOIN keys k ON k.x = h.x GROUP BY ALL),
-    pairs AS (SELECT d.r, d.n_words, d.points, e.name, d.lang = e.name OR e.name = '' AS own, coalesce(met.js, 0) + known.q - coalesce(met.q, 0) AS js,
-            1 - coalesce(met.n, 0) / d.n_words::DOUBLE AS p, 1 - known.q AS q, {distance(class_terms)} AS c
+    pairs AS (SELECT d.r, d.n_words, d.points, e.name, d.lang = e.name OR e.name = '' AS own, coalesce(met.js, 0) + coalesce(known.q, 0) - coalesce(met.q, 0) AS js,
+            1 - coalesce(met.n, 0) / d.n_words::DOUBLE AS p, 1 - coalesce(known.q, 0) AS q, {distance(class_terms)} AS c
         FROM base d JOIN refs e ON e.name <> '' OR d.lang NOT IN (SELECT name FROM refs WHERE name <> '') LEFT JOIN known ON known.name = e.name LEFT JOIN met ON met.r = d.r AND met.name = e.name),
-    near AS (SELECT r, name, own, CASE WHEN points >= {quality.MIN_CHARS} THEN c END AS c, CASE WHEN n_words >= {quality.MIN_WORDS} THEN {distance(f"js + {term('p', 'q')}")} END AS w FROM pairs),
-    best AS (SELECT r, arg_min(coalesce(c, -1), coalesce(c, 0) + coalesce(w, 0)) AS c, arg_min(coalesce(w, -1), coalesce(c, 0) + coalesce(w, 0)) AS w,
+    near AS (SELECT r, own, CASE WHEN points >= {quality.MIN_CHARS} THEN c END AS c, CASE WHEN n_words >= {quality.MIN_WORDS} AND name <> '' THEN {distance(f"js + {term('p', 'q')}")} END AS w FROM pairs),
+    best AS (SELECT r, coalesce(max(c) FILTER (own), -1) AS c, coalesce(max(w) FILTER (own), -1) AS w,
             bool_or(coalesce(c, 0) <= {quality.MAX_CLASS_DISTANCE} AND CASE WHEN own THEN coalesce(w, 0) <= {quality.MAX_WORD_DISTANCE} ELSE coalesce(w, 1) <= {quality.OTHER_WORD_DISTANCE} END) AS fits FROM near GROUP BY 1)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(CASE WHEN best.c >= 0 THEN best.c END, 6) AS class_distance,
         round(CASE WHEN best.w >= 0 THEN best.w END, 6) AS word_distance, NOT base_failed AND coalesce(fits, true) AS kept

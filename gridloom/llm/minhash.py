@@ -27,6 +27,8 @@ from .words import Words, mix
 
 #: Shingles that one task compares at once: the memory of step 4 is some 60 bytes for each.
 BLOCK_SHINGLES = 1_500_000
+#: Bins that a task fills at once.
+SKETCH_BINS = 1_000_000
 #: A link at the threshold shares no bucket with this probability at most.
 MISS = 1e-6
 _PROBES = 48
@@ -34,9 +36,14 @@ _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def banding(percent: int) -> tuple[int, int]:
-    """(rows, bands) for a similarity of percent / 100, from the wanted chance of a miss."""
-    rows = 6 if percent >= 85 else 5 if percent >= 78 else 4 if percent >= 65 else 3
-    return rows, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** rows)))
+    """(rows, bands) for a similarity of percent / 100, from the wanted chance of a miss.
+
+    A band agrees with a chance of a fifth at least: more rows would need many bands, fewer would make candidates of
+    documents that are far from the threshold.
+    """
+    share = min(percent, 99) / 100
+    rows = max(1, math.floor(math.log(0.2) / math.log(share)))
+    return rows, math.ceil(math.log(MISS) / math.log1p(-(share**rows)))
 
 
 def densify(sketch: np.ndarray) -> np.ndarray:
@@ -98,7 +105,12 @@ def sketched(docs: DataFrame, width: int, percent: int) -> DataFrame:
             doc, value = words.shingle_sets(width)
             n = np.bincount(doc, minlength=part.num_rows)
             fa, fb = fingerprints(doc, value, part.num_rows)
-            keys = band_hashes(doc, value, part.num_rows, rows, bands)[n > 0].ravel()
+            keys, step = [np.zeros(0, np.uint64)], max(1, SKETCH_BINS // (rows * bands))
+            for low in range(0, part.num_rows, step):
+                high = min(low + step, part.num_rows)
+                own = slice(*np.searchsorted(doc, (low, high)))
+                keys.append(band_hashes(doc[own] - low, value[own], high - low, rows, bands)[n[low:high] > 0].ravel())
+            keys = np.concatenate(keys)
             yield pa.RecordBatch.from_arrays(
                 [part["id"], pa.array(n.astype(np.int64)), pa.array(fa.view(np.int64)), pa.array(fb.view(np.int64)), _lists(keys, np.where(n > 0, bands, 0))],
                 names=["id", "n", "fa", "fb", "bands"],
@@ -183,17 +195,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sequence as its one shingle. Documents are linked when 100 * intersection >= percent * union of their sets;
     component_id is the least id reachable, and the document that has it is the one kept.
 
-    Null and empty texts have no shingles and are linked with nothing. A null id is linked with nothing: its
-    component_id is null, and it is kept. Rows that repeat an id count as one document in a component. Other columns
-    of docs are not read. An empty table gives an empty one.
+    Null and empty texts have no shingles and are linked with nothing. Long texts are compared whole. A null id is linked
+    with nothing: its component_id is null, and it is kept. Rows that repeat an id count as one document in a component,
+    and ties cannot be, as the least id is one. Other columns of docs are not read. An empty table gives an empty one.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     light = stored(sketched(own, width, percent), "sketches")
     # Written first: the join below then has a shuffle of its own on both sides, of which a hot class can be split.
     classes = stored(light.where("n > 0 AND id IS NOT NULL").groupBy("n", "fa", "fb").agg(F.min("id").alias("rep")), "classes")
-    member = stored(
-        light.drop("bands").join(classes, ["n", "fa", "fb"], "left").select("id", "n", "fa", "fb", F.coalesce("rep", "id").alias("rep")), "members"
-    )
+    some = F.expr("n > 0 AND id IS NOT NULL")
+    slim = light.drop("bands")
+    joined = slim.where(some).join(classes, ["n", "fa", "fb"]).select("id", "n", "fa", "fb", "rep")
+    member = stored(joined.unionAll(slim.where(~some | some.isNull()).withColumn("rep", F.col("id"))), "members")
     reps = member.where("id = rep AND n > 0").select("id", "n", "fa", "fb").distinct()
     keys = light.join(reps, ["id", "n", "fa", "fb"], "left_semi").select("id", F.explode("bands").alias("key"))
     hubs = keys.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
@@ -227,6 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that ``near_duplicates`` keeps, with all their columns: one document of each group."""
+    """The rows of docs that ``near_duplicates`` keeps, with all their columns: one document of each group. Null and empty
+    texts and null ids stay; rows that repeat an id stay or go together."""
     gone = near_duplicates(docs, id_col, text_col, width, percent).where("NOT kept").select(F.col(id_col).alias("_gone"))
     return docs.join(gone.distinct().hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")

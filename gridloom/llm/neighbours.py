@@ -18,30 +18,48 @@ from pyspark.sql.window import Window
 
 from .shared import stored
 
-#: Sample vectors for each part, parts at most, neighbours in the graph, hidden units and epochs of the classifier.
-SAMPLE_PER_PART, MAX_PARTS, GRAPH_NEIGHBOURS, HIDDEN, EPOCHS = 64, 256, 10, 128, 40
+#: Sample vectors for each part, parts at most (they grow with the square root of the table up to 16 million vectors; beyond,
+#: parts grow), neighbours in the graph, hidden units and epochs of the classifier.
+SAMPLE_PER_PART, MAX_PARTS, GRAPH_NEIGHBOURS, HIDDEN, EPOCHS = 64, 2048, 10, 128, 40
+#: Components beyond this size count as this size for the classifier; distances are taken of the vectors as they are.
+TAME = 1e100
 #: Recall wanted on the sample, whose vectors the classifier knows: higher than what is promised for the table.
 WANTED_RECALL = 0.985
 #: Vectors, and queries, that one task compares at once.
 BLOCK_VECTORS, BLOCK_QUERIES = 8192, 1024
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances to one query. Differences are scaled by powers of two, which changes no digit, so that the
+    squares of large or small ones stay numbers."""
+    shift = 0
+    with np.errstate(over="ignore"):
+        apart = vectors - query
+        if not np.isfinite(apart).all():
+            apart, shift = vectors * 0.25 - query * 0.25, 2
+        _, power = np.frexp(np.abs(apart).max(axis=1))
+        apart = np.ldexp(apart, -power[:, None])
+        return np.ldexp(np.sqrt((apart * apart).sum(axis=1)), power + shift)
+
+
 def nearest(queries: np.ndarray, vectors: np.ndarray, k: int, query_ids: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, vector position, Euclidean distance) of each query's k nearest with another id; ties to the
     smaller id. A matrix product finds all that could be among them; their distances are then taken exactly."""
     out: tuple[list, list, list] = ([], [], [])
     if not len(vectors):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    square = (vectors * vectors).sum(axis=1)
+    _, power = np.frexp(max(np.abs(vectors).max(), np.abs(queries).max(initial=0)))
+    scaled = np.ldexp(vectors, -power)
+    square = (scaled * scaled).sum(axis=1)
     for low in range(0, len(queries), 256):
-        q = queries[low : low + 256]
-        rough = square[None, :] + (q * q).sum(axis=1)[:, None] - 2 * q @ vectors.T
+        q = np.ldexp(queries[low : low + 256], -power)
+        rough = square[None, :] + (q * q).sum(axis=1)[:, None] - 2 * q @ scaled.T
         rough[query_ids[low : low + 256, None] == ids[None, :]] = np.inf
         edge = np.partition(rough, min(k, len(vectors)) - 1, axis=1)[:, min(k, len(vectors)) - 1]
         slack = 1e-9 * (square.max() + (q * q).sum(axis=1))
         for i in range(len(q)):
             at = np.flatnonzero((rough[i] <= edge[i] + slack[i]) & np.isfinite(rough[i]))
-            distance = np.sqrt(((vectors[at] - q[i]) ** 2).sum(axis=1))
+            distance = distances(vectors[at], queries[low + i])
             best = np.lexsort((ids[at], distance))[:k]
             out[0].append(np.full(len(best), low + i))
             out[1].append(at[best])
@@ -59,7 +77,8 @@ def balanced_parts(graph: np.ndarray, vectors: np.ndarray, parts: int, rounds: i
             nodes = np.flatnonzero(part == p)
             if len(nodes) < 2:
                 continue
-            centred = vectors[nodes] - vectors[nodes].mean(axis=0)
+            own = np.clip(vectors[nodes], -TAME, TAME)
+            centred = own - own.mean(axis=0)
             axis = np.linalg.svd(centred.T @ centred)[0][:, 0]
             side = np.zeros(len(nodes), np.int64)
             side[np.argsort(centred @ axis, kind="stable")[len(nodes) // 2 :]] = 1
@@ -91,7 +110,7 @@ class Router:
     """A classifier with one hidden layer, trained by Adam on (vectors, part)."""
 
     def __init__(self, vectors: np.ndarray, part: np.ndarray, parts: int, seed: int = 5):
-        rng = np.random.default_rng(seed)
+        rng, vectors = np.random.default_rng(seed), np.clip(vectors, -TAME, TAME)
         self.mean, self.scale = vectors.mean(axis=0), vectors.std() + 1e-12
         sizes = (vectors.shape[1], HIDDEN, parts)
         self.weights = [rng.normal(0, math.sqrt(2 / a), (a, b)) for a, b in zip(sizes, sizes[1:], strict=False)] + [np.zeros(b) for b in sizes[1:]]
@@ -120,6 +139,7 @@ class Router:
     def order(self, vectors: np.ndarray) -> np.ndarray:
         """(vectors, parts): the parts of each vector, likeliest first."""
         w1, w2, b1, b2 = self.weights
+        vectors = np.clip(vectors, -TAME, TAME)
         return np.argsort(-(np.maximum((vectors - self.mean) / self.scale @ w1 + b1, 0) @ w2 + b2), axis=1, kind="stable")
 
 
@@ -144,7 +164,7 @@ def fit(ids: np.ndarray, vectors: np.ndarray, parts: int, k: int) -> tuple[Route
 
 
 def nearest_neighbours(table: DataFrame, k: int = 10, every: int = 100, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """For each row whose id is divisible by ``every``, its k nearest of all other rows: (query_id, rank, id_col, score).
+    """For each row whose id is divisible by ``every``, k near ones of all other rows: (query_id, rank, id_col, score).
 
     ``score`` is the Euclidean distance in double precision; ties go to the smaller id. The index holds every row; the
     sample it is fitted on has SAMPLE_PER_PART vectors for each part.

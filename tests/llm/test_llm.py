@@ -19,12 +19,12 @@ from gridloom.llm import queries as Q
 from gridloom.llm.bpe import bpe_decode, bpe_encode, loaded
 from gridloom.llm.components import components
 from gridloom.llm.licenses import TEMPLATES, bigrams, license_scan, normalised
-from gridloom.llm.minhash import near_duplicates, spanning_links, without_duplicates
+from gridloom.llm.minhash import band_hashes, banding, near_duplicates, spanning_links, without_duplicates
 from gridloom.llm.neighbours import balanced_parts, nearest_neighbours
-from gridloom.llm.packing import TERMS, Index, pack_documents
-from gridloom.llm.pii import pseudonymise
+from gridloom.llm.packing import ROUTE_TERMS, TERMS, Index, Router, fit_router, pack_documents
+from gridloom.llm.pii import KEY_SETTING, pseudonymise
 from gridloom.llm.quality import quality_rules, without_low_quality
-from gridloom.llm.repair import compress, decode_slice, encode_to_files, expand
+from gridloom.llm.repair import LEAST, compress, decode_slice, encode_to_files, expand
 from gridloom.llm.sharding import karmarkar_karp, shard_documents
 from gridloom.llm.toxicity import toxicity, without_toxic
 from gridloom.llm.words import Words
@@ -69,6 +69,34 @@ def words(text, lower=False):
     return re.findall(r"[^\x20\x09-\x0D]+", text)
 
 
+def thue_morse(n, letters="ab"):
+    """A word, and the one with its two letters exchanged: sums of powers modulo 2**64 do not tell them apart."""
+    bits = [k.bit_count() % 2 for k in range(n)]
+    return ["".join(letters[b ^ x] for b in bits) for x in (0, 1)]
+
+
+def test_words_of_equal_polynomials_are_told_apart(spark, tokenizer):
+    for n in (1024, 4096, 8192):
+        one, two = thue_morse(n)
+        assert len(set(Words([one, two]).hashes.tolist())) == 2
+        ids, count = loaded(Q.TOKENIZER).encode([one, two, f"{one} {two}"])
+        want = [tokenizer.encode(t, add_special_tokens=False).ids for t in (one, two, f"{one} {two}")]
+        assert ids.tolist() == [i for w in want for i in w] and count.tolist() == [len(w) for w in want]
+    rows = [(1, one), (2, two), (3, f"{one}\n{two}\n{one} x"), (4, "a b c d"), (5, "a b c d")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    assert {(r.doc_id, r.component_id) for r in near_duplicates(df, width=3, percent=85).collect()} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
+    assert {r.doc_id: r.n_dup_lines for r in quality_rules(df).collect()} == dict.fromkeys(range(1, 6), 0)
+    files = {r.doc_id: r.ids for r in encode_to_files(df, Q.TOKENIZER).collect()}
+    assert all(files[i] == np.array(tokenizer.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes() for i, t in rows)
+
+
+def test_hashes_of_words_of_all_lengths_differ():
+    words = [x * n for x in ("a", "b", "é", "\x01") for n in range(1, 40)] + ["a" * k + "\0" * j for k in range(1, 12) for j in range(1, 9)]
+    found = Words([" ".join(words)])
+    assert len(set(found.hashes.tolist())) == len(set(words)) == len(found.hashes)
+    assert [Words([w]).hashes[0] for w in words] == found.hashes.tolist()
+
+
 # ---- near duplicates
 
 
@@ -132,6 +160,26 @@ def test_components_of_chains_and_hubs(spark):
     assert got == {k: 1 for k in range(1, 61)} | {k: 100 for k in range(100, 160)}
 
 
+def test_components_of_a_hot_hub(spark):
+    edges = [(k, 7) for k in range(100, 3100)] + [(k, k + 5000) for k in range(100, 200)] + [(8, 9)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys([7, *range(100, 3100), *range(5100, 5200)], 7) | {8: 8, 9: 8}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_share_a_bucket(percent):
+    """Sets from 7 to 600 shingles, as unlike as a link allows."""
+    rng, (rows, bands), missed = np.random.default_rng(percent), banding(percent), 0
+    for size in (7, 12, 30, 90, 300, 600):
+        for _ in range(60):
+            values = rng.integers(0, 2**63, 2 * size).astype(np.uint64)
+            apart = int(size * (100 - percent) / (100 + percent))  # on either side
+            both = [np.sort(np.concatenate((values[: size - apart], values[size + k * apart : size + (k + 1) * apart]))) for k in (0, 1)]
+            keys = band_hashes(np.repeat([0, 1], [len(b) for b in both]), np.concatenate(both), 2, rows, bands)
+            missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.sets(st.integers(0, 12), min_size=1), min_size=1, max_size=12))
 def test_spanning_links_span_all_links(sets):
@@ -156,6 +204,26 @@ def test_karmarkar_karp_two_way():
     assert abs(sums[0] - sums[1]) == 2 and karmarkar_karp([], 3) == [] and len(set(karmarkar_karp([5, 5, 5], 3))) == 3
 
 
+def test_karmarkar_karp_against_a_plain_version():
+    """Partitions as lists of (sum, items), the two of largest spread combined until one is left."""
+    rng = np.random.default_rng(3)
+    for k in (2, 3, 5):
+        for _ in range(20):
+            sizes = rng.integers(1, 60, rng.integers(1, 14)).tolist()
+            left = [[(size, [i])] + [(0, [])] * (k - 1) for i, size in enumerate(sizes)]
+            born = list(range(len(left)))
+            while len(left) > 1:
+                order = sorted(range(len(left)), key=lambda i: (left[i][-1][0] - left[i][0][0], born[i]))
+                one, two = left[order[0]], left[order[1]]
+                mixed = sorted([(a + b, x + y) for (a, x), (b, y) in zip(one, reversed(two), strict=True)], key=lambda p: -p[0])
+                least = mixed[-1][0]
+                born = [born[i] for i in range(len(left)) if i not in order[:2]] + [max(born) + 1]
+                left = [left[i] for i in range(len(left)) if i not in order[:2]] + [[(s - least, x) for s, x in mixed]]
+            got = karmarkar_karp(sizes, k)
+            loads = sorted(sum(s for s, p in zip(sizes, got, strict=True) if p == q) for q in range(k))
+            assert loads == sorted(sum(sizes[i] for i in items) for _, items in left[0])
+
+
 def test_sharding_is_whole_and_balanced(docs, texts):
     rows = shard_documents(docs).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts)
@@ -221,6 +289,22 @@ def test_quality_tests_classes_without_common_words(spark, tmp_path):
     assert [d for d, k in kept.items() if not k] == [30]
 
 
+def test_quality_of_small_languages_does_not_hang_on_the_corpus(spark):
+    """A text of a language with few words keeps its verdict, whatever else is in the table."""
+    rng = np.random.default_rng(5)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(80))
+
+    small = [(k, text("aeioklmnp"), "fi-FI") for k in range(30)] + [(30, text("#$%&<>|*12345"), "fi")]
+    common = [(100 + k, " ".join(["the", "of", "and"] * 50 + [text("rstuvw")]), "en") for k in range(60)]
+    verdicts = []
+    for rows in (small, small + common):
+        got = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        verdicts.append([got[k] for k in range(31)])
+    assert verdicts == [[True] * 30 + [False]] * 2
+
+
 def test_quality_odd_rows(odd, none):
     got = quality_rules(odd).collect()
     assert sorted((r.doc_id or 0, r.n_words) for r in got) == sorted((i or 0, len(words(t))) for i, t in ODD)
@@ -272,12 +356,40 @@ def test_bpe_equals_the_library_on_odd_texts(texts):
     assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
+def test_bpe_equals_the_library_on_code_points_and_marks(tokenizer):
+    """Letters of late versions of Unicode, each mark, and sequences of marks, which the library orders by its own tables."""
+    pick = random.Random(8)
+    points = [c for c in [*range(1, 0x3200), *range(0xA000, 0xAC00), *range(0xF900, 0x13500), *range(0x1E000, 0x1FC00), 0x2FA1D, 0xE0001, 0x10FFFF] if not 0xD800 <= c < 0xE000]
+    marks = [chr(c) for c in [*range(0x300, 0x370), *range(0x8D0, 0x900), *range(0x1DC0, 0x1E00), 0x315, 0x1161, 0x11A8, 0x3099]]
+    texts = [f"a{chr(c)}b" for c in points]
+    texts += ["".join(pick.choice(pick.choice((marks, "aeAO가ᄀ", [chr(pick.choice(points))]))) for _ in range(9)) for _ in range(3000)]
+    ids, count = loaded(Q.TOKENIZER).encode(texts)
+    want = [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    at = np.concatenate(([0], np.cumsum(count)))
+    assert [t for t, w, a, b in zip(texts, want, at, at[1:], strict=False) if ids[a:b].tolist() != w] == []
+
+
+def test_bpe_of_long_words(tokenizer):
+    texts = ["x" * 30_000, "".join(random.Random(2).choices("abcdefgh", k=30_000)) + " and", "é!" * 800, "é" * 5000, "'" * 3000, "<|endoftext|>" * 300 + "᷺" * 1200]
+    ids, count = loaded(Q.TOKENIZER).encode(texts)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert count.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_bpe_odd_rows(odd, none):
     got = bpe_decode(bpe_encode(odd, Q.TOKENIZER), Q.TOKENIZER).collect()
     assert len(got) == len(ODD) and {(len(r.ids), r.decoded) for r in got if r.doc_id in (1, 2, 3)} == {(0, "")}
+    assert sorted((r.doc_id or 0) for r in got) == sorted((i or 0) for i, _ in ODD) and len({r.decoded for r in got if r.doc_id == 4}) == 1
     assert bpe_decode(bpe_encode(none, Q.TOKENIZER), Q.TOKENIZER).count() == 0
 
 
+def test_bpe_decode_odd_lists(spark):
+    df = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (3, [-1, 10**6, 320], "x"), (3, [320], "x")], "doc_id long, ids array<int>, decoded string")
+    got = bpe_decode(df, Q.TOKENIZER)
+    word = loaded(Q.TOKENIZER).names[320].as_py()
+    assert got.columns == ["doc_id", "ids", "decoded"] and [r.decoded for r in got.orderBy("doc_id", "ids").collect()] == [None, "", f"  {word}", word]
+
+
 @pytest.mark.parametrize("table", ["docs", "odd"])
 def test_packing_holds_every_id_once(request, table, tokenizer):
     docs = request.getfixturevalue(table)
@@ -325,20 +437,69 @@ def test_packing_scores_every_term_of_a_seed():
     assert index.neighbours(0, np.array([False, True, True, True])) == sorted((d for d in score if score[d]), key=lambda d: -score[d]) == [1, 2]
 
 
+def test_packing_order_is_that_of_plain_bm25():
+    """Neighbours by BM25 written out over dictionaries, with document frequencies of all texts."""
+    pick = random.Random(6)
+    texts = [" ".join(pick.choices([f"w{k}" for k in range(60)], weights=[1 / (k + 1) for k in range(60)], k=pick.randrange(1, 40))) for _ in range(50)]
+    tf = [collections.Counter(t.split()) for t in texts]
+    df, mean = collections.Counter(w for c in tf for w in c), sum(map(len, map(str.split, texts))) / len(texts)
+    idf = {w: np.log1p((len(texts) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    words = Words(texts, lower=True)
+    counted = np.zeros(TERMS, np.int64)
+    for w, n in df.items():
+        counted[int(Words([w]).hashes[0]) >> 46] += n
+    index = Index(words, counted, len(texts), mean)
+    for seed in range(50):
+        score = {d: sum(idf[w] * tf[d][w] * 2.2 / (tf[d][w] + 1.2 * (0.25 + 0.75 * sum(tf[d].values()) / mean)) for w in tf[seed]) for d in range(50) if d != seed and tf[d].keys() & tf[seed].keys()}
+        got = index.neighbours(seed, np.arange(50) != seed)
+        assert sorted(got) == sorted(score) and all(score[a] >= score[b] - 1e-9 for a, b in itertools.pairwise(got))
+
+
+def test_router_brings_topics_together(spark, none):
+    rng = np.random.default_rng(0)
+    rows = [(k, " ".join(f"topic{k % 4}word{w}" for w in rng.integers(0, 40, 60)) + " and some of the rest") for k in range(400)]
+    router = fit_router(spark.createDataFrame(rows, "id long, text string"))
+    held = collections.defaultdict(collections.Counter)
+    for k, text in rows:
+        bucket, tf = np.unique((Words([text]).hashes >> np.uint64(52)).astype(np.int64), return_counts=True)
+        leaf, _ = router(np.zeros(len(bucket), np.int64), bucket, tf, 1)
+        held[leaf[0]][k % 4] += 1
+    assert len(held) >= 4 and sum(max(c.values()) for c in held.values()) >= 0.98 * len(rows)
+    empty = fit_router(none.select("id", "text"))
+    assert empty(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 2)[0].tolist() == [0, 0]
+    assert Router(np.zeros(30, np.int64), np.arange(30), np.ones(30, np.int64), 1).leaves == 1 and ROUTE_TERMS <= TERMS
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 5), max_size=60), min_size=1, max_size=8), st.data())
 def test_repair_round_trip_and_random_access(docs, data):
     ids = np.array([i for d in docs for i in d], np.int64)
     cuts = np.concatenate(([0], np.cumsum([len(d) for d in docs])))
-    symbols, at, rules, expansion = compress(ids, cuts)
-    assert expand(symbols, rules).tolist() == ids.tolist()
+    symbols, at, rules, expansion = compress(ids, cuts, 6)
+    assert expand(symbols, rules, 6).tolist() == ids.tolist()
+    left = collections.Counter()  # pairs that stand apart from each other
     for k, d in enumerate(docs):
         own = symbols[at[k] : at[k + 1]]
-        assert expand(own, rules).tolist() == d
+        assert expand(own, rules, 6).tolist() == d
+        last = {}
+        for i, pair in enumerate(itertools.pairwise(own.tolist())):
+            if last.get(pair) != i - 1 or pair[0] != pair[1]:
+                left[pair], last[pair] = left[pair] + 1, i
         if d:
             start = data.draw(st.integers(0, len(d) - 1))
             length = data.draw(st.integers(1, len(d) - start))
-            assert decode_slice(own, rules, expansion, start, length).tolist() == d[start : start + length]
+            assert decode_slice(own, rules, expansion, 6, start, length).tolist() == d[start : start + length]
+    assert max(left.values(), default=0) < LEAST  # no pair pays for a rule
+
+
+def test_repair_writes_a_passage_once():
+    """A passage of 500 ids in 40 documents becomes one symbol in each."""
+    rng = np.random.default_rng(1)
+    passage = rng.permutation(30_000)[:500]
+    docs = [np.concatenate((rng.integers(30_000, 40_000, 20), passage, rng.integers(30_000, 40_000, 20))) for _ in range(40)]
+    ids, cuts = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    symbols, _, rules, expansion = compress(ids, cuts, 50_000)
+    assert len(symbols) == 40 * 41 and expansion.max() == 500 and (expand(symbols, rules, 50_000) == ids).all()
 
 
 def test_files_give_back_every_id_in_order(docs, texts, tokenizer, odd, none):
@@ -384,6 +545,15 @@ def test_neighbours_odd_rows(spark):
     assert nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(40, 3))
+    vectors[0], vectors[1], vectors[2], vectors[3:6] = [1e160, 0, 0], [1e160, 1e158, 0], [1.5e308, -1.5e308, 0], vectors[3:6] * 1e-200
+    table = spark.createDataFrame([(100 * i, v) for i, v in enumerate(vectors.tolist())], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in nearest_neighbours(table, k=39).collect()}
+    assert len(got) == 40 * 39 and got[0, 1] == (100, 1e158) and {got[300, 1][0], got[300, 2][0]} == {400, 500} and 0 < got[300, 1][1] < 1e-199
+
+
 @pytest.mark.parametrize("n", [1, 2, 11, 12, 24, 60])
 def test_neighbours_are_k_or_all_in_small_tables(spark, n):
     vectors = np.random.default_rng(n).normal(size=(n, 4))
@@ -424,6 +594,72 @@ def test_pseudonyms_keep_format_links_and_difference(spark):
         assert got[k].n_private == 9
 
 
+def plain_feistel(left, right, left_size, right_size, key, tweak):
+    for i in range(8):
+        mixed = int(hashlib.sha256(f"{key}:{tweak}:{i}:{right}".encode()).hexdigest()[:14], 16)
+        left, right = right, (left + mixed) % (left_size if i % 2 == 0 else right_size)
+    return left, right
+
+
+def plain_digits(digits, key, tweak):
+    u, v = len(digits) // 2, len(digits) - len(digits) // 2
+    a, b = plain_feistel(int(digits[:u]), int(digits[u:]), 10**u, 10**v, key, f"{tweak}{len(digits)}")
+    return f"{a:0{u}d}{b:0{v}d}"
+
+
+def test_pseudonyms_are_those_of_a_plain_feistel_network(spark):
+    pick, values, want = random.Random(7), [], []
+    for _ in range(40):
+        payload = "".join(pick.choices("0123456789", k=pick.randrange(12, 19)))
+        values.append(payload + next(c for c in "0123456789" if luhn(payload + c)))
+        new = plain_digits(payload, "k'1", "card")
+        want.append(new + next(c for c in "0123456789" if luhn(new + c)))
+        social = "".join(pick.choices("0123456789", k=9))
+        values.append(f"{social[:3]}-{social[3:5]}-{social[5:]}")
+        new = plain_digits(social, "k'1", "social")
+        want.append(f"{new[:3]}-{new[3:5]}-{new[5:]}")
+        phone = "".join(pick.choices("0123456789", k=10))
+        values.append(f"+1 ({phone[:3]}) {phone[3:6]}-{phone[6:]}")
+        new = plain_digits(phone, "k'1", "phone")
+        want.append(f"+1 ({new[:3]}) {new[3:6]}-{new[6:]}")
+        octets = [pick.randrange(256) for _ in range(4)]
+        values.append(".".join(map(str, octets)))
+        a, b = plain_feistel(octets[0] * 256 + octets[1], octets[2] * 256 + octets[3], 65536, 65536, "k'1", "address")
+        want.append(f"{a // 256}.{a % 256}.{b // 256}.{b % 256}")
+        day = pick.randrange(150 * 487)
+        values.append(str(np.datetime64("1900-01-01") + day))
+        a, b = plain_feistel(day // 487, day % 487, 150, 487, "k'1", "date")
+        want.append(str(np.datetime64("1900-01-01") + (a * 487 + b)))
+        name = f"x{pick.randrange(10**6)}@Mail.example.com"
+        values.append(name)
+        want.append("user" + hashlib.sha256(f"k'1:mail:{name.lower()}".encode()).hexdigest()[:12] + "@example.invalid")
+    df = spark.createDataFrame([(k, f"so {v}, then") for k, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pseudonymise(df, key="k'1").collect()}
+    assert [got[k] for k in range(len(values))] == [f"so {w}, then" for w in want]
+
+
+def test_pseudonyms_of_long_runs(spark):
+    """Values and runs that would need a deep stack, or time with the square of their length."""
+    texts = ["x@a" + ".a" * 100_000, "1" * 1_000_000, "1." * 300_000, "@" * 500_000, "a@" * 300_000, "1-" * 300_000, "+1 " * 200_000, "x@y.org 10.0.0.1 " * 20_000]
+    got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
+    assert got[0].n_private == 1 and re.fullmatch(r"user[0-9a-f]{12}@example\.invalid", got[0].text) and got[7].n_private == 40_000
+    assert all(got[k].text == texts[k] for k in (1, 3, 5))
+
+
+def test_pseudonyms_need_a_key(spark):
+    df = spark.createDataFrame([(1, "a@b.org", "kept")], "doc_id long, text string, _found string")
+    with pytest.raises(ValueError, match="key"):
+        pseudonymise(df, key="")
+    one, two = (pseudonymise(df).first().text for _ in range(2))
+    assert one != two  # drawn each time
+    spark.conf.set(KEY_SETTING, "mine")
+    try:
+        row = pseudonymise(df).first()
+        assert row.text == pseudonymise(df, key="mine").first().text and row._found == "kept"
+    finally:
+        spark.conf.unset(KEY_SETTING)
+
+
 def test_date_pseudonyms_are_a_permutation(spark):
     days = spark.sql("SELECT explode(sequence(date'2019-11-01', date'2021-03-01')) AS d").selectExpr("row_number() OVER (ORDER BY d) AS doc_id", "cast(d AS string) AS text")
     got = [r.text for r in pseudonymise(days).collect()]
@@ -509,9 +745,24 @@ def test_license_windows_match_brute_force(spark):
 # ---- the pipeline
 
 
+def test_pipeline_stages_on_odd_rows_and_empty_tables(odd, none):
+    import corpus_pipeline
+
+    for name, stage in corpus_pipeline.STAGES:
+        for df in (odd, none):
+            got = stage(df.sparkSession, df, SF)
+            n = got.count()
+            if name != "packing":
+                assert got.columns == df.columns
+            assert n == {"quality": 0}.get(name, df.count()) or name in ("packing", "near_dedup", "quality") and df is odd
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(odd.sparkSession, odd, SF).collect()}
+    assert kept == {r.doc_id for r in odd.collect()} - {7}
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs):
     import corpus_pipeline
 
+    spark.conf.set(KEY_SETTING, "of this test")
     now, seen = docs, []
     for name, stage in corpus_pipeline.STAGES:
         after = stage(spark, now, SF).persist()
@@ -523,4 +774,5 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs):
     assert seen[0][1] > 0.8 * docs.count() and seen[2][1] == seen[3][1]
     # How documents are cut depends on the partitions; their tokens do not.
     tokens = [df.groupBy("doc_id").agg({"length": "sum"}).collect() for df in (after, corpus_pipeline.run(spark, SF))]
+    spark.conf.unset(KEY_SETTING)
     assert sorted(tokens[0]) == sorted(tokens[1])

@@ -4,8 +4,8 @@
    of its hashed tf-idf vector with the direction in which the node's sample spreads most. Leaves are numbered so that
    like ones are beside each other.
 2. One pass over all texts counts document frequencies and gives each document its leaf and its product at the last node.
-   Documents are range-partitioned and sorted by these, and last by their row, so that a leaf of any size, or copies of
-   one text, are spread evenly over tasks and each run of documents is lexically close.
+   Documents are dealt in the order of these to partitions of near equal bytes, and last by their row, so that a leaf of
+   any size, long documents, or copies of one text are spread evenly over tasks and each run of documents is lexically close.
 3. A task indexes runs of bounded size (the shards of the index). A shard's inverted index holds BM25 weights; the
    seed of a window asks it for the most similar documents that are not used yet, and these fill the window in order of
    their score. A document that does not fit is cut, and its rest seeds the next window, so that only the last window
@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.window import Window
 
 from .bpe import loaded, spread
 from .shared import chunks, mapped, packed, stored, strings
@@ -37,6 +38,8 @@ TERMS, ROUTE_TERMS = 1 << 18, 1 << 12
 SAMPLE, DEPTH, LEAST_NODE = 3000, 8, 24
 #: A shard's texts in bytes, about: documents that can meet in a window.
 BLOCK_BYTES = 2_000_000
+#: Texts of a partition in bytes, about; steps in which a leaf's products are counted when partitions are laid out.
+PARTITION_BYTES, STEPS = 16_000_000, 64
 K1, B = 1.2, 0.75
 
 
@@ -169,6 +172,21 @@ def _routed(own: DataFrame, kind: str) -> tuple[DataFrame, np.ndarray, int, floa
     return stage.where("term IS NULL").drop("term", "n"), df, docs, length / max(1, docs)
 
 
+def _dealt(routed: DataFrame) -> DataFrame:
+    """routed in partitions of about PARTITION_BYTES, in the order of leaf and product; a step of equal products that is
+    larger than a partition is dealt to several by its rows."""
+    step = F.floor((F.greatest(F.lit(-1.0), F.least(F.lit(0.999), F.col("last"))) + 1) * (STEPS / 2)).cast("int")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
+    routed = routed.withColumn("step", step)
+    counted = routed.groupBy("leaf", "step").agg(F.sum(size).alias("size"))  # 2**DEPTH leaves of STEPS steps at most
+    before = F.sum("size").over(Window.orderBy("leaf", "step")) - F.col("size")
+    low, high = F.floor(before / PARTITION_BYTES), F.floor((before + F.col("size") - 1) / PARTITION_BYTES)
+    laid = stored(counted.select("leaf", "step", low.cast("int").alias("low"), (high - low + 1).cast("int").alias("parts")), "layout")
+    n = laid.agg(F.max(F.expr("low + parts"))).first()[0] or 1
+    part = F.col("low") + F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
+    return routed.join(F.broadcast(laid), ["leaf", "step"]).withColumn("part", part).repartitionById(n, "part").drop("step", "low", "parts", "part")
+
+
 class Index:
     """BM25 over one shard; ``neighbours`` gives the documents that are still unused, best first."""
 
@@ -178,17 +196,26 @@ class Index:
         self.weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * words.counts[self.doc] / max(mean, 1e-9)))
         self.first = np.searchsorted(self.doc, np.arange(len(words.counts) + 1))
         order = np.argsort(term, kind="stable")
-        self.holders, self.held = self.doc[order], self.weight[order]
         new = np.ones(len(order), bool)
         new[1:] = term[order[1:]] != term[order[:-1]]
         self.term = np.empty(len(order), np.int64)
-        self.term[order] = np.cumsum(new) - 1
-        self.start = np.append(np.flatnonzero(new), len(order))
+        self.term[order] = number = np.cumsum(new) - 1
+        # Terms that more than an eighth of the documents hold are columns of a matrix, the others have postings.
+        held_by = np.bincount(number, minlength=1)
+        column = np.cumsum(held_by > len(words.counts) // 8) - 1
+        wide = (held_by > len(words.counts) // 8)[self.term]
+        self.dense = np.zeros((len(words.counts), column[-1] + 1))
+        self.dense[self.doc[wide], column[self.term[wide]]] = self.weight[wide]
+        order = order[~wide[order]]
+        self.holders, self.held = self.doc[order], self.weight[order]
+        self.start = np.searchsorted(self.term[order], np.arange(len(held_by) + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
+        """All unused documents that share a term with the seed, by falling score, of equal ones in their order."""
         term = self.term[self.first[seed] : self.first[seed + 1]]
         at = spread(self.start[term], self.start[term + 1] - self.start[term])
-        score = np.bincount(self.holders[at], weights=self.held[at], minlength=len(unused)) * unused
+        score = np.bincount(self.holders[at], weights=self.held[at], minlength=len(unused))
+        score = (score + self.dense @ (self.dense[seed] > 0)) * unused
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")].tolist()
 
@@ -242,7 +269,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["id"].dataType.simpleString()
     routed, df, n, mean = _routed(own, kind)
-    ordered = routed.repartitionByRange("leaf", "last", "row").sortWithinPartitions("leaf", "last", "row").select("id", "text")
+    ordered = _dealt(routed).sortWithinPartitions("leaf", "last", "row").select("id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(df)
 
     def work(batches):

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .shared import chunks, mapped, strings
-from .words import halves, hashes, runs, utf8_offsets
+from .words import halves, hashes, owners, runs, utf8_offsets
 
 _NEVER = np.int64(1 << 40)
 #: Characters of the words that a process keeps encoded, about: some 400,000 words.
@@ -51,6 +51,20 @@ def _confirmed(found: list[int], holds) -> list[int]:
     return _confirmed(found[:half], holds) + _confirmed(found[half:], holds)
 
 
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first index of each group of keys that agree in their leading bits, group of each key).
+
+    The keys' last bits give way to their index, as sorting values is cheaper than finding their order."""
+    bits = np.uint64(len(keys).bit_length())
+    whole = np.sort(keys >> bits << bits | np.arange(len(keys), dtype=np.uint64))
+    order, top = (whole & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), whole >> bits
+    new = np.ones(len(keys), bool)
+    new[1:] = top[1:] != top[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 class _Rows(dict):
     """word -> row; a word that is new gets the next row and is noted in ``fresh``."""
 
@@ -313,7 +327,7 @@ class Bpe:
         short = high - low <= 16
         own = [*halves(raw, low, high), high - low]
         keys = np.where(short, hashes(raw, low, np.where(short, high, low), (own[0], own[1])), 0)
-        _, where, back = np.unique(keys, return_index=True, return_inverse=True)
+        where, back = _groups(keys)
         known, *parts, row = self.known
         place = np.minimum(np.searchsorted(known, keys[where]), len(known) - 1)
         met = known[place] == keys[where]
@@ -457,7 +471,7 @@ class Bpe:
         ends = np.concatenate((letter_end[left], other_end, single + 1))
         order = np.argsort(starts, kind="stable")
         starts, ends = starts[order], ends[order]
-        return self.spans(whole, points, starts, ends), np.searchsorted(first, starts, "right") - 1
+        return self.spans(whole, points, starts, ends), owners(starts, first)[0]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, one after the other; number of each text)."""

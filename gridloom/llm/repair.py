@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import loaded
+from .bpe import loaded, spread
 from .packing import _with_end
 from .shared import chunks, mapped, new_folder, packed, strings
 
@@ -33,11 +33,11 @@ LEAST = 4
 SHARD_BYTES = 4_000_000
 
 
-def _uncounted(live: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def _uncounted(live: np.ndarray, after: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Indices of the places (in order) that do not count: in a run of one symbol, where pairs overlap, every other one."""
     twin = np.flatnonzero(left == right)
     follows = np.zeros(len(twin), bool)
-    follows[1:] = (live[twin[1:]] == live[twin[:-1]] + 1) & (left[twin[1:]] == left[twin[:-1]])
+    follows[1:] = after[twin[:-1]] == live[twin[1:]]
     start = np.maximum.accumulate(np.where(follows, 0, np.arange(len(twin))))
     return twin[(np.arange(len(twin)) - start) % 2 == 1]
 
@@ -63,15 +63,19 @@ def compress(ids: np.ndarray, cuts: np.ndarray, first_rule: int) -> tuple[np.nda
     does at once what the pairs one by one would do in places apart. A pair that is too rare can only become rarer,
     so its places are not looked at again. ``cuts`` are the bounds of the documents in ids, and in symbols.
     """
-    symbols, cuts = ids.astype(np.int32), cuts.astype(np.int64)
-    end = np.zeros(len(symbols), bool)  # the last symbol of a document pairs with nothing
-    end[cuts[1:][cuts[1:] > cuts[:-1]] - 1] = True
+    n, symbols, cuts = len(ids), ids.astype(np.int32), cuts.astype(np.int64)
+    # Symbols keep their places and are linked to those beside them in their document; -1 is none, and marks what is gone.
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    some = cuts[1:] > cuts[:-1]
+    after[cuts[1:][some] - 1] = before[cuts[:-1][some]] = -1
     rules, size, count = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)], first_rule
     lengths = np.ones(first_rule, np.int64)
-    live = np.flatnonzero(~end)
+    weight, touched = np.zeros(n + 1, np.int32), np.zeros(n, bool)
+    live = np.flatnonzero(after >= 0)
     while len(live):
-        left, right = symbols[live].astype(np.int64), symbols[live + 1].astype(np.int64)
-        out = _uncounted(live, left, right)
+        right_at = after[live]
+        left, right = symbols[live].astype(np.int64), symbols[right_at].astype(np.int64)
+        out = _uncounted(live, right_at, left, right)
         order, pair = _by_pair(left, right, count)
         first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         places = np.diff(np.append(first, len(pair)))
@@ -83,37 +87,67 @@ def compress(ids: np.ndarray, cuts: np.ndarray, first_rule: int) -> tuple[np.nda
         group = np.flatnonzero(often >= LEAST)
         if not len(group):
             break
-        # 1, 2, .. from the rarest frequent pair on, at every place that counts; 0 elsewhere, and at one more place at either end.
+        # 1, 2, .. from the rarest frequent pair on, at every place that counts; 0 elsewhere.
         by_rank = group[np.argsort(often[group], kind="stable")]
         rank = np.zeros(len(first), np.int32)
         rank[by_rank] = np.arange(1, len(group) + 1)
-        weight = np.zeros(len(symbols) + 2, np.int32)
-        weight[live[order] + 1] = np.repeat(rank, places)
-        weight[live[out] + 1] = 0
-        own = weight[1:-1]
-        at = np.flatnonzero((own > weight[:-2]) & (own > weight[2:]))
-        pays = np.bincount(own[at], minlength=len(group) + 1) >= LEAST
-        at = at[pays[own[at]]]
+        own = np.empty(len(live), np.int32)
+        own[order] = np.repeat(rank, places)
+        own[out] = 0
+        weight[live] = own
+        best = np.flatnonzero((own > weight[before[live]]) & (own > weight[right_at]))  # weight[-1] is 0
+        weight[live] = 0
+        pays = np.bincount(own[best], minlength=len(group) + 1) >= LEAST
+        best = best[pays[own[best]]]
+        at, gone = live[best], right_at[best]
         chosen = np.flatnonzero(pays)
         pairs = pair[first[by_rank[chosen - 1]]]
         fresh = np.stack((pairs >> 32, pairs & 0xFFFFFFFF), axis=1)
         rules.append(fresh)
         size.append(lengths[fresh[:, 0]] + lengths[fresh[:, 1]])
         lengths = np.concatenate((lengths, size[-1]))
-        touched = own > 0
-        touched[live[out]] = True
-        symbols[at] = (count + np.cumsum(pays) - 1)[own[at]]
+        symbols[at] = (count + np.cumsum(pays) - 1)[own[best]]
+        symbols[gone] = -1
         count += len(fresh)
-        end[at] = end[at + 1]
-        stays = np.ones(len(symbols), bool)
-        stays[at + 1] = False
-        before = at[at > 0] - 1
-        before -= ~stays[before]  # the symbol before a pair may be the second of another
-        touched[at] = touched[before] = True
-        cuts = np.concatenate(([0], np.cumsum(stays)))[cuts]
-        symbols, end, touched = symbols[stays], end[stays], touched[stays]
-        live = np.flatnonzero(touched & ~end)
-    return symbols.astype(np.int64), cuts, np.concatenate(rules), np.concatenate(size)
+        next_at = after[gone]
+        after[at] = next_at
+        before[next_at[next_at >= 0]] = at[next_at >= 0]
+        beside = before[at]
+        touched[live[own > 0]] = touched[live[out]] = touched[at] = touched[beside[beside >= 0]] = True
+        live = np.flatnonzero(touched)
+        touched[live] = False
+        live = live[(symbols[live] >= 0) & (after[live] >= 0)]
+    stays = symbols >= 0
+    return symbols[stays].astype(np.int64), np.concatenate(([0], np.cumsum(stays)))[cuts], np.concatenate(rules), np.concatenate(size)
+
+
+#: Ids of all rules that are expanded at once; a grammar with more is expanded level by level.
+_POOL_IDS = 20_000_000
+
+
+class Expander:
+    """The ids of the rules of a grammar."""
+
+    def __init__(self, rules: np.ndarray, expansion: np.ndarray, first_rule: int):
+        self.rules, self.first_rule, self.pool = rules, first_rule, None
+        if expansion.sum() > _POOL_IDS:
+            return
+        self.size = np.concatenate((np.ones(first_rule, np.int64), expansion))
+        self.start = np.cumsum(self.size) - self.size
+        self.pool = np.empty(int(self.size.sum()), np.int32)
+        self.pool[:first_rule] = np.arange(first_rule)
+        low = first_rule  # rules up to here are expanded; those that hold only such ones come next
+        while low < first_rule + len(rules):
+            held = rules[low - first_rule :].max(axis=1)
+            high = low + (int(np.argmax(held >= low)) if (held >= low).any() else len(held))
+            part = rules[low - first_rule : high - first_rule].ravel()
+            self.pool[self.start[low] : self.start[high - 1] + self.size[high - 1]] = self.pool[spread(self.start[part], self.size[part])]
+            low = high
+
+    def __call__(self, symbols: np.ndarray) -> np.ndarray:
+        if self.pool is not None:
+            return self.pool[spread(self.start[symbols], self.size[symbols])]
+        return expand(symbols, self.rules, self.first_rule)
 
 
 def expand(symbols: np.ndarray, rules: np.ndarray, first_rule: int) -> np.ndarray:
@@ -187,13 +221,14 @@ def read_ids(spark: SparkSession, at: str, id_col: str = "doc_id") -> DataFrame:
             for k in range(batch.num_rows):
                 row = {name: batch[name][k] for name in batch.schema.names}
                 rules = np.frombuffer(row["rules"].as_py(), "<u4").astype(np.int64).reshape(-1, 2)
+                expanded = Expander(rules, np.frombuffer(row["expansion"].as_py(), "<u4").astype(np.int64), row["first_rule"].as_py())
                 lengths, cuts = row["lengths"].values.to_numpy(), row["cuts"].values.to_numpy()
                 symbols = np.frombuffer(row["symbols"].as_py(), "<u4")
                 start = row["part_before"].as_py() + row["ids_before"].as_py() + np.cumsum(lengths) - lengths
                 doc_ids, low = row["doc_ids"].values, 0
                 while low < len(lengths):  # some documents at a time
                     high = max(low + 1, int(np.searchsorted(np.cumsum(lengths[low:]), _READ_IDS, "right")) + low)
-                    ids = expand(symbols[cuts[low] : cuts[high]].astype(np.int64), rules, row["first_rule"].as_py())
+                    ids = expanded(symbols[cuts[low] : cuts[high]].astype(np.int64))
                     yield pa.RecordBatch.from_arrays([doc_ids.slice(low, high - low), pa.array(start[low:high]), packed(ids, lengths[low:high])], names=[id_col, "start", "ids"])
                     low = high
 

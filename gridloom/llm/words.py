@@ -67,6 +67,12 @@ def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def owners(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which text each place lies in, places of each text); places are in order, ``first`` is where each text begins."""
+    counts = np.diff(np.append(np.searchsorted(at, first), len(at)))
+    return np.repeat(np.arange(len(first)), counts), counts
+
+
 #: Bytes that part words: space and the five control characters from tab to carriage return.
 PART = np.zeros(256, bool)
 PART[[0x20, *range(0x09, 0x0E)]] = True
@@ -83,9 +89,8 @@ class Words:
         self.bytes = np.frombuffer(whole, np.uint8)
         self.offsets = np.concatenate(([0], np.cumsum(self.sizes + 1)))[: len(raw)] if raw else np.zeros(0, np.int64)
         self.starts, self.ends = runs(~PART[self.bytes])
-        self.doc = np.searchsorted(self.offsets, self.starts, "right") - 1
+        self.doc, self.counts = owners(self.starts, self.offsets)
         self.hashes = hashes(whole, self.starts, self.ends)
-        self.counts = np.bincount(self.doc, minlength=len(raw)) if raw else np.zeros(0, np.int64)
         self.first = np.concatenate(([0], np.cumsum(self.counts)))  # of each text, in words
 
     def shingles(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -7,51 +7,53 @@ from pyspark.sql import functions as F
 
 from .shared import discard, new_folder, stored
 
-#: A node with one in so many of the edges is hot; as an edge has two ends, there are twice as many hot nodes at most.
-HOT_SHARE = 1000
-#: Nodes of fewer pairs are never hot.
-HOT_LEAST = 256
 
+class _Tables:
+    """Stage tables that are deleted when nothing reads them any more."""
 
-def _to_least(pairs: DataFrame, bound: int | None) -> DataFrame:
+    def __init__(self, spark):
+        self.spark, self.paths = spark, []
+
+    def put(self, df: DataFrame) -> DataFrame:
+        self.paths.append(new_folder(self.spark, "edges"))
+        return stored(df, "edges", self.paths[-1])
+
+    def clear(self, keep: int = 0) -> None:
+        """Deletes all but the last ``keep``."""
+        gone = self.paths[: len(self.paths) - keep]
+        for path in gone:
+            discard(self.spark, path)
+        self.paths = self.paths[len(gone) :]
+
+
+def _to_least(pairs: DataFrame, tables: _Tables) -> DataFrame:
     """pairs (u, v): for each u the least node among u and its v, as m.
 
-    Minima are pre-aggregated in each task. Where some node has ``bound`` pairs or more, the pairs of such hot nodes meet
-    their minimum by a broadcast of those few nodes, and do not gather in the task of one key.
+    Minima are pre-aggregated in each task and written first: the join then has a shuffle of its own on both sides, of
+    which the part of a hot u can be split at run time.
     """
-    counted = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-    if bound is None:
-        return pairs.join(counted.drop("c"), "u")
-    hot = counted.where(F.col("c") >= bound).select("u", F.col("m").alias("hot"))  # 2 * HOT_SHARE rows at most
-    marked = pairs.join(F.broadcast(hot), "u", "left")
-    cold = marked.where("hot IS NULL").drop("hot").join(counted.where(F.col("c") < bound).drop("c"), "u")
-    return marked.where("hot IS NOT NULL").selectExpr("u", "v", "hot AS m").unionByName(cold)
+    least = tables.put(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return pairs.join(least, "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of 64-bit ids -> (node, root): root is the least node reachable; only nodes of an edge appear.
 
-    Null ends and loops are ignored; repeated edges are one. Every round is written to the shared folder, and the one
-    before it is deleted, so neither the lineage nor the driver nor the folder grows: the driver sees a count and a
+    Null ends and loops are ignored; repeated edges are one. Every step is written to the shared folder, and what no step
+    reads any more is deleted, so neither the lineage nor the driver nor the folder grows: the driver sees a count and a
     checksum of the edges. Rounds go on until nothing changes, some log n of them.
     """
-    spark = edges.sparkSession
-    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    path = new_folder(spark, "edges")
-    now = stored(ordered, "edges", path)
+    tables = _Tables(edges.sparkSession)
+    now = tables.put(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             return now.selectExpr("a AS node", "b AS root").unionAll(now.selectExpr("b AS node", "b AS root")).distinct()
-        seen, old = state, path
+        seen = state
         both = now.selectExpr("a AS u", "b AS v").unionAll(now.selectExpr("b AS u", "a AS v"))
-        bound = max(HOT_LEAST, state[0] // HOT_SHARE)
-        widest = both.groupBy("u").count().agg(F.max("count")).first()[0] or 0
-        bound = bound if widest >= bound else None
-        large = _to_least(both, bound).where("v > u").selectExpr("v AS u", "m AS v").distinct()
-        small = _to_least(large, bound)
+        large = tables.put(_to_least(both, tables).where("v > u").selectExpr("v AS u", "m AS v").distinct())
+        small = _to_least(large, tables)
         small = small.where("v <> m").selectExpr("v AS a", "m AS b").unionAll(small.selectExpr("u AS a", "m AS b"))
-        path = new_folder(spark, "edges")
-        now = stored(small.where("a <> b").distinct(), "edges", path)
-        discard(spark, old)
+        now = tables.put(small.where("a <> b").distinct())
+        tables.clear(keep=1)

@@ -33,9 +33,9 @@ from .shared import chunks, mapped, packed, stored, strings
 from .words import Words
 
 #: Buckets of document frequencies, and of the router's vectors.
-TERMS, ROUTE_TERMS = 1 << 18, 1 << 12
+TERMS, ROUTE_TERMS = 1 << 18, 1 << 11
 #: Documents that the router is fitted on, about; its depth, and the fewest documents of a node that is halved.
-SAMPLE, DEPTH, LEAST_NODE = 3000, 8, 24
+SAMPLE, DEPTH, LEAST_NODE = 2000, 8, 24
 #: A shard's texts in bytes, about: documents that can meet in a window.
 BLOCK_BYTES = 2_000_000
 #: Texts of a partition in bytes, about; steps in which a leaf's products are counted when partitions are laid out.

@@ -461,7 +461,7 @@ def test_router_brings_topics_together(spark, none):
     router = fit_router(spark.createDataFrame(rows, "id long, text string"))
     held = collections.defaultdict(collections.Counter)
     for k, text in rows:
-        bucket, tf = np.unique((Words([text]).hashes >> np.uint64(52)).astype(np.int64), return_counts=True)
+        bucket, tf = np.unique((Words([text]).hashes >> np.uint64(53)).astype(np.int64), return_counts=True)
         leaf, _ = router(np.zeros(len(bucket), np.int64), bucket, tf, 1)
         held[leaf[0]][k % 4] += 1
     assert len(held) >= 4 and sum(max(c.values()) for c in held.values()) >= 0.98 * len(rows)

@@ -24,6 +24,16 @@ def moment(form: str) -> Column:
     return F.expr(f"cast(try_to_timestamp(concat(trim(date), ' ', trim(time)), '{form} HH:mm') AS timestamp_ntz)")
 
 
+def instant(local: Column, zone: str) -> Column:
+    """A zone-free local time of ``zone`` as a zone-free time of UTC."""
+    return F.to_utc_timestamp(local.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
+def local_time(utc: Column, zone: str) -> Column:
+    """The other way round: a zone-free time of UTC as local time of ``zone``."""
+    return F.from_utc_timestamp(utc.cast("timestamp"), zone).cast("timestamp_ntz")
+
+
 def reasons(ranges: dict[str, tuple[float, float]], *extra: tuple[str, Column]) -> Column:
     """A text with one entry per broken rule, in the rules' order; null values break no range."""
     terms = [F.when((F.col(c) < lo) | (F.col(c) > hi), F.lit(f"{c}_out_of_range;")).otherwise("") for c, (lo, hi) in ranges.items()]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import STATIC_COLUMNS
+from . import ranks
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -50,12 +51,13 @@ def grid_completeness(df: DataFrame, entity: str = "road_id", time: str = "times
 
 def null_outliers(df: DataFrame, columns: list[str], threshold: float = 5.0, entity: str = "road_id") -> DataFrame:
     """Values more than ``threshold`` sample deviations from their entity's mean become null; without spread none do."""
-    whole = Window.partitionBy(entity)
+    spread = df.groupBy(entity).agg(*(F.avg(c).alias(f"_m_{c}") for c in columns), *(F.stddev_samp(c).alias(f"_s_{c}") for c in columns))
     out = {}
     for c in columns:
-        z = (F.col(c) - F.avg(c).over(whole)) / F.nullif(F.stddev_samp(c).over(whole), F.lit(0.0))
+        z = (F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0))
         out[c] = F.when(F.coalesce(F.abs(z) <= threshold, F.lit(True)), F.col(c))
-    return df.withColumns(out)
+    rows = df.join(spread.withColumnRenamed(entity, "_entity"), F.col(entity).eqNullSafe(F.col("_entity")), "left")
+    return rows.withColumns(out).drop("_entity", *(f"_{k}_{c}" for k in "ms" for c in columns))
 
 
 def interpolated(value: str, order: str, group: list[str], limit: int | None = None, mode: str = "prefix", edges: bool = False) -> Column:
@@ -65,10 +67,10 @@ def interpolated(value: str, order: str, group: list[str], limit: int | None = N
     without a limit all inner gaps are filled. ``edges`` gives leading and trailing rows the nearest value.
     """
     back = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy(*group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col(value).isNotNull(), F.col(order))
     before, before_at = F.last(value, True).over(back), F.last(at, True).over(back)
-    after, after_at = F.first(value, True).over(ahead), F.first(at, True).over(ahead)
+    after, after_at = F.last(value, True).over(ahead), F.last(at, True).over(ahead)  # a frame that only grows costs one step a row
     line = before + (after - before) * (F.col(order) - before_at) / F.nullif(after_at - before_at, F.lit(0))
     if limit is not None:
         gap = after_at - before_at - 1 if mode == "whole_gap" else F.col(order) - before_at
@@ -95,8 +97,8 @@ def fill_with_medians(df: DataFrame, columns: list[str], levels: list[list[str]]
     """
     source = df
     for level in levels:
-        medians = source.groupBy(*level).agg(*(F.median(c).alias(f"_{c}") for c in columns))
-        df = df.join(medians, level, "left") if level else df.crossJoin(F.broadcast(medians))  # one row
+        found = source.groupBy(*level).agg(*(F.median(c).alias(f"_{c}") for c in columns)) if level else ranks.medians(source, columns).select(*(F.col(c).alias(f"_{c}") for c in columns))
+        df = df.join(found, level, "left") if level else df.crossJoin(F.broadcast(found))  # one row
         df = df.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
     return df
 

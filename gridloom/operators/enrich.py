@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import condition_of, congestion_of, half_hour
+from . import ranks
 from .clean import interpolate
 
 MIX = {"2W": "share_2w", "Car": "share_car", "LCV": "share_lcv", "HCV": "share_hcv"}
@@ -71,8 +72,8 @@ def vehicle_mix(df: DataFrame, column: str = "vehicle_type_dist") -> DataFrame:
     """Shares of the vehicle kinds from a JSON object; without one, the share's median over the table."""
     parsed = F.from_json(column, "map<string,double>")
     out = df.withColumns({name: F.try_element_at(parsed, F.lit(key)) for key, name in MIX.items()})
-    medians = out.agg(*(F.median(c).alias(f"_{c}") for c in MIX.values()))  # one row
-    out = out.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(c, f"_{c}") for c in MIX.values()})
+    found = ranks.medians(out, list(MIX.values())).select(*(F.col(c).alias(f"_{c}") for c in MIX.values()))  # one row
+    out = out.crossJoin(F.broadcast(found)).withColumns({c: F.coalesce(c, f"_{c}") for c in MIX.values()})
     return out.drop(column, *(f"_{c}" for c in MIX.values()))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..config import CHANNELS, CONDITIONS, DEFAULT, TEMPERATURE_BANDS, Config
 from ..functions.columns import banded, flag, ordinal
+from . import ranks
 
 
 def along(entity: str = "road_id", time: str = "timestamp"):
@@ -127,8 +128,13 @@ def dataset(merged: DataFrame, config: Config = DEFAULT, strict: bool = False) -
 
 def fill_medians(df: DataFrame, columns: list[str]) -> DataFrame:
     """What is still null takes its column's exact median over the table; a column without values takes 0."""
-    medians = df.agg(*(F.coalesce(F.median(c), F.lit(0.0)).alias(f"_{c}") for c in columns))  # one row
-    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c).cast("double"), f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+    nulls = df.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns)).first()
+    holed = [c for c in columns if nulls[c]]  # medians are looked for only where something is to be filled
+    whole = df.withColumns({c: F.col(c).cast("double") for c in columns if c not in holed})
+    if not holed:
+        return whole
+    found = ranks.medians(df, holed).select(*(F.coalesce(c, F.lit(0.0)).alias(f"_{c}") for c in holed))  # one row
+    return whole.crossJoin(F.broadcast(found)).withColumns({c: F.coalesce(F.col(c).cast("double"), f"_{c}") for c in holed}).drop(*(f"_{c}" for c in holed))
 
 
 def split_bounds(df: DataFrame, time: str = "timestamp", train: float = DEFAULT.train_frac, val: float = DEFAULT.val_frac) -> DataFrame:

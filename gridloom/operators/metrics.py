@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import ranks
+
 
 def regression(df: DataFrame, y: str, p: str, by: list[str] | None = None) -> DataFrame:
     """rmse, mae, mape (rows with |y| <= 1e-6 do not count), r2, n; by group if asked."""
@@ -63,13 +65,12 @@ def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     """(score, tp, fp, ctp, cfp): positives and negatives at each distinct score, and from the highest down to it."""
     counted = df.where(F.col(score).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(score).alias("score"))
     counted = counted.agg(F.count_if(F.col(y) == 1).alias("tp"), F.count_if(F.col(y) != 1).alias("fp"))
-    down = Window.orderBy(F.desc("score"))
-    return counted.withColumns({"ctp": F.sum("tp").over(down), "cfp": F.sum("fp").over(down)})
+    return ranks.running(counted, "score", ["tp", "fp"], descending=True).withColumnsRenamed({"upto_tp": "ctp", "upto_fp": "cfp"})
 
 
 def ranking_quality(df: DataFrame, y: str, score: str, digits: int | None = 6) -> DataFrame:
-    """roc_auc (ties count half) and average_precision (step-wise). Scores are rounded to ``digits`` first, so that the
-    running sums go over that many distinct values at most, however many rows there are."""
+    """roc_auc (ties count half) and average_precision (step-wise). Scores are rounded to ``digits`` first, if any, and
+    counted by value."""
     df = df.withColumn("_s", F.round(score, digits) if digits is not None else F.col(score))
     frame = _by_score(df, y, "_s")
     p, n = F.sum("tp").cast("double"), F.sum("fp").cast("double")
@@ -96,16 +97,18 @@ def _measures() -> list[Column]:
 def top_share_lift(df: DataFrame, y: str, score: str, key: list[str], share: float = 0.1) -> DataFrame:
     """Rate of positives among the highest max(1, int(share * n)) scores (ties by key), and its lift over all rows.
 
-    The rows above the k-th score are counted by distinct scores; only ties at that score are ordered by key.
+    The rows above the k-th score are counted by distinct scores. Ties at that score are counted by key and ranked by running
+    totals over their partitions, as all of them may be one.
     """
     rows = df.where(F.col(score).isNotNull())
     every = rows.agg(F.greatest(F.lit(1), F.floor(F.count("*") * share)).cast("long").alias("k"), F.avg((F.col(y) == 1).cast("double")).alias("base"))
     counted = rows.groupBy(F.col(score).alias("_s")).agg(F.count("*").alias("c"), F.count_if(F.col(y) == 1).alias("pos"))
-    down = Window.orderBy(F.desc("_s"))
-    levels = counted.withColumns({"upto": F.sum("c").over(down), "pos_upto": F.sum("pos").over(down)}).crossJoin(F.broadcast(every))
-    edge = levels.where("upto >= k").orderBy("upto").limit(1).selectExpr("_s AS edge", "k", "base", "k - (upto - c) AS take", "pos_upto - pos AS above")
+    levels = ranks.running(counted, "_s", ["c", "pos"], descending=True).crossJoin(F.broadcast(every))
+    edge = levels.where("upto_c >= k").orderBy("upto_c").limit(1).selectExpr("_s AS edge", "k", "base", "k - (upto_c - c) AS take", "upto_pos - pos AS above")
     ties = rows.join(F.broadcast(edge), rows[score] == edge["edge"])
-    picked = ties.withColumn("_r", F.row_number().over(Window.orderBy(*key))).where("_r <= take").agg(F.count_if(F.col(y) == 1).alias("tied"))
+    ties = ties.groupBy(F.struct(*key).alias("_k"), "take").agg(F.count("*").alias("c"), F.count_if(F.col(y) == 1).alias("pos"))
+    placed = ranks.running(ties, "_k", ["c"]).withColumn("in", F.greatest(F.lit(0), F.least(F.col("c"), F.col("take") - (F.col("upto_c") - F.col("c")))))
+    picked = placed.agg(F.coalesce(F.sum(F.least("pos", "in")), F.lit(0)).alias("tied"))  # of rows with one key positives come first
     rate = (F.col("above") + F.col("tied")) / F.col("k")
     return edge.crossJoin(picked).select("k", rate.alias("top_rate"), (rate / F.nullif(F.col("base"), F.lit(0.0))).alias("lift"))
 
@@ -117,7 +120,7 @@ def best_threshold(df: DataFrame, y: str, score: str, steps: int = 120, low: flo
     """
     at = [low + (high - low) * i / (steps - 1) for i in range(steps)]
     rows = df.where(F.col(score).isNotNull())
-    candidates = rows.agg(F.percentile(score, F.array(*map(F.lit, at))).alias("t"))
+    candidates = ranks.quantiles(rows, score, at).withColumnRenamed("q", "t")
     place = F.size(F.filter("t", lambda t: t <= F.col(score)))
     counted = rows.crossJoin(F.broadcast(candidates)).groupBy(place.alias("place")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count("*").alias("all"))
     totals = counted.agg(F.sum("pos").alias("positives"))

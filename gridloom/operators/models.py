@@ -12,6 +12,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearReg
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import CLASSES
 from ..functions.columns import condition_label, confidence, label_of, logistic
 from . import metrics
 
@@ -46,18 +47,19 @@ def with_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(class_weights(df, label)), df[label] == F.col("label")).drop("label")  # a row per class
 
 
+#: Settings of the estimators; a caller's own come first.
 REGRESSORS: dict[str, Callable] = {
-    "linear": lambda **k: LinearRegression(solver="normal", **k),
-    "tree": lambda **k: DecisionTreeRegressor(maxDepth=12, minInstancesPerNode=20, seed=SEED, **k),
-    "forest": lambda **k: RandomForestRegressor(numTrees=150, maxDepth=18, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=SEED, **k),
-    "boosted": lambda **k: GBTRegressor(maxIter=600, maxDepth=7, stepSize=0.06, subsamplingRate=0.85, seed=SEED, **k),
+    "linear": lambda **k: LinearRegression(**{"solver": "normal"} | k),
+    "tree": lambda **k: DecisionTreeRegressor(**{"maxDepth": 12, "minInstancesPerNode": 20, "seed": SEED} | k),
+    "forest": lambda **k: RandomForestRegressor(**{"numTrees": 60, "maxDepth": 12, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt", "seed": SEED} | k),
+    "boosted": lambda **k: GBTRegressor(**{"maxIter": 40, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.85, "seed": SEED} | k),
 }
 CLASSIFIERS: dict[str, Callable] = {
-    "logistic": lambda **k: LogisticRegression(weightCol="weight", **k),
-    "tree": lambda **k: DecisionTreeClassifier(maxDepth=12, minInstancesPerNode=20, seed=SEED, weightCol="weight", **k),
-    "forest": lambda **k: RandomForestClassifier(numTrees=150, maxDepth=18, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=SEED, weightCol="weight", **k),
-    "boosted": lambda **k: GBTClassifier(maxIter=100, maxDepth=7, stepSize=0.06, subsamplingRate=0.85, seed=SEED, weightCol="weight", **k),
-    "svm": lambda **k: LinearSVC(weightCol="weight", **k),
+    "logistic": lambda **k: LogisticRegression(**{"weightCol": "weight", "maxIter": 50} | k),
+    "tree": lambda **k: DecisionTreeClassifier(**{"maxDepth": 12, "minInstancesPerNode": 20, "seed": SEED, "weightCol": "weight"} | k),
+    "forest": lambda **k: RandomForestClassifier(**{"numTrees": 60, "maxDepth": 12, "minInstancesPerNode": 4, "featureSubsetStrategy": "sqrt", "seed": SEED, "weightCol": "weight"} | k),
+    "boosted": lambda **k: GBTClassifier(**{"maxIter": 10, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.85, "seed": SEED, "weightCol": "weight"} | k),
+    "svm": lambda **k: LinearSVC(**{"weightCol": "weight", "maxIter": 50} | k),
 }
 
 
@@ -163,3 +165,67 @@ def save(model: PipelineModel, path: str) -> None:
 
 def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def panel_models(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All targets from one feature table (split train, val, test): (scored, board, cards).
+
+    For each target two models are fitted on the training rows and the better one on the validation rows is kept: by rmse,
+    macro F1 and ROC-AUC. ``scored`` are the test rows with the kept models' forecasts and, for the volume, intervals from
+    that model's own validation residuals. ``board`` (target, model, metric, value, chosen) has the test metrics of
+    all; ``cards`` one row a target. A missing feature or target is an error.
+    """
+    missing = [c for c in [*names, "split", "y_volume", "y_speed", "y_travel_time", "y_congestion_code", "y_accident"] if c not in rows.columns]
+    if missing:
+        raise ValueError(f"columns missing: {missing}")
+    spark, train, later = rows.sparkSession, rows.where("split = 'train'"), rows.where("split <> 'train'")
+    counts = rows.groupBy("split").count().collect()
+    sizes = {r["split"]: r["count"] for r in counts}
+    board, cards, kept = [], [], later.withColumn("y_congestion_code", F.col("y_congestion_code").cast("int"))
+
+    def top(model: PipelineModel) -> str:
+        last = model.stages[-1]
+        if not hasattr(last, "featureImportances") and getattr(last, "numClasses", 2) > 2:
+            weights = abs(last.coefficientMatrix.toArray()).sum(axis=0)
+        else:
+            weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
+        return ",".join(sorted(names, key=lambda n: (-weights[names.index(n)], n))[:5])
+
+    def choose(target: str, tried: dict[str, tuple], metric: str, sign: int) -> str:
+        """Keeps the model of lowest sign * metric on the validation rows, ties by name."""
+        best = min(sorted(tried), key=lambda name: sign * (tried[name][1][metric] or 0.0))
+        for name, (model, _, test, threshold) in tried.items():
+            board.extend((target, name, k, float(x), name == best) for k, x in test.items() if x is not None and k != "n")
+            if name == best:
+                cards.append((target, name, len(names), sizes.get("train", 0), sizes.get("test", 0), metric, float(test[metric] or 0.0), threshold, top(model)))
+        return best
+
+    for target in ("y_volume", "y_speed", "y_travel_time"):
+        tried, scored = {}, {}
+        for name in ("linear", "tree"):
+            model = fitted(train, names, target, REGRESSORS[name](), name == "linear")
+            scored[name] = predicted(model, kept, f"pred_{target}")
+            found = {r["split"]: r.asDict() for r in metrics.regression(scored[name], target, f"pred_{target}", ["split"]).collect()}
+            tried[name] = (model, found["val"], {k: found["test"][k] for k in ("rmse", "mae", "r2")}, None)
+        kept = scored[choose(target, tried, "rmse", 1)]
+    labels = list(range(len(CLASSES)))
+    tried, scored = {}, {}
+    for name in ("logistic", "tree"):
+        model = fitted(with_weights(train.where("y_congestion_code >= 0"), "y_congestion_code"), names, "y_congestion_code", CLASSIFIERS[name](), name == "logistic", len(labels))
+        scored[name] = predicted(model, kept, "pred_congestion_code").withColumn("pred_congestion_code", F.col("pred_congestion_code").cast("int"))
+        found = [metrics.class_summary(metrics.per_class(metrics.confusion(scored[name].where(f"split = '{part}' AND y_congestion_code >= 0"), "y_congestion_code", "pred_congestion_code", labels))).first().asDict() for part in ("val", "test")]
+        tried[name] = (model, found[0], {k: found[1][k] for k in ("accuracy", "macro_f1")}, None)
+    kept = scored[choose("y_congestion", tried, "macro_f1", -1)]
+    tried, scored = {}, {}
+    for name in ("logistic", "tree"):
+        model = fitted(with_weights(train, "y_accident"), names, "y_accident", CLASSIFIERS[name](), name == "logistic")
+        scored[name] = risk(model, kept, "pred_accident_prob")
+        found = [metrics.ranking_quality(scored[name].where(f"split = '{part}'"), "y_accident", "pred_accident_prob").first().asDict() for part in ("val", "test")]
+        at = metrics.best_threshold(scored[name].where("split = 'val'"), "y_accident", "pred_accident_prob").first()
+        tried[name] = (model, found[0], {"roc_auc": found[1]["roc_auc"]}, at["threshold"] if at else None)
+    kept = with_condition(scored[choose("y_accident", tried, "roc_auc", -1)])
+    keys, fallback = ["road_id", "condition"], ["condition"]
+    fine, coarse = residual_quantiles(kept.where("split = 'val'"), "y_volume", "pred_y_volume", keys, fallback)
+    final = with_intervals(kept.where("split = 'test'"), "pred_y_volume", fine, coarse, keys, fallback)
+    kinds = "target string, model string, n_features int, train_rows long, test_rows long, metric string, value double, threshold double, top_features string"
+    return final, spark.createDataFrame(board, "target string, model string, metric string, value double, chosen boolean"), spark.createDataFrame(cards, kinds)

@@ -58,22 +58,22 @@ _HISTORY += [f"coalesce(lag({code('congestion_level')}, {k}) {_W}, -1) AS conges
 _HOURS = "(hour(timestamp) + minute(timestamp) / 60.0)"
 
 PARTS: dict[str, str] = {
-    "cells": """SELECT (user_id % 25)::INT AS seg, time_bucket(INTERVAL '30 minutes', ts) AS w, min(event_id) AS eid, round(sum(value))::BIGINT AS vol,
-        round(avg(value))::BIGINT AS spd, count(*) AS n, count(*) FILTER (event_type = 'error') AS err FROM events GROUP BY 1, 2""",
-    "raw_rows": """SELECT CASE WHEN eid % 109 = 0 THEN 'nan' ELSE ' SEG-' || lpad(seg::VARCHAR, 2, '0') END AS road_id, CASE WHEN eid % 31 = 0 THEN NULL ELSE n_name END AS road_name,
-        '12.' || lpad(seg::VARCHAR, 2, '0') AS latitude, '77.' || lpad(seg::VARCHAR, 2, '0') AS longitude, 'WS-' || n_regionkey AS weather_station_id,
+    "cells": """SELECT user_id // 10 AS seg, (user_id // 10) % 25 AS kind, time_bucket(INTERVAL '30 minutes', ts) AS w, min(event_id) AS eid, round(sum(value))::BIGINT AS vol,
+        round(avg(value))::BIGINT AS spd, count(*) AS n, count(*) FILTER (event_type = 'error') AS err FROM events GROUP BY 1, 2, 3""",
+    "raw_rows": """SELECT CASE WHEN eid % 109 = 0 THEN 'nan' ELSE ' SEG-' || lpad(seg::VARCHAR, 9, '0') END AS road_id, CASE WHEN eid % 31 = 0 THEN NULL ELSE n_name END AS road_name,
+        '12.' || lpad((seg % 100)::VARCHAR, 2, '0') AS latitude, '77.' || lpad((seg % 100)::VARCHAR, 2, '0') AS longitude, 'WS-' || (seg // 5) AS weather_station_id,
         CASE WHEN eid % 107 = 0 THEN '2024-13-40' ELSE strftime(w, '%Y-%m-%d') END AS date, strftime(w, '%H:%M') AS time,
         CASE WHEN eid % 11 = 0 THEN NULL WHEN eid % 97 = 0 THEN 'junk' WHEN eid % 101 = 0 THEN '-5' ELSE vol::VARCHAR END AS traffic_volume, n::VARCHAR AS vehicle_count,
         CASE WHEN eid % 17 = 0 THEN NULL WHEN eid % 13 = 0 THEN 'broken' ELSE '{"2W": 0.' || (eid % 10) || ', "Car": 0.' || (eid % 7) || ', "LCV": 0.' || (eid % 5) || ', "HCV": 0.' || (eid % 3) || '}' END AS vehicle_type_dist,
         CASE WHEN eid % 103 = 0 THEN '999' WHEN eid % 37 = 0 THEN NULL ELSE spd::VARCHAR END AS avg_speed, CASE WHEN eid % 41 = 0 THEN NULL ELSE (n * 7)::VARCHAR END AS occupancy,
-        CASE WHEN eid % 7 = 0 THEN '' WHEN eid % 29 = 0 THEN 'Heavy' WHEN vol * 2 < 0.5 * (100 + 10 * seg) THEN 'Free-flow' WHEN vol * 2 < 0.8 * (100 + 10 * seg) THEN 'Moderate'
-             WHEN vol * 2 < (100 + 10 * seg) THEN 'Heavy' ELSE 'Severe' END AS congestion_level,
+        CASE WHEN eid % 7 = 0 THEN '' WHEN eid % 29 = 0 THEN 'Heavy' WHEN vol * 2 < 0.5 * (100 + 10 * kind) THEN 'Free-flow' WHEN vol * 2 < 0.8 * (100 + 10 * kind) THEN 'Moderate'
+             WHEN vol * 2 < (100 + 10 * kind) THEN 'Heavy' ELSE 'Severe' END AS congestion_level,
         CASE WHEN eid % 19 = 0 THEN NULL ELSE (1 + eid % 50)::VARCHAR END AS travel_time, CASE WHEN eid % 23 = 0 THEN NULL ELSE err::VARCHAR END AS accident_count,
-        CASE WHEN eid % 27 = 0 THEN NULL ELSE (30 + eid % 60)::VARCHAR END AS signal_timing, (100 + 10 * seg)::VARCHAR AS road_capacity, eid
-        FROM cells JOIN nation ON n_nationkey = seg""",
+        CASE WHEN eid % 27 = 0 THEN NULL ELSE (30 + eid % 60)::VARCHAR END AS signal_timing, (100 + 10 * kind)::VARCHAR AS road_capacity, eid
+        FROM cells JOIN nation ON n_nationkey = kind""",
     "traffic": f"""SELECT {', '.join(TRAFFIC_COLUMNS)} FROM (SELECT * FROM raw_rows UNION ALL SELECT * FROM raw_rows WHERE eid % 50 = 0
         UNION ALL SELECT * REPLACE ('' AS congestion_level, NULL::VARCHAR AS travel_time) FROM raw_rows WHERE eid % 60 = 1)""",
-    "weather_cells": "SELECT (user_id % 5)::INT AS st, time_bucket(INTERVAL '1 hour', ts) AS h, min(event_id) AS eid, round(avg(value) / 2)::BIGINT AS temp FROM events GROUP BY 1, 2",
+    "weather_cells": "SELECT user_id // 50 AS st, time_bucket(INTERVAL '1 hour', ts) AS h, min(event_id) AS eid, round(avg(value) / 2)::BIGINT AS temp FROM events GROUP BY 1, 2",
     "weather": """SELECT 'WS-' || st AS station_id, strftime(h, '%d/%m/%Y') AS date, strftime(h, '%H:%M') AS time,
         CASE WHEN eid % 21 = 0 THEN NULL ELSE list_extract(['Clear', ' RAIN', 'rainy ', 'cloudy', 'Overcast', 'Fog', 'foggy', 'haze'], (eid % 8 + 1)::INT) END AS weather_condition,
         CASE WHEN eid % 13 = 0 THEN NULL WHEN eid % 113 = 0 THEN '99' ELSE temp::VARCHAR END AS temperature, CASE WHEN eid % 17 = 0 THEN NULL ELSE (eid % 4) || '.' || (eid % 10) END AS rainfall,
@@ -120,12 +120,18 @@ PARTS: dict[str, str] = {
         signal_timing / nullif(road_capacity, 0) * 1000 AS signal_capacity_ratio, coalesce(rainfall_lag1 > 0.1, false)::INT AS rain_flag, coalesce(rainfall_lag1 > 2.5, false)::INT AS heavy_rain_flag,
         coalesce(visibility_lag1 < 2000, false)::INT AS low_visibility_flag, CASE WHEN temperature_lag1 <= 10 THEN 'cold' WHEN temperature_lag1 <= 20 THEN 'mild' WHEN temperature_lag1 <= 30 THEN 'warm' WHEN temperature_lag1 > 30 THEN 'hot' END AS temp_band,
         coalesce(rainfall_lag1 > 0.1, false)::INT * is_peak AS rain_x_peak FROM history""",
-    "predictions": """SELECT road_id, road_name, timestamp, latitude, longitude, hour, is_peak, rain_flag, y_volume, y_speed, y_travel_time, y_congestion, y_congestion_code, y_accident,
-        traffic_volume_rollmean4 AS pred_y_volume, signal_timing / 3 AS pred_y_travel_time, greatest(congestion_lag1_ord, 0) AS pred_congestion_code,
-        round(1 / (1 + exp(-(coalesce(avg_speed_lag1, 40.0) / 40 - 1.5))), 6) AS pred_accident_prob, traffic_volume_lag1 FROM features WHERE y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL""",
-    "decoded": "SELECT *, list_extract(['Free-flow', 'Moderate', 'Heavy', 'Severe'], (pred_congestion_code + 1)::INT) AS pred_congestion FROM predictions",
+    "scored": """SELECT road_id, road_name, timestamp, latitude, longitude, hour, is_peak, rain_flag, y_volume, y_speed, y_travel_time, y_congestion, y_congestion_code, y_accident,
+        traffic_volume_rollmean4, signal_timing, capacity_30min, traffic_volume_lag1 FROM features WHERE y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL""",
     "bounds": """SELECT a + to_seconds(floor(s * 0.7)) AS train_end, a + to_seconds(floor(s * 0.85)) AS val_end FROM (
-        SELECT min(timestamp) AS a, epoch(max(timestamp)) - epoch(min(timestamp)) AS s FROM predictions)""",
+        SELECT min(timestamp) AS a, epoch(max(timestamp)) - epoch(min(timestamp)) AS s FROM scored)""",
+    "trained": "SELECT * FROM scored, bounds WHERE timestamp <= train_end",
+    "line": """SELECT regr_slope(y_volume, traffic_volume_rollmean4) AS b, regr_intercept(y_volume, traffic_volume_rollmean4) AS a,
+        regr_slope(y_travel_time, signal_timing) AS tb, regr_intercept(y_travel_time, signal_timing) AS ta FROM trained""",
+    "hourly": "SELECT hour, round((sum(y_accident) + 1) / (count(*) + 2), 6) AS risk FROM trained GROUP BY 1",
+    "predictions": f"""SELECT s.* EXCLUDE (traffic_volume_rollmean4, signal_timing, capacity_30min, traffic_volume_lag1), a + b * traffic_volume_rollmean4 AS pred_y_volume, ta + tb * signal_timing AS pred_y_travel_time,
+        greatest({code(band('greatest(0, round((a + b * traffic_volume_rollmean4) / nullif(capacity_30min, 0), 9))'))}, 0) AS pred_congestion_code,
+        coalesce(risk, 0.5) AS pred_accident_prob, traffic_volume_lag1 FROM scored s CROSS JOIN line LEFT JOIN hourly h ON h.hour = s.hour""",
+    "decoded": "SELECT *, list_extract(['Free-flow', 'Moderate', 'Heavy', 'Severe'], (pred_congestion_code + 1)::INT) AS pred_congestion FROM predictions",
     "split": "SELECT p.*, CASE WHEN timestamp <= train_end THEN 'train' WHEN timestamp <= val_end THEN 'val' ELSE 'test' END AS split FROM predictions p, bounds",
     "conditioned": """SELECT *, CASE WHEN is_peak = 1 AND rain_flag = 1 THEN 'peak & rain' WHEN is_peak = 1 THEN 'peak' WHEN rain_flag = 1 THEN 'rain' ELSE 'off-peak dry' END AS condition FROM split""",
     "fine": "SELECT road_id, condition, quantile_cont(y_volume - pred_y_volume, [0.1, 0.5, 0.9]) AS q FROM conditioned WHERE split = 'val' GROUP BY ALL HAVING count(*) >= 5",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CHANNELS, DEFAULT, Config
-from ..functions.columns import condition_of, flag, logistic, ordinal
+from ..functions.columns import condition_of, congestion_of, flag, ordinal
 from ..operators import clean, enrich, features, models
 from ..operators import validate as v
 from ..sources import feed
@@ -103,14 +103,33 @@ class Tables:
         return features.weather_flags(features.capacity(df))
 
     @cached_property
-    def predictions(self) -> DataFrame:
-        """Scored rows: the rolling mean as forecast, the last class, and a risk from the last speed; a stage table."""
-        scored = self.features.where("y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL")
-        return staged(scored.select(
+    def scored(self) -> DataFrame:
+        """Rows with a volume and a rolling mean before it, which the predictions below are made for; a stage table."""
+        rows = self.features.where("y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL")
+        return staged(rows.select(
             "road_id", "road_name", "timestamp", "latitude", "longitude", "hour", "is_peak", "rain_flag", "y_volume", "y_speed", "y_travel_time", "y_congestion", "y_congestion_code", "y_accident",
-            F.col("traffic_volume_rollmean4").alias("pred_y_volume"), (F.col("signal_timing") / 3).alias("pred_y_travel_time"),
-            F.greatest("congestion_lag1_ord", F.lit(0)).alias("pred_congestion_code"),
-            F.round(logistic(F.coalesce("avg_speed_lag1", F.lit(40.0)) / 40 - 1.5), 6).alias("pred_accident_prob"), "traffic_volume_lag1",
+            "traffic_volume_rollmean4", "signal_timing", "capacity_30min", "traffic_volume_lag1",
+        ))
+
+    @cached_property
+    def predictions(self) -> DataFrame:
+        """Forecasts of models small enough for SQL to fit too, all fitted on the training rows: least-squares lines for volume
+        and travel time, the class of the forecast volume, and the hour's share of incidents as risk; a stage table."""
+        train = features.with_split(self.scored).where("split = 'train'")
+        lines = train.agg(*(f(F.col(y), F.col(x)).alias(n) for n, f, y, x in (
+            ("b", F.regr_slope, "y_volume", "traffic_volume_rollmean4"), ("a", F.regr_intercept, "y_volume", "traffic_volume_rollmean4"),
+            ("tb", F.regr_slope, "y_travel_time", "signal_timing"), ("ta", F.regr_intercept, "y_travel_time", "signal_timing"),
+        )))
+        hourly = train.groupBy("hour").agg(F.round((F.sum("y_accident") + 1) / (F.count("*") + 2), 6).alias("risk"))  # 24 rows
+        volume = F.col("a") + F.col("b") * F.col("traffic_volume_rollmean4")
+        load = F.greatest(F.lit(0.0), F.round(volume / F.nullif(F.col("capacity_30min"), F.lit(0.0)), 9))
+        rows = self.scored.crossJoin(F.broadcast(lines)).join(F.broadcast(hourly), "hour", "left").withColumns({
+            "pred_y_volume": volume, "pred_y_travel_time": F.col("ta") + F.col("tb") * F.col("signal_timing"),
+            "pred_congestion_code": F.greatest(ordinal(congestion_of(load)), F.lit(0)), "pred_accident_prob": F.coalesce("risk", F.lit(0.5)),
+        })
+        return staged(rows.select(
+            *[c for c in self.scored.columns if c not in ("traffic_volume_rollmean4", "signal_timing", "capacity_30min", "traffic_volume_lag1")],
+            "pred_y_volume", "pred_y_travel_time", "pred_congestion_code", "pred_accident_prob", "traffic_volume_lag1",
         ))
 
     @cached_property
@@ -135,5 +154,25 @@ class Tables:
     def dataset(self) -> DataFrame:
         return features.entity_code(staged(features.dataset(self.full)))
 
+    @cached_property
+    def design(self) -> tuple[DataFrame, list[str]]:
+        """(rows of the feature table with targets and split, without nulls in the features; the features' names), as a
+        stage table dealt by key, so that seeded models repeat."""
+        rows = self.dataset.where("y_volume IS NOT NULL AND y_speed IS NOT NULL AND y_travel_time IS NOT NULL")
+        names = v.select_features(rows, NOT_FEATURES | {c for c in rows.columns if c.startswith("y_")})
+        roles = [c for c in rows.columns if c.startswith("y_") and c != "y_congestion"] + ["road_id", "road_name", "timestamp"]
+        filled = features.fill_medians(staged(rows.select(*roles, *names)), names)
+        dealt = features.with_split(filled).repartition("road_id", "timestamp").sortWithinPartitions("road_id", "timestamp")
+        return staged(dealt.withColumn("y_accident", F.col("y_accident").cast("double"))), names
+
+    @cached_property
+    def chain(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(test rows with every target's forecast and volume intervals; scoreboard of all models; a card for each target)."""
+        rows, names = self.design
+        return models.panel_models(rows, names)
+
+
+#: Columns that are no features: the row's own measurements, which are not known in advance.
+NOT_FEATURES = {"traffic_volume", "avg_speed", "occupancy", "travel_time", "accident_count", "vc_ratio", "temperature", "rainfall", "visibility", "segment_length_km", "tod", "dow"}
 
 __all__ = ["Tables", "cleaned", "flag", "merged", "ordinal"]

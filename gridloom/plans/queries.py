@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import CHANNELS, CLASSES, CONDITIONS, STATIC_COLUMNS, TEMPERATURE_BANDS
+from ..config import CHANNELS, CLASSES, CONDITIONS, DEFAULT, STATIC_COLUMNS, TEMPERATURE_BANDS
 from ..functions import columns as c
 from ..operators import clean, enrich, features, metrics, models, reports
 from ..operators import validate as v
@@ -93,6 +91,7 @@ add("v1_required_columns", lambda t: v.check_schema(t.traffic.withColumn("unknow
 add("v2_numeric_coercion", lambda t: t.traffic.select("road_id", "date", "time", c.number("traffic_volume")), "SELECT road_id, date, time, try_cast(traffic_volume AS DOUBLE) AS traffic_volume FROM traffic")
 add("v3_timestamps", lambda t: t.traffic.select("road_id", "date", "time", c.moment("yyyy-MM-dd").alias("ts")).unionAll(t.weather.select("station_id", "date", "time", c.moment("dd/MM/yyyy"))),
     "SELECT road_id, date, time, try_strptime(date || ' ' || time, '%Y-%m-%d %H:%M') AS ts FROM traffic UNION ALL SELECT station_id, date, time, try_strptime(date || ' ' || time, '%d/%m/%Y %H:%M') FROM weather")
+add("v3_instants", lambda t: t.deduped.select("road_id", "timestamp", c.instant(F.col("timestamp"), DEFAULT.timezone).alias("utc")), "SELECT road_id, timestamp, timestamp - INTERVAL '5 hours 30 minutes' AS utc FROM deduped")
 add("v4_range_rules", lambda t: t.tagged.groupBy("_reject_reason").agg(F.count("*").alias("n")), "SELECT _reject_reason, count(*) AS n FROM tagged GROUP BY 1")
 add("v5_extra_reasons", lambda t: t.tagged.agg(F.count_if(F.col("_reject_reason").contains("unparseable_timestamp;")).alias("unparseable"), F.count_if(F.col("_reject_reason").contains("missing_road_id;")).alias("missing")),
     "SELECT count(*) FILTER (timestamp IS NULL) AS unparseable, count(*) FILTER (road_id IS NULL) AS missing FROM typed")
@@ -123,7 +122,7 @@ add("p4_warm_up", lambda t: t.features.where("traffic_volume_lag336 IS NOT NULL"
 add("p5_split_bounds", lambda t: features.split_bounds(t.predictions), "SELECT * FROM bounds")
 add("p6_three_way_split", lambda t: t.split.groupBy("split").agg(F.count("*").alias("n"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")), "SELECT split, count(*) AS n, min(timestamp) AS first, max(timestamp) AS last FROM split GROUP BY 1")
 add("p7_latest_window", lambda t: reports.latest(t.lite).select("road_id", "timestamp", "traffic_volume"), "SELECT road_id, timestamp, traffic_volume FROM lite WHERE timestamp = (SELECT max(timestamp) FROM lite)")
-add("p8_last_days", lambda t: reports.last_days(t.lite.where("road_id = 'SEG-03'"), 7).select("road_id", "timestamp", "traffic_volume"), "SELECT road_id, timestamp, traffic_volume FROM lite WHERE road_id = 'SEG-03' AND timestamp >= (SELECT max(timestamp) FROM lite) - INTERVAL 7 DAY")
+add("p8_last_days", lambda t: reports.last_days(t.lite, 7).select("road_id", "timestamp", "traffic_volume"), "SELECT road_id, timestamp, traffic_volume FROM lite WHERE timestamp >= (SELECT max(timestamp) FROM lite) - INTERVAL 7 DAY")
 add("p9_date_range", lambda t: t.lite.where("to_date(timestamp) BETWEEN date'2024-01-05' AND date'2024-01-07'").groupBy("road_id").agg(F.count("traffic_volume").alias("n")), "SELECT road_id, count(traffic_volume) AS n FROM lite WHERE timestamp::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-07' GROUP BY 1")
 add("p10_selector", lambda t: t.lite.groupBy("road_id").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.count("*").alias("n")), "SELECT road_id, min(timestamp) AS first, max(timestamp) AS last, count(*) AS n FROM lite GROUP BY 1")
 add("p11_display", lambda t: r(reports.latest(t.lite).select(F.col("road_id").alias("segment"), F.col("road_name").alias("name"), F.col("vc_ratio").alias("load"), F.col("congestion_level").alias("state"))),
@@ -185,8 +184,8 @@ add("a18_segment_comparison", lambda t: r(reports.entity_comparison(t.lite)), _C
 add("a19_peak_and_busiest", lambda t: reports.peak_and_busiest(t.lite), """SELECT (SELECT hour FROM (SELECT hour(timestamp)::INT AS hour, round(avg(traffic_volume), 9) AS v FROM lite GROUP BY 1) ORDER BY v DESC NULLS LAST, hour LIMIT 1) AS peak_hour,
     (SELECT road_id FROM (SELECT road_id, round(avg(traffic_volume), 9) AS v FROM lite GROUP BY 1) ORDER BY v DESC NULLS LAST, road_id LIMIT 1) AS busiest""")
 add("a20_conditional_gap", lambda t: r(reports.conditional_gap(t.lite, "weather_condition", "Rain", "Clear", "avg_speed")), "SELECT avg(avg_speed) FILTER (weather_condition = 'Rain') - avg(avg_speed) FILTER (weather_condition = 'Clear') AS gap FROM lite", "gap")
-add("a21_daily_resample", lambda t: r(reports.daily(t.lite.where("day(timestamp) <> 9"))), """SELECT day, mean_volume, mean_speed FROM (SELECT unnest(generate_series(min(timestamp::DATE), max(timestamp::DATE), INTERVAL 1 DAY))::DATE AS day FROM lite WHERE day(timestamp) <> 9)
-    LEFT JOIN (SELECT timestamp::DATE AS day, avg(traffic_volume) AS mean_volume, avg(avg_speed) AS mean_speed FROM lite WHERE day(timestamp) <> 9 GROUP BY 1) USING (day)""", "mean_volume mean_speed")
+add("a21_daily_resample", lambda t: r(reports.daily(t.lite)), """SELECT day, mean_volume, mean_speed FROM (SELECT unnest(generate_series(min(timestamp::DATE), max(timestamp::DATE), INTERVAL 1 DAY))::DATE AS day FROM lite)
+    LEFT JOIN (SELECT timestamp::DATE AS day, avg(traffic_volume) AS mean_volume, avg(avg_speed) AS mean_speed FROM lite GROUP BY 1) USING (day)""", "mean_volume mean_speed")
 add("a22_road_comparison", lambda t: r(reports.entity_comparison(t.lite.where("weather_condition = 'Rain'"))), _COMPARE.replace("FROM lite", "FROM lite WHERE weather_condition = 'Rain'"), _COMPARE_NAMES)
 add("a23_visibility_bands", lambda t: r(reports.visibility_bands(t.lite)), """SELECT CASE WHEN visibility <= 1000 THEN '0-1000' WHEN visibility <= 2000 THEN '1000-2000' WHEN visibility <= 4000 THEN '2000-4000' ELSE '4000-10000' END AS band,
     avg(avg_speed) AS mean_speed, avg(traffic_volume) AS mean_volume, avg((coalesce(accident_count, 0) > 0)::INT) * 100 AS incident_pct, count(*) AS n FROM lite WHERE visibility > 0 AND visibility <= 10000 GROUP BY 1""", "mean_speed mean_volume incident_pct")
@@ -270,6 +269,8 @@ add("f1_vocabulary", lambda t: t.weather.select("station_id", "date", "time", c.
 add("f2_slots", lambda t: t.grid.select("road_id", "timestamp", "tod", "dow"), "SELECT road_id, timestamp, tod, dow FROM grid")
 add("f3_floor_hour", lambda t: t.deduped.select("road_id", "timestamp", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("hour"), (F.col("timestamp") + F.expr("interval 30 minutes")).alias("next")), "SELECT road_id, timestamp, date_trunc('hour', timestamp)::TIMESTAMP AS hour, timestamp + INTERVAL 30 MINUTE AS next FROM deduped")
 add("f4_local_date", lambda t: t.deduped.groupBy(F.to_date("timestamp").alias("day")).agg(F.count("*").alias("n")), "SELECT timestamp::DATE AS day, count(*) AS n FROM deduped GROUP BY 1")
+add("f4_local_date_of_instant", lambda t: t.deduped.groupBy(F.to_date("timestamp").alias("utc_day"), F.to_date(c.local_time(F.col("timestamp"), DEFAULT.timezone)).alias("day")).agg(F.count("*").alias("n")),
+    "SELECT timestamp::DATE AS utc_day, (timestamp + INTERVAL '5 hours 30 minutes')::DATE AS day, count(*) AS n FROM deduped GROUP BY 1, 2")
 add("f5_vc_ratio", lambda t: r(t.lite.select("road_id", "timestamp", "vc_ratio")), "SELECT road_id, timestamp, vc_ratio FROM lite", "vc_ratio")
 add("f6_congestion_bands", lambda t: t.lite.select("road_id", "timestamp", "congestion_level", "congestion_derived"), "SELECT road_id, timestamp, congestion_level, congestion_derived FROM lite")
 _MIX = ", ".join(f"CASE WHEN vehicle_type_dist <> 'broken' THEN json_extract_string(vehicle_type_dist, '$.\"{k}\"')::DOUBLE END AS {x}" for k, x in enrich.MIX.items())
@@ -348,72 +349,64 @@ add("e12_coverage", lambda t: r(metrics.coverage(t.intervals, "y_volume", "volum
 add("e13_width_by_condition", lambda t: r(t.intervals.where("volume_p90 IS NOT NULL").groupBy("condition").agg(F.avg(F.col("volume_p90") - F.col("volume_p10")).alias("mean_width"), F.count("*").alias("n"))), "SELECT condition, avg(volume_p90 - volume_p10) AS mean_width, count(*) AS n FROM intervals WHERE volume_p90 IS NOT NULL GROUP BY 1", "mean_width")
 add("e14_calibration", lambda t: r(metrics.calibration(t.predictions.withColumn("half", F.col("pred_accident_prob") / 2), "y_accident", "pred_accident_prob", "half")), "SELECT avg(pow(pred_accident_prob - y_accident, 2)) AS brier_raw, avg(pow(pred_accident_prob / 2 - y_accident, 2)) AS brier_calibrated, avg(pred_accident_prob / 2) AS mean_predicted, avg(y_accident) AS observed FROM predictions", "brier_raw brier_calibrated mean_predicted observed")
 add("e15_width_vs_error", lambda t: r(metrics.line_fit(t.intervals.select((F.col("volume_p90") - F.col("volume_p10")).alias("w"), F.abs(F.col("pred_y_volume") - F.col("y_volume")).alias("e")), "w", "e")), "SELECT regr_slope(e, w) AS slope, regr_intercept(e, w) AS intercept, corr(e, w) AS r FROM (SELECT volume_p90 - volume_p10 AS w, abs(pred_y_volume - y_volume) AS e FROM intervals)", "slope intercept r")
-add("e16_residual_summary", lambda t: r(metrics.breakdown(t.predictions.where("road_id = 'SEG-03'"), "y_volume", "pred_y_volume", ["road_id"])), f"SELECT road_id, {_BREAK} WHERE road_id = 'SEG-03' GROUP BY 1", "rmse mae bias")
+add("e16_residual_summary", lambda t: r(metrics.breakdown(t.split.where("split = 'test'"), "y_volume", "pred_y_volume", ["road_id"])), f"SELECT road_id, {_BREAK.replace('predictions', 'split')} WHERE split = 'test' GROUP BY 1", "rmse mae bias")
 add("e17_winners", lambda t: r(metrics.winners(_tidy(t), {"volume": ("rmse", "min")})), f"SELECT target, model, metric, value FROM ({_TIDY}) WHERE metric = 'rmse' ORDER BY value, model LIMIT 1", "value")
 add("e18_model_comparison", lambda t: r(_tidy(t).where("model IN ('persistence', 'rolling')").groupBy("target", "metric").pivot("model", ["persistence", "rolling"]).agg(F.first("value"))),
     f"SELECT target, metric, max(value) FILTER (model = 'persistence') AS persistence, max(value) FILTER (model = 'rolling') AS rolling FROM ({_TIDY}) WHERE model IN ('persistence', 'rolling') GROUP BY ALL", "persistence rolling")
 
-# ---- models
-_X = ["traffic_volume_lag1", "avg_speed_lag1", "traffic_volume_rollmean4", "traffic_volume_rollmean8", "hour_sin", "hour_cos", "is_peak", "capacity_30min"]
+# ---- models: fitted on the full feature table, with the settings of models.REGRESSORS and CLASSIFIERS
 
 
-_ROLES = ["road_id", "road_name", "timestamp", "y_volume", "y_speed", "y_congestion_code", "y_accident", "rain_flag"]
-
-
-def _design(t: Tables) -> DataFrame:
-    """Feature rows with targets and split, without nulls, as a stage table dealt by key (so that seeded models repeat)."""
-    df = t.features.where("y_volume IS NOT NULL AND traffic_volume_rollmean4 IS NOT NULL AND y_speed IS NOT NULL")
-    filled = features.fill_medians(s.staged(df.select(*_ROLES, *_X)), _X)
-    dealt = features.with_split(filled).repartition("road_id", "timestamp").sortWithinPartitions("road_id", "timestamp")
-    return s.staged(dealt.withColumn("y_accident", F.col("y_accident").cast("double")))
-
-
-def _regressed(t: Tables, estimator, scale: bool = False) -> DataFrame:
-    rows = _design(t)
-    model = models.fitted(rows.where("split = 'train'"), _X, "y_volume", estimator, scale)
+def _regressed(t: Tables, name: str) -> DataFrame:
+    rows, xs = t.design
+    model = models.fitted(rows.where("split = 'train'"), xs, "y_volume", models.REGRESSORS[name](), name == "linear")
     return r(metrics.regression(models.predicted(model, rows.where("split = 'test'"), "p"), "y_volume", "p"), 3)
 
 
-def _classified(t: Tables, label: str, estimator, classes: int, scale: bool = False) -> DataFrame:
-    rows = _design(t).where(f"{label} >= 0")
-    train = models.with_weights(rows.where("split = 'train'"), label)
-    model = models.fitted(train, _X, label, estimator, scale, classes)
+def _classified(t: Tables, label: str, name: str, classes: int, latest: int | None = None) -> DataFrame:
+    rows, xs = t.design
+    rows = rows.where(f"{label} >= 0")
+    train = rows.where("split = 'train'")
+    train = models.with_weights(reports.most_recent(train, latest) if latest else train, label)
+    model = models.fitted(train, xs, label, models.CLASSIFIERS[name](), name in ("logistic", "svm"), classes)
     scored = models.predicted(model, rows.where("split = 'test'"), "p").select(F.col(label).cast("int").alias("y"), F.col("p").cast("int").alias("p"))
     return r(metrics.class_summary(metrics.per_class(metrics.confusion(scored, "y", "p", list(range(classes))))), 3)
 
 
-def _risk(t: Tables) -> tuple[DataFrame, object]:
-    rows = _design(t)
-    model = models.fitted(models.with_weights(rows.where("split = 'train'"), "y_accident"), _X, "y_accident", models.CLASSIFIERS["logistic"](), True)
-    return models.risk(model, rows.where("split <> 'train'"), "risk"), model
-
+def _risk(t: Tables) -> DataFrame:
+    rows, xs = t.design
+    model = models.fitted(models.with_weights(rows.where("split = 'train'"), "y_accident"), xs, "y_accident", models.CLASSIFIERS["logistic"](), True)
+    return models.risk(model, rows.where("split <> 'train'"), "risk")
 
 
 add("m1_scaler", lambda t: r(models.scaled(t.split.select("road_id", "timestamp", "split", "y_volume"), ["y_volume"])), "SELECT road_id, timestamp, split, coalesce((y_volume - m) / nullif(s, 0), 0) AS y_volume FROM split, (SELECT avg(y_volume) AS m, stddev_pop(y_volume) AS s FROM split WHERE split = 'train')", "y_volume")
 add("m2_baselines", lambda t: r(models.baselines(t.split, "y_volume", "y_congestion_code").select("road_id", "timestamp", "mean_forecast", "majority")), """SELECT road_id, timestamp, (SELECT avg(y_volume) FROM split WHERE split = 'train') AS mean_forecast,
     (SELECT y_congestion_code FROM split WHERE split = 'train' GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS majority FROM split WHERE split <> 'train'""", "mean_forecast")
-add("m3_linear_regression", lambda t: _regressed(t, LinearRegression(solver="normal"), True))
+add("m3_linear_regression", lambda t: _regressed(t, "linear"))
+
+
 def _coefficients(t: Tables) -> DataFrame:
-    rows = _design(t)
-    return r(models.coefficients(models.fitted(rows.where("split = 'train'"), _X, "y_volume", LinearRegression(solver="normal"), True), _X, rows), 3)
+    rows, xs = t.design
+    return r(models.coefficients(models.fitted(rows.where("split = 'train'"), xs, "y_volume", models.REGRESSORS["linear"](), True), xs, rows), 3)
 
 
 add("m4_coefficients", _coefficients)
-add("m5_logistic_binary", lambda t: _classified(t, "y_accident", LogisticRegression(weightCol="weight", maxIter=30), 2, True))
-add("m5_logistic_multinomial", lambda t: _classified(t, "y_congestion_code", LogisticRegression(weightCol="weight", maxIter=30), 4, True))
-add("m6_tree_regressor", lambda t: _regressed(t, DecisionTreeRegressor(maxDepth=8, minInstancesPerNode=20, seed=42)))
-add("m6_tree_classifier", lambda t: _classified(t, "y_congestion_code", DecisionTreeClassifier(maxDepth=8, minInstancesPerNode=20, seed=42, weightCol="weight"), 4))
-add("m7_forest_regressor", lambda t: _regressed(t, RandomForestRegressor(numTrees=20, maxDepth=8, minInstancesPerNode=4, featureSubsetStrategy="sqrt", seed=42)))
-add("m7_forest_classifier", lambda t: _classified(t, "y_congestion_code", RandomForestClassifier(numTrees=20, maxDepth=8, minInstancesPerNode=4, seed=42, weightCol="weight"), 4))
-add("m8_boosted_regressor", lambda t: _regressed(t, GBTRegressor(maxIter=10, maxDepth=4, stepSize=0.3, seed=42)))
-add("m8_boosted_classifier", lambda t: _classified(t, "y_congestion_code", GBTClassifier(maxIter=4, maxDepth=3, seed=42), 4))
-add("m9_linear_svm", lambda t: _classified(t, "y_accident", LinearSVC(weightCol="weight", maxIter=20), 2, True))
+add("m5_logistic_binary", lambda t: _classified(t, "y_accident", "logistic", 2))
+add("m5_logistic_multinomial", lambda t: _classified(t, "y_congestion_code", "logistic", 4))
+add("m6_tree_regressor", lambda t: _regressed(t, "tree"))
+add("m6_tree_classifier", lambda t: _classified(t, "y_congestion_code", "tree", 4))
+add("m7_forest_regressor", lambda t: _regressed(t, "forest"))
+add("m7_forest_classifier", lambda t: _classified(t, "y_congestion_code", "forest", 4))
+add("m8_boosted_regressor", lambda t: _regressed(t, "boosted"))
+add("m8_boosted_classifier", lambda t: _classified(t, "y_congestion_code", "boosted", 4))
+add("m8_boosted_binary", lambda t: _classified(t, "y_accident", "boosted", 2))
+add("m9_linear_svm", lambda t: _classified(t, "y_accident", "svm", 2, 36_000))
 add("m10_positive_weight", lambda t: r(models.positive_weight(t.split.where("split = 'train'"), "y_accident")), "SELECT count(*) FILTER (y_accident = 0) / nullif(count(*) FILTER (y_accident = 1), 0) AS weight FROM split WHERE split = 'train'", "weight")
 add("m10_class_weights", lambda t: r(models.class_weights(t.split.where("split = 'train'"), "y_congestion_code")), "SELECT y_congestion_code AS label, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS weight FROM split WHERE split = 'train' GROUP BY 1", "weight")
 
 
 def _platt(t: Tables) -> DataFrame:
-    scored, _ = _risk(t)
+    scored = _risk(t)
     middle = scored.where("split = 'val'").agg(F.median(F.unix_timestamp(F.col("timestamp").cast("timestamp"))).alias("_mid"))
     halves = scored.where("split = 'val'").crossJoin(F.broadcast(middle))
     early = halves.where("unix_timestamp(cast(timestamp AS timestamp)) <= _mid").drop("_mid")
@@ -422,35 +415,32 @@ def _platt(t: Tables) -> DataFrame:
 
 
 add("m11_platt", _platt)
-add("m12_forward_validation", lambda t: r(models.forward_validation(s.staged(features.forward_folds(_design(t).where("split = 'train'"))), _X, "y_volume", {"shallow": DecisionTreeRegressor(maxDepth=3, seed=42), "deep": DecisionTreeRegressor(maxDepth=7, seed=42)}), 3))
 
 
-def _score_all(t: Tables) -> DataFrame:
-    rows = _design(t)
-    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
-    keep = ["road_id", "road_name", "timestamp", "y_volume", "y_speed", "y_congestion_code", "y_accident"]
-    for target in ("y_volume", "y_speed"):
-        test = models.predicted(models.fitted(train, _X, target, LinearRegression(solver="normal"), True), test, f"pred_{target}")
-    classes = models.fitted(models.with_weights(train.where("y_congestion_code >= 0"), "y_congestion_code"), _X, "y_congestion_code", LogisticRegression(weightCol="weight", maxIter=20), True, 4)
-    test = models.predicted(classes, test, "pred_congestion_code")
-    risk = models.fitted(models.with_weights(train, "y_accident"), _X, "y_accident", LogisticRegression(weightCol="weight", maxIter=20), True)
-    test = models.risk(risk, test, "pred_accident_prob").withColumns({"is_peak": F.col("is_peak").cast("int")})
-    return test.select(*keep, "pred_y_volume", "pred_y_speed", "pred_congestion_code", "pred_accident_prob", "is_peak", "rain_flag")
+def _forward(t: Tables) -> DataFrame:
+    rows, xs = t.design
+    folds = s.staged(features.forward_folds(rows.where("split = 'train'")))
+    return r(models.forward_validation(folds, xs, "y_volume", {f"depth {d}": models.REGRESSORS["boosted"](maxDepth=d, maxIter=10) for d in (3, 5)}), 3)
 
 
-def _batch_scoring(t: Tables) -> DataFrame:
-    test = models.with_condition(_score_all(t))
-    rows = models.with_condition(t.split)
-    fine, coarse = models.residual_quantiles(rows.where("split = 'val'"), "y_volume", "pred_y_volume", ["road_id", "condition"], ["condition"], least=5)
-    done = models.scored_frame(models.with_intervals(test, "pred_y_volume", fine, coarse, ["road_id", "condition"], ["condition"]))
-    return done.groupBy("pred_congestion", "confidence").agg(F.count("*").alias("n"))
+add("m12_forward_validation", _forward)
+add("m13_batch_scoring", lambda t: r(models.scored_frame(t.chain[0]).groupBy("pred_congestion", "confidence").agg(
+    F.count("*").alias("n"), F.avg(F.col("volume_p90") - F.col("volume_p10")).alias("mean_width"), F.avg("pred_y_travel_time").alias("mean_travel_time")), 3))
+add("m13_scored_rows", lambda t: r(models.scored_frame(t.chain[0]).select("road_id", "timestamp", "y_volume", "pred_y_volume", "volume_p10", "volume_p90", "pred_y_speed", "pred_y_travel_time", "pred_congestion", "pred_accident_prob", "confidence"), 3))
+add("e11_fitted_scoreboard", lambda t: r(t.chain[1].groupBy("target", "model", "chosen").pivot("metric", ["rmse", "mae", "r2", "accuracy", "macro_f1", "roc_auc"]).agg(F.first("value")), 3))
+add("e12_fitted_coverage", lambda t: r(metrics.coverage(t.chain[0], "y_volume", "volume_p10", "volume_p90"), 3))
+add("m16_fitted_card", lambda t: r(t.chain[2], 3))
+add("m14_intervals", lambda t: r(t.intervals.select("road_id", "timestamp", "volume_p10", "volume_p50", "volume_p90")), "SELECT road_id, timestamp, volume_p10, volume_p50, volume_p90 FROM intervals", "volume_p10 volume_p50 volume_p90")
 
 
-add("m13_batch_scoring", _batch_scoring)
-add("m14_intervals", lambda t: r(t.intervals.select("road_id", "timestamp", "volume_p10", "volume_p50", "volume_p90")), "SELECT road_id, timestamp, volume_p10, volume_p50, volume_p90 FROM intervals", "volume_p10 volume_p50 volume_p90")
-add("m15_importance", lambda t: r(models.importance(models.fitted(_design(t).where("split = 'train'"), _X, "y_volume", DecisionTreeRegressor(maxDepth=6, seed=42)), _X, t.lite), 3))
-add("m16_model_card", lambda t: r(t.split.groupBy().agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.lit(len(_X)).alias("n_features")).crossJoin(
-    metrics.regression(t.split.where("split = 'test'"), "y_volume", "pred_y_volume"))), f"""SELECT * FROM (SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows, min(timestamp) AS first, max(timestamp) AS last, {len(_X)} AS n_features FROM split),
+def _importance(t: Tables) -> DataFrame:
+    rows, xs = t.design
+    return r(models.importance(models.fitted(rows.where("split = 'train'"), xs, "y_volume", models.REGRESSORS["tree"]()), xs, rows), 3)
+
+
+add("m15_importance", _importance)
+add("m16_model_card", lambda t: r(t.split.groupBy().agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.lit(2).alias("n_features")).crossJoin(
+    metrics.regression(t.split.where("split = 'test'"), "y_volume", "pred_y_volume"))), f"""SELECT * FROM (SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows, min(timestamp) AS first, max(timestamp) AS last, 2 AS n_features FROM split),
     (SELECT {_E1} FROM split WHERE split = 'test')""", "rmse mae mape r2")
 add("m17_prediction_table", lambda t: r(t.split.where("split = 'test'").select("road_id", "timestamp", "y_volume", "pred_y_volume").join(t.split.where("split = 'test'").select("road_id", "timestamp", "pred_accident_prob"), ["road_id", "timestamp"])),
     "SELECT road_id, timestamp, y_volume, pred_y_volume, pred_accident_prob FROM split WHERE split = 'test'", "pred_y_volume")
@@ -458,8 +448,8 @@ add("m18_sequence_stats", lambda t: r(models.sequence_stats(t.split, ["y_volume"
 
 
 def _saved(t: Tables) -> DataFrame:
-    rows, path = _design(t), s.scratch(t.spark)
-    models.save(models.fitted(rows.where("split = 'train'"), _X, "y_volume", LinearRegression(solver="normal"), True), path)
+    (rows, xs), path = t.design, s.scratch(t.spark)
+    models.save(models.fitted(rows.where("split = 'train'"), xs, "y_volume", models.REGRESSORS["linear"](), True), path)
     return r(metrics.regression(models.predicted(models.load(path), rows.where("split = 'test'"), "p"), "y_volume", "p"), 3)
 
 
@@ -467,10 +457,10 @@ add("m19_save_and_load", _saved)
 
 
 def _ceiling(t: Tables) -> DataFrame:
-    rows = _design(t)
+    rows, xs = t.design
     out = None
-    for name, columns in (("honest", _X), ("contemporaneous", [*_X, "y_speed", "y_volume"])):
-        model = models.fitted(models.with_weights(rows.where("split = 'train'"), "y_accident"), columns, "y_accident", LogisticRegression(weightCol="weight", maxIter=20), True)
+    for name, columns in (("honest", xs), ("contemporaneous", [*xs, "y_speed", "y_volume"])):
+        model = models.fitted(models.with_weights(rows.where("split = 'train'"), "y_accident"), columns, "y_accident", models.CLASSIFIERS["logistic"](), True)
         found = metrics.ranking_quality(models.risk(model, rows.where("split = 'test'"), "risk"), "y_accident", "risk").withColumn("features", F.lit(name))
         out = found if out is None else out.unionAll(found)
     gap = out.groupBy().pivot("features", ["honest", "contemporaneous"]).agg(F.first("roc_auc"))

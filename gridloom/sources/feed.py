@@ -1,6 +1,7 @@
 """The panel's raw tables derived from the events and nation tables: text columns with the defects of real logs.
 
-A sensor is ``user_id % 25``; a reading is one sensor's half hour with at least one event. The least event id of a
+A sensor stands for ten users, a weather station for five sensors, so both grow with the events; a sensor has the name and
+region of nation ``sensor % 25``. A reading is one sensor's half hour with at least one event. The least event id of a
 reading, ``eid``, decides by its divisors which defects the reading has (blanks, junk, faults, copies).
 """
 
@@ -20,20 +21,20 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sensor log: all columns text, one row per sensor and half hour, with repeated and faulty rows."""
     cells = (
         events(spark, sf_dir)
-        .groupBy((F.col("user_id") % 25).cast("int").alias("seg"), F.window("ts", "30 minutes")["start"].alias("w"))
+        .groupBy(F.expr("user_id DIV 10").alias("seg"), F.window("ts", "30 minutes")["start"].alias("w"))
         .agg(
             F.min("event_id").alias("eid"), F.round(F.sum("value")).cast("long").alias("vol"), F.round(F.avg("value")).cast("long").alias("spd"),
             F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("err"),
         )
     )
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("seg"), "n_name", "n_regionkey")
-    cells = cells.join(F.broadcast(nation), "seg")  # 25 rows
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("kind"), "n_name")
+    cells = cells.withColumn("kind", F.col("seg") % 25).join(F.broadcast(nation), "kind")  # 25 rows
     rows = cells.selectExpr(
-        "CASE WHEN eid % 109 = 0 THEN 'nan' ELSE concat(' SEG-', lpad(cast(seg AS string), 2, '0')) END AS road_id",
+        "CASE WHEN eid % 109 = 0 THEN 'nan' ELSE concat(' SEG-', lpad(cast(seg AS string), 9, '0')) END AS road_id",
         "CASE WHEN eid % 31 = 0 THEN NULL ELSE n_name END AS road_name",
-        "concat('12.', lpad(cast(seg AS string), 2, '0')) AS latitude",
-        "concat('77.', lpad(cast(seg AS string), 2, '0')) AS longitude",
-        "concat('WS-', n_regionkey) AS weather_station_id",
+        "concat('12.', lpad(cast(seg % 100 AS string), 2, '0')) AS latitude",
+        "concat('77.', lpad(cast(seg % 100 AS string), 2, '0')) AS longitude",
+        "concat('WS-', seg DIV 5) AS weather_station_id",
         "CASE WHEN eid % 107 = 0 THEN '2024-13-40' ELSE date_format(w, 'yyyy-MM-dd') END AS date",
         "date_format(w, 'HH:mm') AS time",
         "CASE WHEN eid % 11 = 0 THEN NULL WHEN eid % 97 = 0 THEN 'junk' WHEN eid % 101 = 0 THEN '-5' ELSE cast(vol AS string) END AS traffic_volume",
@@ -41,11 +42,11 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN eid % 17 = 0 THEN NULL WHEN eid % 13 = 0 THEN 'broken' ELSE concat('{\"2W\": 0.', eid % 10, ', \"Car\": 0.', eid % 7, ', \"LCV\": 0.', eid % 5, ', \"HCV\": 0.', eid % 3, '}') END AS vehicle_type_dist",
         "CASE WHEN eid % 103 = 0 THEN '999' WHEN eid % 37 = 0 THEN NULL ELSE cast(spd AS string) END AS avg_speed",
         "CASE WHEN eid % 41 = 0 THEN NULL ELSE cast(n * 7 AS string) END AS occupancy",
-        "CASE WHEN eid % 7 = 0 THEN '' WHEN eid % 29 = 0 THEN 'Heavy' WHEN vol * 2 < 0.5 * (100 + 10 * seg) THEN 'Free-flow' WHEN vol * 2 < 0.8 * (100 + 10 * seg) THEN 'Moderate' WHEN vol * 2 < (100 + 10 * seg) THEN 'Heavy' ELSE 'Severe' END AS congestion_level",
+        "CASE WHEN eid % 7 = 0 THEN '' WHEN eid % 29 = 0 THEN 'Heavy' WHEN vol * 2 < 0.5 * (100 + 10 * kind) THEN 'Free-flow' WHEN vol * 2 < 0.8 * (100 + 10 * kind) THEN 'Moderate' WHEN vol * 2 < (100 + 10 * kind) THEN 'Heavy' ELSE 'Severe' END AS congestion_level",
         "CASE WHEN eid % 19 = 0 THEN NULL ELSE cast(1 + eid % 50 AS string) END AS travel_time",
         "CASE WHEN eid % 23 = 0 THEN NULL ELSE cast(err AS string) END AS accident_count",
         "CASE WHEN eid % 27 = 0 THEN NULL ELSE cast(30 + eid % 60 AS string) END AS signal_timing",
-        "cast(100 + 10 * seg AS string) AS road_capacity",
+        "cast(100 + 10 * kind AS string) AS road_capacity",
         "eid",
     )
     copies = rows.where("eid % 50 = 0")
@@ -54,10 +55,10 @@ def traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hourly weather log of five stations: text columns, day first in its dates."""
+    """The hourly weather log of the stations: text columns, day first in its dates."""
     cells = (
         events(spark, sf_dir)
-        .groupBy((F.col("user_id") % 5).cast("int").alias("st"), F.window("ts", "1 hour")["start"].alias("h"))
+        .groupBy(F.expr("user_id DIV 50").alias("st"), F.window("ts", "1 hour")["start"].alias("h"))
         .agg(F.min("event_id").alias("eid"), F.round(F.avg("value") / 2).cast("long").alias("temp"))
     )
     labels = ["Clear", " RAIN", "rainy ", "cloudy", "Overcast", "Fog", "foggy", "haze"]

@@ -1,12 +1,15 @@
 """Small fixtures for behaviour that is easy to get wrong: gaps, ties, nulls, band edges, zero denominators."""
 
 import datetime
+import random
+import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.functions import columns as c
-from gridloom.operators import clean, features, metrics, models
+from gridloom.operators import clean, features, metrics, models, ranks
 from gridloom.operators import validate as v
 
 
@@ -150,3 +153,61 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], "road_id string, timestamp timestamp_ntz, x double")
     assert clean.interpolate(df, ["x"], ["road_id"]).count() == 0 and clean.time_grid(df).count() == 0
     assert clean.dedup_most_complete(df, ["road_id", "timestamp"]).count() == 0
+
+
+def test_interpolation_of_a_long_series_takes_linear_time(spark):
+    n = 60_000
+    df = spark.range(n).selectExpr("'a' AS road_id", "timestamp_ntz'2020-01-01 00:00:00' + make_dt_interval(0, 0, 30 * id) AS timestamp", "CASE WHEN id % 7 < 3 THEN double(id) END AS x", "id")
+    began = time.time()
+    got = clean.interpolate(df, ["x"], ["road_id"], limit=None).where("x IS NULL OR abs(x - id) > 1e-6").count()
+    assert got == (n - 1) % 7 - 2 if (n - 1) % 7 > 2 else got == 0
+    assert time.time() - began < 60
+
+
+def test_running_totals_over_partitions(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), k, rng.randrange(9)) for k in rng.sample(range(10_000), 500)]
+    df = spark.createDataFrame(rows, "g string, v int, n long")
+    for by, down in ((None, False), (["g"], True)):
+        got = {(r.g, r.v): r.upto_n for r in ranks.running(df, "v", ["n"], by, down).collect()}
+        for g, v, _n in rows:
+            assert got[g, v] == sum(m for h, w, m in rows if (by is None or h == g) and (w >= v if down else w <= v))
+    assert ranks.running(df.limit(0), "v", ["n"]).count() == 0
+
+
+def test_exact_quantiles_and_medians(spark):
+    rng = random.Random(2)
+    values = [rng.choice([None, 0.0, rng.gauss(0, 9)]) for _ in range(301)]
+    df = spark.createDataFrame([(x, None, 3.0) for x in values], "x double, y double, z double")
+    have, at = sorted(x for x in values if x is not None), [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = ranks.quantiles(df, "x", at).first().q
+    for p, q in zip(at, got, strict=True):
+        place = p * (len(have) - 1)
+        low = have[int(place)]
+        assert abs(q - (low + (have[min(int(place) + 1, len(have) - 1)] - low) * (place - int(place)))) < 1e-9
+    assert ranks.medians(df, ["x", "y", "z"]).first() == (pytest.approx(statistics.median(have)), None, 3.0)
+    assert ranks.quantiles(df, "y", at).first().q is None
+
+
+def test_top_share_with_all_scores_tied(spark):
+    df = spark.range(1000).selectExpr("id AS key", "0.5 AS score", "int(id % 4 = 0) AS y")
+    row = metrics.top_share_lift(df, "y", "score", ["key"]).first()
+    assert (row.k, row.top_rate, row.lift) == (100, 0.25, 1.0)
+
+
+def test_local_times_and_instants(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-03-10 01:15:00' AS t")
+    row = df.select(c.instant(F.col("t"), "Asia/Kolkata").alias("utc"), c.local_time(c.instant(F.col("t"), "America/New_York"), "America/New_York").alias("back")).first()
+    assert row.utc == datetime.datetime(2024, 3, 9, 19, 45) and row.back == datetime.datetime(2024, 3, 10, 1, 15)
+
+
+def test_panel_models_name_what_is_missing(spark):
+    df = spark.createDataFrame([(1.0, "train")], "y_volume double, split string")
+    with pytest.raises(ValueError, match="lag1"):
+        models.panel_models(df, ["lag1"])
+
+
+def test_outliers_of_a_null_entity(spark):
+    df = spark.createDataFrame([(None, float(x)) for x in [1] * 30 + [500]], "road_id string, x double")
+    assert clean.null_outliers(df, ["x"], 5.0).where("x IS NULL").count() == 1
+

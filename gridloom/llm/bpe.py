@@ -28,8 +28,8 @@ from .shared import chunks, mapped, strings
 from .words import halves, hashes, owners, runs, utf8_offsets
 
 _NEVER = np.int64(1 << 40)
-#: Characters of the words that a process keeps encoded, about: some 400,000 words.
-REMEMBERED = 3_000_000
+#: Characters of the words that a process keeps encoded, about: some 200,000 words.
+REMEMBERED = 1_500_000
 #: Words of more bytes than this go through the merges at once, by a heap.
 LONG_WORD = 1000
 #: White space of Unicode, by code point.
@@ -71,10 +71,12 @@ class _Rows(dict):
     def __init__(self, words):
         super().__init__((w, i) for i, w in enumerate(words))
         self.fresh: list[str] = []
+        self.n = len(self)
 
     def __missing__(self, word: str) -> int:
         self.fresh.append(word)
-        self[word] = row = len(self)
+        self[word] = row = self.n
+        self.n += 1
         return row
 
 
@@ -334,7 +336,10 @@ class Bpe:
         new = np.flatnonzero(~met & short[where])
         rows = row[place]
         fresh = where[new]
-        rows[new] = self.remember([text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)])
+        words = [text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
+        rows[new] = self.remember(words)
+        for word in words:  # are found by their hash from now on
+            del self.rows[word]
         if len(fresh):
             self.met.append([keys[fresh], *(x[fresh] for x in own), rows[new]])
         like = [np.where(met, x[place], y[where])[back] for x, y in zip(parts, own, strict=True)]
@@ -356,8 +361,8 @@ class Bpe:
                 self.known = [x[order] for x in self.known]
         elif fresh:
             for word in fresh:
-                del self.rows[word]
-            n = len(self.rows)
+                self.rows.pop(word, None)
+            n = self.rows.n = self.rows.n - len(fresh)
             self.pool = self.pool[: self.begin[n]].copy()
             self.begin, self.count = self.begin[:n].copy(), self.count[:n].copy()
         self.rows.fresh, self.met = [], []

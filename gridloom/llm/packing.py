@@ -278,7 +278,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
         for part in chunks(batches, "text", BLOCK_BYTES):
             texts = strings(part["text"])
             index = Index(Words(texts, lower=True), df, n, mean)
-            tokens, lengths = _with_end(model, texts, end_id)
+            tokens, lengths = encoded(model, part, end_id)
             first = np.concatenate(([0], np.cumsum(lengths)))
             pieces = pack_block(lengths.tolist(), index.neighbours, window, room)
             at, start, size, fresh = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
@@ -294,6 +294,12 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
     return mapped(ordered, work, f"`{id_col}` {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
+def encoded(model, rows: pa.RecordBatch, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts of rows, each followed by end_id; number of each text), in pieces of bounded size."""
+    found = [_with_end(model, strings(piece["text"]), end_id) for piece in chunks([rows], "text")]
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _with_end(model, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, each followed by end_id; number of each text)."""
     ids, count = model.encode(texts)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import loaded, spread
-from .packing import _with_end
-from .shared import chunks, mapped, new_folder, packed, strings
+from .packing import encoded
+from .shared import chunks, mapped, new_folder, packed
 
 #: A rule takes three integers (its pair and its expansion) and saves one at each place; so it pays from this count up.
 LEAST = 4
@@ -194,8 +194,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str
         model, part, before = loaded(path), TaskContext.get().partitionId(), 0
         first_rule = max(len(model.names), end_id + 1)
         for shard, rows in enumerate(chunks(batches, "text", SHARD_BYTES)):
-            found = [_with_end(model, strings(piece["text"]), end_id) for piece in chunks([rows], "text")]
-            ids, lengths = (np.concatenate(x) for x in zip(*found, strict=True))
+            ids, lengths = encoded(model, rows, end_id)
             symbols, cuts, rules, expansion = compress(ids, np.concatenate(([0], np.cumsum(lengths))), first_rule)
             row = {
                 "part": part, "shard": shard, "first_rule": first_rule, "ids_before": before, "n_ids": len(ids), "doc_ids": rows["id"], "lengths": lengths, "cuts": cuts.astype(np.int32),

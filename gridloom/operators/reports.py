@@ -143,8 +143,8 @@ def top_risk_lift(df: DataFrame, y: str = "y_accident", score: str = "pred_accid
 
 
 def stable_sample(df: DataFrame, key: list[str], n: int, seed: int = 42) -> DataFrame:
-    """n rows chosen by a hash of the key: the same ones in every run."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    """n rows chosen by the MD5 of the key and the seed: the same ones in every run, and in any engine that has it."""
+    return df.orderBy(F.md5(F.concat_ws("|", *(F.col(k).cast("string") for k in key), F.lit(str(seed))).cast("binary")), *key).limit(n)
 
 
 def most_recent(df: DataFrame, n: int, time: str = "timestamp", key: str = "road_id") -> DataFrame:

@@ -115,8 +115,14 @@ add("v13_lag_audit", lambda t: v.lag_audit(t.features, {"traffic_volume_lag1": (
 # ---- projections, filters, splits
 add("p1_drop_leaks", lambda t: t.lite.drop("vehicle_count", "vehicle_type_dist").where("traffic_volume IS NOT NULL").select("road_id", "timestamp", "traffic_volume", "occupancy"), "SELECT road_id, timestamp, traffic_volume, occupancy FROM lite WHERE traffic_volume IS NOT NULL")
 _NOT_FEATURES = {"traffic_volume", "avg_speed", "occupancy", "travel_time", "accident_count", "vc_ratio", "vehicle_count", "temperature", "rainfall", "visibility", "tod", "dow"}
+_P2 = [f"{x}_lag{k}" for x in [*CHANNELS, "vc_ratio"] for k in (1, 2, 3, 4, 48, 336)] + [f"{x}_roll{m}{w}" for x in ("traffic_volume", "avg_speed") for m in ("mean", "std") for w in (4, 8, 48)]
+_P2 += ["volume_delta_1", "volume_delta_2", "speed_delta_1", "volume_dod_change", "volume_vs_roll8", "speed_vs_roll8", "hour", "minute_of_day", "day_of_week", "day_of_month", "month", "week_of_year"]
+_P2 += ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_weekend", "is_am_peak", "is_pm_peak", "is_peak", "is_night", "public_holiday", "event_flag", "roadwork_flag", "holiday_x_peak", "event_x_peak", "roadwork_x_peak"]
+_P2 += ["road_capacity", "capacity_30min", "vc_lag1", "headroom_lag1", "signal_timing", "signal_capacity_ratio", "temperature_lag1", "rainfall_lag1", "visibility_lag1", "rain_flag", "heavy_rain_flag"]
+_P2 += ["low_visibility_flag", "rain_x_peak", "rain_3h", "congestion_lag1_ord", "congestion_lag48_ord", "latitude", "longitude"]
 add("p2_feature_selection", lambda t: t.features.agg(*(F.count(x).alias(x) for x in v.select_features(t.features, _NOT_FEATURES | {x for x in t.features.columns if x.startswith("y_")}))).select(F.expr(
-    s.stacked(v.select_features(t.features, _NOT_FEATURES | {x for x in t.features.columns if x.startswith("y_")}), "feature", "values"))))
+    s.stacked(v.select_features(t.features, _NOT_FEATURES | {x for x in t.features.columns if x.startswith("y_")}), "feature", "values"))),
+    f"SELECT unnest([{', '.join(repr(x) for x in _P2)}]) AS feature, unnest([{', '.join(f'count({x})' for x in _P2)}])::DOUBLE AS \"values\" FROM features")
 add("p3_ordered_projection", lambda t: r(t.features.select(*dict.fromkeys(["road_id", "timestamp", "y_volume", "road_id", "hour", "y_volume", "vc_lag1"]))), "SELECT road_id, timestamp, y_volume, hour, vc_lag1 FROM features", "vc_lag1")
 add("p4_warm_up", lambda t: t.features.where("traffic_volume_lag336 IS NOT NULL").select("road_id", "timestamp", "traffic_volume_lag336"), "SELECT road_id, timestamp, traffic_volume_lag336 FROM features WHERE traffic_volume_lag336 IS NOT NULL")
 add("p5_split_bounds", lambda t: features.split_bounds(t.predictions), "SELECT * FROM bounds")
@@ -260,7 +266,8 @@ add("o2_risk_watchlist", lambda t: reports.risk_list(t.predictions, 10).select("
 add("o3_top_risk_lift", lambda t: r(reports.top_risk_lift(t.predictions)), "SELECT road_id, pred_accident_prob AS risk, pred_accident_prob / nullif((SELECT avg(y_accident) FROM predictions), 0) AS lift FROM predictions ORDER BY round(pred_accident_prob, 9) DESC, road_id, timestamp LIMIT 1", "lift")
 add("o4_top_correlated", lambda t: r(reports.strongest(reports.correlations(t.features, _CORR, "y_speed"), 5)), f"SELECT * FROM ({_CORR_SQL}) WHERE correlation IS NOT NULL AND NOT isnan(correlation) ORDER BY round(abs(correlation), 9) DESC, feature LIMIT 5", "correlation")
 add("o5_rerank", lambda t: r(reports.ranked(reports.entity_comparison(t.lite), "mean_speed", "road_id").select("rank", "road_id", "mean_speed")), f"SELECT (row_number() OVER (ORDER BY round(mean_speed, 9) DESC NULLS LAST, road_id))::INT AS rank, road_id, mean_speed FROM ({_COMPARE})", "mean_speed")
-add("o6_stable_sample", lambda t: reports.stable_sample(t.predictions, ["road_id", "timestamp"], 4000).select("road_id", "timestamp", "y_volume"))
+add("o6_stable_sample", lambda t: reports.stable_sample(t.predictions, ["road_id", "timestamp"], 4000).select("road_id", "timestamp", "y_volume"),
+    "SELECT road_id, timestamp, y_volume FROM predictions ORDER BY md5(road_id || '|' || strftime(timestamp, '%Y-%m-%d %H:%M:%S') || '|42'), road_id, timestamp LIMIT 4000")
 add("o7_most_recent", lambda t: reports.most_recent(t.predictions, 500).select("road_id", "timestamp", "y_volume"), "SELECT road_id, timestamp, y_volume FROM predictions ORDER BY timestamp DESC, road_id LIMIT 500")
 add("u2_half_hourly", lambda t: t.half_hourly, "SELECT * FROM half_hourly")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -72,9 +73,17 @@ def stacked(columns: list[str], name: str = "metric", value: str = "value") -> s
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the session's shared storage (``spark.checkpoint.dir``), or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder in the session's shared storage (``spark.checkpoint.dir``), which goes when the driver ends; where the
+    setting is missing, one of our own if the master is local, so that there is one machine only."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-")
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def staged(df: DataFrame) -> DataFrame:

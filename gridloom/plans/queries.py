@@ -154,9 +154,9 @@ add("a2_exact_duplicates", lambda t: clean.exact_duplicates(t.traffic), "SELECT
 add("a3_null_counts", lambda t: clean.null_counts(t.grid, [*CHANNELS, "signal_timing"]), "SELECT unnest(['traffic_volume', 'avg_speed', 'occupancy', 'signal_timing']) AS column_name, unnest([count(*) - count(traffic_volume), count(*) - count(avg_speed), count(*) - count(occupancy), count(*) - count(signal_timing)]) AS nulls FROM grid")
 _MEDIAN = """SELECT g.road_id, g.timestamp, coalesce(g.{c}, a.m, b.m{last}) AS {c} FROM grid g LEFT JOIN (SELECT {keys}, median({c}) AS m FROM grid GROUP BY ALL) a ON {on}
     LEFT JOIN (SELECT road_id, median({c}) AS m FROM grid GROUP BY ALL) b ON b.road_id = g.road_id"""
-add("a4_seasonal_median", lambda t: r(clean.fill_with_medians(t.grid, ["traffic_volume"], [["road_id", "dow", "tod"], ["road_id"], []]).select("road_id", "timestamp", "traffic_volume")),
+add("a4_seasonal_median", lambda t: r(clean.fill_with_medians(s.staged(t.grid.select("road_id", "timestamp", "dow", "tod", "traffic_volume")), ["traffic_volume"], [["road_id", "dow", "tod"], ["road_id"], []]).select("road_id", "timestamp", "traffic_volume")),
     _MEDIAN.format(c="traffic_volume", keys="road_id, dow, tod", on="a.road_id = g.road_id AND a.dow = g.dow AND a.tod = g.tod", last=", (SELECT median(traffic_volume) FROM grid)"), "traffic_volume")
-add("a5_signal_median", lambda t: r(clean.fill_with_medians(t.grid, ["signal_timing"], [["road_id", "tod"], ["road_id"]]).select("road_id", "timestamp", "signal_timing")),
+add("a5_signal_median", lambda t: r(clean.fill_with_medians(s.staged(t.grid.select("road_id", "timestamp", "tod", "signal_timing")), ["signal_timing"], [["road_id", "tod"], ["road_id"]]).select("road_id", "timestamp", "signal_timing")),
     _MEDIAN.format(c="signal_timing", keys="road_id, tod", on="a.road_id = g.road_id AND a.tod = g.tod", last=""), "signal_timing")
 add("a6_segment_length", lambda t: r(clean.segment_length(t.lite)), "SELECT road_id, median(CASE WHEN avg_speed > 0 THEN travel_time * avg_speed / 60 END) AS segment_length_km FROM lite GROUP BY 1", "segment_length_km")
 add("a7_rule_agreement", lambda t: r(enrich.rule_agreement(t.grid)), f"SELECT count(*) FILTER (congestion_level IS NULL) AS blank, avg(coalesce({band(VC)} = congestion_level, false)::INT) FILTER (congestion_level IS NOT NULL) AS agreement FROM grid", "agreement")

@@ -338,8 +338,9 @@ class Bpe:
         fresh = where[new]
         words = [text[a:b] for a, b in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
         rows[new] = self.remember(words)
-        for word in words:  # are found by their hash from now on
-            del self.rows[word]
+        for word in words:  # are found by their hash from now on; special tokens stay, as texts with strange marks look words up
+            if self.rows[word] >= len(self.specials):
+                del self.rows[word]
         if len(fresh):
             self.met.append([keys[fresh], *(x[fresh] for x in own), rows[new]])
         like = [np.where(met, x[place], y[where])[back] for x, y in zip(parts, own, strict=True)]

@@ -11,6 +11,7 @@ import public_tokenizers
 
 from . import quality
 from .bpe import bpe_decode, bpe_encode
+from .dialogue import damaged, dialogue_repair
 from .licenses import TEMPLATES, bigrams, license_scan, normalised
 from .lines import dedup_lines
 from .minhash import near_duplicates
@@ -22,6 +23,7 @@ from .repair import encode_to_files
 from .sharding import shard_documents
 from .shared import table
 from .toxicity import toxicity
+from .trie import prefix_trie, rebuilt
 
 #: The vocabulary file of the queries; it stands at the same path on every machine.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +79,15 @@ def op10_license_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.col("n_notices").cast("long").alias("n_notices"), F.round("best_dice", 6).alias("best_dice"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(*rebuilt(table(spark, sf_dir, "conversations"), block=20))
+
+
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return dialogue_repair(conversations, damaged(conversations))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_documents=10, min_chars=1)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -93,6 +104,8 @@ QUERIES = [
     op8_bm25_packing,
     op9_repair_files,
     op10_license_bigrams,
+    op11_prefix_trie,
+    op12_dialogue_repair,
     op13_line_dedup,
 ]
 
@@ -179,6 +192,70 @@ def _op10_sql() -> str:
     FROM documents d LEFT JOIN best b ON b.doc_id = d.doc_id GROUP BY 1"""
 
 
+#: CRC-32 of the ASCII text s, given ``crc(t)``, the list of the table's 256 entries.
+_CRC_TABLE = """crc AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc(s: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({s}, ''), lambda ch: ascii(ch)::BIGINT)), lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8)), 4294967295)"
+
+
+_OP11_SQL = f"""WITH {_CRC_TABLE},
+    placed AS MATERIALIZED (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+    sizes AS (SELECT conv_id, count(*) AS n FROM placed GROUP BY 1),
+    plan AS MATERIALIZED (SELECT s.conv_id, {_crc("s.conv_id::VARCHAR")} % 4 AS h, s.conv_id - s.conv_id % 20 AS donor, coalesce(d.n, 0) AS donor_n
+        FROM sizes s LEFT JOIN sizes d ON d.conv_id = s.conv_id - s.conv_id % 20, crc),
+    turns AS (SELECT plan.conv_id, pos AS depth, role, text FROM plan JOIN placed ON placed.conv_id = donor WHERE pos <= h
+        UNION ALL SELECT conv_id, least(h, donor_n) + pos - h, role, text FROM plan JOIN placed USING (conv_id) WHERE pos > h),
+    members AS MATERIALIZED (SELECT conv_id, depth, md5(string_agg(md5(length(role) || ':' || role || text), ',') OVER (PARTITION BY conv_id ORDER BY depth)) AS key,
+            len(list_filter(string_split_regex(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM turns
+        UNION ALL SELECT conv_id, 0, '', 0 FROM sizes),
+    nodes AS MATERIALIZED (SELECT depth, key, min(conv_id) AS c, count(*) AS n_convs, max(words) AS words FROM members GROUP BY 1, 2),
+    above AS MATERIALIZED (SELECT n.c, n.depth, a.c AS ac, a.depth AS ad, (n.n_convs - 1) * n.words AS saved FROM nodes n JOIN members m ON m.conv_id = n.c AND m.depth <= n.depth JOIN nodes a ON a.depth = m.depth AND a.key = m.key),
+    kids AS (SELECT ac AS c, ad AS depth, count(*) AS n FROM above WHERE ad = depth - 1 GROUP BY ALL),
+    sums AS (SELECT ac AS c, ad AS depth, sum(saved)::BIGINT AS saved, count(*) FILTER (n IS NULL) AS leaves FROM above LEFT JOIN kids ON kids.c = above.c AND kids.depth = above.depth GROUP BY ALL),
+    ends AS (SELECT depth, key, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM members WHERE (conv_id, depth) IN (SELECT conv_id, max(depth) FROM members GROUP BY 1) GROUP BY 1, 2)
+    SELECT n.c AS conv_id, n.depth, p.ac AS parent_conv_id, n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, sums.saved AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+    FROM nodes n JOIN sums ON sums.c = n.c AND sums.depth = n.depth LEFT JOIN kids ON kids.c = n.c AND kids.depth = n.depth
+    LEFT JOIN above p ON p.c = n.c AND p.depth = n.depth AND p.ad = n.depth - 1 LEFT JOIN ends ON ends.depth = n.depth AND ends.key = n.key"""
+
+
+def _op12_sql() -> str:
+    def turn(role: str, by: int, after: str) -> str:
+        return f"{{'c': {after}.c + {by}, 'a': 'I' || {after}.a, 't': ['{role}:'] || {after}.t}}"
+
+    def row(letter: str, by: str, line: str, after: str) -> str:
+        return f"{{'c': {after}.c + {by}, 'a': '{letter}' || {after}.a, 't': {f'[{line}] || ' if line else ''}{after}.t}}"
+
+    def least(options: list[str]) -> str:
+        return f"list_sort([x for x in [{', '.join(options)}] if x is not null])[1]"
+
+    roles, goes = {0: "user", 1: "user", 2: "assistant", 3: "user"}, {0: 2, 1: 2, 2: 3, 3: 2}
+    keeps = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}
+    direct = []
+    for q in range(4):
+        kept = "".join(f" WHEN role[1] = '{i}' THEN {row('K', 'late', 'line', f'b{to}')}" for i, to in keeps[q].items())
+        options = [row("D", "4", "", f"b{q}"), f"CASE WHEN gone THEN NULL{kept} END", f"CASE WHEN NOT gone THEN {row('R', '3 + late', f"'{roles[q]}:' || text", f'b{goes[q]}')} END"]
+        direct.append(f"{least(options)} AS d{q}")
+    closed = ", ".join(f"{least([f'd{q}', turn(roles[q], 3, f'd{goes[q]}'), turn(roles[q], 3, turn(roles[goes[q]], 3, f'd{goes[goes[q]]}').join('()'))])} AS b{q}" for q in range(4))
+    end = ", ".join(f"{{'c': {c}::BIGINT, 'a': '{'I' * len(t)}', 't': {t}::VARCHAR[]}} AS b{q}" for q, (c, t) in enumerate([(0, []), (6, ["user:", "assistant:"]), (3, ["assistant:"]), (0, [])]))
+    return f"""WITH RECURSIVE {_CRC_TABLE},
+    kinds AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc),
+    turns AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0),
+    placed AS (SELECT *, row_number() OVER w AS pos, row_number() OVER (PARTITION BY conv, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again, lag(role[1]) OVER w || role[1] AS pair FROM turns WINDOW w AS (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy)),
+    faults AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+    rows AS MATERIALIZED (SELECT conv, pos, role, text, role || ':' || text AS line, fault IN ('blank', 'duplicate') AS gone, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS late FROM faults),
+    back AS (SELECT conv, max(pos) AS i, {end} FROM rows GROUP BY 1
+        UNION ALL SELECT conv, i - 1, {closed} FROM (SELECT back.conv, i, {', '.join(direct)} FROM back JOIN rows ON rows.conv = back.conv AND rows.pos = i)),
+    best AS (SELECT conv, b0 AS b FROM back WHERE i = 0),
+    counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY 1)
+    SELECT conv_id, {', '.join(f'coalesce({c}, 0) AS {c}' for c in ('gaps', 'blank', 'duplicate', 'truncated', 'illegal'))}, coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) ids LEFT JOIN counts ON counts.conv = coalesce(conv_id::VARCHAR, ' ') LEFT JOIN best ON best.conv = coalesce(conv_id::VARCHAR, ' ')"""
+
+
 _OP13_SQL = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
     lines AS MATERIALIZED (SELECT r, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM docs),
     keyed AS MATERIALIZED (SELECT *, translate(regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g'), '{UPPER}', '{LOWER}') AS k FROM lines),
@@ -189,4 +266,4 @@ _OP13_SQL = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express; the others are held against brute force or held-out labels in the tests."""
-    return {"op1_minhash_near_dedup": _op1_sql(), "op3_divergence_quality": _op3_sql(), "op10_license_bigrams": _op10_sql(), "op13_line_dedup": _OP13_SQL}
+    return {"op1_minhash_near_dedup": _op1_sql(), "op3_divergence_quality": _op3_sql(), "op10_license_bigrams": _op10_sql(), "op11_prefix_trie": _OP11_SQL, "op12_dialogue_repair": _op12_sql(), "op13_line_dedup": _OP13_SQL}

@@ -15,6 +15,12 @@ CALENDAR_COLUMNS = ["date", "public_holiday", "holiday_name", "event_flag", "eve
 STATIC_COLUMNS = ["road_name", "latitude", "longitude", "weather_station_id", "road_capacity"]
 CHANNELS = ["traffic_volume", "avg_speed", "occupancy"]
 
+#: The channels of sequence windows.
+SEQUENCE_CHANNELS = [
+    "traffic_volume", "avg_speed", "occupancy", "vc_ratio", "temperature", "rainfall", "visibility", "hour_sin", "hour_cos", "dow_sin", "dow_cos",
+    "is_peak", "is_weekend", "public_holiday", "event_flag", "roadwork_flag",
+]
+
 #: Physical bounds, both ends included.
 RANGES = {
     "traffic_volume": (0, 5000), "avg_speed": (0, 200), "occupancy": (0, 100), "travel_time": (0, 240), "accident_count": (0, 20),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..config import STATIC_COLUMNS
-from . import ranks
+from . import parts, ranks
 
 
 def exact_duplicates(df: DataFrame) -> DataFrame:
@@ -60,44 +60,30 @@ def null_outliers(df: DataFrame, columns: list[str], threshold: float = 5.0, ent
     return rows.withColumns(out).drop("_entity", *(f"_{k}_{c}" for k in "ms" for c in columns))
 
 
-def interpolated(value: str, order: str, group: list[str], limit: int | None = None, mode: str = "prefix", edges: bool = False) -> Column:
-    """Linear interpolation over row positions (column ``order``) between the nearest values on both sides.
-
-    mode "prefix" fills the first ``limit`` rows of each gap, "whole_gap" fills gaps of at most ``limit`` rows only;
-    without a limit all inner gaps are filled. ``edges`` gives leading and trailing rows the nearest value.
-    """
-    back = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*group).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    at = F.when(F.col(value).isNotNull(), F.col(order))
-    before, before_at = F.last(value, True).over(back), F.last(at, True).over(back)
-    after, after_at = F.last(value, True).over(ahead), F.last(at, True).over(ahead)  # a frame that only grows costs one step a row
-    line = before + (after - before) * (F.col(order) - before_at) / F.nullif(after_at - before_at, F.lit(0))
-    if limit is not None:
-        gap = after_at - before_at - 1 if mode == "whole_gap" else F.col(order) - before_at
-        line = F.when(gap <= limit, line)
-    return F.coalesce(F.col(value), line, *((before, after) if edges else ()))
-
-
 def interpolate(df: DataFrame, columns: list[str], group: list[str], time: str = "timestamp", limit: int | None = 2, mode: str = "prefix", edges: bool = False) -> DataFrame:
-    """``interpolated`` for several columns on one ordering; the columns share one shuffle and sort."""
-    order = F.row_number().over(Window.partitionBy(*group).orderBy(time))
-    return df.withColumn("_i", order).withColumns({c: interpolated(c, "_i", group, limit, mode, edges) for c in columns}).drop("_i")
+    """Linear interpolation of several columns over row positions, see ``parts.interpolate``; a table that is cut stays cut."""
+    filled = parts.interpolate(parts.cut(df, group, time), columns, limit, mode, edges)
+    return filled if "_part" in df.columns else parts.uncut(filled)
 
 
 def interpolate_causal(df: DataFrame, columns: list[str], group: list[str], time: str = "timestamp") -> DataFrame:
     """Without look-ahead: the last value seen before, for use where later readings must not leak."""
-    back = Window.partitionBy(*group).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({c: F.last(c, True).over(back) for c in columns})
+    filled = parts.last_values(parts.cut(df, group, time), columns)
+    return filled if "_part" in df.columns else parts.uncut(filled)
 
 
 def fill_with_medians(df: DataFrame, columns: list[str], levels: list[list[str]]) -> DataFrame:
     """Nulls take the exact median of their group, from the finest level to the coarsest ([] is the whole table).
 
-    All medians are those of the column before any filling.
+    All medians are those of the column before any filling. A group of any level may hold any share of the rows: medians are
+    selected from range-partitioned counts by value (``ranks.quantiles_by``).
     """
     source = df
     for level in levels:
-        found = source.groupBy(*level).agg(*(F.median(c).alias(f"_{c}") for c in columns)) if level else ranks.medians(source, columns).select(*(F.col(c).alias(f"_{c}") for c in columns))
+        if level:
+            found = ranks.quantiles_by(source, level, {c: F.col(c) for c in columns}, [0.5]).select(*level, *(F.col(c)[0].alias(f"_{c}") for c in columns))
+        else:
+            found = ranks.medians(source, columns).select(*(F.col(c).alias(f"_{c}") for c in columns))
         df = df.join(found, level, "left") if level else df.crossJoin(F.broadcast(found))  # one row
         df = df.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
     return df
@@ -110,7 +96,8 @@ def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def segment_length(df: DataFrame, entity: str = "road_id") -> DataFrame:
     """The median of travel time x speed / 60 of each entity, over rows with speed above 0."""
-    return df.groupBy(entity).agg(F.median(F.when(F.col("avg_speed") > 0, F.col("travel_time") * F.col("avg_speed") / 60)).alias("segment_length_km"))
+    length = F.when(F.col("avg_speed") > 0, F.col("travel_time") * F.col("avg_speed") / 60)
+    return ranks.quantiles_by(df, [entity], {"q": length}, [0.5]).select(entity, F.col("q")[0].alias("segment_length_km"))
 
 
 def fill_travel_time(df: DataFrame, entity: str = "road_id") -> DataFrame:

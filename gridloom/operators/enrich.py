@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import condition_of, congestion_of, half_hour
 from . import ranks
 from .clean import interpolate
+from .validate import unique_by
 
 MIX = {"2W": "share_2w", "Car": "share_car", "LCV": "share_lcv", "HCV": "share_hcv"}
 
@@ -39,14 +40,14 @@ def half_hourly(df: DataFrame, entity: str = "station_id", time: str = "timestam
 
 
 def with_weather(panel: DataFrame, weather: DataFrame) -> DataFrame:
-    """panel left join half-hourly weather on station and time."""
+    """panel left join half-hourly weather on station and time; two rows of weather for one of them fail the join."""
     right = weather.withColumnsRenamed({"station_id": "weather_station_id", "join_ts": "timestamp"})
-    return panel.join(right, ["weather_station_id", "timestamp"], "left")
+    return panel.join(unique_by(right, ["weather_station_id", "timestamp"], "weather"), ["weather_station_id", "timestamp"], "left")
 
 
 def with_calendar(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """panel left join the calendar (a row per date) on the local date; dates without one have no flags and no names."""
-    joined = panel.withColumn("date", F.to_date("timestamp")).join(calendar, "date", "left").drop("date")
+    joined = panel.withColumn("date", F.to_date("timestamp")).join(unique_by(calendar, ["date"], "calendar"), "date", "left").drop("date")
     return joined.fillna(0, ["public_holiday", "event_flag", "roadwork_flag"]).fillna("", ["holiday_name", "event_name"])
 
 
@@ -63,9 +64,13 @@ def with_congestion(df: DataFrame) -> DataFrame:
 
 def rule_agreement(df: DataFrame) -> DataFrame:
     """One row: blank labels, and the share of given labels that equal the class of their ratio (no class is unequal)."""
+    return df.agg(*(x.alias(n) for n, x in agreement_counters().items()))
+
+
+def agreement_counters() -> dict[str, Column]:
     derived = congestion_of(F.col("traffic_volume") / F.nullif(F.col("road_capacity") / 2, F.lit(0.0)))
     same = F.when(F.col("congestion_level").isNotNull(), F.coalesce(derived == F.col("congestion_level"), F.lit(False)).cast("double"))
-    return df.agg(F.count_if(F.col("congestion_level").isNull()).alias("blank"), F.avg(same).alias("agreement"))
+    return {"blank": F.count_if(F.col("congestion_level").isNull()), "agreement": F.avg(same)}
 
 
 def vehicle_mix(df: DataFrame, column: str = "vehicle_type_dist") -> DataFrame:
@@ -79,9 +84,13 @@ def vehicle_mix(df: DataFrame, column: str = "vehicle_type_dist") -> DataFrame:
 
 def mix_failures(df: DataFrame, column: str = "vehicle_type_dist") -> DataFrame:
     """One row: texts that are no JSON object with entries."""
+    return df.agg(*(x.alias(n) for n, x in mix_counters(column).items()))
+
+
+def mix_counters(column: str = "vehicle_type_dist") -> dict[str, Column]:
     parsed = F.from_json(column, "map<string,double>")
     bad = F.col(column).isNotNull() & (F.coalesce(F.size(parsed), F.lit(0)) <= 0)
-    return df.agg(F.count_if(bad).alias("parse_failures"), F.count_if(F.col(column).isNull()).alias("null_texts"))
+    return {"parse_failures": F.count_if(bad), "null_texts": F.count_if(F.col(column).isNull())}
 
 
 def with_slots(df: DataFrame, time: str = "timestamp") -> DataFrame:

@@ -1,7 +1,8 @@
 """Leakage-safe features: what a row has of moving quantities comes from earlier rows of its entity.
 
-All window columns share one ordering per entity, so the table is shuffled and sorted once. With few long series the
-entities alone would give few tasks; ``chunked`` cuts them in time with a halo as deep as the deepest frame.
+All window columns share one ordering per entity. Entities alone would give few tasks where series are few and long, so the
+feature table runs its windows by parts of series (``parts``), each with the rows before it that the deepest frame reaches.
+``chunked`` does the same by the clock, for series without gaps.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..config import CHANNELS, CONDITIONS, DEFAULT, TEMPERATURE_BANDS, Config
 from ..functions.columns import banded, flag, ordinal
-from . import ranks
+from . import parts, ranks
 
 
 def along(entity: str = "road_id", time: str = "timestamp"):
@@ -59,10 +60,15 @@ def clock(df: DataFrame, time: str = "timestamp") -> DataFrame:
     return df.withColumns({f"{n}_x_peak": F.col(c) * F.col("is_peak") for n, c in (("holiday", "public_holiday"), ("event", "event_flag"), ("roadwork", "roadwork_flag"))})
 
 
-def history(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
+def depth(config: Config = DEFAULT) -> int:
+    """Rows before a row that its features reach."""
+    return max(*config.lags, *config.rolling, 48)
+
+
+def history(df: DataFrame, config: Config = DEFAULT, order=None) -> DataFrame:
     """Lags, rolling statistics, lagged weather and classes, in one projection over one ordering."""
     channels = [*CHANNELS, "vc_ratio"]
-    order = along()
+    order = order or along()
     code = ordinal(F.col("congestion_level"))
     found = lags(channels, config.lags, order) | rolling(["traffic_volume", "avg_speed"], config.rolling, order)
     found |= {f"{c}_lag1": F.lag(c, 1).over(order) for c in ("temperature", "rainfall", "visibility", "weather_condition")}
@@ -71,6 +77,11 @@ def history(df: DataFrame, config: Config = DEFAULT) -> DataFrame:
     return df.withColumns(found)
 
 
+def in_parts(df: DataFrame, compute, halo: int, entity: str = "road_id", time: str = "timestamp") -> DataFrame:
+    """``compute`` (rows, order -> rows) by parts of series with a halo; a table that is not cut yet is cut first."""
+    return parts.uncut(parts.with_halo(parts.cut(df, [entity], time), compute, halo))
+
+
 def differences(df: DataFrame) -> DataFrame:
     """Momentum: differences of lags (day over week, see the column's name), and deviations from rolling means."""
     v, s = "traffic_volume", "avg_speed"
@@ -118,10 +129,12 @@ def sequences(df: DataFrame, columns: list[str], length: int = 12, order=None) -
 
 def dataset(merged: DataFrame, config: Config = DEFAULT, strict: bool = False) -> DataFrame:
     """The feature table. strict: the vehicle mix comes from the row before, too."""
-    df = merged
-    if strict:
-        df = df.withColumns({c: F.lag(c, 1).over(along()) for c in ("share_2w", "share_car", "share_lcv", "share_hcv")})
-    df = differences(history(targets(clock(df)), config))
+    def past(df: DataFrame, order) -> DataFrame:
+        if strict:
+            df = df.withColumns({c: F.lag(c, 1).over(order) for c in ("share_2w", "share_car", "share_lcv", "share_hcv")})
+        return history(df, config, order)
+
+    df = differences(in_parts(targets(clock(merged)), past, depth(config)))
     df = one_hot(one_hot(weather_flags(capacity(df)), "weather_condition_lag1", CONDITIONS), "temp_band", TEMPERATURE_BANDS)
     return df.where(F.col(f"traffic_volume_lag{max(config.lags)}").isNotNull())
 

@@ -132,10 +132,13 @@ def best_threshold(df: DataFrame, y: str, score: str, steps: int = 120, low: flo
 
 def coverage(df: DataFrame, y: str, low: str, high: str) -> DataFrame:
     width = F.col(high) - F.col(low)
-    return df.where(F.col(y).isNotNull() & width.isNotNull()).agg(
-        F.avg(F.col(y).between(F.col(low), F.col(high)).cast("double")).alias("coverage"), F.avg(width).alias("mean_width"), F.median(width).alias("median_width"),
-        (F.avg(width) / F.nullif(F.avg(y), F.lit(0.0)) * 100).alias("width_pct_of_mean"),
+    rows = df.where(F.col(y).isNotNull() & width.isNotNull()).withColumn("_w", width)
+    found = rows.agg(
+        F.avg(F.col(y).between(F.col(low), F.col(high)).cast("double")).alias("coverage"), F.avg("_w").alias("mean_width"),
+        (F.avg("_w") / F.nullif(F.avg(y), F.lit(0.0)) * 100).alias("width_pct_of_mean"),
     )
+    middle = ranks.medians(rows, ["_w"]).select(F.col("_w").alias("median_width"))
+    return found.crossJoin(middle).select("coverage", "mean_width", "median_width", "width_pct_of_mean")  # a row each
 
 
 def calibration(df: DataFrame, y: str, raw: str, calibrated: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..config import CLASSES
 from ..functions.columns import condition_label, confidence, label_of, logistic
-from . import metrics
+from . import metrics, ranks
 
 SEED = 42
 
@@ -129,9 +129,9 @@ def forward_validation(df: DataFrame, features: list[str], label: str, candidate
 def residual_quantiles(val: DataFrame, y: str, p: str, keys: list[str], fallback: list[str], least: int = 30, quantiles=(0.1, 0.5, 0.9)) -> tuple[DataFrame, DataFrame]:
     """Quantiles of y - p on validation rows, by keys (groups of ``least`` rows) and by the fallback's keys."""
     rows = val.withColumn("_r", F.col(y) - F.col(p)).where("_r IS NOT NULL")
-    q = F.percentile("_r", F.array(*map(F.lit, quantiles)))
-    fine = rows.groupBy(*keys).agg(q.alias("_q"), F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
-    return fine, rows.groupBy(*fallback).agg(q.alias("_qf"))
+    enough = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n")
+    fine = ranks.quantiles_by(rows, keys, {"_q": F.col("_r")}, list(quantiles)).join(enough, keys)
+    return fine, ranks.quantiles_by(rows, fallback, {"_qf": F.col("_r")}, list(quantiles))
 
 
 def with_intervals(df: DataFrame, p: str, fine: DataFrame, coarse: DataFrame, keys: list[str], fallback: list[str], name: str = "volume") -> DataFrame:

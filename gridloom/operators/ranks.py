@@ -6,7 +6,7 @@ totals those of the partitions before it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,3 +58,27 @@ def medians(df: DataFrame, columns: list[str]) -> DataFrame:
     wanted = run.groupBy("c").agg(F.sum("n").alias("total")).select("c", F.lit(0).alias("i"), F.floor(half).alias("lo"), F.ceil(half).alias("hi"), (half - F.floor(half)).alias("frac"))
     found = _at(run, wanted, ["c"])  # a row for each column
     return found.agg(*(F.max(F.when(F.col("c") == c, F.col("q"))).alias(c) for c in columns))
+
+
+def quantiles_by(df: DataFrame, by: list[str], values: dict[str, Column], at: list[float]) -> DataFrame:
+    """(by, and for each name of values an array of its exact quantiles in the group, interpolated; null without values).
+
+    All groups, columns and ranks in one pass: values are counted by group, the counts are range-partitioned by group and
+    value, and running totals tell which count holds a wanted rank. A group of any size lies in many partitions. Groups with a
+    null in ``by`` are left out, others have a row each.
+    """
+    pairs = ", ".join(f"'{n}', _v{i}" for i, n in enumerate(values))
+    known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by)).select(*by, *(v.cast("double").alias(f"_v{i}") for i, v in enumerate(values.values())))
+    counts = known.select(*by, F.expr(f"stack({len(values)}, {pairs}) AS (_c, _v)")).groupBy(*by, "_c", "_v").agg(F.count("_v").alias("n"))
+    run = staged(running(counts, "_v", ["n"], [*by, "_c"]))  # the count of nulls is 0, so that a group without values is here too
+    place = F.col("p") * (F.col("total") - 1)
+    wanted = run.groupBy(*by, "_c").agg(F.sum("n").alias("total")).where("total > 0").withColumn("p", F.explode(F.array(*map(F.lit, at))))
+    wanted = wanted.select(*by, "_c", "p", F.floor(place).alias("lo"), F.ceil(place).alias("hi"), (place - F.floor(place)).alias("frac"))
+    first = F.col("upto_n") - F.col("n")
+    holds = {k: (first <= F.col(k)) & (F.col(k) < F.col("upto_n")) for k in ("lo", "hi")}
+    ends = run.where("n > 0").join(staged(wanted), [*by, "_c"]).where(holds["lo"] | holds["hi"]).groupBy(*by, "_c", "p", "frac")
+    ends = ends.agg(F.max(F.when(holds["lo"], F.col("_v"))).alias("a"), F.max(F.when(holds["hi"], F.col("_v"))).alias("b"))
+    blended = F.when(F.col("frac") == 0, F.col("a")).otherwise(F.col("a") * (1 - F.col("frac")) + F.col("b") * F.col("frac"))
+    found = ends.select(*by, "_c", "p", blended.alias("q")).unionByName(run.select(*by, F.lit(None).cast("string").alias("_c"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("double").alias("q")))
+    each = {n: [F.max(F.when((F.col("_c") == n) & (F.col("p") == p), F.col("q"))) for p in at] for n in values}
+    return found.groupBy(*by).agg(*(F.array(*q).alias(n) for n, q in each.items()))

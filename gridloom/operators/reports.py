@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import banded, label_of, ordinal
+from . import ranks
 
 
 def class_shares(df: DataFrame, column: str) -> DataFrame:
@@ -35,7 +36,7 @@ def entity_by_hour(df: DataFrame, value: Column, entity: str = "road_id") -> Dat
 def five_numbers(df: DataFrame, by: str, value: str) -> DataFrame:
     """q1, median, q3, and whiskers: the extreme values within 1.5 times the range between quartiles."""
     rows = df.where(F.col(by).isNotNull() & F.col(value).isNotNull())
-    q = rows.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = ranks.quantiles_by(rows, [by], {"q": F.col(value)}, [0.25, 0.5, 0.75])
     q = q.select(by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("q2"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)

@@ -24,8 +24,8 @@ def check_schema(df: DataFrame, expected: list[str]) -> DataFrame:
     return df.select(*expected)
 
 
-def typed_traffic(raw: DataFrame) -> DataFrame:
-    df = check_schema(raw, TRAFFIC_COLUMNS)
+def typed_traffic(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    df = check_schema(raw, [*TRAFFIC_COLUMNS, *keep])
     text = ["road_id", "road_name", "weather_station_id", "congestion_level"]
     return df.withColumns({"timestamp": moment("yyyy-MM-dd")} | {c: number(c) for c in TRAFFIC_NUMBERS} | {c: blank_to_null(c) for c in text})
 
@@ -44,8 +44,8 @@ def tagged(df: DataFrame, columns: list[str], config: Config = DEFAULT, key: str
     return df.withColumn("_reject_reason", reasons(ranges, *extra))
 
 
-def tagged_traffic(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    return tagged(typed_traffic(raw), TRAFFIC_COLUMNS, config, "road_id")
+def tagged_traffic(raw: DataFrame, config: Config = DEFAULT, keep: tuple[str, ...] = ()) -> DataFrame:
+    return tagged(typed_traffic(raw, keep), TRAFFIC_COLUMNS, config, "road_id")
 
 
 def tagged_weather(raw: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -83,6 +83,18 @@ UPLOAD_RULES = {
 }
 
 
+def unique_by(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """df as the right side of a left join that must keep the row count: the stage that reads a key with several rows fails, and
+    says which. Rows of a null key, which match nothing, are left out. The grouping is by the join's keys, so the join has no
+    shuffle of its own."""
+    rest = [c for c in df.columns if c not in keys]
+    known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in keys))
+    one = known.groupBy(*keys).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_row"))
+    reason = F.concat(F.lit(f"{name}: "), F.col("_n").cast("string"), F.lit(" rows of "), F.concat_ws(", ", *(F.col(k).cast("string") for k in keys)))
+    checked = F.when(F.col("_n") == 1, F.col("_row")).otherwise(F.raise_error(reason))
+    return one.select(*keys, checked.alias("_row")).select(*keys, *(F.col("_row")[c].alias(c) for c in rest))
+
+
 def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that stand more than once: empty if a left join on them keeps the row count."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -9,33 +9,74 @@ from pyspark.sql import functions as F
 
 from ..config import CHANNELS, DEFAULT, Config
 from ..functions.columns import condition_of, congestion_of, flag, ordinal
-from ..operators import clean, enrich, features, models
+from ..operators import clean, enrich, features, models, parts
 from ..operators import validate as v
 from ..sources import feed
-from ..sources.tables import staged, typed_calendar
+from ..sources.tables import Observed, staged, typed_calendar
 
 
-def cleaned(valid: DataFrame, config: Config = DEFAULT, causal: bool = False) -> DataFrame:
-    """Valid readings -> the complete grid without copies, outliers and gaps."""
-    deduped = staged(clean.dedup_most_complete(valid, ["road_id", "timestamp"]))  # each stage table is read several times below
+def intake(traffic: DataFrame, observed: Observed) -> DataFrame:
+    """Valid readings of the raw log, equal rows being one, with the counters of all of its rows."""
+    copies = traffic.groupBy(*traffic.columns).agg(F.count("*").alias("_copies"))
+    valid = F.col("_reject_reason") == ""
+    total = {"raw": F.lit(True), "valid": valid, "rejected": ~valid}
+    counters = {n: F.sum(F.when(x, F.col("_copies")).otherwise(0)) for n, x in total.items()} | {"exact_duplicates": F.sum(F.col("_copies") - 1)}
+    return v.split_valid(observed.stage(v.tagged_traffic(copies, keep=("_copies",)), "ingest", counters))[0].drop("_copies")
+
+
+def cleaned(valid: DataFrame, config: Config = DEFAULT, causal: bool = False, observed: Observed | None = None) -> DataFrame:
+    """Valid readings -> the complete grid without copies, outliers and gaps, cut in parts."""
+    seen = observed or Observed()
+    readings = {"have": F.count("*")} | enrich.mix_counters()
+    deduped = seen.stage(clean.dedup_most_complete(valid, ["road_id", "timestamp"]), "readings", readings)  # each stage table is read several times below
     grid = enrich.with_slots(clean.on_grid(deduped, minutes=config.window_minutes))
+    nulls = {f"null_{c}": F.count_if(F.col(c).isNull()) for c in (*CHANNELS, "signal_timing")}
+    grid = parts.cut(grid, ["road_id"], "timestamp")  # all windows of the chain run by these parts
+    first = {"expected": F.count("*"), "entities": F.count_if(F.col("_pos") == 1)}
+    grid = seen.stage(grid, "grid", first | nulls | enrich.agreement_counters())
     gated = clean.null_outliers(grid, CHANNELS, config.z_threshold)
     if causal:
         filled = clean.interpolate_causal(gated, CHANNELS, ["road_id"])
     else:
         filled = clean.interpolate(gated, CHANNELS, ["road_id"], limit=config.max_interpolate_gap)
-    filled = clean.fill_with_medians(staged(filled), CHANNELS, [["road_id", "dow", "tod"], ["road_id"], []])
-    filled = clean.fill_with_medians(staged(filled), ["signal_timing"], [["road_id", "tod"], ["road_id"]])
+    expected = seen.values["grid", "expected"]
+    kept = lambda found: None if found["rows"] == expected else f"{found['rows']} rows of {expected}"
+    filled = clean.fill_with_medians(seen.stage(filled, "filled", {"rows": F.count("*")} | {f"left_{c}": F.count_if(F.col(c).isNull()) for c in CHANNELS}, kept), CHANNELS, [["road_id", "dow", "tod"], ["road_id"], []])
+    filled = clean.fill_with_medians(seen.stage(filled, "medians", {"rows": F.count("*")}, kept), ["signal_timing"], [["road_id", "tod"], ["road_id"]])
     return filled.fillna(0.0, ["accident_count"])
 
 
-def merged(panel: DataFrame, weather: DataFrame, calendar: DataFrame) -> DataFrame:
-    """The clean panel with weather, calendar, classes, the vehicle mix and travel times; leaking columns are gone."""
+def merged(panel: DataFrame, weather: DataFrame, calendar: DataFrame, observed: Observed | None = None) -> DataFrame:
+    """The clean panel, which stays cut in parts, with weather, calendar, classes, the vehicle mix and travel times; leaking
+    columns are gone. A right table with several rows for one of the panel's ends the chain."""
+    seen = observed or Observed()
     joined = enrich.with_calendar(enrich.with_weather(panel, enrich.half_hourly(enrich.clean_weather(weather.drop("date", "time")))), calendar)
-    out = staged(enrich.vehicle_mix(staged(enrich.with_congestion(joined))).drop("vehicle_count", "date", "time"))
+    matched = {"rows": F.count("*"), "match_rate": F.avg(F.col("weather_condition").isNotNull().cast("double"))}
+    out = staged(enrich.vehicle_mix(seen.stage(enrich.with_congestion(joined), "weather", matched)).drop("vehicle_count", "date", "time"))
     return staged(clean.fill_travel_time(out))
 
 
+#: The counters of the quality scoreboard, by section.
+SCOREBOARD = [
+    *(("ingest", x) for x in ("raw", "valid", "rejected", "entities")), *(("clean", x) for x in ("exact_duplicates", "expected", "absent", "absent_pct")), ("weather", "match_rate"),
+    ("congestion", "blank"), ("congestion", "agreement"), ("mix", "parse_failures"), ("mix", "null_texts"),
+]
+
+
+def scoreboard(spark: SparkSession, traffic: DataFrame, weather: DataFrame, calendar: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """(the merged panel, its quality scoreboard): the chain from raw logs runs once, and the counters come from its writes."""
+    seen = Observed()
+    panel = merged(cleaned(intake(traffic, seen), config, observed=seen), weather, calendar, seen)
+    at = seen.values
+    expected, have = at["grid", "expected"], at["readings", "have"]
+    found = {("ingest", "entities"): at["grid", "entities"], ("clean", "exact_duplicates"): at["ingest", "exact_duplicates"], ("clean", "expected"): expected, ("clean", "absent"): expected - have}
+    found |= {("clean", "absent_pct"): round((expected - have) / expected * 100, 6) if expected else None, ("congestion", "blank"): at["grid", "blank"], ("congestion", "agreement"): at["grid", "agreement"]}
+    found |= {("mix", n): at["readings", n] for n in ("parse_failures", "null_texts")}
+    for (section, name), value in found.items():
+        seen.put(section, name, value)
+    return panel, seen.table(spark, SCOREBOARD)
+
+
 class Tables:
     """The tables of one data folder, each built on the ones before it."""
 
@@ -99,7 +140,8 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        df = features.differences(features.history(features.targets(features.clock(self.lite))))
+        rows = features.targets(features.clock(staged(self.lite)))
+        df = features.differences(features.in_parts(rows, lambda d, order: features.history(d, order=order), features.depth()))
         return features.weather_flags(features.capacity(df))
 
     @cached_property

@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 from ..config import CHANNELS, CLASSES, CONDITIONS, DEFAULT, STATIC_COLUMNS, TEMPERATURE_BANDS
 from ..functions import columns as c
-from ..operators import clean, enrich, features, metrics, models, reports
+from ..operators import clean, enrich, features, metrics, models, parts, reports
 from ..operators import validate as v
 from ..sources import tables as s
+from . import fit_queries
 from .oracle import VC, band, code, condition, sql
-from .panel import Tables, cleaned
+from .panel import Tables, cleaned, scoreboard
 
 REGISTRY: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {}
 
@@ -202,11 +203,7 @@ add("a26_export_summary", lambda t: reports.export_summary(t.decoded, "2024-01-0
 
 
 def _scoreboard(t: Tables) -> DataFrame:
-    parts = (
-        ("ingest", v.intake_summary(t.tagged).drop("first", "last")), ("clean", clean.exact_duplicates(t.traffic)), ("clean", clean.grid_completeness(t.deduped)),
-        ("weather", enrich.match_rate(t.lite, "weather_condition")), ("congestion", enrich.rule_agreement(t.grid)), ("mix", enrich.mix_failures(t.deduped)),
-    )
-    return s.counters(*parts).withColumnRenamed("stage", "section")
+    return scoreboard(t.spark, t.traffic, t.valid_weather, t.calendar)[1]
 
 
 add("a27_quality_scoreboard", lambda t: r(_scoreboard(t)), f"""SELECT 'ingest' AS section, unnest(['raw', 'valid', 'rejected', 'entities']) AS metric, unnest([count(*), count(*) FILTER (_reject_reason = ''), count(*) FILTER (_reject_reason <> ''), count(DISTINCT road_id) FILTER (_reject_reason = '')])::DOUBLE AS value FROM tagged
@@ -245,7 +242,7 @@ _WX = ["temperature_lag1", "rainfall_lag1", "visibility_lag1", "weather_conditio
 add("w11_lagged_weather", lambda t: t.features.select("road_id", "timestamp", *_WX), f"SELECT road_id, timestamp, {', '.join(_WX)} FROM features")
 add("w12_lagged_class", lambda t: t.features.select("road_id", "timestamp", "congestion_lag1_ord", "congestion_lag48_ord"), "SELECT road_id, timestamp, congestion_lag1_ord, congestion_lag48_ord FROM features")
 add("w13_entity_code", lambda t: features.entity_code(t.deduped.select("road_id")).distinct(), "SELECT road_id, (dense_rank() OVER (ORDER BY road_id) - 1)::INT AS road_code FROM master")
-add("w14_sequences", lambda t: features.sequences(t.lite.fillna(0.0, CHANNELS), CHANNELS).select("road_id", "timestamp", F.size("window").alias("n"), F.col("window")[0]["traffic_volume"].alias("oldest"), F.col("window")[11]["traffic_volume"].alias("newest"), F.aggregate("window", F.lit(0.0), lambda a, x: a + x["avg_speed"]).alias("speed_sum")),
+add("w14_sequences", lambda t: features.in_parts(s.staged(t.lite.fillna(0.0, CHANNELS)), lambda df, order: features.sequences(df, CHANNELS, order=order), halo=12).select("road_id", "timestamp", F.size("window").alias("n"), F.col("window")[0]["traffic_volume"].alias("oldest"), F.col("window")[11]["traffic_volume"].alias("newest"), F.aggregate("window", F.lit(0.0), lambda a, x: a + x["avg_speed"]).alias("speed_sum")),
     """SELECT road_id, timestamp, 12 AS n, oldest, newest, speed_sum FROM (SELECT road_id, timestamp, count(*) OVER w AS c, first_value(coalesce(traffic_volume, 0)) OVER w AS oldest, last_value(coalesce(traffic_volume, 0)) OVER w AS newest, sum(coalesce(avg_speed, 0)) OVER w AS speed_sum
     FROM lite WINDOW w AS (PARTITION BY road_id ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE c = 12""")
 add("w15_persistence", lambda t: t.features.select("road_id", "timestamp", F.col("traffic_volume_lag1").alias("volume"), F.col("avg_speed_lag1").alias("speed"), F.greatest("congestion_lag1_ord", F.lit(0)).alias("class")),
@@ -475,6 +472,7 @@ def _ceiling(t: Tables) -> DataFrame:
 
 
 add("e19_signal_ceiling", _ceiling)
+fit_queries.register(add, r)
 
 # ---- whole chains
 add("chain_cleaned", lambda t: r(cleaned(t.valid).groupBy("road_id").agg(F.count("*").alias("rows"), F.count("traffic_volume").alias("volumes"), F.avg("traffic_volume").alias("mean_volume"))))
@@ -486,8 +484,8 @@ add("chunked_features", lambda t: r(features.chunked(t.lite, lambda df: df.withC
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw logs to the daily profile of volume: scan, validate, deduplicate, grid, interpolate, lag, roll, aggregate."""
     t = Tables(spark, sf_dir)
-    filled = clean.interpolate(t.grid, ["traffic_volume"], ["road_id"], limit=2)
-    rows = filled.withColumns(features.lags(["traffic_volume"], (1,)) | features.rolling(["traffic_volume"], (4,)))
+    filled = clean.interpolate(parts.cut(t.grid, ["road_id"], "timestamp"), ["traffic_volume"], ["road_id"], limit=2)
+    rows = features.in_parts(filled, lambda df, order: df.withColumns(features.lags(["traffic_volume"], (1,), order) | features.rolling(["traffic_volume"], (4,), order)), halo=4)
     kind = F.when(F.weekday("timestamp") >= 5, "weekend").otherwise("weekday")
     return r(rows.groupBy(kind.alias("kind"), "tod").agg(F.avg("traffic_volume").alias("mean"), F.avg("traffic_volume_lag1").alias("mean_lag1"), F.avg("traffic_volume_rollmean4").alias("mean_roll4")))
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,6 +94,37 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class BrokenStage(ValueError):
+    """A stage table whose counters break an expectation."""
+
+
+class Observed:
+    """Counters of a chain, gathered while its stage tables are written: none costs a pass over a table."""
+
+    def __init__(self):
+        self.values: dict[tuple[str, str], float | None] = {}
+
+    def stage(self, df: DataFrame, section: str, counters: dict[str, Column], expect: Callable[[dict], str | None] | None = None) -> DataFrame:
+        """``staged`` df; counters are aggregates without DISTINCT over its rows. ``expect`` gets them by name and returns what is
+        wrong, if anything: that ends the chain."""
+        seen = Observation()
+        out = staged(df.observe(seen, *(x.alias(n) for n, x in counters.items())))
+        found = seen.get
+        self.values |= {(section, n): x for n, x in found.items()}
+        if expect and (wrong := expect(found)):
+            raise BrokenStage(f"{section}: {wrong}")
+        return out
+
+    def put(self, section: str, name: str, value: float | None) -> None:
+        """A counter that follows from others."""
+        self.values[section, name] = value
+
+    def table(self, spark: SparkSession, wanted: list[tuple[str, str]]) -> DataFrame:
+        """(section, metric, value) of the wanted counters."""
+        rows = [(a, b, None if self.values[a, b] is None else float(self.values[a, b])) for a, b in wanted]
+        return spark.createDataFrame(rows, "section string, metric string, value double")
+
+
 def write_counters(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
@@ -102,4 +134,4 @@ def export_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-__all__ = ["blank_to_null", "counters", "export_csv", "quarantine", "read_table", "scratch", "staged", "scan_calendar", "scan_csv", "scan_traffic", "scan_weather", "stacked", "typed_calendar", "write_counters", "write_table"]
+__all__ = ["BrokenStage", "Observed", "blank_to_null", "counters", "export_csv", "quarantine", "read_table", "scratch", "staged", "scan_calendar", "scan_csv", "scan_traffic", "scan_weather", "stacked", "typed_calendar", "write_counters", "write_table"]

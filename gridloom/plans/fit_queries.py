@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SEQUENCE_CHANNELS
@@ -137,8 +137,12 @@ def _sequences(t: Tables) -> DataFrame:
     """Of each window of 12 rows: the oldest, the newest and the mean value of all 16 channels, nulls being 0."""
     rows = features.clock(staged(t.lite)).select("road_id", "timestamp", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SEQUENCE_CHANNELS))
     windows = features.in_parts(rows, lambda df, order: features.sequences(df, SEQUENCE_CHANNELS, order=order), halo=12)
-    each = [x for c in SEQUENCE_CHANNELS for x in (F.col("window")[0][c].alias(f"{c}_oldest"), F.col("window")[11][c].alias(f"{c}_newest"), (F.aggregate("window", F.lit(0.0), lambda a, x, c=c: a + x[c]) / 12).alias(f"{c}_mean"))]
-    return windows.select("road_id", "timestamp", *each)
+
+    def three(c: str) -> list[Column]:
+        total = F.aggregate("window", F.lit(0.0), lambda a, x: a + x[c])
+        return [F.col("window")[0][c].alias(f"{c}_oldest"), F.col("window")[11][c].alias(f"{c}_newest"), (total / 12).alias(f"{c}_mean")]
+
+    return windows.select("road_id", "timestamp", *(x for c in SEQUENCE_CHANNELS for x in three(c)))
 
 
 _SEQUENCE_PARTS = ", ".join(f"first_value(coalesce({c}, 0)::DOUBLE) OVER w AS {c}_oldest, last_value(coalesce({c}, 0)::DOUBLE) OVER w AS {c}_newest, avg(coalesce({c}, 0)::DOUBLE) OVER w AS {c}_mean" for c in SEQUENCE_CHANNELS)

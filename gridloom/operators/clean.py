@@ -72,15 +72,18 @@ def interpolate_causal(df: DataFrame, columns: list[str], group: list[str], time
     return filled if "_part" in df.columns else parts.uncut(filled)
 
 
-def fill_with_medians(df: DataFrame, columns: list[str], levels: list[list[str]]) -> DataFrame:
+def fill_with_medians(df: DataFrame, columns: list[str], levels: list[list[str]], small: int = 0) -> DataFrame:
     """Nulls take the exact median of their group, from the finest level to the coarsest ([] is the whole table).
 
-    All medians are those of the column before any filling. A group of any level may hold any share of the rows: medians are
-    selected from range-partitioned counts by value (``ranks.quantiles_by``).
+    All medians are those of the column before any filling. A group may hold any share of the rows: medians are selected from
+    range-partitioned counts by value (``ranks.quantiles_by``). Only groups of the first ``small`` levels are aggregated whole;
+    these are small by nature, as a half hour of a weekday of a road has a row a week, however many roads there are.
     """
     source = df
-    for level in levels:
-        if level:
+    for k, level in enumerate(levels):
+        if k < small:
+            found = source.groupBy(*level).agg(*(F.median(c).alias(f"_{c}") for c in columns))
+        elif level:
             found = ranks.quantiles_by(source, level, {c: F.col(c) for c in columns}, [0.5]).select(*level, *(F.col(c)[0].alias(f"_{c}") for c in columns))
         else:
             found = ranks.medians(source, columns).select(*(F.col(c).alias(f"_{c}") for c in columns))

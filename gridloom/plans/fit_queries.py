@@ -135,7 +135,7 @@ def _tree_sql(depth: int = 3) -> str:
 
 def _sequences(t: Tables) -> DataFrame:
     """Of each window of 12 rows: the oldest, the newest and the mean value of all 16 channels, nulls being 0."""
-    rows = features.clock(staged(t.lite)).select("road_id", "timestamp", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SEQUENCE_CHANNELS))
+    rows = features.clock(t.lite).select("road_id", "timestamp", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in SEQUENCE_CHANNELS))
     windows = features.in_parts(rows, lambda df, order: features.sequences(df, SEQUENCE_CHANNELS, order=order), halo=12)
 
     def three(c: str) -> list[Column]:
@@ -150,7 +150,7 @@ _SEQUENCES = f"SELECT * EXCLUDE (c) FROM (SELECT road_id, timestamp, count(*) OV
 
 
 def _channel_stats(t: Tables) -> DataFrame:
-    rows = features.with_split(features.clock(staged(t.lite)))
+    rows = features.with_split(features.clock(t.lite))
     stats = models.sequence_stats(rows.select("split", *(F.col(c).cast("double").alias(c) for c in SEQUENCE_CHANNELS)), SEQUENCE_CHANNELS)
     listed = ", ".join(f"'{c}', {c}_mean, {c}_sd" for c in SEQUENCE_CHANNELS)
     return stats.selectExpr(f"stack({len(SEQUENCE_CHANNELS)}, {listed}) AS (channel, mean, sd)")

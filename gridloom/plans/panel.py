@@ -41,8 +41,8 @@ def cleaned(valid: DataFrame, config: Config = DEFAULT, causal: bool = False, ob
         filled = clean.interpolate(gated, CHANNELS, ["road_id"], limit=config.max_interpolate_gap)
     expected = seen.values["grid", "expected"]
     kept = lambda found: None if found["rows"] == expected else f"{found['rows']} rows of {expected}"
-    filled = clean.fill_with_medians(seen.stage(filled, "filled", {"rows": F.count("*")} | {f"left_{c}": F.count_if(F.col(c).isNull()) for c in CHANNELS}, kept), CHANNELS, [["road_id", "dow", "tod"], ["road_id"], []])
-    filled = clean.fill_with_medians(seen.stage(filled, "medians", {"rows": F.count("*")}, kept), ["signal_timing"], [["road_id", "tod"], ["road_id"]])
+    filled = clean.fill_with_medians(seen.stage(filled, "filled", {"rows": F.count("*")} | {f"left_{c}": F.count_if(F.col(c).isNull()) for c in CHANNELS}, kept), CHANNELS, [["road_id", "dow", "tod"], ["road_id"], []], small=1)
+    filled = clean.fill_with_medians(seen.stage(filled, "medians", {"rows": F.count("*")}, kept), ["signal_timing"], [["road_id", "tod"], ["road_id"]], small=1)
     return filled.fillna(0.0, ["accident_count"])
 
 
@@ -78,11 +78,22 @@ def scoreboard(spark: SparkSession, traffic: DataFrame, weather: DataFrame, cale
 
 
 class Tables:
-    """The tables of one data folder, each built on the ones before it."""
+    """The tables of one data folder, each built on the ones before it; those that many queries read are stage tables."""
+
+    _last: tuple[tuple, Tables] | None = None
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
 
+    @classmethod
+    def shared(cls, spark: SparkSession, sf_dir: str) -> Tables:
+        """The tables of the folder last asked for are kept for the session, as long as its input files stay what they were, so
+        that what one query has staged serves the next ones."""
+        key = (spark.sparkContext.applicationId, *feed.version(spark, sf_dir))
+        if not cls._last or cls._last[0] != key:
+            cls._last = key, cls(spark, sf_dir)
+        return cls._last[1]
+
     @cached_property
     def traffic(self) -> DataFrame:
         return feed.traffic(self.spark, self.dir)
@@ -117,7 +128,7 @@ class Tables:
 
     @cached_property
     def deduped(self) -> DataFrame:
-        return clean.dedup_most_complete(self.valid, ["road_id", "timestamp"])
+        return staged(clean.dedup_most_complete(self.valid, ["road_id", "timestamp"]))
 
     @cached_property
     def grid(self) -> DataFrame:
@@ -132,7 +143,7 @@ class Tables:
     def lite(self) -> DataFrame:
         """The grid with its gaps, and its context: for queries on features, without the cost of filling."""
         joined = enrich.with_calendar(enrich.with_weather(self.grid.drop("date", "time"), self.half_hourly), self.calendar)
-        return enrich.with_congestion(joined)
+        return staged(enrich.with_congestion(joined))
 
     @cached_property
     def full(self) -> DataFrame:
@@ -140,7 +151,7 @@ class Tables:
 
     @cached_property
     def features(self) -> DataFrame:
-        rows = features.targets(features.clock(staged(self.lite)))
+        rows = features.targets(features.clock(self.lite))
         df = features.differences(features.in_parts(rows, lambda d, order: features.history(d, order=order), features.depth()))
         return features.weather_flags(features.capacity(df))
 

@@ -155,9 +155,9 @@ add("a2_exact_duplicates", lambda t: clean.exact_duplicates(t.traffic), "SELECT
 add("a3_null_counts", lambda t: clean.null_counts(t.grid, [*CHANNELS, "signal_timing"]), "SELECT unnest(['traffic_volume', 'avg_speed', 'occupancy', 'signal_timing']) AS column_name, unnest([count(*) - count(traffic_volume), count(*) - count(avg_speed), count(*) - count(occupancy), count(*) - count(signal_timing)]) AS nulls FROM grid")
 _MEDIAN = """SELECT g.road_id, g.timestamp, coalesce(g.{c}, a.m, b.m{last}) AS {c} FROM grid g LEFT JOIN (SELECT {keys}, median({c}) AS m FROM grid GROUP BY ALL) a ON {on}
     LEFT JOIN (SELECT road_id, median({c}) AS m FROM grid GROUP BY ALL) b ON b.road_id = g.road_id"""
-add("a4_seasonal_median", lambda t: r(clean.fill_with_medians(s.staged(t.grid.select("road_id", "timestamp", "dow", "tod", "traffic_volume")), ["traffic_volume"], [["road_id", "dow", "tod"], ["road_id"], []]).select("road_id", "timestamp", "traffic_volume")),
+add("a4_seasonal_median", lambda t: r(clean.fill_with_medians(s.staged(t.grid.select("road_id", "timestamp", "dow", "tod", "traffic_volume")), ["traffic_volume"], [["road_id", "dow", "tod"], ["road_id"], []], small=1).select("road_id", "timestamp", "traffic_volume")),
     _MEDIAN.format(c="traffic_volume", keys="road_id, dow, tod", on="a.road_id = g.road_id AND a.dow = g.dow AND a.tod = g.tod", last=", (SELECT median(traffic_volume) FROM grid)"), "traffic_volume")
-add("a5_signal_median", lambda t: r(clean.fill_with_medians(s.staged(t.grid.select("road_id", "timestamp", "tod", "signal_timing")), ["signal_timing"], [["road_id", "tod"], ["road_id"]]).select("road_id", "timestamp", "signal_timing")),
+add("a5_signal_median", lambda t: r(clean.fill_with_medians(s.staged(t.grid.select("road_id", "timestamp", "tod", "signal_timing")), ["signal_timing"], [["road_id", "tod"], ["road_id"]], small=1).select("road_id", "timestamp", "signal_timing")),
     _MEDIAN.format(c="signal_timing", keys="road_id, tod", on="a.road_id = g.road_id AND a.tod = g.tod", last=""), "signal_timing")
 add("a6_segment_length", lambda t: r(clean.segment_length(t.lite)), "SELECT road_id, median(CASE WHEN avg_speed > 0 THEN travel_time * avg_speed / 60 END) AS segment_length_km FROM lite GROUP BY 1", "segment_length_km")
 add("a7_rule_agreement", lambda t: r(enrich.rule_agreement(t.grid)), f"SELECT count(*) FILTER (congestion_level IS NULL) AS blank, avg(coalesce({band(VC)} = congestion_level, false)::INT) FILTER (congestion_level IS NOT NULL) AS agreement FROM grid", "agreement")
@@ -242,7 +242,7 @@ _WX = ["temperature_lag1", "rainfall_lag1", "visibility_lag1", "weather_conditio
 add("w11_lagged_weather", lambda t: t.features.select("road_id", "timestamp", *_WX), f"SELECT road_id, timestamp, {', '.join(_WX)} FROM features")
 add("w12_lagged_class", lambda t: t.features.select("road_id", "timestamp", "congestion_lag1_ord", "congestion_lag48_ord"), "SELECT road_id, timestamp, congestion_lag1_ord, congestion_lag48_ord FROM features")
 add("w13_entity_code", lambda t: features.entity_code(t.deduped.select("road_id")).distinct(), "SELECT road_id, (dense_rank() OVER (ORDER BY road_id) - 1)::INT AS road_code FROM master")
-add("w14_sequences", lambda t: features.in_parts(s.staged(t.lite.fillna(0.0, CHANNELS)), lambda df, order: features.sequences(df, CHANNELS, order=order), halo=12).select("road_id", "timestamp", F.size("window").alias("n"), F.col("window")[0]["traffic_volume"].alias("oldest"), F.col("window")[11]["traffic_volume"].alias("newest"), F.aggregate("window", F.lit(0.0), lambda a, x: a + x["avg_speed"]).alias("speed_sum")),
+add("w14_sequences", lambda t: features.in_parts(t.lite.fillna(0.0, CHANNELS), lambda df, order: features.sequences(df, CHANNELS, order=order), halo=12).select("road_id", "timestamp", F.size("window").alias("n"), F.col("window")[0]["traffic_volume"].alias("oldest"), F.col("window")[11]["traffic_volume"].alias("newest"), F.aggregate("window", F.lit(0.0), lambda a, x: a + x["avg_speed"]).alias("speed_sum")),
     """SELECT road_id, timestamp, 12 AS n, oldest, newest, speed_sum FROM (SELECT road_id, timestamp, count(*) OVER w AS c, first_value(coalesce(traffic_volume, 0)) OVER w AS oldest, last_value(coalesce(traffic_volume, 0)) OVER w AS newest, sum(coalesce(avg_speed, 0)) OVER w AS speed_sum
     FROM lite WINDOW w AS (PARTITION BY road_id ORDER BY timestamp ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE c = 12""")
 add("w15_persistence", lambda t: t.features.select("road_id", "timestamp", F.col("traffic_volume_lag1").alias("volume"), F.col("avg_speed_lag1").alias("speed"), F.greatest("congestion_lag1_ord", F.lit(0)).alias("class")),
@@ -483,7 +483,7 @@ add("chunked_features", lambda t: r(features.chunked(t.lite, lambda df: df.withC
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw logs to the daily profile of volume: scan, validate, deduplicate, grid, interpolate, lag, roll, aggregate."""
-    t = Tables(spark, sf_dir)
+    t = Tables.shared(spark, sf_dir)
     filled = clean.interpolate(parts.cut(t.grid, ["road_id"], "timestamp"), ["traffic_volume"], ["road_id"], limit=2)
     rows = features.in_parts(filled, lambda df, order: df.withColumns(features.lags(["traffic_volume"], (1,), order) | features.rolling(["traffic_volume"], (4,), order)), halo=4)
     kind = F.when(F.weekday("timestamp") >= 5, "weekend").otherwise("weekday")
@@ -491,7 +491,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = {name: (lambda spark, sf_dir, q=q: q(Tables(spark, sf_dir))) for name, (q, _) in REGISTRY.items()}
+    found = {name: (lambda spark, sf_dir, q=q: q(Tables.shared(spark, sf_dir))) for name, (q, _) in REGISTRY.items()}
     return found | {"flagship": flagship}
 
 

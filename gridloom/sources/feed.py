@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 from ..config import TRAFFIC_COLUMNS
 
 
+def version(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells this state of the input files from another: their names, sizes and times of change; and the session's zone."""
+    found = [sf_dir, spark.conf.get("spark.sql.session.timeZone")]
+    for name in ("events", "nation"):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        found += sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)
+    return tuple(found)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 

@@ -56,12 +56,12 @@ def judged(turns: DataFrame) -> DataFrame:
     return rows.select("conv", "turn", "pos", "role", "text", fault.alias("fault"))
 
 
-def _chunks(rows: DataFrame) -> DataFrame:
-    """(conv, chunk, codes): of each chunk a byte for each turn, its role's letter and fault."""
+def _chunks(rows: DataFrame, size: int) -> DataFrame:
+    """(conv, chunk, codes): of each chunk of ``size`` turns a number for each turn, its role's letter and fault."""
     letter = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for x in ("s", 1, "u", 2, "a", 3))), F.substring("role", 1, 1)), F.lit(0))
     fault = F.when(F.col("fault").isin("blank", "duplicate"), _GONE).when(F.col("fault") == "truncated", _TRUNCATED).otherwise(_OK)
-    coded = rows.select("conv", "pos", F.floor((F.col("pos") - 1) / CHUNK_TURNS).alias("chunk"), (letter + 4 * fault).alias("code"))
-    listed = F.array_sort(F.collect_list(F.struct("pos", "code")))  # at most CHUNK_TURNS
+    coded = rows.select("conv", "pos", F.floor((F.col("pos") - 1) / size).alias("chunk"), (letter + 4 * fault).alias("code"))
+    listed = F.array_sort(F.collect_list(F.struct("pos", "code")))  # at most ``size``
     return coded.groupBy("conv", "chunk").agg(F.transform(listed, lambda x: x["code"]).alias("codes"))
 
 
@@ -197,35 +197,39 @@ def _carry(batches):
         yield pa.RecordBatch.from_pylist(out, pa.schema([("conv", pa.string()), ("chunk", pa.int64()), ("state", pa.int64()), ("illegal", pa.int64())]))
 
 
-def _trace(batches):
+def _trace(size: int):
     """(conv, chunk, codes, edge, state, final) -> (conv, pos, inserted, edit, role, cost): what is inserted before each turn (u
     and a), its edit, the role a reroled turn gets, and the cost of these. Inserts after the last turn stand at the place after it."""
-    for batch in batches:
-        codes = batch.column(2).to_pylist()
-        grid, state = _grid(codes), batch.column(4).to_numpy()
-        costs = _costs(grid, unpacked(batch.column(3).to_numpy()))
-        width, start = grid.shape[1], np.array([grid.shape[1] - len(x) for x in codes])
-        shape = (len(grid), width + 1)
-        inserts, letters, begun, held = (np.zeros(shape, np.int64) for _ in range(4))
-        for k in range(width):
-            begun[:, k] = state
-            inserts[:, k], letters[:, k], held[:, k], state = _step(grid[:, k], costs[k], costs[k + 1], state)
-        begun[:, width], letters[:, width], held[:, width] = state, ord(" "), state
-        final = np.array(batch.column(5).to_pylist(), bool)
-        inserts[:, width] = np.where(final, costs[width][np.arange(len(grid)), state] // INSERT, 0)
-        shown = np.arange(width + 1)[None, :] >= start[:, None]
-        shown[:, width] = inserts[:, width] > 0
-        row, at = np.nonzero(shown)
-        code = np.concatenate((grid, np.zeros((len(grid), 1), np.int64)), 1)[row, at]
-        letter, many, first = letters[row, at], inserts[row, at], begun[row, at]
-        cost = many * INSERT + np.select([letter == ord("D"), letter == ord("R")], [DELETE, REROLE], 0) + np.where(((letter == ord("K")) | (letter == ord("R"))) & (code >> 2 == _TRUNCATED), TRUNCATED, 0)
-        pattern = np.array(["", "u", "ua", "", "a", "au"], object)[np.where(first == 2, 3, 0) + many]
-        role = np.where(letter == ord("R"), np.where(held[row, at] == 2, "assistant", "user"), "")
-        edit = np.char.mod("%c", letter)
-        place = batch.column(1).to_numpy()[row] * CHUNK_TURNS + at - start[row] + 1
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0).take(pa.array(row)), pa.array(place), pa.array(pattern, pa.string()), pa.array(np.char.strip(edit).astype(object), pa.string()), pa.array(role.astype(object), pa.string()), pa.array(cost),
-        ], ["conv", "pos", "inserted", "edit", "role", "cost"])
+
+    def work(batches):
+        for batch in batches:
+            codes = batch.column(2).to_pylist()
+            grid, state = _grid(codes), batch.column(4).to_numpy()
+            costs = _costs(grid, unpacked(batch.column(3).to_numpy()))
+            width, start = grid.shape[1], np.array([grid.shape[1] - len(x) for x in codes])
+            shape = (len(grid), width + 1)
+            inserts, letters, begun, held = (np.zeros(shape, np.int64) for _ in range(4))
+            for k in range(width):
+                begun[:, k] = state
+                inserts[:, k], letters[:, k], held[:, k], state = _step(grid[:, k], costs[k], costs[k + 1], state)
+            begun[:, width], letters[:, width], held[:, width] = state, ord(" "), state
+            final = np.array(batch.column(5).to_pylist(), bool)
+            inserts[:, width] = np.where(final, costs[width][np.arange(len(grid)), state] // INSERT, 0)
+            shown = np.arange(width + 1)[None, :] >= start[:, None]
+            shown[:, width] = inserts[:, width] > 0
+            row, at = np.nonzero(shown)
+            code = np.concatenate((grid, np.zeros((len(grid), 1), np.int64)), 1)[row, at]
+            letter, many, first = letters[row, at], inserts[row, at], begun[row, at]
+            cost = many * INSERT + np.select([letter == ord("D"), letter == ord("R")], [DELETE, REROLE], 0) + np.where(((letter == ord("K")) | (letter == ord("R"))) & (code >> 2 == _TRUNCATED), TRUNCATED, 0)
+            pattern = np.array(["", "u", "ua", "", "a", "au"], object)[np.where(first == 2, 3, 0) + many]
+            role = np.where(letter == ord("R"), np.where(held[row, at] == 2, "assistant", "user"), "")
+            edit = np.char.mod("%c", letter)
+            place = batch.column(1).to_numpy()[row] * size + at - start[row] + 1
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0).take(pa.array(row)), pa.array(place), pa.array(pattern, pa.string()), pa.array(np.char.strip(edit).astype(object), pa.string()), pa.array(role.astype(object), pa.string()), pa.array(cost),
+            ], ["conv", "pos", "inserted", "edit", "role", "cost"])
+
+    return work
 
 
 def _digests(batches):
@@ -249,7 +253,7 @@ def _digests(batches):
         yield row()
 
 
-def least_edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def least_edits(rows: DataFrame, size: int = CHUNK_TURNS) -> tuple[DataFrame, DataFrame]:
     """Rows of ``judged`` -> (edits, links): the cheapest edits, (conv, pos, inserted, edit, role, cost), of all such the one whose
     letters in order are ASCII-least; and (conv, chunk, illegal), the pairs of neighbours whose letters are not su, ua or au.
 
@@ -257,7 +261,7 @@ def least_edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     few turns. A run of turns that leaves the differences of all states as they are carries them on by a chunk a pass.
     """
     state = "conv string, chunk long, codes array<int>, edge long, found long"
-    chunks = stored(mapped(_chunks(rows), _speculate, state), "dialogue-chunks")
+    chunks = stored(mapped(_chunks(rows, size), _speculate, state), "dialogue-chunks")
     counts = stored(chunks.groupBy("conv").agg(F.max("chunk").alias("final")), "dialogue-counts")
     while True:
         after = chunks.where("chunk > 0").select("conv", (F.col("chunk") - 1).alias("chunk"), F.col("found").alias("next"))
@@ -269,7 +273,7 @@ def least_edits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     ends = mapped(chunks.select("conv", "chunk", "codes", "edge"), _ends, "conv string, chunk long, ends long, first long, last long, illegal long")
     links = stored(mapped(ends.repartition("conv").sortWithinPartitions("conv", "chunk"), _carry, "conv string, chunk long, state long, illegal long"), "dialogue-links")
     ready = chunks.join(links, ["conv", "chunk"]).join(counts, "conv")
-    traced = mapped(ready.select("conv", "chunk", "codes", "edge", "state", (F.col("chunk") == F.col("final")).alias("final")), _trace, "conv string, pos long, inserted string, edit string, role string, cost long")
+    traced = mapped(ready.select("conv", "chunk", "codes", "edge", "state", (F.col("chunk") == F.col("final")).alias("final")), _trace(size), "conv string, pos long, inserted string, edit string, role string, cost long")
     return stored(traced, "dialogue-edits"), links.select("conv", "chunk", "illegal")
 
 
@@ -284,7 +288,7 @@ def repaired_turns(rows: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("conv", "pos", letters.alias("letters"), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("line"))
 
 
-def dialogue_repair(conversations: DataFrame, turns: DataFrame) -> DataFrame:
+def dialogue_repair(conversations: DataFrame, turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """One row for each conv_id of ``conversations``, with the repair of its ``turns`` (conv: the id as text, turn, role, text).
 
     gaps: whole turn numbers missing between the least and the greatest; blank, duplicate and truncated: turns by their first
@@ -298,7 +302,7 @@ def dialogue_repair(conversations: DataFrame, turns: DataFrame) -> DataFrame:
     conversation without turns has zeros, an empty audit and the hash of an empty text; an empty table gives none.
     """
     rows = stored(judged(turns), "dialogue-rows")
-    edits, links = least_edits(rows)
+    edits, links = least_edits(rows, chunk_turns)
     lines = repaired_turns(rows, edits).withColumn("line", F.col("line").cast("binary"))
     texts = mapped(lines.repartition("conv").sortWithinPartitions("conv", "pos").select("conv", "letters", "line"), _digests, "conv string, audit string, sha string")
     faults = {f: F.count_if(F.col("fault") == f) for f in ("blank", "duplicate", "truncated")}

@@ -54,6 +54,22 @@ TEMPLATES = [
 TEXTS = [(re.sub(r"\.(header|disclaimer)\d?$", "", f.stem), f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
 
 
+#: Where a window reaches the threshold with a whole text, the bigrams by which it is told from relatives of that
+#: text, most of which have no text here. The first line whose bigrams all stand in the window names it.
+RELATIVES = {
+    "Apache-2.0": [("ECL-2.0", ["educational community"]), ("Apache-2.0", [])],
+    "BSD-3-Clause": [("BSD-4-Clause", ["all advertising"]), ("BSD-3-Clause", [])],
+    "CC-BY-SA-4.0": [
+        ("CC-BY-NC-SA-4.0", ["noncommercial sharealike"]), ("CC-BY-NC-ND-4.0", ["noncommercial noderivatives"]), ("CC-BY-NC-4.0", ["attribution noncommercial"]),
+        ("CC-BY-ND-4.0", ["attribution noderivatives"]), ("CC-BY-SA-4.0", ["by sa", "sharealike in"]), ("CC-BY-4.0", []),
+    ],
+    "EPL-1.0": [("EPL-2.0", ["secondary licenses"]), ("CPL-1.0", ["common public"]), ("EPL-1.0", [])],
+    "GFDL-1.2": [("GFDL-1.1", ["march 2000"]), ("GFDL-1.2", [])],
+    "GPL-2.0": [("AGPL-1.0", ["affero general"]), ("GPL-2.0", [])],
+    "GPL-3.0": [("AGPL-3.0", ["remote network"]), ("GPL-3.0", [])],
+}
+
+
 def normalised(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()
 
@@ -113,7 +129,8 @@ def _prepared(templates: list[tuple[str, str]], threshold: float) -> list[dict]:
         if pairs:
             own = own_anchors(pairs, threshold, known)
             known |= set(own)
-            rows.append({"name": name, "words": len(words), "pairs": pairs, "least": math.ceil(threshold / (2 - threshold) * len(pairs) - 1e-9), "anchors": own})
+            names = RELATIVES.get(name, []) if len(words) > 100 else []
+            rows.append({"name": name, "names": [{"name": n, "has": h} for n, h in names] or [{"name": name, "has": []}], "words": len(words), "pairs": pairs, "least": math.ceil(threshold / (2 - threshold) * len(pairs) - 1e-9), "anchors": own})
     return rows
 
 
@@ -133,7 +150,9 @@ def _windows(threshold: float) -> str:
     hit = "named_struct('fewer', -x.c, 'less', -2D * x.c / (x.a + size(t.pairs)), 'name', t.name, 'start', x.start, 'stop', least(x.start + t.words, size(g) + 1))"
     hits = f"transform(transform({starts}, i -> {counted}), x -> {hit})"
     best = f"h.less <= {-threshold + 1e-9} AND IF(k = 0, true, h.less < hs[k - 1].less) AND IF(k = size(hs) - 1, true, h.less <= hs[k + 1].less)"
-    return f"transform(array({places}), m -> transform(array({hits}), hs -> filter(hs, (h, k) -> {best}))[0])[0]"
+    near = f"transform(array({places}), m -> transform(array({hits}), hs -> filter(hs, (h, k) -> {best}))[0])[0]"
+    named = "get(filter(t.names, n -> size(array_intersect(n.has, slice(g, h.start + 1, t.words - 1))) = size(n.has)), 0).name"
+    return f"transform({near}, h -> named_struct('fewer', h.fewer, 'less', h.less, 'name', {named}, 'start', h.start, 'stop', h.stop))"
 
 
 def license_scan(
@@ -145,7 +164,7 @@ def license_scan(
     with windows (where only ``templates`` is given, there are none). Each sentence counts for the notice of its largest
     coefficient, ties to the identifier that comes first. Of sentences and windows that overlap, the one with the most
     common bigrams counts, so a license text is not counted again for the notices in it. A text shorter than a window
-    is one window. ``licenses`` are the distinct identifiers found, sorted. ``best_dice`` is null where nothing is found.
+    is one window. A window near a whole text that has relatives is named by the bigrams that tell them apart (RELATIVES). ``licenses`` are the distinct identifiers found, sorted. ``best_dice`` is null where nothing is found.
 
     Null and empty texts have no sentences and an empty list. Null ids and repeated rows are rows like any other.
     Other columns are not read. An empty table gives an empty one. Texts are scanned whole.
@@ -171,7 +190,7 @@ def license_scan(
     hits = f"transform({found}, y -> named_struct('fewer', y.x.hit.fewer, 'less', y.x.hit.less, 'name', y.x.hit.name, 'start', {start}, 'stop', {start} + y.x.size))"
 
     rows = _prepared([*templates, *texts], threshold)
-    kind = "array<struct<name: string, words: int, pairs: array<string>, least: int, anchors: array<string>>>"
+    kind = "array<struct<name: string, names: array<struct<name: string, has: array<string>>>, words: int, pairs: array<string>, least: int, anchors: array<string>>>"
     every = docs.sparkSession.range(1, numPartitions=1).select(F.from_json(F.lit(json.dumps(rows)), kind).alias("every"))
     marks = sorted({w for r in rows for w in r["anchors"]})
     held = f"array_intersect(array({', '.join(map(_sql, marks))}), w)"

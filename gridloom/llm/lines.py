@@ -271,6 +271,7 @@ def dedup_lines(docs: DataFrame, text_col: str = "text", min_documents: int = 10
 
 def without_common_lines(docs: DataFrame, text_col: str = "text", min_documents: int = 10, min_chars: int = 1) -> DataFrame:
     """The columns of docs, the text without its common lines; a null text stays null. See ``dedup_lines``."""
-    named = docs.withColumn("_was_null", F.col(f"`{text_col}`").isNull())
-    found = dedup_lines(named, text_col, min_documents, min_chars)
-    return found.select(*(F.when(~F.col("_was_null"), F.col(f"`{c}`")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c in found.columns))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    named = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(f"`{text_col}`").isNull().alias("was_null"))
+    found = dedup_lines(named, names[text_col], min_documents, min_chars)
+    return found.select(*(F.when(~F.col("was_null"), F.col(n)).alias(c) if c == text_col else F.col(n).alias(c) for c, n in names.items()))

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .bpe import loaded, spread
-from .shared import chunks, mapped, packed, stored, strings
+from .shared import chunks, mapped, packed, shards, stored, strings
 from .words import Words
 
 #: Buckets of document frequencies, and of the router's vectors.
@@ -275,7 +275,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
     def work(batches):
         model, df = loaded(path), shared.value
         sequence, room = (TaskContext.get().partitionId() << 36) - 1, 0
-        for part in chunks(batches, "text", BLOCK_BYTES):
+        for part in shards(batches, "text", BLOCK_BYTES):
             texts = strings(part["text"])
             index = Index(Words(texts, lower=True), df, n, mean)
             tokens, lengths = encoded(model, part, end_id)

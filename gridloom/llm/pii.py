@@ -10,7 +10,7 @@ repeats a bounded number of times, so a long run of text needs no deep stack.
     address   IPv4 with octets to 255, as two 16-bit halves; zeros before an octet are not kept
     social    ddd-dd-dddd: the nine digits
     phone     + and up to 15 digits, or (ddd) ddd-dddd: the last ten digits, or all of fewer
-    mail      not a number: the whole address becomes a keyed name at example.invalid
+    mail      not a number: the whole address becomes a keyed name of 128 bits at example.invalid
 """
 
 from __future__ import annotations
@@ -81,9 +81,9 @@ def _with(value: str, name: str, body: str) -> str:
 
 
 def pseudonym(match: str, key: str) -> str:
-    """SQL for the pseudonym of one match of the patterns; a match that fails its format's check comes back as it is."""
-    key = _literal(key)
-    mail = f"concat('user', substr(sha2(concat_ws(':', {key}, 'mail', lower({match})), 256), 1, 12), '@example.invalid')"
+    """SQL for the pseudonym of one match of the patterns; a match that fails its format's check comes back as it is. ``key`` is
+    SQL, too."""
+    mail = f"concat('user', substr(sha2(concat_ws(':', {key}, 'mail', lower({match})), 256), 1, 32), '@example.invalid')"
     halves = [f"cast(o[{k}] AS int) * 256 + cast(o[{k + 1}] AS int)" for k in (0, 2)]
     octets = "concat_ws('.', p.a DIV 256, p.a % 256, p.b DIV 256, p.b % 256)"
     address = _with(
@@ -116,8 +116,8 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None
     """docs with text_col rewritten and a column ``n_private``: how many values were replaced.
 
     Whoever has ``key`` can undo the pseudonyms. It is the caller's or the session's (KEY_SETTING); without either it is
-    drawn at random for this call and kept nowhere but in the plan, so pseudonyms link documents of one result only.
-    An empty key is an error.
+    drawn at random for this call and kept nowhere else, so pseudonyms link documents of one result only. It reaches the tasks as
+    a broadcast row, and is in no plan, nor in what the user interface and the event log show of one. An empty key is an error.
 
     All other columns stay, whatever their names (one named n_private is replaced). A null text stays null with
     n_private 0; an empty one stays empty. Texts are searched whole, however long they or single values in them are; of
@@ -130,14 +130,15 @@ def pseudonymise(docs: DataFrame, text_col: str = "text", key: str | None = None
         key = secrets.token_hex(16)
     if not key:
         raise ValueError("the key of the pseudonyms is empty")
-    text, hidden = f"cast(`{text_col}` AS string)", "_found"
-    while hidden in docs.columns:
-        hidden += "_"
+    text, hidden, keyed = f"cast(`{text_col}` AS string)", "_found", "_key"
+    while hidden in docs.columns or keyed in docs.columns:
+        hidden, keyed = hidden + "_", keyed + "_"
     pattern = _literal("|".join(f"(?:{p})" for p in PATTERNS.values()))
-    found = F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN transform(regexp_extract_all({text}, {pattern}, 0), m -> named_struct('was', m, 'now', {pseudonym('m', key)})) END")
+    found = F.expr(f"CASE WHEN {text} RLIKE '[0-9@]' THEN transform(regexp_extract_all({text}, {pattern}, 0), m -> named_struct('was', m, 'now', {pseudonym('m', f'`{keyed}`')})) END")
     parts = F.expr(
         f"CASE WHEN size(`{hidden}`) > 0 THEN array_join(transform(split({text}, {pattern}, -1), (x, i) -> concat(x, coalesce(get(`{hidden}`, i).now, ''))), '') ELSE {text} END"
     )
     n = F.expr(f"cast(coalesce(size(filter(`{hidden}`, x -> x.was <> x.now)), 0) AS int)")
-    out = docs.withColumn(hidden, found)
+    row = docs.sparkSession.createDataFrame([(key,)], f"`{keyed}` string")
+    out = docs.crossJoin(F.broadcast(row)).withColumn(hidden, found).drop(keyed)
     return out.withColumns({text_col: parts, "n_private": n}).drop(hidden)

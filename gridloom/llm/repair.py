@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from .bpe import loaded, spread
 from .packing import encoded
-from .shared import chunks, mapped, new_folder, packed
+from .shared import mapped, new_folder, packed, shards
 
 #: A rule takes three integers (its pair and its expansion) and saves one at each place; so it pays from this count up.
 LEAST = 4
@@ -193,7 +193,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end_id: int = 1, id_col: str
     def work(batches):
         model, part, before = loaded(path), TaskContext.get().partitionId(), 0
         first_rule = max(len(model.names), end_id + 1)
-        for shard, rows in enumerate(chunks(batches, "text", SHARD_BYTES)):
+        for shard, rows in enumerate(shards(batches, "text", SHARD_BYTES)):
             ids, lengths = encoded(model, rows, end_id)
             symbols, cuts, rules, expansion = compress(ids, np.concatenate(([0], np.cumsum(lengths))), first_rule)
             row = {

@@ -82,9 +82,29 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
         yield batch.slice(start)
 
 
+def shards(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in runs whose texts come to at most ``limit`` bytes; a longer text is a run of its own. Runs go across the
+    batches, so that only the rows and their order decide where one ends, not the settings of Arrow."""
+    rows: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        start = 0
+        for i, size in enumerate(pc.binary_length(batch.column(batch.schema.get_field_index(text))).to_pylist()):
+            if held and held + (size or 0) > limit:
+                rows.append(batch.slice(start, i - start))
+                yield pa.concat_batches(rows)
+                rows, held, start = [], 0, i
+            held += size or 0
+        if start < batch.num_rows:
+            rows.append(batch.slice(start))
+    if rows:
+        yield pa.concat_batches(rows)
+
+
 def mapped(df: DataFrame, work: Callable, schema: str) -> DataFrame:
-    """df.mapInArrow(work, schema), in batches of BATCH_BYTES unless the session sets a bound itself; results do not
-    depend on it. The setting is the session's, as Spark has none for a single DataFrame."""
+    """df.mapInArrow(work, schema), in batches of BATCH_BYTES unless the session sets a bound itself. Spark has no such setting
+    for a single DataFrame, so it stays in the session. Results do not depend on it, nor on the number of rows of a batch: what
+    a batch holds is either worked on row by row, or gathered to runs of rows (``shards``)."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
     if name not in conf.getAll:
         conf.set(name, str(BATCH_BYTES))

@@ -632,7 +632,7 @@ def test_pseudonyms_are_those_of_a_plain_feistel_network(spark):
         want.append(str(np.datetime64("1900-01-01") + (a * 487 + b)))
         name = f"x{pick.randrange(10**6)}@Mail.example.com"
         values.append(name)
-        want.append("user" + hashlib.sha256(f"k'1:mail:{name.lower()}".encode()).hexdigest()[:12] + "@example.invalid")
+        want.append("user" + hashlib.sha256(f"k'1:mail:{name.lower()}".encode()).hexdigest()[:32] + "@example.invalid")
     df = spark.createDataFrame([(k, f"so {v}, then") for k, v in enumerate(values)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pseudonymise(df, key="k'1").collect()}
     assert [got[k] for k in range(len(values))] == [f"so {w}, then" for w in want]
@@ -642,7 +642,7 @@ def test_pseudonyms_of_long_runs(spark):
     """Values and runs that would need a deep stack, or time with the square of their length."""
     texts = ["x@a" + ".a" * 100_000, "1" * 1_000_000, "1." * 300_000, "@" * 500_000, "a@" * 300_000, "1-" * 300_000, "+1 " * 200_000, "x@y.org 10.0.0.1 " * 20_000]
     got = {r.doc_id: r for r in pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), key="k").collect()}
-    assert got[0].n_private == 1 and re.fullmatch(r"user[0-9a-f]{12}@example\.invalid", got[0].text) and got[7].n_private == 40_000
+    assert got[0].n_private == 1 and re.fullmatch(r"user[0-9a-f]{32}@example\.invalid", got[0].text) and got[7].n_private == 40_000
     assert all(got[k].text == texts[k] for k in (1, 3, 5))
 
 
@@ -656,6 +656,8 @@ def test_pseudonyms_need_a_key(spark):
     try:
         row = pseudonymise(df).first()
         assert row.text == pseudonymise(df, key="mine").first().text and row._found == "kept"
+        secret = pseudonymise(df, key="a-key-none-may-read")
+        assert secret.count() == 1 and "none-may-read" not in secret._jdf.queryExecution().toString()
     finally:
         spark.conf.unset(KEY_SETTING)
 

@@ -115,9 +115,9 @@ def one_hot(df: DataFrame, column: str, labels: list[str]) -> DataFrame:
 
 
 def entity_code(df: DataFrame, entity: str = "road_id") -> DataFrame:
-    """road_code: the rank of the entity among all, from 0. Only the entities' own table is ranked."""
-    ids = df.select(entity).distinct()
-    return df.join(ids.withColumn("road_code", F.dense_rank().over(Window.orderBy(entity)) - 1), entity)
+    """road_code: the rank of the entity among all, from 0, by running counts over the range-partitioned entities."""
+    ids = ranks.running(df.select(entity).where(F.col(entity).isNotNull()).distinct().withColumn("n", F.lit(1)), entity, ["n"])
+    return df.join(ids.select(entity, (F.col("upto_n") - 1).cast("int").alias("road_code")), entity)
 
 
 def sequences(df: DataFrame, columns: list[str], length: int = 12, order=None) -> DataFrame:

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import CLASSES
 from ..functions.columns import condition_label, confidence, label_of, logistic
-from . import metrics, ranks
+from ..sources.tables import staged
+from . import fits, metrics, ranks
 
 SEED = 42
 
@@ -167,65 +170,150 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def panel_models(rows: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All targets from one feature table (split train, val, test): (scored, board, cards).
-
-    For each target two models are fitted on the training rows and the better one on the validation rows is kept: by rmse,
-    macro F1 and ROC-AUC. ``scored`` are the test rows with the kept models' forecasts and, for the volume, intervals from
-    that model's own validation residuals. ``board`` (target, model, metric, value, chosen) has the test metrics of
-    all; ``cards`` one row a target. A missing feature or target is an error.
+#: Ensembles of ``fit_panel``: smaller than the defaults, as each is fitted for every target.
+PANEL_SETTINGS = {"forest": {"numTrees": 20, "maxDepth": 8}, "boosted": {"maxIter": 10}}
+TARGETS = {"y_volume": "rmse", "y_speed": "rmse", "y_travel_time": "rmse", "y_congestion": "macro_f1", "y_accident": "roc_auc"}
+
+
+@dataclass
+class PanelModels:
+    """A model for each target with what scoring needs besides: the curve of the incident risk (a, b), its threshold, and the
+    residual quantiles of the volume. ``board`` and ``cards`` tell how they were chosen."""
+
+    names: list[str]
+    kept: dict[str, tuple[str, PipelineModel]]
+    curve: tuple[float, float]
+    threshold: float | None
+    fine: DataFrame
+    coarse: DataFrame
+    board: DataFrame
+    cards: DataFrame
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """rows with every target's forecast, the calibrated risk, its verdict and the intervals of the volume; a missing feature is
+        an error. The condition of a row decides its interval, so is_peak and rain_flag are needed, too."""
+        missing = [c for c in [*self.names, "road_id", "is_peak", "rain_flag"] if c not in rows.columns]
+        if missing:
+            raise ValueError(f"columns missing: {missing}")
+        out = rows
+        for target, (_, model) in self.kept.items():
+            out = _forecast(model, out, target)
+        calibrated = logistic(F.lit(self.curve[0]) + F.lit(self.curve[1]) * F.col("pred_accident_raw"))
+        out = with_condition(out.withColumn("pred_accident_prob", calibrated))
+        if self.threshold is not None:
+            out = out.withColumn("pred_accident", (F.col("pred_accident_prob") >= self.threshold).cast("int"))
+        return with_intervals(out, "pred_y_volume", self.fine, self.coarse, ["road_id", "condition"], ["condition"])
+
+    def save(self, path: str) -> None:
+        """Everything under one folder: models by target, tables as Parquet, numbers as one line of JSON."""
+        for target, (_, model) in self.kept.items():
+            save(model, f"{path}/models/{target}")
+        for name in ("fine", "coarse", "board", "cards"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        numbers = {"names": self.names, "families": {t: n for t, (n, _) in self.kept.items()}, "curve": list(self.curve), "threshold": self.threshold}
+        self.board.sparkSession.createDataFrame([(json.dumps(numbers),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/numbers")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PanelModels:
+        numbers = json.loads(spark.read.text(f"{path}/numbers").first()[0])
+        kept = {t: (n, load(f"{path}/models/{t}")) for t, n in numbers["families"].items()}
+        tables = (spark.read.parquet(f"{path}/{name}") for name in ("fine", "coarse", "board", "cards"))
+        return cls(numbers["names"], kept, tuple(numbers["curve"]), numbers["threshold"], *tables)
+
+
+def _forecast(model: PipelineModel, rows: DataFrame, target: str) -> DataFrame:
+    if target == "y_accident":
+        return risk(model, rows, "pred_accident_raw")
+    if target == "y_congestion":
+        return predicted(model, rows, "pred_congestion_code").withColumn("pred_congestion_code", F.col("pred_congestion_code").cast("int"))
+    return predicted(model, rows, f"pred_{target}")
+
+
+def _scores(scored: DataFrame, target: str) -> dict[str, dict]:
+    """The metrics of a target on the validation and on the test rows."""
+    if target == "y_accident":
+        found = {p: metrics.ranking_quality(scored.where(f"split = '{p}'"), "y_accident", "pred_accident_raw").first() for p in ("val", "test")}
+        return {p: {"roc_auc": r["roc_auc"]} for p, r in found.items()}
+    if target == "y_congestion":
+        labels = list(range(len(CLASSES)))
+        tables = {p: metrics.confusion(scored.where(f"split = '{p}' AND y_congestion_code >= 0"), "y_congestion_code", "pred_congestion_code", labels) for p in ("val", "test")}
+        found = {p: metrics.class_summary(metrics.per_class(t)).first() for p, t in tables.items()}
+        return {p: {k: r[k] for k in ("accuracy", "macro_f1")} for p, r in found.items()}
+    found = {r["split"]: r.asDict() for r in metrics.regression(scored, target, f"pred_{target}", ["split"]).collect()}
+    return {p: {k: found.get(p, {}).get(k) for k in ("rmse", "mae", "r2")} for p in ("val", "test")}
+
+
+def _better(metric: str, value: float | None, name: str) -> tuple:
+    """Sorts the best model first: by its metric, one without a metric last, ties by name."""
+    return (value is None, 0.0 if value is None else value if metric == "rmse" else -value, name)
+
+
+def fit_panel(rows: DataFrame, names: list[str], families: tuple[str, ...] | None = None) -> PanelModels:
+    """Models for all targets from one feature table (split train, val, test).
+
+    For each target a model of each family (linear or logistic, tree, forest, boosted) is fitted on the training rows, and the
+    best on the validation rows is kept: by rmse, macro F1 and ROC-AUC. The incident risk is calibrated on the earlier half of
+    the validation rows, by time, and its threshold is chosen on the later half; both see scores of the kept model only. Intervals
+    come from the kept volume model's validation residuals. A missing feature or target is an error.
     """
     missing = [c for c in [*names, "split", "y_volume", "y_speed", "y_travel_time", "y_congestion_code", "y_accident"] if c not in rows.columns]
     if missing:
         raise ValueError(f"columns missing: {missing}")
-    spark, train, later = rows.sparkSession, rows.where("split = 'train'"), rows.where("split <> 'train'")
-    counts = rows.groupBy("split").count().collect()
-    sizes = {r["split"]: r["count"] for r in counts}
-    board, cards, kept = [], [], later.withColumn("y_congestion_code", F.col("y_congestion_code").cast("int"))
+    families = families or ("linear", "tree", "forest", "boosted")
+    spark, train = rows.sparkSession, rows.where("split = 'train'")
+    later = staged(rows.where("split <> 'train'").withColumn("y_congestion_code", F.col("y_congestion_code").cast("int")))
+    sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+    board, cards, kept, best_rows = [], [], {}, {}
 
     def top(model: PipelineModel) -> str:
         last = model.stages[-1]
-        if not hasattr(last, "featureImportances") and getattr(last, "numClasses", 2) > 2:
+        if isinstance(last, OneVsRestModel):
+            weights = sum(m.featureImportances.toArray() for m in last.models)
+        elif not hasattr(last, "featureImportances") and getattr(last, "numClasses", 2) > 2:
             weights = abs(last.coefficientMatrix.toArray()).sum(axis=0)
         else:
             weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else abs(last.coefficients.toArray())
         return ",".join(sorted(names, key=lambda n: (-weights[names.index(n)], n))[:5])
 
-    def choose(target: str, tried: dict[str, tuple], metric: str, sign: int) -> str:
-        """Keeps the model of lowest sign * metric on the validation rows, ties by name."""
-        best = min(sorted(tried), key=lambda name: sign * (tried[name][1][metric] or 0.0))
-        for name, (model, _, test, threshold) in tried.items():
-            board.extend((target, name, k, float(x), name == best) for k, x in test.items() if x is not None and k != "n")
-            if name == best:
-                cards.append((target, name, len(names), sizes.get("train", 0), sizes.get("test", 0), metric, float(test[metric] or 0.0), threshold, top(model)))
-        return best
-
-    for target in ("y_volume", "y_speed", "y_travel_time"):
-        tried, scored = {}, {}
-        for name in ("linear", "tree"):
-            model = fitted(train, names, target, REGRESSORS[name](), name == "linear")
-            scored[name] = predicted(model, kept, f"pred_{target}")
-            found = {r["split"]: r.asDict() for r in metrics.regression(scored[name], target, f"pred_{target}", ["split"]).collect()}
-            tried[name] = (model, found["val"], {k: found["test"][k] for k in ("rmse", "mae", "r2")}, None)
-        kept = scored[choose(target, tried, "rmse", 1)]
-    labels = list(range(len(CLASSES)))
-    tried, scored = {}, {}
-    for name in ("logistic", "tree"):
-        model = fitted(with_weights(train.where("y_congestion_code >= 0"), "y_congestion_code"), names, "y_congestion_code", CLASSIFIERS[name](), name == "logistic", len(labels))
-        scored[name] = predicted(model, kept, "pred_congestion_code").withColumn("pred_congestion_code", F.col("pred_congestion_code").cast("int"))
-        found = [metrics.class_summary(metrics.per_class(metrics.confusion(scored[name].where(f"split = '{part}' AND y_congestion_code >= 0"), "y_congestion_code", "pred_congestion_code", labels))).first().asDict() for part in ("val", "test")]
-        tried[name] = (model, found[0], {k: found[1][k] for k in ("accuracy", "macro_f1")}, None)
-    kept = scored[choose("y_congestion", tried, "macro_f1", -1)]
-    tried, scored = {}, {}
-    for name in ("logistic", "tree"):
-        model = fitted(with_weights(train, "y_accident"), names, "y_accident", CLASSIFIERS[name](), name == "logistic")
-        scored[name] = risk(model, kept, "pred_accident_prob")
-        found = [metrics.ranking_quality(scored[name].where(f"split = '{part}'"), "y_accident", "pred_accident_prob").first().asDict() for part in ("val", "test")]
-        at = metrics.best_threshold(scored[name].where("split = 'val'"), "y_accident", "pred_accident_prob").first()
-        tried[name] = (model, found[0], {"roc_auc": found[1]["roc_auc"]}, at["threshold"] if at else None)
-    kept = with_condition(scored[choose("y_accident", tried, "roc_auc", -1)])
-    keys, fallback = ["road_id", "condition"], ["condition"]
-    fine, coarse = residual_quantiles(kept.where("split = 'val'"), "y_volume", "pred_y_volume", keys, fallback)
-    final = with_intervals(kept.where("split = 'test'"), "pred_y_volume", fine, coarse, keys, fallback)
+    for target, metric in TARGETS.items():
+        tried, label = {}, "y_congestion_code" if target == "y_congestion" else target
+        source = train if metric == "rmse" else staged(with_weights(train.where(f"{label} >= 0"), label))
+        for family in families:
+            settings = PANEL_SETTINGS.get(family, {})
+            name = "logistic" if family == "linear" and metric != "rmse" else family
+            estimator = (REGRESSORS if metric == "rmse" else CLASSIFIERS)[name](**settings)
+            model = fitted(source, names, label, estimator, family == "linear", len(CLASSES) if target == "y_congestion" else 2)
+            scored = _forecast(model, later, target)
+            columns = [c for c in scored.columns if c.startswith("pred_")]
+            scored = staged(scored.select("road_id", "timestamp", "split", label, *columns, *(c for c in ("is_peak", "rain_flag") if c not in columns)))
+            tried[name] = (model, scored, _scores(scored, target))
+        order = sorted(tried, key=lambda n: _better(metric, tried[n][2]["val"][metric], n))
+        best = order[0]
+        for name, (_, _, found) in tried.items():
+            board.extend((target, name, k, float(x), name == best) for k, x in found["test"].items() if x is not None)
+        kept[target], best_rows[target] = (best, tried[best][0]), tried[best][1]
+        value = tried[best][2]["test"][metric]
+        cards.append([target, best, len(names), sizes.get("train", 0), sizes.get("test", 0), metric, None if value is None else float(value), None, top(tried[best][0])])
+    val = best_rows["y_accident"].where("split = 'val'").withColumn("_s", F.unix_timestamp(F.col("timestamp").cast("timestamp")))
+    span = val.agg(F.min("_s").alias("a"), F.max("_s").alias("b")).first()
+    middle = (span["a"] + span["b"]) / 2 if span["a"] is not None else 0
+    curve = tuple(map(float, fits.logistic_regression(val.where(F.col("_s") <= middle), ["pred_accident_raw"], "y_accident")))
+    judged = val.where(F.col("_s") > middle).withColumn("p", logistic(F.lit(curve[0]) + F.lit(curve[1]) * F.col("pred_accident_raw")))
+    at = metrics.best_threshold(judged, "y_accident", "p").first()
+    threshold = float(at["threshold"]) if at and at["threshold"] is not None else None
+    cards[-1][7] = threshold
+    residuals = with_condition(best_rows["y_volume"].where("split = 'val'"))
+    fine, coarse = residual_quantiles(residuals, "y_volume", "pred_y_volume", ["road_id", "condition"], ["condition"])
     kinds = "target string, model string, n_features int, train_rows long, test_rows long, metric string, value double, threshold double, top_features string"
-    return final, spark.createDataFrame(board, "target string, model string, metric string, value double, chosen boolean"), spark.createDataFrame(cards, kinds)
+    tables = spark.createDataFrame(board, "target string, model string, metric string, value double, chosen boolean"), spark.createDataFrame([tuple(c) for c in cards], kinds)
+    return PanelModels(names, kept, curve, threshold, staged(fine), staged(coarse), *tables)
+
+
+def panel_models(rows: DataFrame, names: list[str], path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored test rows, board of all models' test metrics, a card for each target) of ``fit_panel``. Given a path, the models are
+    written there and the rows are scored by what is read back."""
+    found = fit_panel(rows, names)
+    if path:
+        found.save(path)
+        found = PanelModels.load(rows.sparkSession, path)
+    return staged(found.score(rows.where("split = 'test'"))), found.board, found.cards

@@ -12,7 +12,7 @@ from ..functions.columns import condition_of, congestion_of, flag, ordinal
 from ..operators import clean, enrich, features, models, parts
 from ..operators import validate as v
 from ..sources import feed
-from ..sources.tables import Observed, staged, typed_calendar
+from ..sources.tables import Observed, scratch, staged, typed_calendar
 
 
 def intake(traffic: DataFrame, observed: Observed) -> DataFrame:
@@ -222,7 +222,7 @@ class Tables:
     def chain(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(test rows with every target's forecast and volume intervals; scoreboard of all models; a card for each target)."""
         rows, names = self.design
-        return models.panel_models(rows, names)
+        return models.panel_models(rows, names, scratch(self.spark))
 
 
 #: Columns that are no features: the row's own measurements, which are not known in advance.

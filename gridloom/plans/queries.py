@@ -424,7 +424,7 @@ add("m11_platt", _platt)
 def _forward(t: Tables) -> DataFrame:
     rows, xs = t.design
     folds = s.staged(features.forward_folds(rows.where("split = 'train'")))
-    return r(models.forward_validation(folds, xs, "y_volume", {f"depth {d}": models.REGRESSORS["boosted"](maxDepth=d, maxIter=10) for d in (3, 5)}), 3)
+    return r(models.forward_validation(folds, xs, "y_volume", {f"depth {d}": models.REGRESSORS["boosted"](maxDepth=d, **models.PANEL_SETTINGS["boosted"]) for d in (3, 5)}), 3)
 
 
 add("m12_forward_validation", _forward)
@@ -433,6 +433,8 @@ add("m13_batch_scoring", lambda t: r(models.scored_frame(t.chain[0]).groupBy("pr
 add("m13_scored_rows", lambda t: r(models.scored_frame(t.chain[0]).select("road_id", "timestamp", "y_volume", "pred_y_volume", "volume_p10", "volume_p90", "pred_y_speed", "pred_y_travel_time", "pred_congestion", "pred_accident_prob", "confidence"), 3))
 add("e11_fitted_scoreboard", lambda t: r(t.chain[1].groupBy("target", "model", "chosen").pivot("metric", ["rmse", "mae", "r2", "accuracy", "macro_f1", "roc_auc"]).agg(F.first("value")), 3))
 add("e12_fitted_coverage", lambda t: r(metrics.coverage(t.chain[0], "y_volume", "volume_p10", "volume_p90"), 3))
+add("e17_fitted_winners", lambda t: r(t.chain[1].where("chosen").select("target", "model", "metric", "value"), 3))
+add("e14_fitted_calibration", lambda t: r(metrics.calibration(t.chain[0], "y_accident", "pred_accident_raw", "pred_accident_prob"), 3))
 add("m16_fitted_card", lambda t: r(t.chain[2], 3))
 add("m14_intervals", lambda t: r(t.intervals.select("road_id", "timestamp", "volume_p10", "volume_p50", "volume_p90")), "SELECT road_id, timestamp, volume_p10, volume_p50, volume_p90 FROM intervals", "volume_p10 volume_p50 volume_p90")
 
@@ -446,7 +448,7 @@ add("m15_importance", _importance)
 add("m16_model_card", lambda t: r(t.split.groupBy().agg(F.count_if(F.col("split") == "train").alias("train_rows"), F.count_if(F.col("split") == "test").alias("test_rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"), F.lit(2).alias("n_features")).crossJoin(
     metrics.regression(t.split.where("split = 'test'"), "y_volume", "pred_y_volume"))), f"""SELECT * FROM (SELECT count(*) FILTER (split = 'train') AS train_rows, count(*) FILTER (split = 'test') AS test_rows, min(timestamp) AS first, max(timestamp) AS last, 2 AS n_features FROM split),
     (SELECT {_E1} FROM split WHERE split = 'test')""", "rmse mae mape r2")
-add("m17_prediction_table", lambda t: r(t.split.where("split = 'test'").select("road_id", "timestamp", "y_volume", "pred_y_volume").join(t.split.where("split = 'test'").select("road_id", "timestamp", "pred_accident_prob"), ["road_id", "timestamp"])),
+add("m17_prediction_table", lambda t: r(t.split.where("split = 'test'").select("road_id", "timestamp", "y_volume", "pred_y_volume", "pred_accident_prob")),
     "SELECT road_id, timestamp, y_volume, pred_y_volume, pred_accident_prob FROM split WHERE split = 'test'", "pred_y_volume")
 add("m18_sequence_stats", lambda t: r(models.sequence_stats(t.split, ["y_volume", "pred_y_volume"])), "SELECT avg(y_volume) AS y_volume_mean, avg(pred_y_volume) AS pred_y_volume_mean, coalesce(nullif(stddev_pop(y_volume), 0), 1) AS y_volume_sd, coalesce(nullif(stddev_pop(pred_y_volume), 0), 1) AS pred_y_volume_sd FROM split WHERE split = 'train'", "y_volume_mean pred_y_volume_mean y_volume_sd pred_y_volume_sd")
 
@@ -475,8 +477,15 @@ add("e19_signal_ceiling", _ceiling)
 fit_queries.register(add, r)
 
 # ---- whole chains
-add("chain_cleaned", lambda t: r(cleaned(t.valid).groupBy("road_id").agg(F.count("*").alias("rows"), F.count("traffic_volume").alias("volumes"), F.avg("traffic_volume").alias("mean_volume"))))
-add("chain_dataset", lambda t: t.dataset.groupBy("road_id", "road_code").agg(F.count("*").alias("rows"), F.count("traffic_volume_lag336").alias("warm"), F.sum("y_accident").alias("incidents")))
+_FILLED = f"""WITH gated AS (SELECT road_id, timestamp, accident_count, CASE WHEN coalesce(abs((traffic_volume - avg(traffic_volume) OVER w) / nullif(stddev_samp(traffic_volume) OVER w, 0)) <= 5, true) THEN traffic_volume END AS traffic_volume FROM grid WINDOW w AS (PARTITION BY road_id)),
+    lined AS MATERIALIZED (SELECT x.*, isodow(timestamp) AS dow, hour(timestamp) * 2 + minute(timestamp) // 30 AS tod FROM ({_LINE.format(rule='g.i - g.bi <= 2', gaps=_GAPS.format(x='traffic_volume', k='road_id', t='gated'), x='traffic_volume', k='road_id', edges='')}) x),
+    filled AS (SELECT l.road_id, l.timestamp, coalesce(l.traffic_volume, s.m, e.m, (SELECT median(traffic_volume) FROM lined)) AS traffic_volume FROM lined l
+        LEFT JOIN (SELECT road_id, dow, tod, median(traffic_volume) AS m FROM lined GROUP BY ALL) s ON s.road_id = l.road_id AND s.dow = l.dow AND s.tod = l.tod LEFT JOIN (SELECT road_id, median(traffic_volume) AS m FROM lined GROUP BY ALL) e ON e.road_id = l.road_id)"""
+add("chain_cleaned", lambda t: r(cleaned(t.valid).groupBy("road_id").agg(F.count("*").alias("rows"), F.count("traffic_volume").alias("volumes"), F.avg("traffic_volume").alias("mean_volume"))),
+    f"{_FILLED} SELECT road_id, count(*) AS rows, count(traffic_volume) AS volumes, avg(traffic_volume) AS mean_volume FROM filled GROUP BY 1", "mean_volume")
+add("chain_dataset", lambda t: t.dataset.groupBy("road_id", "road_code").agg(F.count("*").alias("rows"), F.count("traffic_volume_lag336").alias("warm"), F.sum("y_accident").alias("incidents")),
+    f"""{_FILLED}, lagged AS (SELECT f.road_id, lag(f.traffic_volume, 336) OVER (PARTITION BY f.road_id ORDER BY f.timestamp) AS old, coalesce(g.accident_count > 0, false)::INT AS y_accident FROM filled f JOIN gated g ON g.road_id = f.road_id AND g.timestamp = f.timestamp)
+    SELECT road_id, (dense_rank() OVER (ORDER BY road_id) - 1)::INT AS road_code, count(*) AS rows, count(old) AS warm, sum(y_accident)::BIGINT AS incidents FROM lagged WHERE old IS NOT NULL GROUP BY 1""")
 add("chunked_features", lambda t: r(features.chunked(t.lite, lambda df: df.withColumns(features.lags(["traffic_volume"], (1, 48)) | features.rolling(["traffic_volume"], (8,))), hours=72, halo=48).select(
     "road_id", "timestamp", "traffic_volume_lag1", "traffic_volume_lag48", "traffic_volume_rollmean8")), "SELECT road_id, timestamp, traffic_volume_lag1, traffic_volume_lag48, traffic_volume_rollmean8 FROM features", "traffic_volume_rollmean8")
 

@@ -207,6 +207,29 @@ def test_panel_models_name_what_is_missing(spark):
         models.panel_models(df, ["lag1"])
 
 
+def test_panel_models_score_from_disk_as_before(spark, tmp_path):
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 30 * int(id))")
+    df = spark.range(900).select(F.concat(F.lit("r"), F.col("id") % 3).alias("road_id"), at.alias("timestamp"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 2).cast("int").alias("is_peak"), F.when(F.col("id") % 5 == 0, 1).otherwise(0).alias("rain_flag"), "id")
+    df = df.withColumns({"split": F.when(F.col("id") < 500, "train").when(F.col("id") < 700, "val").otherwise("test"), "y_volume": 3 * F.col("x") + F.col("id") % 11, "y_speed": 50 - F.col("x"), "y_travel_time": F.col("x") ** 2})
+    df = df.withColumns({"y_congestion_code": (F.col("x") / 2).cast("int"), "y_accident": ((F.col("x") + F.col("id") % 4) > 6).cast("double")}).drop("id")
+    found = models.fit_panel(df, ["x", "is_peak", "rain_flag"], families=("linear", "tree"))
+    test = df.where("split = 'test'")
+    first = found.score(test).orderBy("timestamp").collect()
+    found.save(str(tmp_path))
+    again = models.PanelModels.load(spark, str(tmp_path))
+    assert again.score(test).orderBy("timestamp").collect() == first and len(first) == 200
+    assert all(0 <= r.pred_accident_prob <= 1 and r.volume_p10 <= r.volume_p50 <= r.volume_p90 and r.pred_accident == int(r.pred_accident_prob >= again.threshold) for r in first)
+    chosen = {r.target: r.model for r in again.board.where("chosen").select("target", "model").distinct().collect()}
+    assert set(chosen) == set(models.TARGETS) and chosen["y_travel_time"] == "tree" and {r.target: r.model for r in again.cards.collect()} == chosen
+    with pytest.raises(ValueError, match="rain_flag"):
+        again.score(test.drop("rain_flag"))
+
+
+def test_models_without_a_metric_come_last():
+    assert sorted(["a", "b", "c"], key=lambda n: models._better("rmse", {"a": None, "b": 2.0, "c": 1.0}[n], n)) == ["c", "b", "a"]
+    assert sorted(["a", "b", "c"], key=lambda n: models._better("macro_f1", {"a": None, "b": 0.0, "c": 0.0}[n], n)) == ["b", "c", "a"]
+
+
 def test_outliers_of_a_null_entity(spark):
     df = spark.createDataFrame([(None, float(x)) for x in [1] * 30 + [500]], "road_id string, x double")
     assert clean.null_outliers(df, ["x"], 5.0).where("x IS NULL").count() == 1

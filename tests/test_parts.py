@@ -23,8 +23,7 @@ def _series(spark, seed, sizes, holes=0.6):
 SIZES = {"a": 700, "b": 3, "c": 1, None: 40, "": 25, "z": 90}
 
 
-@pytest.mark.parametrize("count", [1, 3, 40])
-@pytest.mark.parametrize("limit,edges", [(2, False), (None, True), (None, False)])
+@pytest.mark.parametrize("count,limit,edges", [(1, 2, False), (3, None, True), (40, None, False), (40, 2, False)])
 def test_interpolation_by_parts_is_that_of_whole_series(spark, count, limit, edges):
     df, plain = _series(spark, 1, SIZES)
     cut = parts.cut(df, ["g"], "t", count)

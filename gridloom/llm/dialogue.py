@@ -32,6 +32,8 @@ _OK, _TRUNCATED, _GONE = 0, 1, 2
 _END = np.array([0, 2 * INSERT, INSERT, 0], np.int64)
 _FAR = 1 << 40
 _NONE = 255  # no turn at this place of a chunk
+#: Fix-up passes before what is still open is stitched from the chunks' matrices.
+PASSES = 8
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
@@ -135,6 +137,34 @@ def _fix(batches):
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(after), pa.array(now)], ["conv", "chunk", "codes", "edge", "found"])
 
 
+def _matrices(batches):
+    """(conv, chunk, codes) -> (conv, chunk, m): the costs from each state before a chunk to each state after it, 4 by 4."""
+    for batch in batches:
+        grid = _grid(batch.column(2).to_pylist())
+        ends = []
+        for q in range(4):
+            cost = np.full((len(grid), 4), _FAR)
+            cost[:, q] = 0
+            for k in reversed(range(grid.shape[1])):
+                cost = np.minimum(_before(grid[:, k], cost), _FAR)
+            ends.append(cost)
+        m = np.stack(ends, 2).reshape(len(grid), 16).tolist()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(m, pa.list_(pa.int64()))], ["conv", "chunk", "m"])
+
+
+def _stitch(batches):
+    """Rows of ``_matrices``, the last chunk of each conversation first -> (conv, chunk, edge): the vectors at the ends of the chunks."""
+    conv, vector = None, _END
+    for batch in batches:
+        out = []
+        for x in batch.to_pylist():
+            if x["conv"] != conv:
+                conv, vector = x["conv"], _END
+            out.append({"conv": conv, "chunk": x["chunk"], "edge": int(packed(vector[None, :])[0])})
+            vector = (np.array(x["m"]).reshape(4, 4) + vector).min(1)
+        yield pa.RecordBatch.from_pylist(out, pa.schema([("conv", pa.string()), ("chunk", pa.int64()), ("edge", pa.int64())]))
+
+
 def _step(code: np.ndarray, before: np.ndarray, after: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inserts, edit, state at the turn's edit, state after) of the least cheapest edits, D < I < K < R, at one turn."""
     n = np.arange(len(code))
@@ -253,21 +283,29 @@ def _digests(batches):
         yield row()
 
 
-def least_edits(rows: DataFrame, size: int = CHUNK_TURNS) -> tuple[DataFrame, DataFrame]:
+def least_edits(rows: DataFrame, size: int = CHUNK_TURNS, passes: int = PASSES) -> tuple[DataFrame, DataFrame]:
     """Rows of ``judged`` -> (edits, links): the cheapest edits, (conv, pos, inserted, edit, role, cost), of all such the one whose
     letters in order are ASCII-least; and (conv, chunk, illegal), the pairs of neighbours whose letters are not su, ua or au.
 
     Each fix-up pass runs the chunks whose next one has changed; mostly one pass is enough, as costs forget the end after a
-    few turns. A run of turns that leaves the differences of all states as they are carries them on by a chunk a pass.
+    few turns. A run of turns that leaves the differences of all states as they are, deletions say, carries them on by a chunk a
+    pass; conversations that are open after ``passes`` are stitched exactly from a matrix for each chunk, in one light pass.
     """
     state = "conv string, chunk long, codes array<int>, edge long, found long"
     chunks = stored(mapped(_chunks(rows, size), _speculate, state), "dialogue-chunks")
     counts = stored(chunks.groupBy("conv").agg(F.max("chunk").alias("final")), "dialogue-counts")
-    while True:
+    for taken in range(passes + 1):
         after = chunks.where("chunk > 0").select("conv", (F.col("chunk") - 1).alias("chunk"), F.col("found").alias("next"))
         stale = stored(chunks.join(after, ["conv", "chunk"]).where("edge <> next").select("conv", "chunk", "codes", "edge", "found", "next"), "dialogue-stale")
         if stale.isEmpty():
             break
+        if taken == passes:
+            open_ones = stored(chunks.join(stale.select("conv").distinct(), "conv", "left_semi").select("conv", "chunk", "codes"), "dialogue-open")
+            matrices = mapped(open_ones, _matrices, "conv string, chunk long, m array<bigint>")
+            edges = mapped(matrices.repartition("conv").sortWithinPartitions("conv", F.desc("chunk")), _stitch, "conv string, chunk long, edge long")
+            solved = open_ones.join(edges, ["conv", "chunk"]).withColumn("found", F.lit(None).cast("long"))
+            chunks = stored(chunks.join(stale.select("conv").distinct(), "conv", "left_anti").unionByName(solved), "dialogue-chunks")
+            break
         fixed = mapped(stale, _fix, state)
         chunks = stored(chunks.join(stale.select("conv", "chunk"), ["conv", "chunk"], "left_anti").unionByName(fixed), "dialogue-chunks")
     ends = mapped(chunks.select("conv", "chunk", "codes", "edge"), _ends, "conv string, chunk long, ends long, first long, last long, illegal long")
@@ -288,7 +326,7 @@ def repaired_turns(rows: DataFrame, edits: DataFrame) -> DataFrame:
     return both.select("conv", "pos", letters.alias("letters"), F.when(F.size(lines) > 0, F.array_join(lines, "\n")).alias("line"))
 
 
-def dialogue_repair(conversations: DataFrame, turns: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+def dialogue_repair(conversations: DataFrame, turns: DataFrame, chunk_turns: int = CHUNK_TURNS, passes: int = PASSES) -> DataFrame:
     """One row for each conv_id of ``conversations``, with the repair of its ``turns`` (conv: the id as text, turn, role, text).
 
     gaps: whole turn numbers missing between the least and the greatest; blank, duplicate and truncated: turns by their first
@@ -302,7 +340,7 @@ def dialogue_repair(conversations: DataFrame, turns: DataFrame, chunk_turns: int
     conversation without turns has zeros, an empty audit and the hash of an empty text; an empty table gives none.
     """
     rows = stored(judged(turns), "dialogue-rows")
-    edits, links = least_edits(rows, chunk_turns)
+    edits, links = least_edits(rows, chunk_turns, passes)
     lines = repaired_turns(rows, edits).withColumn("line", F.col("line").cast("binary"))
     texts = mapped(lines.repartition("conv").sortWithinPartitions("conv", "pos").select("conv", "letters", "line"), _digests, "conv string, audit string, sha string")
     faults = {f: F.count_if(F.col("fault") == f) for f in ("blank", "duplicate", "truncated")}

@@ -151,18 +151,21 @@ def _plain_repair(damaged_turns):
     return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest())
 
 
-def _repair(spark, rows, size=256):
+def _repair(spark, rows, size=256, passes=8):
     df = _table(spark, rows)
-    got = dialogue.dialogue_repair(df, dialogue.damaged(df), size).collect()
+    got = dialogue.dialogue_repair(df, dialogue.damaged(df), size, passes).collect()
     return {r.conv_id: tuple(r[c] for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")) for r in got}
 
 
-@pytest.mark.parametrize("size", [256, 3], ids=["one-chunk", "many-chunks"])
-@pytest.mark.parametrize("rows", [ODD, _random(2), _random(3, 90)], ids=["odd", "random", "sparse"])
-def test_repair_is_the_plain_one(spark, rows, size):
+#: Runs of turns that are all deleted, or leave the differences of the costs as they are, and a turn that matters at the end.
+STUBBORN = [(1, t, "user", "same.") for t in range(60)] + [(1, 70, "assistant", "end.")] + [(2, t, " ", f"no end {t}") for t in range(60)] + [(2, 70, "assistant", "end.")]
+
+
+@pytest.mark.parametrize("rows,size,passes", [(ODD, 256, 8), (ODD, 3, 0), (_random(2), 256, 8), (_random(2), 3, 8), (_random(2), 3, 1), (_random(3, 90), 2, 0), (STUBBORN, 4, 2), (STUBBORN, 4, 99)])
+def test_repair_is_the_plain_one(spark, rows, size, passes):
     left = _damage(rows)
     want = {c: _plain_repair(left.get(" " if c is None else str(c), [])) for c in {r[0] for r in rows}}
-    assert _repair(spark, rows, size) == want
+    assert _repair(spark, rows, size, passes) == want
 
 
 def test_repair_of_nothing(spark):

@@ -32,8 +32,7 @@ def _some(seed, n):
     return [None, "", "\n", "\n\n", *texts, *[texts[0]] * 15, "Cookie notice\n" * 30_000 + "the end"]
 
 
-@pytest.mark.parametrize("least,points", [(10, 1), (3, 2), (1, 1), (10**6, 1)])
-@pytest.mark.parametrize("keys", [1 << 15, 7])
+@pytest.mark.parametrize("least,points,keys", [(10, 1, 1 << 15), (10, 1, 7), (3, 2, 7), (1, 1, 7), (10**6, 1, 50)])
 def test_lines_are_dropped_as_by_brute_force(spark, monkeypatch, least, points, keys):
     monkeypatch.setattr(lines, "SHARD_KEYS", keys)
     texts = _some(1, 120)

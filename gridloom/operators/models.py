@@ -171,7 +171,7 @@ def load(path: str) -> PipelineModel:
 
 
 #: Ensembles of ``fit_panel``: smaller than the defaults, as each is fitted for every target.
-PANEL_SETTINGS = {"forest": {"numTrees": 20, "maxDepth": 8}, "boosted": {"maxIter": 10}}
+PANEL_SETTINGS = {"forest": {"numTrees": 10, "maxDepth": 6}, "boosted": {"maxIter": 5, "maxDepth": 4}}
 TARGETS = {"y_volume": "rmse", "y_speed": "rmse", "y_travel_time": "rmse", "y_congestion": "macro_f1", "y_accident": "roc_auc"}
 
 

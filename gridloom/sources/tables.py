@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,17 +99,20 @@ class BrokenStage(ValueError):
 
 
 class Observed:
-    """Counters of a chain, gathered while its stage tables are written: none costs a pass over a table."""
+    """Counters of a chain, taken from its stage tables as they are written.
+
+    Spark's own observations would gather them in the write itself; in Spark 4.1 a session that has used one can no longer run the
+    closures of MLlib that hold the session, so each stage takes its counters in one pass over the columns they need.
+    """
 
     def __init__(self):
         self.values: dict[tuple[str, str], float | None] = {}
 
     def stage(self, df: DataFrame, section: str, counters: dict[str, Column], expect: Callable[[dict], str | None] | None = None) -> DataFrame:
-        """``staged`` df; counters are aggregates without DISTINCT over its rows. ``expect`` gets them by name and returns what is
-        wrong, if anything: that ends the chain."""
-        seen = Observation()
-        out = staged(df.observe(seen, *(x.alias(n) for n, x in counters.items())))
-        found = seen.get
+        """``staged`` df; counters are aggregates over its rows. ``expect`` gets them by name and returns what is wrong, if anything:
+        that ends the chain."""
+        out = staged(df)
+        found = out.agg(*(x.alias(n) for n, x in counters.items())).first().asDict()
         self.values |= {(section, n): x for n, x in found.items()}
         if expect and (wrong := expect(found)):
             raise BrokenStage(f"{section}: {wrong}")

@@ -309,10 +309,10 @@ def fit_panel(rows: DataFrame, names: list[str], families: tuple[str, ...] | Non
     return PanelModels(names, kept, curve, threshold, staged(fine), staged(coarse), *tables)
 
 
-def panel_models(rows: DataFrame, names: list[str], path: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def panel_models(rows: DataFrame, names: list[str], path: str | None = None, families: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(scored test rows, board of all models' test metrics, a card for each target) of ``fit_panel``. Given a path, the models are
     written there and the rows are scored by what is read back."""
-    found = fit_panel(rows, names)
+    found = fit_panel(rows, names, families)
     if path:
         found.save(path)
         found = PanelModels.load(rows.sparkSession, path)

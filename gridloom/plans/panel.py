@@ -222,7 +222,7 @@ class Tables:
     def chain(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(test rows with every target's forecast and volume intervals; scoreboard of all models; a card for each target)."""
         rows, names = self.design
-        return models.panel_models(rows, names, scratch(self.spark))
+        return models.panel_models(rows, names, scratch(self.spark), ("linear", "tree"))
 
 
 #: Columns that are no features: the row's own measurements, which are not known in advance.

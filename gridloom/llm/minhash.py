@@ -5,10 +5,14 @@
    sequence of probes meets first (Shrivastava, 2017).
 2. Equal sets are one class, so copies never meet in a bucket.
 3. Each bucket links its members to its least member only: a bucket of n classes gives n - 1 candidate edges.
-4. Components of the candidate edges are clusters that hold every pair that shares a bucket. Clusters are cut into
-   blocks of bounded size, and within each pair of blocks links are confirmed on full shingle sets through an inverted
-   index of the shingles. Only a spanning forest of the confirmed links leaves a task.
-5. Components of that forest are the result.
+4. Components of the candidate edges are clusters that hold every pair that shares a bucket. Within a cluster links are
+   confirmed on full shingle sets through an inverted index of the shingles. Only a spanning forest of the confirmed
+   links leaves a task.
+5. A cluster too large for one task is cut first. Two sets of the wanted similarity share one of their rarest shingles
+   (the prefix filter), so that stars over these give smaller clusters and lose no link. Each set is then compared with
+   the least holder of its rare shingles that it shares most with. Sets linked so are not compared with each other again:
+   blocks of the sets outside the largest group meet each other and the blocks of that group.
+6. Components of the confirmed links are the result.
 """
 
 from __future__ import annotations
@@ -20,12 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .shared import chunks, mapped, stored, strings
 from .words import Words, mix
 
-#: Shingles that one task compares at once: the memory of step 4 is some 60 bytes for each.
+#: Shingles that one task compares at once: the memory of a comparison is some 60 bytes for each.
 BLOCK_SHINGLES = 1_500_000
 #: Bins that a task fills at once.
 SKETCH_BINS = 1_000_000
@@ -33,6 +38,8 @@ SKETCH_BINS = 1_000_000
 MISS = 1e-6
 _PROBES = 48
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: What tells one set from another: an id may stand for several texts.
+_SET = ["id", "n", "fa", "fb"]
 
 
 def banding(percent: int) -> tuple[int, int]:
@@ -135,8 +142,9 @@ def shingled(docs: DataFrame, width: int) -> DataFrame:
     return mapped(docs, work, "id long, n long, fa long, fb long, shingles array<long>")
 
 
-def spanning_links(sizes: np.ndarray, values: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs with 100 * intersection >= percent * union, sets given by sizes and their hashes.
+def spanning_links(sizes: np.ndarray, values: np.ndarray, percent: int, start: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs with 100 * intersection >= percent * union, sets given by sizes and their hashes;
+    those that have the same ``start`` are known to be in one component.
 
     Each step compares one set with all others, by counting along the postings of its shingles. It ends when all sets
     that were not compared lie in one component, since a link between two of those could join nothing any more. The
@@ -150,7 +158,7 @@ def spanning_links(sizes: np.ndarray, values: np.ndarray, percent: int) -> list[
     own = np.concatenate(([0], np.cumsum(sizes)))
     common = np.add.reduceat(np.diff(first)[term], own[:-1])
     queue = np.argsort(-common, kind="stable")
-    component, left, links = np.arange(n), np.ones(n, bool), []
+    component, left, links = np.arange(n) if start is None else start.copy(), np.ones(n, bool), []
     while True:
         rest = queue[left[queue]]
         kinds, count = np.unique(component[rest], return_counts=True)
@@ -172,7 +180,7 @@ def spanning_links(sizes: np.ndarray, values: np.ndarray, percent: int) -> list[
 
 def _confirm(percent: int):
     def work(group: pa.Table) -> pa.Table:
-        cluster, ids = group["cluster"].to_numpy(), group["id"].to_numpy()
+        cluster, ids, start = (group[c].to_numpy() for c in ("cluster", "id", "start"))
         column = group["shingles"].combine_chunks()
         sizes, values = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy()
         at, left, right = np.concatenate(([0], np.cumsum(sizes))), [], []
@@ -180,7 +188,7 @@ def _confirm(percent: int):
         for rows in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
             if len(rows) > 1:
                 picked = np.concatenate([values[at[r] : at[r + 1]] for r in rows])
-                for x, y in spanning_links(sizes[rows], picked, percent):
+                for x, y in spanning_links(sizes[rows], picked, percent, start[rows]):
                     left.append(ids[rows[x]])
                     right.append(ids[rows[y]])
         return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
@@ -188,6 +196,75 @@ def _confirm(percent: int):
     return work
 
 
+def _sets(own: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The full sets of the (id, n, fa, fb) wanted, from the texts."""
+    texts = own.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi")
+    return shingled(texts, width).join(wanted, _SET, "left_semi").dropDuplicates(_SET)
+
+
+def prefix_stars(sets: DataFrame, percent: int) -> DataFrame:
+    """sets (id, n, fa, fb, shingles, cluster) -> (id, hub, c): sets of a cluster that share c of their rarest shingles with
+    the least id that has these, too.
+
+    In one order of all shingles, rarest first, two sets of the wanted similarity share one within the first
+    n - ceil(percent * n / 100) + 1 of each. So all links lie inside the components of these stars.
+    """
+    words = sets.select("fa", "n", F.explode("shingles").alias("s"))
+    counts = stored(words.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "counts")
+    own = Window.partitionBy("fa", "n")
+    # Shingles of one set only come first and need no row: the others stand behind them.
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "s"))
+    prefix = words.join(counts, "s").withColumn("place", place).where(f"place <= n - ({percent} * n + 99) div 100 + 1")
+    rare = stored(prefix.join(sets.select("cluster", "id", "fa", "n"), ["fa", "n"]).select("cluster", "s", "id"), "rare")
+    hubs = stored(rare.groupBy("cluster", "s").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c"), "hubs")
+    return stored(rare.join(hubs, ["cluster", "s"]).where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("c")), "stars")
+
+
+def narrowed(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """sets of large clusters -> (links (a, b) already confirmed, (id, n, fa, fb, cluster, start, minor) still to compare).
+
+    The clusters are smaller ones, ``start`` is the component of the links a set is in, and ``minor`` is false for the
+    largest of each cluster. Clusters that are one component are done and left out.
+    """
+    stars = prefix_stars(sets, percent)
+    best = stars.groupBy("id").agg(F.min(F.struct((-F.col("c")).alias("c"), "hub")).alias("m")).select("id", F.col("m.hub").alias("hub"))
+    near, far = sets.select("id", "n", "shingles"), sets.select(F.col("id").alias("hub"), F.col("n").alias("m"), F.col("shingles").alias("others"))
+    near = stored(best.join(near, "id"), "asking")
+    both = near.join(far, "hub").withColumn("both", F.size(F.array_intersect("shingles", "others")).cast("long"))
+    links = stored(both.where(f"100 * both >= {percent} * (n + m - both)").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), "links")
+    finer = components(stars.selectExpr("id AS a", "hub AS b")).selectExpr("node AS id", "root AS cluster")
+    parts = sets.select(*_SET).join(finer, "id").join(components(links).selectExpr("node AS id", "root AS start"), "id", "left")
+    parts = stored(parts.withColumn("start", F.coalesce("start", "id")), "parts")
+    groups = parts.groupBy("cluster", "start").agg(F.sum("n").alias("held"))
+    chief = groups.groupBy("cluster").agg(F.max(F.struct("held", "start")).alias("m"), F.count("*").alias("c")).where("c > 1")
+    chief = stored(chief.select("cluster", F.col("m.start").alias("chief")), "chiefs")
+    return links, parts.join(chief, "cluster").withColumn("minor", F.col("start") != F.col("chief")).drop("chief")
+
+
+def _dealt(parts: DataFrame, tag: int) -> DataFrame:
+    """parts (id, n, fa, fb, cluster, start, minor) -> the same with the task (u, i, j) of each comparison.
+
+    Clusters that fit one task are gathered to tasks of about BLOCK_SHINGLES. Of others, each pair of blocks is a task,
+    but for pairs of blocks of sets that are not ``minor``.
+    """
+    n, minor = F.col("n"), F.col("minor")
+    total = parts.groupBy("cluster").agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(minor, n)), F.lit(0)).alias("small"))
+    fits = F.col("total") <= BLOCK_SHINGLES
+    bins = max(1, math.ceil(2 * (total.where(fits).agg(F.sum("total")).first()[0] or 0) / BLOCK_SHINGLES))
+    first, rest = (F.ceil(x / BLOCK_SHINGLES).cast("int") for x in (F.col("small"), F.col("total") - F.col("small")))
+    cut = parts.join(total.select("cluster", fits.alias("fits"), first.alias("first"), rest.alias("rest")), "cluster")
+    own = F.when(minor, F.pmod(F.xxhash64("id"), F.col("first"))).otherwise(F.col("first") + F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    others = F.when(minor, F.col("first") + F.col("rest")).otherwise(F.col("first"))
+    cut = cut.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("fits"), 1).otherwise(others) - 1)))
+    bin_ = F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("long")
+    return cut.select(
+        *_SET, "cluster", "start",
+        F.when(F.col("fits"), bin_).otherwise(F.col("cluster")).alias("u"),
+        F.when(F.col("fits"), F.lit(tag)).otherwise(F.least("own", "other")).alias("i"),
+        F.when(F.col("fits"), F.lit(tag)).otherwise(F.greatest("own", "other")).alias("j"),
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: (id_col, n_shingles, component_id, kept).
 
@@ -215,21 +292,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cluster = stored(cluster, "clusters")
 
     total = cluster.groupBy("cluster").agg(F.sum("n").alias("total"))
-    blocks = F.ceil(F.col("total") / BLOCK_SHINGLES).cast("int")
-    small = total.where(F.col("total") <= BLOCK_SHINGLES).agg(F.sum("total")).first()[0] or 0
-    bins = max(1, math.ceil(2 * small / BLOCK_SHINGLES))
-    units = cluster.join(total, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    units = units.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    alone = F.col("blocks") == 1
-    units = units.select(
-        "id", "n", "fa", "fb", "cluster",
-        F.when(alone, F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("long")).otherwise(F.col("cluster")).alias("u"),
-        F.when(alone, F.lit(-1)).otherwise(F.least("own", "other")).alias("i"), F.when(alone, F.lit(-1)).otherwise(F.greatest("own", "other")).alias("j"),
-    )
-    wanted = units.select("id", "n", "fa", "fb").distinct()
-    sets = shingled(own.join(wanted.select("id").distinct().hint("merge"), "id", "left_semi"), width).join(wanted, ["id", "n", "fa", "fb"], "left_semi")
-    sets = sets.dropDuplicates(["id", "n", "fa", "fb"]).join(units, ["id", "n", "fa", "fb"])
-    forest = sets.select("u", "i", "j", "cluster", "id", "shingles").groupBy("u", "i", "j").applyInArrow(_confirm(percent), "a long, b long")
+    sized = cluster.join(total, "cluster").withColumn("large", F.col("total") > BLOCK_SHINGLES).drop("total")
+    whole = _dealt(sized.where("NOT large").withColumn("start", F.col("id")).withColumn("minor", F.lit(True)), -1)
+    columns, links = ["u", "i", "j", "cluster", "start", "id", "shingles"], None
+    tasks = _sets(own, whole.select(*_SET), width).join(whole, _SET).select(*columns)
+    if total.where(F.col("total") > BLOCK_SHINGLES).limit(1).count():
+        large = sized.where("large").drop("large")
+        sets = stored(_sets(own, large.select(*_SET), width).join(large, _SET), "large")
+        links, parts = narrowed(sets, percent)
+        tasks = tasks.unionAll(sets.drop("cluster").join(_dealt(parts, -2), _SET).select(*columns))
+    forest = tasks.groupBy("u", "i", "j").applyInArrow(_confirm(percent), "a long, b long")
+    forest = forest if links is None else forest.unionAll(links)
     found = components(forest)
     return member.join(found, member["rep"] == found["node"], "left").select(
         F.col("id").alias(id_col),

@@ -15,11 +15,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
+from gridloom.llm import minhash
 from gridloom.llm import queries as Q
 from gridloom.llm.bpe import bpe_decode, bpe_encode, loaded
 from gridloom.llm.components import components
 from gridloom.llm.licenses import TEMPLATES, bigrams, license_scan, normalised
-from gridloom.llm.minhash import band_hashes, banding, near_duplicates, spanning_links, without_duplicates
+from gridloom.llm.minhash import band_hashes, banding, near_duplicates, prefix_stars, spanning_links, without_duplicates
 from gridloom.llm.neighbours import balanced_parts, nearest_neighbours
 from gridloom.llm.packing import ROUTE_TERMS, TERMS, Index, Router, fit_router, pack_documents
 from gridloom.llm.pii import KEY_SETTING, pseudonymise
@@ -142,6 +143,34 @@ def test_near_copies_chained_and_shared_passages(spark):
     assert got == set(brute_components(rows, 3, 85))
 
 
+@pytest.mark.parametrize("block", [2_000, 20_000])
+def test_large_clusters_are_cut_without_loss(spark, monkeypatch, block):
+    """Tasks so small that the clusters of candidates are cut: groups, chains of near copies, and a hub that is near few."""
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(7)
+    common, rows = [f"b{k}" for k in range(120)], []
+    for g in range(3):
+        text = [f"g{g}w{k}" for k in range(80)]
+        for k in range(50):
+            if k % 5:
+                text = list(text)  # a chain: each differs from the last
+            at = rng.integers(0, len(text))
+            text[at : at + 4] = [f"x{rng.integers(0, 10**9)}" for _ in range(4)]
+            rows.append((int(rng.integers(0, 10**6)), " ".join(common + text)))
+    rows += [(10**6 + k, " ".join(common + [f"u{k}v{v}" for v in range(k % 60)])) for k in range(80)]
+    rows += [(10**6 + k, rows[k][1] + " again") for k in range(5)]  # ids that stand for two texts
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85).collect()}
+    assert got == set(brute_components(rows, 3, 85))
+
+
+def test_prefix_stars_leave_documents_apart_that_share_boilerplate(spark):
+    """2,000 unlike documents, each with the same 100 words and 60 of its own: no star joins them, so nothing is compared."""
+    sets = [(k, 160, k, k, sorted([*range(100), *range(1000 + 60 * k, 1060 + 60 * k)]), 0) for k in range(2000)]
+    sets.append((5000, 160, 5000, 5000, [*sets[7][4][:-1], 999_999], 0))
+    found = prefix_stars(spark.createDataFrame(sets, "id long, n long, fa long, fb long, shingles array<long>, cluster long"), 85).collect()
+    assert {(r.id, r.hub) for r in found} == {(5000, 7)}
+
+
 def test_near_duplicates_odd_rows(odd, none):
     got = near_duplicates(odd, width=3, percent=85).collect()
     assert len(got) == len(ODD)

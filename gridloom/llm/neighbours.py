@@ -143,8 +143,11 @@ class Router:
         return np.argsort(-(np.maximum((vectors - self.mean) / self.scale @ w1 + b1, 0) @ w2 + b2), axis=1, kind="stable")
 
 
-def fit(ids: np.ndarray, vectors: np.ndarray, parts: int, k: int) -> tuple[Router, int]:
-    """(router, parts to probe): probes are the fewest that find WANTED_RECALL of the sample's own k nearest."""
+def fit(ids: np.ndarray, vectors: np.ndarray, parts: int, k: int, share: float = 1.0) -> tuple[Router, int]:
+    """(router, parts to probe) for a sample that is ``share`` of the table: probes are the fewest that find WANTED_RECALL of the
+    sample's own nearest, as many of each as lie in the sample on average of the k nearest of the table, one at least. More of them
+    would be farther off than any that is asked for."""
+    asked = max(1, math.ceil(k * share))
     _, first = np.unique(vectors, axis=0, return_index=True)
     first = np.sort(first)
     ids, vectors = ids[first], vectors[first]
@@ -158,7 +161,8 @@ def fit(ids: np.ndarray, vectors: np.ndarray, parts: int, k: int) -> tuple[Route
     router = Router(vectors, part, parts)
     order = router.order(vectors)
     home = order[:, 0]
-    place = np.argsort(order, axis=1)[query, home[target]]  # how many parts are probed before the neighbour's
+    close = np.arange(len(query)) - np.searchsorted(query, query) < asked
+    place = np.argsort(order, axis=1)[query[close], home[target[close]]]  # how many parts are probed before the neighbour's
     recall = np.cumsum(np.bincount(place, minlength=parts)) / len(place)
     return router, int(np.searchsorted(recall, WANTED_RECALL) + 1)
 
@@ -188,7 +192,7 @@ def nearest_neighbours(table: DataFrame, k: int = 10, every: int = 100, id_col:
     parts = 1 << min(int(math.log2(MAX_PARTS)), max(3, round(math.log2(math.sqrt(n) / 2))))
     share = min(1.0, SAMPLE_PER_PART * parts / n)
     sample = good.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)) < F.lit(math.ceil(share * (1 << 40)))).orderBy("id").toPandas()
-    router, probes = fit(sample["id"].to_numpy(), np.stack(sample["v"].to_numpy()), parts, k)
+    router, probes = fit(sample["id"].to_numpy(), np.stack(sample["v"].to_numpy()), parts, k, share)
     shared = spark.sparkContext.broadcast(router)
 
     def routed(least: int, held: np.ndarray | None = None):

@@ -21,7 +21,7 @@ from gridloom.llm.bpe import bpe_decode, bpe_encode, loaded
 from gridloom.llm.components import components
 from gridloom.llm.licenses import TEMPLATES, bigrams, license_scan, normalised
 from gridloom.llm.minhash import band_hashes, banding, near_duplicates, prefix_stars, spanning_links, without_duplicates
-from gridloom.llm.neighbours import balanced_parts, nearest_neighbours
+from gridloom.llm.neighbours import balanced_parts, fit, nearest, nearest_neighbours
 from gridloom.llm.packing import ROUTE_TERMS, TERMS, Index, Router, fit_router, pack_documents
 from gridloom.llm.pii import KEY_SETTING, pseudonymise
 from gridloom.llm.quality import quality_rules, without_low_quality
@@ -563,6 +563,20 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hit >= 0.9 * total
 
 
+def test_routing_prunes_a_clustered_table():
+    """40,000 vectors around 1,000 centres, a sample of an eighth: few parts are read, and nine in ten neighbours found."""
+    rng, n, parts, k = np.random.default_rng(3), 40_000, 64, 10
+    vectors = rng.normal(size=(1000, 32))[rng.integers(0, 1000, n)] + rng.normal(size=(n, 32)) * 0.4
+    ids = np.arange(n)
+    sample = np.sort(rng.choice(n, n // 8, replace=False))
+    router, probes = fit(ids[sample], vectors[sample], parts, k, 1 / 8)
+    order = router.order(vectors)
+    read, home = order[::100, :probes], order[:, 0]
+    query, found, _ = nearest(vectors[::100], vectors, k, ids[::100], ids)
+    assert np.bincount(home, minlength=parts)[read].sum(axis=1).mean() < 0.3 * n
+    assert (read[query] == home[found][:, None]).any(axis=1).mean() >= 0.9
+
+
 def test_neighbours_odd_rows(spark):
     schema = "vec_id long, embedding array<float>, label int, part int, query_id string"
     bad = [(900, None), (901, []), (902, [0.0, 0.0]), (903, [1.0, None]), (904, [float("nan"), 1.0]), (905, [float("inf"), 1.0]), (906, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]

@@ -234,3 +234,17 @@ def test_outliers_of_a_null_entity(spark):
     df = spark.createDataFrame([(None, float(x)) for x in [1] * 30 + [500]], "road_id string, x double")
     assert clean.null_outliers(df, ["x"], 5.0).where("x IS NULL").count() == 1
 
+
+
+def test_models_are_fitted_on_the_vectors_that_came_with_the_rows(spark):
+    df = spark.range(400).selectExpr("id % 7 AS a", "CAST(id % 11 AS double) AS b", "CAST(3 * (id % 7) - 2 * (id % 11) AS double) AS y")
+    df = df.unionAll(spark.sql("SELECT 1L, CAST('NaN' AS double), 1e6D UNION ALL SELECT 2L, CAST(NULL AS double), 1e6D"))
+    whole = models.with_vector(df, ["a", "b"])
+    assert whole.where("_vector IS NULL").count() == 2
+    lost = whole.withColumns({"a": F.lit(0), "b": F.lit(0.0)})  # the vectors hold the features, and are read
+    for rows, scale in ((df, False), (whole, False), (lost, False), (whole, True)):
+        model = models.fitted(rows, ["a", "b"], "y", models.REGRESSORS["linear"](), scale)
+        scored = models.predicted(model, df, "p").collect()
+        assert len(scored) == 400 and all(abs(r["p"] - r["y"]) < 1e-6 for r in scored)
+    other = models.fitted(whole, ["b"], "y", models.REGRESSORS["linear"]())  # of other features, so it is not taken
+    assert len(other.stages[-1].coefficients) == 1

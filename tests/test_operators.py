@@ -248,3 +248,12 @@ def test_models_are_fitted_on_the_vectors_that_came_with_the_rows(spark):
         assert len(scored) == 400 and all(abs(r["p"] - r["y"]) < 1e-6 for r in scored)
     other = models.fitted(whole, ["b"], "y", models.REGRESSORS["linear"]())  # of other features, so it is not taken
     assert len(other.stages[-1].coefficients) == 1
+
+
+def test_trees_are_fitted_in_no_more_partitions_than_tasks(spark, monkeypatch):
+    seen, fit = [], models.DecisionTreeRegressor.fit
+    monkeypatch.setattr(models.DecisionTreeRegressor, "fit", lambda self, df: seen.append(df.rdd.getNumPartitions()) or fit(self, df))
+    df = spark.range(0, 4000, 1, 40).selectExpr("double(id % 7) AS x", "double(id % 7 > 3) AS y")
+    model = models.fitted(df, ["x"], "y", models.REGRESSORS["tree"]())
+    assert seen == [spark.sparkContext.defaultParallelism]
+    assert models.predicted(model, df, "p").where("p <> y").count() == 0

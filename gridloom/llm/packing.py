@@ -18,6 +18,7 @@ Terms are words, told apart by 40 bits of their hash or more; their document fre
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ BLOCK_BYTES = 2_000_000
 #: Texts of a partition in bytes, about; steps in which a leaf's products are counted when partitions are laid out.
 PARTITION_BYTES, STEPS = 16_000_000, 64
 K1, B = 1.2, 0.75
+#: Neighbours of a seed that are put in order at first.
+FIRST = 24
 
 
 def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -211,23 +214,33 @@ class Index:
         self.start = np.searchsorted(self.term[order], np.arange(len(held_by) + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> list[int]:
-        """All unused documents that share a term with the seed, by falling score, of equal ones in their order."""
+        """All of ``ranked``."""
+        return list(self.ranked(seed, unused))
+
+    def ranked(self, seed: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with the seed, by falling score, of equal ones in their order. A window mostly
+        wants few of them, so the others are put in order only when these are taken."""
         term = self.term[self.first[seed] : self.first[seed + 1]]
         at = spread(self.start[term], self.start[term + 1] - self.start[term])
         score = np.bincount(self.holders[at], weights=self.held[at], minlength=len(unused))
         score = (score + self.dense @ (self.dense[seed] > 0)) * unused
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")].tolist()
+        if len(found) > 4 * FIRST:
+            held = score[found]
+            top = held >= np.partition(held, len(held) - FIRST)[len(held) - FIRST]  # with all that are equal to the last of them
+            first, found = found[top], found[~top]
+            yield from first[np.argsort(-score[first], kind="stable")].tolist()
+        yield from found[np.argsort(-score[found], kind="stable")].tolist()
 
 
 def pack_block(lengths: list[int], neighbours, window: int, room: int) -> list[tuple[int, int, int, bool]]:
     """Pieces (document, start, length, whether a new window begins) of one block; ``room`` is left in the open window.
 
-    ``neighbours(seed, unused)`` lists documents by similarity. Every document is cut at window ends only.
+    ``neighbours(seed, unused)`` yields documents by similarity. Every document is cut at window ends only.
     """
     unused = np.ones(len(lengths), bool)
     pieces: list[tuple[int, int, int, bool]] = []
-    nearest: list[int] = []
+    nearest: Iterator[int] = iter(())
     following, at, start = 0, -1, 0
     while True:
         if at < 0:  # the next document: a neighbour of the window's seed, or the first one left
@@ -239,13 +252,13 @@ def pack_block(lengths: list[int], neighbours, window: int, room: int) -> list[t
                     return pieces
                 at = following
                 unused[at] = False
-                nearest = neighbours(at, unused)
+                nearest = iter(neighbours(at, unused))
             unused[at], start = False, 0
         fresh = room == 0
         if fresh:
             room = window
             if start:
-                nearest = neighbours(at, unused)
+                nearest = iter(neighbours(at, unused))
         size = min(room, lengths[at] - start)
         pieces.append((at, start, size, fresh))
         start, room = start + size, room - size
@@ -280,7 +293,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = 2048, end_id: int =
             index = Index(Words(texts, lower=True), df, n, mean)
             tokens, lengths = encoded(model, part, end_id)
             first = np.concatenate(([0], np.cumsum(lengths)))
-            pieces = pack_block(lengths.tolist(), index.neighbours, window, room)
+            pieces = pack_block(lengths.tolist(), index.ranked, window, room)
             at, start, size, fresh = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
             sequences = sequence + np.cumsum(fresh)
             filled = np.cumsum(size) - size - (np.cumsum(size) - size)[np.maximum.accumulate(np.where(fresh, np.arange(len(size)), 0))]

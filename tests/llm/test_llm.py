@@ -484,6 +484,21 @@ def test_packing_order_is_that_of_plain_bm25():
         assert sorted(got) == sorted(score) and all(score[a] >= score[b] - 1e-9 for a, b in itertools.pairwise(got))
 
 
+def test_packing_ranks_neighbours_as_they_are_taken():
+    """The first ones are those of the whole list, with equal scores across the place where the order is cut."""
+    pick = random.Random(3)
+    texts = [" ".join(pick.choices([f"w{k}" for k in range(30)], k=pick.randrange(1, 6))) for _ in range(400)]
+    index = Index(Words(texts, lower=True), np.ones(TERMS, np.int64), 1000, 3.0)
+    for seed in range(40):
+        unused = np.arange(400) % 7 != seed % 7
+        whole = index.neighbours(seed, unused)
+        term = index.term[index.doc == seed]
+        at = np.concatenate([np.arange(index.start[t], index.start[t + 1]) for t in term])
+        score = (np.bincount(index.holders[at], index.held[at], 400) + index.dense @ (index.dense[seed] > 0)) * unused
+        assert whole == sorted(np.flatnonzero(score).tolist(), key=lambda d: (-score[d], d))
+        assert list(itertools.islice(index.ranked(seed, unused), 5)) == whole[:5]
+
+
 def test_router_brings_topics_together(spark, none):
     rng = np.random.default_rng(0)
     rows = [(k, " ".join(f"topic{k % 4}word{w}" for w in rng.integers(0, 40, 60)) + " and some of the rest") for k in range(400)]

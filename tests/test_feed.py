@@ -17,3 +17,8 @@ def test_rounded_sums_do_not_depend_on_the_layout_of_the_files(spark, tmp_path):
         found = {r["road_id"]: r for r in feed.traffic(spark, path).collect()}
         speeds.append((found[" SEG-000000000"]["traffic_volume"], found[" SEG-000000000"]["avg_speed"], found[" SEG-000000070"]["avg_speed"]))
     assert speeds == [("205", "68", None)] * 2
+
+
+def test_the_cells_of_the_traffic_log_are_worked_out_once_for_a_row_and_its_copies(spark):
+    plan = feed.traffic(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2  # events and nation

@@ -257,3 +257,9 @@ def test_trees_are_fitted_in_no_more_partitions_than_tasks(spark, monkeypatch):
     model = models.fitted(df, ["x"], "y", models.REGRESSORS["tree"]())
     assert seen == [spark.sparkContext.defaultParallelism]
     assert models.predicted(model, df, "p").where("p <> y").count() == 0
+
+
+def test_travel_times_are_filled_from_the_stage_table_that_the_rows_stand_on(spark):
+    rows = spark.createDataFrame([("a", 30.0, 2.0), ("a", 60.0, None), ("b", 0.0, None)], "road_id string, avg_speed double, travel_time double")
+    found = {(r["road_id"], r["avg_speed"]): r["travel_time"] for r in clean.fill_travel_time(rows.withColumn("more", F.lit(1)), source=rows).collect()}
+    assert found == {("a", 30.0): 2.0, ("a", 60.0): 1.0, ("b", 0.0): None}

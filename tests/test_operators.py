@@ -263,3 +263,15 @@ def test_travel_times_are_filled_from_the_stage_table_that_the_rows_stand_on(spa
     rows = spark.createDataFrame([("a", 30.0, 2.0), ("a", 60.0, None), ("b", 0.0, None)], "road_id string, avg_speed double, travel_time double")
     found = {(r["road_id"], r["avg_speed"]): r["travel_time"] for r in clean.fill_travel_time(rows.withColumn("more", F.lit(1)), source=rows).collect()}
     assert found == {("a", 30.0): 2.0, ("a", 60.0): 1.0, ("b", 0.0): None}
+
+
+def test_the_grid_is_made_by_as_many_tasks_as_run_at_a_time(spark):
+    """One road or a few: adaptive execution must not leave the grid to one task; steps end with the last time of all."""
+    start = datetime.datetime(2024, 1, 1, 3)
+    for roads in (1, 3):
+        rows = [(f"r{k}", start + datetime.timedelta(minutes=30 * i)) for k in range(roads) for i in (0, 500)]
+        grid = clean.time_grid(spark.createDataFrame([*rows, (None, start)], "road_id string, timestamp timestamp_ntz"))
+        sizes = [n for n in grid.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+        assert len(sizes) > 1 and max(sizes) < roads * 501
+        found = sorted(map(tuple, grid.collect()))
+        assert found == [(f"r{k}", start + datetime.timedelta(minutes=30 * i)) for k in range(roads) for i in range(501)]

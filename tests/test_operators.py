@@ -275,3 +275,17 @@ def test_the_grid_is_made_by_as_many_tasks_as_run_at_a_time(spark):
         assert len(sizes) > 1 and max(sizes) < roads * 501
         found = sorted(map(tuple, grid.collect()))
         assert found == [(f"r{k}", start + datetime.timedelta(minutes=30 * i)) for k in range(roads) for i in range(501)]
+
+
+def test_panel_models_are_scored_in_one_pass(spark, monkeypatch):
+    """One stage table holds the forecasts of all models; weighted rows are written as label, weight and vector only."""
+    written, staged = [], models.staged
+    monkeypatch.setattr(models, "staged", lambda df: (written.append(df.columns), staged(df))[1])
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(f"r{i % 3}", start + datetime.timedelta(minutes=30 * i), "train" if i < 200 else "val" if i < 300 else "test", float(i % 17), i % 2, i % 3 % 2, 2.0 * (i % 17), 1.0 * (i % 17), 5.0, i % 4, float(i % 5 == 0)) for i in range(400)]
+    names = "road_id string, timestamp timestamp_ntz, split string, x double, is_peak int, rain_flag int, y_volume double, y_speed double, y_travel_time double, y_congestion_code int, y_accident double"
+    found = models.fit_panel(spark.createDataFrame(rows, names), ["x", "is_peak", "rain_flag"], families=("linear", "tree"))
+    assert [c for c in written if "weight" in c] == [["y_congestion_code", "weight", models.VECTOR], ["y_accident", "weight", models.VECTOR]]
+    scored = [c for c in written if "split" in c]
+    assert len(scored) == 1 and sum("_by_" in c for c in scored[0]) == 10
+    assert found.kept["y_volume"][0] == "linear" and len(found.cards.collect()) == 5

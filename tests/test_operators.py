@@ -4,6 +4,7 @@ import datetime
 import random
 import statistics
 import time
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import columns as c
 from gridloom.operators import clean, features, metrics, models, ranks
 from gridloom.operators import validate as v
+from gridloom.plans import queries
 
 
 def series(spark, values, kind="double"):
@@ -289,3 +291,18 @@ def test_panel_models_are_scored_in_one_pass(spark, monkeypatch):
     scored = [c for c in written if "split" in c]
     assert len(scored) == 1 and sum("_by_" in c for c in scored[0]) == 10
     assert found.kept["y_volume"][0] == "linear" and len(found.cards.collect()) == 5
+
+
+def test_the_linear_svm_is_fitted_on_all_training_rows(spark, monkeypatch):
+    class Stop(Exception):
+        pass
+
+    def fitted(train, *_):
+        seen.append(train.count())
+        raise Stop
+
+    seen, rows = [], spark.range(40_100).selectExpr("id % 2 AS y_accident", "double(id % 7) AS x", "CASE WHEN id < 40000 THEN 'train' ELSE 'test' END AS split", "id AS timestamp", "'r' AS road_id")
+    monkeypatch.setattr(models, "fitted", fitted)
+    with pytest.raises(Stop):
+        queries.REGISTRY["m9_linear_svm"][0](SimpleNamespace(design=(rows, ["x"])))
+    assert seen == [40_000]

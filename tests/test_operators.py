@@ -1,6 +1,7 @@
 """Small fixtures for behaviour that is easy to get wrong: gaps, ties, nulls, band edges, zero denominators."""
 
 import datetime
+import os
 import random
 import statistics
 import time
@@ -13,6 +14,8 @@ from gridloom.functions import columns as c
 from gridloom.operators import clean, features, metrics, models, ranks
 from gridloom.operators import validate as v
 from gridloom.plans import queries
+from gridloom.plans.panel import Tables
+from gridloom.sources import tables
 
 
 def series(spark, values, kind="double"):
@@ -306,3 +309,48 @@ def test_the_linear_svm_is_fitted_on_all_training_rows(spark, monkeypatch):
     with pytest.raises(Stop):
         queries.REGISTRY["m9_linear_svm"][0](SimpleNamespace(design=(rows, ["x"])))
     assert seen == [40_000]
+
+
+def test_features_are_written_as_vectors_and_read_back(spark):
+    df = spark.createDataFrame([("r", 1, 2.5), ("s", 0, -1.0), ("t", 3, float("nan"))], "road_id string, a int, b double")
+    written = models.vector_only(df, ["a", "b"])
+    assert written.columns == ["road_id", models.VECTOR]
+    back = models.with_features(tables.staged(written, wide=True), ["a", "b"])
+    assert back.columns == ["road_id", models.VECTOR, "a", "b"] and back.schema[models.VECTOR].metadata["names"] == ["a", "b"]
+    assert {(r["road_id"], r["a"], r["b"]) for r in back.collect()} == {("r", 1.0, 2.5), ("s", 0.0, -1.0), ("t", None, None)}
+
+
+def test_stage_tables_of_a_finished_step_are_deleted(spark):
+    with tables.passing(spark) as kept:
+        first = tables.staged(spark.range(5))
+        kept.append(tables.staged(first.selectExpr("id + 1 AS id")))
+        assert os.path.exists(first._stage)
+    assert not os.path.exists(first._stage) and sorted(r["id"] for r in kept[0].collect()) == [1, 2, 3, 4, 5]
+
+
+def test_one_against_the_rest_is_scored_as_by_its_own_transform(spark):
+    df = spark.range(300).selectExpr("double(id % 7) AS x", "double(id % 11) AS z", "double(id % 7 % 3) AS y", "1.0D AS weight")
+    model = models.fitted(df, ["x", "z"], "y", models.CLASSIFIERS["boosted"](maxIter=2, maxDepth=2), classes=3)
+    found = models.predicted(model, df.withColumn("id", F.monotonically_increasing_id()), "p")
+    assert "prediction" not in found.columns and not [c for c in found.columns if c.startswith("_raw")]
+    own = model.transform(df.withColumn("id", F.monotonically_increasing_id())).select("id", "prediction")
+    assert found.join(own, "id").where("p = prediction").count() == 300
+
+
+def _panel(spark):
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(f"r{i % 3}", start + datetime.timedelta(minutes=30 * i), "train" if i < 200 else "val" if i < 300 else "test", float(i % 17), float(i % 2), float(i % 3 % 2), 2.0 * (i % 17), 1.0 * (i % 17), 5.0, i % 4, float(i % 5 == 0)) for i in range(400)]
+    names = "road_id string, timestamp timestamp_ntz, split string, x double, is_peak double, rain_flag double, y_volume double, y_speed double, y_travel_time double, y_congestion_code int, y_accident double"
+    return spark.createDataFrame(rows, names), ["x", "is_peak", "rain_flag"]
+
+
+def test_a_query_fits_the_models_of_its_own_targets(spark, monkeypatch):
+    """The coverage of the volume needs the volume's models alone; what a query has fitted the next ones take."""
+    asked, fit = [], models.fit_panel
+    monkeypatch.setattr(models, "fit_panel", lambda rows, names, targets=None, **_: asked.append(list(targets)) or fit(rows, names, families=("linear",), targets=targets))
+    t = Tables(spark, "")
+    t.__dict__["design"] = _panel(spark)
+    assert queries.REGISTRY["e12_fitted_coverage"][0](t).count() == 1
+    assert {r["target"] for r in queries.REGISTRY["e17_fitted_winners"][0](t).collect()} == set(models.TARGETS)
+    assert asked == [["y_volume"], ["y_speed", "y_travel_time", "y_congestion", "y_accident"]]
+    assert queries.REGISTRY["m13_scored_rows"][0](t).where("volume_p10 <= volume_p90 AND pred_accident_prob BETWEEN 0 AND 1 AND pred_congestion IS NOT NULL").count() == 100 and len(asked) == 2

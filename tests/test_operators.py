@@ -354,3 +354,10 @@ def test_a_query_fits_the_models_of_its_own_targets(spark, monkeypatch):
     assert {r["target"] for r in queries.REGISTRY["e17_fitted_winners"][0](t).collect()} == set(models.TARGETS)
     assert asked == [["y_volume"], ["y_speed", "y_travel_time", "y_congestion", "y_accident"]]
     assert queries.REGISTRY["m13_scored_rows"][0](t).where("volume_p10 <= volume_p90 AND pred_accident_prob BETWEEN 0 AND 1 AND pred_congestion IS NOT NULL").count() == 100 and len(asked) == 2
+
+
+def test_the_fitted_queries_try_every_family(spark):
+    t = Tables(spark, "")
+    t.__dict__["design"] = _panel(spark)
+    found = {(r["target"], r["model"]) for r in queries.REGISTRY["e11_fitted_scoreboard"][0](t).collect()}
+    assert found == {(k, m) for k, x in models.TARGETS.items() for m in ("linear" if x == "rmse" else "logistic", "tree", "forest", "boosted")}

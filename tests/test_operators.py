@@ -361,3 +361,11 @@ def test_the_fitted_queries_try_every_family(spark):
     t.__dict__["design"] = _panel(spark)
     found = {(r["target"], r["model"]) for r in queries.REGISTRY["e11_fitted_scoreboard"][0](t).collect()}
     assert found == {(k, m) for k, x in models.TARGETS.items() for m in ("linear" if x == "rmse" else "logistic", "tree", "forest", "boosted")}
+
+
+def test_a_vector_that_came_with_the_rows_is_made_longer(spark):
+    df = spark.range(200).selectExpr("double(id % 7) AS a", "double(id % 11) AS b", "double(id % 7 + 2 * (id % 11)) AS y")
+    lost = models.with_vector(df, ["a"]).withColumn("a", F.lit(0.0))  # what the vector holds is read, not the column
+    model = models.fitted(lost, ["a", "b"], "y", models.REGRESSORS["linear"]())
+    assert models.predicted(model, lost, "p").where("abs(p - y) < 1e-6").count() == 200
+    assert models.predicted(model, df, "p").where("abs(p - y) < 1e-6").count() == 200
